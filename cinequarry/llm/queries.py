@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import toxicity
+from .decontamination import contaminated_pairs
 from .exact_dedup import exact_dedup
 from .packing import pack_documents
 from .sharding import shard_by_bytes
@@ -31,6 +33,25 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def learned_toxicity(docs: DataFrame, labels: DataFrame) -> toxicity.Lexicon:
+    """The lexicon of rows whose crc32(doc_id) mod 3 is not 1."""
+    return toxicity.train(docs, labels, _remainder("doc_id", 3) != 1)
+
+
+def _remainder(doc_id: str, n: int) -> Column:
+    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(n))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    scored = toxicity.score(docs.select("doc_id", "text"), learned_toxicity(docs, _read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (_remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated_pairs(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents"), keep="largest")
 
@@ -38,10 +59,22 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_sharding": op2_sharding,
+    "op6_toxicity": op6_toxicity,
+    "op7_decontamination": op7_decontamination,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
+#: Words of a table's texts, lower-cased; unnested lists keep their order.
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+_SHINGLES = "SELECT DISTINCT {id}, s FROM (SELECT {id}, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)] END) AS s FROM (SELECT {id}, " + _WORDS + " AS w FROM {table}))"
+
 ORACLES: dict[str, str] = {
+    "op7_decontamination": f"""
+        WITH d AS ({_SHINGLES.format(id="doc_id", table="documents")}), b AS ({_SHINGLES.format(id="item_id", table="benchmark")}),
+             n AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY item_id)
+        SELECT doc_id, item_id, n_item, count(*) AS n_shared FROM d JOIN b USING (s) JOIN n USING (item_id)
+        GROUP BY doc_id, item_id, n_item HAVING 4 * count(*) >= 3 * n_item
+    """,
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
