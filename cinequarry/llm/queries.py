@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import toxicity
 from .decontamination import contaminated_pairs
 from .exact_dedup import exact_dedup
+from .jaccard_join import jaccard_groups
 from .packing import pack_documents
 from .sharding import shard_by_bytes
 
@@ -33,6 +34,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(_read(spark, sf_dir, "documents"))
+
+
 def learned_toxicity(docs: DataFrame, labels: DataFrame) -> toxicity.Lexicon:
     """The lexicon of rows whose crc32(doc_id) mod 3 is not 1."""
     return toxicity.train(docs, labels, _remainder("doc_id", 3) != 1)
@@ -59,6 +64,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_sharding": op2_sharding,
+    "op4_jaccard_join": op4_jaccard_join,
     "op6_toxicity": op6_toxicity,
     "op7_decontamination": op7_decontamination,
     "op10_exact_dedup": op10_exact_dedup,
@@ -69,6 +75,16 @@ _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRS
 _SHINGLES = "SELECT DISTINCT {id}, s FROM (SELECT {id}, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)] END) AS s FROM (SELECT {id}, " + _WORDS + " AS w FROM {table}))"
 
 ORACLES: dict[str, str] = {
+    "op4_jaccard_join": f"""
+        WITH RECURSIVE s AS MATERIALIZED ({_SHINGLES.format(id="doc_id", table="documents")}),
+             n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+             l AS MATERIALIZED (
+                SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y USING (s) JOIN n p ON p.doc_id = x.doc_id JOIN n q ON q.doc_id = y.doc_id
+                GROUP BY x.doc_id, y.doc_id, p.n, q.n HAVING 100 * count(*) >= 75 * (p.n + q.n - count(*))),
+             r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+        SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, coalesce(min(r.b), d.doc_id) AS component_id
+        FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.a = d.doc_id GROUP BY d.doc_id
+    """,
     "op7_decontamination": f"""
         WITH d AS ({_SHINGLES.format(id="doc_id", table="documents")}), b AS ({_SHINGLES.format(id="item_id", table="benchmark")}),
              n AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY item_id)
