@@ -11,6 +11,7 @@ from . import toxicity
 from .decontamination import contaminated_pairs
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_groups
+from .lm_scoring import score_documents
 from .packing import pack_documents
 from .sharding import shard_by_bytes
 from .substring_dedup import substring_dedup
@@ -63,6 +64,11 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated_pairs(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_documents(_read(spark, sf_dir, "documents"), _remainder("doc_id", 10) != 0)
+    return scored.withColumn("held_out", _remainder("doc_id", 10) == 0)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents"), keep="largest")
 
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_jaccard_join": op4_jaccard_join,
     "op6_toxicity": op6_toxicity,
     "op7_decontamination": op7_decontamination,
+    "op8_lm_scoring": op8_lm_scoring,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
