@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from . import toxicity
 from .decontamination import contaminated_pairs
 from .exact_dedup import exact_dedup
+from .html_extraction import extract_main_text
 from .jaccard_join import jaccard_groups
+from .license_scan import license_scan
 from .lm_scoring import score_documents
 from .packing import pack_documents
 from .sharding import shard_by_bytes
@@ -45,6 +47,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(_read(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_read(spark, sf_dir, "pages"))
+
+
 def learned_toxicity(docs: DataFrame, labels: DataFrame) -> toxicity.Lexicon:
     """The lexicon of rows whose crc32(doc_id) mod 3 is not 1."""
     return toxicity.train(docs, labels, _remainder("doc_id", 3) != 1)
@@ -69,6 +75,10 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", _remainder("doc_id", 10) == 0)
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_read(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents"), keep="largest")
 
@@ -78,9 +88,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_html_extraction": op5_html_extraction,
     "op6_toxicity": op6_toxicity,
     "op7_decontamination": op7_decontamination,
     "op8_lm_scoring": op8_lm_scoring,
+    "op9_license_scan": op9_license_scan,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
