@@ -60,6 +60,18 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids that may be broadcast, at 16 bytes each or so; beyond, Spark shuffles.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, gone: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """Rows of ``docs`` whose id is not among ``gone`` (doc_id); rows with a null id stay."""
+    ids = settle(gone.select(as_long("doc_id").alias("__gone")).where("__gone IS NOT NULL").distinct())
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, as_long(doc_id) == F.col("__gone"), "left_anti")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

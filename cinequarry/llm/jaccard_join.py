@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_long, partitions, raw_texts, run_starts, settle, shingle_sets, slices
+from .common import BROADCAST_IDS, as_long, partitions, raw_texts, run_starts, settle, shingle_sets, slices, without
 from .components import connected_components
 
 #: A column of more components than this is crowded: rows within their slack leave it out.
@@ -32,8 +32,6 @@ CROWDED = 50
 #: Documents whose shingles are counted together to find frequent ones, the
 #: share of them that makes a shingle frequent, and the most that are kept.
 COUNTED, FREQUENT, FREQUENT_MOST = 4096, 0.002, 500_000
-#: Rows of two numbers that may be broadcast; beyond, Spark shuffles.
-BROADCAST_ROWS = 1_000_000
 
 
 def _signed(values: np.ndarray) -> np.ndarray:
@@ -154,7 +152,7 @@ def _columns(rows: DataFrame) -> DataFrame:
 
 def _texts(source: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """node, n, text of the given nodes (node, n, doc_id)."""
-    if nodes.count() <= BROADCAST_ROWS:
+    if nodes.count() <= BROADCAST_IDS:
         nodes = F.broadcast(nodes)
     found = source.join(nodes, "doc_id").select("node", "n", "text")
 
@@ -246,7 +244,4 @@ def jaccard_groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
 def keep_one(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", k: int = 5, percent: int = 75) -> DataFrame:
     """The rows of ``docs``, columns unchanged, whose id is the smallest of its component."""
     groups = jaccard_groups(docs, text=text, doc_id=doc_id, k=k, percent=percent)
-    dropped = settle(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
-    if dropped.count() <= BROADCAST_ROWS:
-        dropped = F.broadcast(dropped)
-    return docs.join(dropped, as_long(doc_id) == F.col("__gone"), "left_anti")
+    return without(docs, groups.where("doc_id <> component_id"), doc_id)
