@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 #: Width of a hashed feature vector.
 FEATURES = 64
@@ -89,28 +91,29 @@ def fnv1a(token: bytes) -> int:
     return h
 
 
-@F.pandas_udf("array<double>")
-def _hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    import numpy as np
-
-    known: dict[str, tuple[int, float]] = {}
-    for batch in batches:
-        out = []
-        for terms in batch:
-            v = np.zeros(FEATURES)
-            for t in terms if terms is not None else ():
-                if t not in known:
-                    if len(known) > 200_000:
-                        known.clear()
-                    h = fnv1a(t.encode())
-                    known[t] = (h % FEATURES, 1.0 if h % 2 == 0 else -1.0)
-                at, sign = known[t]
-                v[at] += sign
-            length = np.sqrt((v * v).sum())
-            out.append(v / length if length else v)
-        yield pd.Series(out)
-
-
-def hashed_features(terms: str | Column) -> Column:
-    """Unit vector of signed hashed terms (an array column); zeros without terms. Spark has no FNV-1a, so this is an Arrow UDF."""
-    return _hashed(_col(terms))
+def with_features(rows: DataFrame, terms: str, out: str = "vector") -> DataFrame:
+    """``rows`` with the unit vector of an array column's signed hashed terms; zeros without terms.
+
+    Spark has no FNV-1a, so this step is in Arrow batches.
+    """
+    kept = rows.drop(out)
+    names = kept.columns
+
+    def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[int, float]] = {}
+        for batch in batches:
+            vectors = np.zeros((batch.num_rows, FEATURES))
+            for i, own in enumerate(batch.column(terms).to_pylist()):
+                for t in own or ():
+                    if t not in known:
+                        if len(known) > 200_000:
+                            known.clear()
+                        h = fnv1a(t.encode())
+                        known[t] = (h % FEATURES, 1.0 if h % 2 == 0 else -1.0)
+                    at, sign = known[t]
+                    vectors[i, at] += sign
+            lengths = np.sqrt((vectors * vectors).sum(1, keepdims=True))
+            vectors = vectors / np.where(lengths > 0, lengths, 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(vectors), pa.list_(pa.float64()))], names=[*names, out])
+
+    return kept.mapInArrow(hashed, StructType([*kept.schema.fields]).add(out, ArrayType(DoubleType())))

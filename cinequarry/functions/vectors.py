@@ -80,4 +80,4 @@ def nearest(corpus: DataFrame, queries: DataFrame, *, k: int, digits: int = 6, e
         part = corpus.select("id", "vector").mapInPandas(search, "query_id long, id long, score double")
         out = part if out is None else out.unionByName(part)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
