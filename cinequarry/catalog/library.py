@@ -22,10 +22,10 @@ def facet_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facets(table(spark, sf_dir, "part"), {"p_brand": ["Brand#11", "Brand#23", "Brand#1", "Brand#2"], "p_size": [1, 2, 3, 5, 8, 13, 21], "p_type": []}).select("p_partkey", "p_name", "p_brand", "p_type")
 
 
-@register("SELECT p_partkey FROM part WHERE list_has_any(string_split(upper(p_type), ' '), ['STEEL', 'COPPER'])")
+@register("SELECT p_partkey FROM part WHERE list_has_any(string_split(upper(p_type), ' '), ['STEEL', 'SMALL'])")
 def usable_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").withColumn("kinds", F.split(F.upper("p_type"), " "))
-    return facets(parts, {}, {"kinds": ["STEEL", "COPPER"]}).select("p_partkey")
+    return facets(parts, {}, {"kinds": ["STEEL", "SMALL"]}).select("p_partkey")
 
 
 @register("SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderdate >= TIMESTAMP '1994-01-01' AND o_orderdate < TIMESTAMP '1997-01-01' AND lower(c_mktsegment) = 'building' AND n_regionkey = 1 AND o_totalprice BETWEEN 1000 AND 200000")

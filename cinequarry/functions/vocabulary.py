@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cinequarry.plans.scratch import settle
+
 # Kind, concept and the words that name it.
 VOCABULARY = {
     "object": {
@@ -90,36 +96,30 @@ def word_at(text: Column, word: Column, wide: Column) -> Column:
     return F.when(place > 0, F.octet_length(F.substr(text, F.lit(1), place - 1))).otherwise(F.lit(-1))
 
 
-def _wide_spans(text: Column, word: str) -> Column:
-    """Spans of a wide word: the text is split at it, so what stands before an occurrence gives its offset."""
-    parts = F.split(text, word)
-
-    def span(i: Column) -> Column:
-        begin = F.octet_length(F.array_join(F.slice(parts, F.lit(1), i), word))
-        after = F.concat(F.array_join(F.slice(parts, i + 1, F.size(parts)), word), F.lit("。"))
-        clause = F.octet_length(F.regexp_substr(after, F.lit(f"^[^{CLAUSE_ENDS}]*")))
-        return F.struct(begin.alias("start"), (begin + len(word.encode()) + clause).alias("end"))
-
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    return F.when(F.contains(text, F.lit(word)), F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), span)).otherwise(none)
-
-
-def denied_spans(text: Column) -> Column:
-    """Byte ranges in which a lower-case text denies what it names.
+def denials(texts: DataFrame, key: str) -> DataFrame:
+    """key, start, end: byte ranges in which a lower-case text denies what it names.
 
     A wide word denies up to the end of its clause at every occurrence, a
-    plain one itself and two bytes more, at its first.
+    plain one itself and two bytes more, at its first. Only texts with such a
+    word reach the Python step.
     """
-    plain = [w for w in NEGATIONS.split() if w.isascii()]
-    wide = [w for w in NEGATIONS.split() if not w.isascii()]
-    spans = []
-    for w in plain:
-        place = F.regexp_instr(text, F.lit(f"(?<![a-z0-9]){w}(?![a-z0-9])"))
-        at = F.octet_length(F.substr(text, F.lit(1), place - 1))
-        spans.append(F.when(place > 0, F.array(F.struct(at.alias("start"), (at + len(w) + 2).alias("end")))).otherwise(F.array().cast("array<struct<start:int,end:int>>")))
-    for w in wide:
-        spans.append(_wide_spans(text, w))
-    return F.concat(*[s.cast("array<struct<start:int,end:int>>") for s in spans])
+    wide = "|".join(w for w in NEGATIONS.split() if not w.isascii())
+    plain = [re.compile(rf"(?<![a-z0-9]){w}(?![a-z0-9])") for w in NEGATIONS.split() if w.isascii()]
+    clause = re.compile(rf"(?=((?:{wide})[^{CLAUSE_ENDS}]*))")
+
+    def find(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for own, text in zip(batch[key], batch["text"], strict=True):
+                for m in filter(None, (p.search(text) for p in plain)):
+                    rows.append((own, len(text[: m.start()].encode()), len(text[: m.end()].encode()) + 2))
+                for m in clause.finditer(text):
+                    begin = len(text[: m.start()].encode())
+                    rows.append((own, begin, begin + len(m[1].encode())))
+            yield pd.DataFrame(rows, columns=[key, "start", "end"])
+
+    found = texts.where(F.col("text").rlike("|".join(NEGATIONS.split()))).select(key, "text")
+    return found.mapInPandas(find, f"{key} {dict(texts.dtypes)[key]}, start long, end long")
 
 
 def named(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -135,9 +135,9 @@ def named(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     wide = source.where(F.col("text").rlike("[^\\x00-\\x7F]")).join(F.broadcast(table.where("wide")), F.expr("instr(text, word) > 0"))
     both = plain.select(key, "text", "kind", "concept", "word", "wide").unionByName(wide.select(key, "text", "kind", "concept", "word", "wide"))
     placed = both.withColumn("position", word_at(F.col("text"), F.col("word"), F.col("wide")))
-    first = placed.groupBy(key, "kind", "concept").agg(F.min("position").alias("position"), F.first("text").alias("text"))
-    inside = F.exists(denied_spans(F.col("text")), lambda s: (F.col("position") >= s["start"]) & (F.col("position") < s["end"]))
-    return first.select(key, "kind", "concept", "position", inside.alias("denied"))
+    first = placed.groupBy(key, "kind", "concept").agg(F.min("position").alias("position"))
+    inside = first.join(denials(source, key), key).where("position >= start AND position < end").select(key, "kind", "concept", F.lit(True).alias("denied")).distinct()
+    return first.join(inside, [key, "kind", "concept"], "left").select(key, "kind", "concept", "position", F.coalesce("denied", F.lit(False)).alias("denied"))
 
 
 def speech_phrase(text: Column) -> Column:
@@ -156,7 +156,7 @@ def compile_queries(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     phrases = queries.select("query_id", "text", speech_phrase(F.col("text")).alias("phrase"), F.lower(F.nullif(F.regexp_extract("text", SHOT_ID, 1), F.lit(""))).alias("shot"))
     rest = phrases.withColumn("rest", F.when(F.col("phrase").isNull(), F.col("text")).otherwise(F.expr("replace(text, phrase, ' ')")))
-    found = named(rest.select("query_id", F.col("rest").alias("text")), "query_id")
+    found = settle(named(rest.select("query_id", F.col("rest").alias("text")), "query_id"))  # it is read four times below
     need = F.when(F.col("denied"), "must_not").when(F.col("kind") == "object", "must").otherwise("should")
     rows = found.select("query_id", need.alias("need"), "kind", F.col("concept").alias("value"), "position")
     spoken = phrases.where("phrase IS NOT NULL").select("query_id", F.lit("must").alias("need"), F.lit("speech").alias("kind"), F.col("phrase").alias("value"), F.lit(-1).alias("position"))
