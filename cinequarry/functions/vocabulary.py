@@ -143,7 +143,7 @@ def named(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
 def speech_phrase(text: Column) -> Column:
     """What a query quotes: between quotation marks, else after the last speech marker; null if nothing."""
     quoted = [F.nullif(F.trim(F.regexp_extract(text, f"{a}([^{b}]*){b}", 1)), F.lit("")) for a, b in QUOTES]
-    marked = [F.nullif(F.trim(F.regexp_extract(text, f".*{m}(.*)$", 1)), F.lit("")) for m in SPEECH_MARKERS]
+    marked = [F.nullif(F.trim(F.element_at(F.split(F.when(F.contains(text, F.lit(m)), text), m), -1)), F.lit("")) for m in SPEECH_MARKERS]
     return F.coalesce(*quoted, *marked)
 
 
@@ -154,7 +154,7 @@ def compile_queries(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     should, denied ones must not; a query that only should have things must
     have them. A spoken phrase and a shot id are musts.
     """
-    phrases = queries.select("query_id", "text", speech_phrase(F.col("text")).alias("phrase"), F.lower(F.nullif(F.regexp_extract("text", SHOT_ID, 1), F.lit(""))).alias("shot"))
+    phrases = settle(queries.select("query_id", "text", speech_phrase(F.col("text")).alias("phrase"), F.lower(F.nullif(F.regexp_extract("text", SHOT_ID, 1), F.lit(""))).alias("shot")))
     rest = phrases.withColumn("rest", F.when(F.col("phrase").isNull(), F.col("text")).otherwise(F.expr("replace(text, phrase, ' ')")))
     found = settle(named(rest.select("query_id", F.col("rest").alias("text")), "query_id"))  # it is read four times below
     need = F.when(F.col("denied"), "must_not").when(F.col("kind") == "object", "must").otherwise("should")
