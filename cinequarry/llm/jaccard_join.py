@@ -9,9 +9,12 @@ by that many. So only heads enter the product, shingles known to be frequent
 last, and a set may leave out as many crowded columns as it has slack.
 
 A column doesn't emit its pairs. Each column links its rows to one of them
-(a star); pairs that pass the size bound get their overlap counted exactly,
-and linked rows become one component. Only pairs of different components that
-still share a column are left, and are counted too.
+(a star); pairs that pass the bounds on size and on shared columns get their
+overlap counted exactly, and linked rows become one component. Then a few
+delegates of each component meet the rows of others in their columns, until a
+round finds no link. Only pairs of different components that still share a
+column are left; their shared columns are added up, pairs below the bound are
+dropped, and the rest counted exactly.
 """
 
 from __future__ import annotations
@@ -20,8 +23,9 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_IDS, as_long, partitions, raw_texts, run_starts, settle, shingle_sets, slices, without
@@ -29,6 +33,10 @@ from .components import connected_components
 
 #: A column of more components than this is crowded: rows within their slack leave it out.
 CROWDED = 50
+#: Rounds in which components' delegates look for links, at most, and delegates of a component in each.
+ROUNDS, DELEGATES = 2, 4
+#: Rows of a block that is multiplied with others as a whole.
+BLOCK_ROWS = 112
 #: Documents whose shingles are counted together to find frequent ones, the
 #: share of them that makes a shingle frequent, and the most that are kept.
 COUNTED, FREQUENT, FREQUENT_MOST = 4096, 0.002, 500_000
@@ -162,11 +170,16 @@ def _texts(source: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
             same = [a == b for a, b in zip(real, batch.column("node").to_pylist(), strict=True)]
             yield batch.filter(pa.array(same, pa.bool_()))
 
-    return settle(found.mapInArrow(own, "node long, n long, text string").dropDuplicates(["node"]))
+    texts = settle(found.mapInArrow(own, "node long, n long, text string"))
+    # Only rows that repeat an id can give a node twice; without them no text is shuffled.
+    twice = texts.groupBy("node").count().where("count > 1").limit(1).count()
+    return settle(texts.dropDuplicates(["node"])) if twice else texts
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose exact overlap reaches the threshold."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "node", "left_semi")
     left, right = (texts.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("text").alias(f"text_{c}")) for c in "ab")
     near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
     sized = pairs.join(right.select("b", "n_b"), "b").join(left.select("a", "n_a"), "a").where(near).select("a", "b")
@@ -191,21 +204,140 @@ def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     return both.mapInArrow(overlap, "a long, b long")
 
 
-def _left_over(columns: DataFrame, labels: DataFrame, sizes: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a column, and that no star has tried."""
-    listed = columns.select(F.monotonically_increasing_id().alias("list"), "many", F.explode("nodes").alias("node"))
+def _slack(n: str, percent: int) -> Column:
+    """head_size()'s slack, of a column."""
+    size = F.col(n)
+    base = size - F.ceil(size * percent / 100) + 1
+    return F.least(size - base, F.floor(size / 20) + 8)
+
+
+def _stars(columns: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a column's first row and another that a star should try.
+
+    At the threshold two rows share one column more than the lesser slack; a
+    pair with half as many under this centre is tried, any other is left over.
+    """
+    shared = columns.select(F.element_at("nodes", 1).alias("a"), F.explode("nodes").alias("b"), "many").where("a <> b").groupBy("a", "b").agg(F.sum("many").alias("shared"))
+    one, other = sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b"))
+    return shared.join(one, "a").join(other, "b").where(_enough("shared", percent, 0.5)).select("a", "b")
+
+
+def _enough(shared: str, percent: int, share: float = 1.0) -> Column:
+    """Whether two rows' shared columns reach a share of the fewest at the threshold, and their sizes are near."""
+    near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    return near & (F.col(shared) > share * F.least(_slack("n_a", percent), _slack("n_b", percent)))
+
+
+def _bridges(columns: DataFrame, labels: DataFrame, sizes: DataFrame, tried: DataFrame, percent: int, number: int) -> DataFrame:
+    """Untried pairs (a, b) of a delegate of a component and a row of another one.
+
+    Every component has a few delegates, others each round. In each column
+    that has some, those of the largest component there meet its rows of other
+    components, so a column gives DELEGATES pairs a row at most.
+    """
+    picks = [F.min_by("node", F.xxhash64("node", F.lit(number), F.lit(i))) for i in range(DELEGATES)]
+    chosen = labels.groupBy("label").agg(F.count("*").alias("members"), F.array_distinct(F.array(*picks)).alias("picked")).select("label", "members", F.explode("picked").alias("node"))
+    listed = columns.select("list", "many", F.explode("nodes").alias("node"))
+    present = listed.join(chosen, "node").groupBy("list").agg(F.max(F.struct("members", "label")).alias("top"), F.collect_list(F.struct("label", "node")).alias("here"))
+    centres = present.select("list", F.col("top.label").alias("own"), F.transform(F.filter("here", lambda h: h["label"] == F.col("top.label")), lambda h: h["node"]).alias("centres"))
+    rows = listed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    met = rows.join(centres, "list").where("label <> own").select(F.explode("centres").alias("centre"), "node", "many")
+    shared = met.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b"), "many").groupBy("a", "b").agg(F.sum("many").alias("shared"))
+    one, other = sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b"))
+    good = shared.join(one, "a").join(other, "b").where(_enough("shared", percent, 0.5)).select("a", "b")
+    return good.join(tried, ["a", "b"], "left_anti")
+
+
+def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """labels (node, label) with the components that the links connect made one."""
+    if labels is None:
+        return connected_components(links)
+    ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
+    known = settle(ends.join(labels, "node", "full_outer").select("node", F.coalesce("label", "node").alias("label")))
+    a, b = known.select(F.col("node").alias("a"), F.col("label").alias("la")), known.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    between = links.join(a, "a").join(b, "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+    moved = connected_components(between).select(F.col("node").alias("label"), F.col("label").alias("now"))
+    return settle(known.join(moved, "label", "left").select("node", F.coalesce("now", "label").alias("label")))
+
+
+def _open_columns(columns: DataFrame, labels: DataFrame, sizes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(list, many, node, label, n, crowded) of columns with several components, and how many crowded ones a row is in."""
+    listed = columns.select("list", "many", F.explode("nodes").alias("node"))
     known = listed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(sizes, "node")
     open_lists = known.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("list")
     rows = settle(known.join(open_lists, "list"))
     crowded = rows.groupBy("list", "label").agg(F.lit(1).alias("one")).groupBy("list").agg(F.count("*").alias("labels")).where(F.col("labels") > CROWDED).select("list", F.lit(True).alias("crowded"))
     marked = settle(rows.join(crowded, "list", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False))))
-    base = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    slack = F.least(F.col("n") - base, F.floor(F.col("n") / 20) + 8)
-    over = marked.where("crowded").groupBy("node", "n").agg(F.sum("many").alias("left_out")).where(F.col("left_out") > slack).select("node")
-    members = marked.where("NOT crowded").unionByName(marked.where("crowded").join(over, "node", "left_semi").select(marked.columns)).select("list", "node", "label", "n")
-    one, other = members.select("list", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a")), members.select("list", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"))
+    left_out = marked.where("crowded").groupBy("node", "n").agg(F.sum("many").alias("left_out")).withColumn("over", F.col("left_out") > _slack("n", percent))
+    return marked, settle(left_out)
+
+
+def _left_over(marked: DataFrame, left_out: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
+    """Untried pairs (a, b) of different components that share columns enough that aren't crowded."""
+    members = marked.where("NOT crowded").select("list", "many", "node", "label", "n")
+    one, other = members.select("list", "many", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a")), members.select("list", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"))
     near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    return one.join(other, "list").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & near).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    pairs = one.join(other, "list").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & near)
+    counted = pairs.groupBy("a", "b", "n_a", "n_b").agg(F.sum("many").alias("shared"))
+    # The fewest columns that two rows at the threshold share, less those that both left out.
+    for c in "ab":
+        counted = counted.join(left_out.select(F.col("node").alias(c), F.col("left_out").alias(f"out_{c}")), c, "left")
+    both_out = F.least(F.coalesce("out_a", F.lit(0)), F.coalesce("out_b", F.lit(0)))
+    return counted.withColumn("most", F.col("shared") + both_out).where(_enough("most", percent)).select("a", "b").join(tried, ["a", "b"], "left_anti")
+
+
+def _crowded_links(marked: DataFrame, left_out: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) among rows that are in more crowded columns than they may leave out; enough of them to connect what is linked.
+
+    These rows are cut into blocks of about BLOCK_ROWS, by the fullest crowded
+    column that holds them. Two blocks with a crowded column in common are
+    multiplied, over all shingles of theirs, in one task: dense, so no pair is
+    ever a row, and exact, so nothing is left to verify.
+    """
+    members = marked.where("crowded").join(left_out.where("over").select("node"), "node", "left_semi").select("list", "node", "label")
+    members = settle(members)
+    filled = members.groupBy("list").agg(F.count("*").alias("rows"))
+    homes = members.join(filled, "list").groupBy("node").agg(F.max(F.struct("rows", "list")).alias("home"), F.first("label").alias("label")).select("node", "label", F.col("home.list").alias("home"))
+    parts = homes.groupBy("home").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("parts"))
+    blocks = settle(homes.join(parts, "home").select("node", "label", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block")))
+    holds = members.join(blocks, "node").select("list", "block").distinct()
+    pairs = holds.withColumnRenamed("block", "x").join(holds.withColumnRenamed("block", "y"), "list").where("x <= y").select("x", "y").distinct()
+    sides = pairs.select(F.xxhash64("x", "y").alias("pair"), F.explode(F.array_distinct(F.array(F.struct(F.col("x").alias("block"), F.lit(0).alias("side")), F.struct(F.col("y").alias("block"), F.when(F.col("x") == F.col("y"), 0).otherwise(1).alias("side"))))).alias("s")).select("pair", "s.block", "s.side")
+    rows = sides.join(blocks, "block").join(texts.select("node", "text"), "node").select("pair", "side", "node", "label", "text")
+
+    def multiply(frame: pd.DataFrame) -> pd.DataFrame:
+        sets = shingle_sets([t.encode() for t in frame["text"]], k)
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        columns, places, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        kept = times[places] > 1
+        owner, places = owner[kept], np.cumsum(times > 1)[places[kept]] - 1
+        shared = np.zeros((len(sets), len(sets)), np.float32)
+        for start in range(0, int((times > 1).sum()), 4096):
+            here = (places >= start) & (places < start + 4096)
+            incidence = np.zeros((len(sets), 4096), np.float32)
+            incidence[owner[here], places[here] - start] = 1
+            shared += incidence @ incidence.T
+        side, label, node = (frame[c].to_numpy() for c in ("side", "label", "node"))
+        linked = 100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared)
+        if side.any():
+            linked &= side[:, None] < side[None, :]
+        root = {x: x for x in label.tolist()}
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        out = []
+        for i, j in zip(*np.nonzero(np.triu(linked | linked.T, 1) & (label[:, None] != label[None, :])), strict=True):
+            x, y = top(int(label[i])), top(int(label[j]))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((int(node[i]), int(node[j])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return rows.groupBy("pair").applyInPandas(multiply, "a long, b long")
 
 
 def jaccard_groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", k: int = 5, percent: int = 75) -> DataFrame:
@@ -223,18 +355,26 @@ def jaccard_groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     """
     source = docs.select(as_long(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = settle(_rows(source, frequent_shingles(source, k), k, percent))
-    columns = settle(_columns(rows))
+    columns = settle(_columns(rows).groupBy("nodes").agg(F.sum("many").alias("many")).withColumn("list", F.xxhash64("nodes")))
     sets = rows.where("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"))
     wanted = columns.select(F.explode("nodes").alias("node")).distinct()
     nodes = settle(sets.join(wanted, "node", "left_semi"))
     texts = _texts(source, nodes.where("doc_id IS NOT NULL"), k)
     sizes = nodes.select("node", "n")
-    stars = settle(columns.select(F.element_at("nodes", 1).alias("a"), F.explode("nodes").alias("b")).where("a <> b").distinct())
-    links = settle(_linked(stars, texts, k, percent))
-    labels = connected_components(links)
-    more = settle(_linked(_left_over(columns, labels, sizes, stars, percent), texts, k, percent))
-    if more.limit(1).count():
-        labels = connected_components(links.unionByName(more))
+    stars = settle(_stars(columns, sizes, percent))
+    labels = _joined(None, settle(_linked(stars, texts, k, percent)))
+    tried = stars
+    for number in range(ROUNDS):
+        pairs = settle(_bridges(columns, labels, sizes, tried, percent, number))
+        links = settle(_linked(pairs, texts, k, percent))
+        if not links.limit(1).count():
+            break
+        labels, tried = _joined(labels, links), tried.unionByName(pairs)
+    marked, left_out = _open_columns(columns, labels, sizes, percent)
+    left_over = settle(_left_over(marked, left_out, tried, percent))
+    links = settle(_linked(left_over, texts, k, percent).unionByName(_crowded_links(marked, left_out, texts, k, percent)))
+    if links.limit(1).count():
+        labels = _joined(labels, links)
     groups = sets.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "doc_id")
     smallest = groups.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     component = groups.join(smallest, "label").select("node", "component_id")
