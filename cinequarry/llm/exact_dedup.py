@@ -19,11 +19,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_long, partitions, raw_texts, settle, slices
+from .common import as_long, partitions, raw_texts, settle, slices, without
 
 _ROWS = "doc_id long, text_sha256 string, part int, run int, edge int, local_size long, local_keep long"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("text_sha256", pa.string()), ("part", pa.int32()), ("run", pa.int32()), ("edge", pa.int32()), ("local_size", pa.int64()), ("local_keep", pa.int64())])
 
+#: Characters of a text that take part in a splitter.
+START = 32
+
 
 def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Number the runs of equal neighbours of one sorted partition.
@@ -81,7 +84,9 @@ def exact_dedup(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     spark = docs.sparkSession
     sign = 1 if keep == "largest" else -1
     source = docs.select((as_long(doc_id) * F.lit(sign)).alias("doc_id"), F.coalesce(normalise if normalise is not None else F.col(text), F.lit("")).alias("text"))
-    dealt = source.repartitionByRange(partitions(spark), "text", "doc_id").sortWithinPartitions("text", "doc_id")
+    # Splitters are sampled through the driver, so they hold a text's start and hash, never a whole text.
+    order = (F.substring("text", 1, START), F.xxhash64("text"), F.col("text"), F.col("doc_id"))
+    dealt = source.repartitionByRange(partitions(spark), order[0], order[1], order[3]).sortWithinPartitions(*order)
     runs = settle(dealt.mapInArrow(_compare, _ROWS))
     # Two groups a partition can reach over its boundary: at most 2 rows for each range partition.
     edges = runs.where("edge > 0").groupBy("part", "run", "text_sha256").agg(F.first("local_size").alias("n"), F.first("local_keep").alias("k"))
@@ -95,3 +100,9 @@ def exact_dedup(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
         F.col("doc_id").eqNullSafe(best).alias("kept"),
         "text_sha256",
     )
+
+
+def drop_copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", normalise: Column | None = None, keep: str = "smallest") -> DataFrame:
+    """The rows of ``docs``, columns unchanged, that exact_dedup() keeps."""
+    groups = exact_dedup(docs, text=text, doc_id=doc_id, normalise=normalise, keep=keep)
+    return without(docs, groups.where("NOT kept"), doc_id)
