@@ -28,6 +28,8 @@ from .common import as_long, raw_texts, settle, slices
 CAPACITY = 4096
 #: Pieces a partition packs at once.
 PIECES = 4096
+#: Rounds at most; partitions grow eightfold with each, up to this many pieces.
+ROUNDS, MOST_PIECES = 5, 1 << 20
 #: Distinct words whose ids a task keeps.
 CACHE_WORDS = 500_000
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -67,12 +69,18 @@ class WordIds:
         return b"".join(map(self.known.__getitem__, words))
 
 
+@lru_cache(maxsize=2)
+def _word_ids(path: str) -> WordIds:
+    """One memory for all tasks of a worker."""
+    return WordIds(path)
+
+
 def pieces_of(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY, end_id: int = 1, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: only documents over ``capacity`` are cut."""
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordIds(tokenizer_path)
+        known = _word_ids(tokenizer_path)
         for batch in slices(batches):
             lists = [t.split() for t in raw_texts(batch)]
             known.learn(set().union(*lists))
@@ -145,57 +153,57 @@ def _histogram(df: DataFrame, capacity: int) -> np.ndarray:
     return counts
 
 
-def pack(pieces: DataFrame, *, capacity: int = CAPACITY, pieces_each: int = PIECES, rounds: int = 4) -> DataFrame:
+def pack(pieces: DataFrame, *, capacity: int = CAPACITY, pieces_each: int = PIECES, most_pieces: int = MOST_PIECES, rounds: int = ROUNDS) -> DataFrame:
     """``pieces`` (with a length column, 1 to capacity) plus sequence_id, offset.
 
     Any number of pieces, repeated rows and ties included; no rows give none.
     A sequence's offsets are gapless from 0.
     """
     columns = pieces.columns
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema), "sequence_id long, offset long, fill long, certified boolean"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema), "sequence_id long, offset long, released boolean"])
 
     def run(number: int):
         def packed(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
             lengths = frame["length"].to_numpy()
             bins, offsets, fill = best_fit_decreasing(lengths, capacity)
-            bound = lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
+            room = fill < capacity
+            if len(fill) <= lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity):
+                # Certified: only what rounding the bound up may have left goes on, the emptiest bin.
+                room &= np.arange(len(fill)) == fill.argmin()
             out = frame[columns].copy()
             out["sequence_id"] = bins + (int(keys[0]) << 24) + (number << 58)
-            out["offset"], out["fill"], out["certified"] = offsets, fill[bins], len(fill) <= bound
+            out["offset"], out["released"] = offsets, room[bins]
             return out
 
         return packed
 
     todo = settle(pieces)
     n = todo.count()
+    bound = lower_bound(_histogram(todo, capacity), capacity) if n else 0
     parts: list[DataFrame] = []
-    counts = _histogram(todo, capacity) if n else np.zeros(capacity + 1, np.int64)
-    bound, settled = lower_bound(counts, capacity), 0
+    closed, before, held = 0, 0, None  # bins that are final; bins that this round's pieces filled, and how
     for number in range(rounds):
-        groups = max(1, -(-n // pieces_each))
+        groups = max(1, -(-n // min(most_pieces, pieces_each << 3 * number)))
         # An even deal, whatever the ids: the table is written, so a row's number stays the same.
         dealt = todo.withColumn("__part", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(number)), F.lit(groups)))
         done = settle(dealt.groupBy("__part").applyInPandas(run(number), schema))
-        tally = done.where("offset = 0").agg(F.count("*").alias("bins"), F.count_if(F.col("fill") < capacity).alias("roomy")).first()
-        bins, roomy = int(tally["bins"]), int(tally["roomy"])
-        # A partition at its own bound may still hold a bin that rounding up left with room.
-        last = number == rounds - 1 or settled + bins <= bound or roomy <= 1 or (number and groups == 1)
-        if last:
+        tally = done.where("offset = 0").agg(F.count("*").alias("bins"), F.count_if("released").alias("released")).first()
+        bins, released = int(tally["bins"]), int(tally["released"])
+        if held is not None and bins >= before:  # the exchange saved nothing
+            parts.append(held)
+            break
+        if closed + bins <= bound or released <= 1 or groups == 1 or number == rounds - 1:
             parts.append(done)
             break
-        open_bins = F.col("fill") < capacity
-        if roomy > groups:  # certified partitions keep theirs while others have a real gap
-            gap = open_bins & ~F.col("certified")
-            if done.where(gap).limit(1).count():
-                open_bins = gap
-        parts.append(done.where(~open_bins))
-        settled += int(done.where(~open_bins & (F.col("offset") == 0)).count())
-        todo = settle(done.where(open_bins).select(*columns))
+        parts.append(done.where("NOT released"))
+        held = done.where("released")
+        closed, before = closed + bins - released, released
+        todo = held.select(*columns)
         n = todo.count()
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.drop("fill", "certified")
+    return out.drop("released")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
