@@ -43,7 +43,8 @@ _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: One attribute of any name with its value, so that no name is looked for inside another's value.
+_ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _WORD = re.compile(r"[a-z]+")
 #: Pages of a host that must have a node before its entropy counts, and the importance below which it goes.
 LEAST_PAGES, LEAST_IMPORTANCE = 4, 0.2
@@ -109,7 +110,7 @@ def parse(source: str) -> Element:
                 label += ("." if key == "class" else "#") + (value.split() or [""])[0]
             elif key == "role":
                 apart |= value in APART_ROLES
-            else:
+            elif key in ("hidden", "aria-hidden"):
                 apart |= value != "false"
         if name in INLINE:
             if not (apart or words & APART_WORDS):
