@@ -1,7 +1,7 @@
 """Main-text extraction by a site style tree.
 
 The DOMs of a host's pages are merged by path: a node of the tree is a path of
-element labels (tag, first class, id). For every node the host's pages vote
+element labels (tag, first class, id) of any length. For every node the host's pages vote
 with how they lay it out (the labels of its children) and with what it says (a
 hash of its text). A node's importance is the larger of the two entropies,
 each relative to the most that so many pages can have: a branch that looks and
@@ -25,7 +25,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest
+from xxhash import xxh3_64_intdigest, xxh3_128_hexdigest
 
 from .common import settle, slices
 
@@ -48,6 +48,10 @@ _ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|
 _WORD = re.compile(r"[a-z]+")
 #: Pages of a host that must have a node before its entropy counts, and the importance below which it goes.
 LEAST_PAGES, LEAST_IMPORTANCE = 4, 0.2
+#: Characters of a path that is spelled out; no path so written begins with a space, as hashed ones do.
+LONGEST_PATH = 400
+#: Texts are hashed modulo this prime, of which (p - 1) / 2 is prime too.
+_PRIME = 3955046125492947383
 #: Broadcast the cut paths of all hosts up to this many bytes.
 BROADCAST_BYTES = 8 << 20
 
@@ -61,9 +65,6 @@ class Element:
     parent: Element | None
     blocks: list = field(default_factory=list)  # text runs and child elements, in page order
 
-    def path(self) -> str:
-        return self.label if self.parent is None else f"{self.parent.path()}/{self.label}"
-
 
 def parse(source: str) -> Element:
     """The page's tree of block elements; inline elements leave their text to the block around."""
@@ -136,53 +137,71 @@ def parse(source: str) -> Element:
     return root
 
 
-def nodes(root: Element) -> Iterator[tuple[str, str, str]]:
-    """(path, layout, text) of every node worth a vote; branches set apart by themselves have none."""
+def _below(path: str, label: str) -> str:
+    """The path of a child; a long one is told by its hash, so that paths stay short at any depth."""
+    own = f"{path}/{label}"
+    return own if len(own) <= LONGEST_PATH else f" {xxh3_128_hexdigest(own.encode('utf8', 'surrogatepass'))}"
+
 
-    def walk(element: Element, path: str, depth: int, found: dict) -> tuple[str, str]:
-        parts, kinds = [], []
-        for b in element.blocks:
+def nodes(root: Element) -> Iterator[tuple[str, str, int]]:
+    """(path, layout, hash of the text) of every node worth a vote; branches set apart by themselves have none."""
+    # A node's text is a stretch of the page's, so sums and powers up to every run give its hash at any depth.
+    sums, powers = [0], [1]
+    found: dict[str, tuple[list, list]] = {}
+    stack: list[tuple[str, Element, Iterator, int, list]] = [("", root, iter(root.blocks), 0, [])]
+    while stack:
+        path, element, blocks, begin, kinds = stack[-1]
+        for b in blocks:
             if isinstance(b, str):
-                parts.append(b)
+                run = b" " + b.encode("utf8", "surrogatepass")
+                power = pow(256, len(run), _PRIME)
+                sums.append((sums[-1] * power + int.from_bytes(run)) % _PRIME)
+                powers.append(powers[-1] * power % _PRIME)
             elif not b.apart:
                 kinds.append(b.label)
-                parts.append(walk(b, f"{path}/{b.label}", depth + 1, found)[1])
-        layout, text = " ".join(dict.fromkeys(kinds)), " ".join(parts)
-        if depth and depth <= 12:
-            entry = found.setdefault(path, ([], []))
-            entry[0].append(layout)
-            entry[1].append(text)
-        return layout, text
-
-    found: dict[str, tuple[list, list]] = {}
-    walk(root, "", 0, found)
-    for path, (layouts, texts) in found.items():
-        yield path, " | ".join(dict.fromkeys(layouts)), " ".join(texts)
+                own = _below(path, b.label)
+                found.setdefault(own, ([], []))  # in page order
+                stack.append((own, b, iter(b.blocks), len(sums) - 1, []))
+                break
+        else:
+            stack.pop()
+            if element is not root:
+                layouts, stretches = found[path]
+                layouts.append(" ".join(dict.fromkeys(kinds)))
+                stretches.append((begin, len(sums) - 1))
+    for path, (layouts, stretches) in found.items():
+        text = 0
+        for a, e in stretches:
+            power = powers[e] * pow(powers[a], -1, _PRIME) % _PRIME
+            text = (text * power + sums[e] - sums[a] * power) % _PRIME
+        yield path, " | ".join(dict.fromkeys(layouts)), text
 
 
 def main_text(root: Element, cut: frozenset[str] = frozenset()) -> str:
     """The text of what is left: of articles where there are any, else of the whole page."""
-
-    def has_main(element: Element) -> bool:
-        return any(not isinstance(b, str) and not b.apart and (b.main or has_main(b)) for b in element.blocks)
-
+    only, rest = False, [root]
+    while rest and not only:
+        below = [b for b in rest.pop().blocks if not isinstance(b, str) and not b.apart]
+        only = any(b.main for b in below)
+        rest += below
     out: list[str] = []
-
-    def walk(element: Element, path: str, inside: bool) -> None:
-        for b in element.blocks:
+    stack = [("", not only, iter(root.blocks))]
+    while stack:
+        path, inside, blocks = stack[-1]
+        for b in blocks:
             if isinstance(b, str):
                 if inside:
                     out.append(b)
                 continue
-            own = f"{path}/{b.label}"
+            own = _below(path, b.label)
             inner = inside or b.main
             named = b.label != b.tag
             if b.apart or (own in cut and b.tag not in ("html", "body") and not b.main and (named or not (only and inner))):
                 continue
-            walk(b, own, inner)
-
-    only = has_main(root)
-    walk(root, "", not only)
+            stack.append((own, inner, iter(b.blocks)))
+            break
+        else:
+            stack.pop()
     return " ".join(out)
 
 
@@ -202,7 +221,7 @@ def style_tree(pages: DataFrame, *, url: str = "url", html: str = "html") -> Dat
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 for path, layout, text in nodes(parse(page)):
                     votes[host, path, 0, xxh3_64_intdigest(layout.encode()) >> 1] += 1
-                    votes[host, path, 1, xxh3_64_intdigest(text.encode("utf8", "surrogatepass")) >> 1] += 1
+                    votes[host, path, 1, text] += 1
             keys = list(votes)
             yield pa.RecordBatch.from_pydict({"host": pa.array([k[0] for k in keys], pa.string()), "path": pa.array([k[1] for k in keys], pa.string()), "kind": pa.array([k[2] for k in keys], pa.int32()), "value": pa.array([k[3] for k in keys], pa.int64()), "n": pa.array(list(votes.values()), pa.int64())})
 

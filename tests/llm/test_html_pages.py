@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from cinequarry.llm.html_extraction import main_text, parse
+from cinequarry.llm.html_extraction import extract_main_text, main_text, nodes, parse
 
 
 @pytest.mark.parametrize(
@@ -19,3 +19,22 @@ def test_other_attributes_hide_nothing(attributes):
 @pytest.mark.parametrize("attributes", ["hidden", "HIDDEN=''", 'class="x" hidden', 'style="a:b"hidden', "aria-hidden=true", "role='menu'", 'data-x="y" CLASS = "top sidebar"', "id=cookie", 'title="it\'s" hidden', "data-a=1 hidden/"])
 def test_own_attributes_set_apart(attributes):
     assert main_text(parse(f"<body><div {attributes}><p>Aside</p></div><p>Text</p></body>")) == "Text"
+
+
+def test_deep_pages(spark):
+    """5,000 unclosed elements on one page; a notice at depth 20 that all pages repeat."""
+    inside = "<div>" * 18
+    pages = [(i, "http://deep.example.org/a", f"<body>{inside}<div class=teaser7>Always <p>the same</p></div><div>Page {i}</div>") for i in range(6)]
+    pages.append((6, "http://deep.example.org/a", "<body>" + "<font class=x>" + "<div>x " * 5_000 + "<article>end"))
+    pages.append((7, "http://other.example.org/a", "<div>" * 5_000 + "only"))
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in extract_main_text(frame).collect()}
+    assert got == {i: f"Page {i}" for i in range(6)} | {6: "end", 7: "only"}
+
+
+def test_votes_are_of_the_texts_below():
+    """Nodes of equal text vote alike, whatever their place and blocks; others differ."""
+    votes = {p: (layout, text) for p, layout, text in nodes(parse("<div id=a>one<p>two</p></div><div id=b>before</div><div id=c><p>one</p><br>two</div><div id=d>one twO</div><div id=e></div><ul><li>one<li>two</ul>"))}
+    assert votes["/div#a"] == votes["/div#c"] and votes["/div#a"][1] == votes["/ul"][1] == votes["/ul/li"][1]
+    assert len({votes[p][1] for p in ("/div#a", "/div#b", "/div#d", "/div#e")}) == 4
+    assert votes["/div#e"] == ("", 0) and votes["/div#a"][0] == "p"
