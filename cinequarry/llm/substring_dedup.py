@@ -12,6 +12,9 @@ words with every suffix would cost twenty times the corpus, so:
 * anchors that occur once are dropped before any words are shipped.
 * each task first builds the trees of its own batch, so a passage that a third
   of all documents share goes out once a batch.
+* an anchor of more records than a task holds gets longer prefixes: each of its
+  windows is a record of its own, under the hash of all its words. Such a group
+  has one first occurrence, however many different words stand around the anchor.
 
 In a subtree, nodes are refined level by level, to the right of the anchor and
 to its left; a window is a pair of nodes whose depths add up to ``window``.
@@ -114,7 +117,10 @@ def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 
 def _repeated_anchors(source: DataFrame, window: int, prefix: int) -> DataFrame:
-    """doc, crc, anchors of documents with anchors that occur again; one anchor a batch goes out."""
+    """doc, crc, anchors of documents with anchors that occur again; one anchor a batch goes out.
+
+    A row without doc holds, as crc, the gram of an anchor that occurs more than RECORDS times.
+    """
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -128,10 +134,10 @@ def _repeated_anchors(source: DataFrame, window: int, prefix: int) -> DataFrame:
             order = np.argsort(hashes, kind="stable")
             runs = run_starts(hashes[order])
             sizes = np.diff(np.append(runs, len(order)))
-            again = np.zeros(len(anchor), np.int64)  # 0: alone here, 1: speaks for others here, 2: spoken for
-            again[order] = np.where(np.repeat(sizes, sizes) > 1, 2, 0)
-            again[order[runs[sizes > 1]]] = 1
-            key = np.where(again == 2, mix(hashes + anchor.astype(np.uint64) + np.uint64(1)), hashes)
+            again = np.zeros(len(anchor), np.int64)  # 0: alone here, 1: spoken for, more: speaks for so many here
+            again[order] = np.where(np.repeat(sizes, sizes) > 1, 1, 0)
+            again[order[runs[sizes > 1]]] = sizes[sizes > 1]
+            key = np.where(again == 1, mix(hashes + anchor.astype(np.uint64) + np.uint64(1)), hashes)
             yield pa.RecordBatch.from_pydict({"gram": pa.array(key.view(np.int64)), "doc": pa.array(doc), "tag": pa.array(crc << 32 | place), "again": pa.array(again)})
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +148,9 @@ def _repeated_anchors(source: DataFrame, window: int, prefix: int) -> DataFrame:
             runs = run_starts(gram)
             sizes = np.diff(np.append(runs, len(gram)))
             keep = (np.repeat(sizes, sizes) > 1) | (again > 0)
-            return pa.RecordBatch.from_pydict({"doc": pa.array(doc[keep]), "crc": pa.array((tag[keep] >> 32) & _LOW32), "anchor": pa.array((tag[keep] & _LOW32).astype(np.int32))})
+            large = gram[runs[np.add.reduceat(np.maximum(again, 1), runs) > RECORDS]]
+            docs = pa.concat_arrays([pa.array(doc[keep]), pa.nulls(len(large), pa.int64())])
+            return pa.RecordBatch.from_pydict({"doc": docs, "crc": pa.array(np.append((tag[keep] >> 32) & _LOW32, large)), "anchor": pa.array(np.append(tag[keep] & _LOW32, 0 * large).astype(np.int32))})
 
         for batch in batches:
             cols = [np.concatenate((r, batch.column(c).to_numpy())) for r, c in zip(rest, ("gram", "doc", "tag", "again"), strict=True)]
@@ -165,7 +173,12 @@ _RECORD_SQL = "gram long, doc long, crc long, start int, left int, opened long,
 
 
 def _records(source: DataFrame, anchors: DataFrame, window: int, prefix: int) -> DataFrame:
-    """A record per repeated anchor, after the batch's own subtrees; those with nothing open carry no words."""
+    """A record per repeated anchor, after the batch's own subtrees; those with nothing open carry no words.
+
+    Of anchors that occur more than RECORDS times, a record per open window.
+    """
+    # At most a gram for every RECORDS anchors of the input.
+    large = np.array([r["crc"] for r in anchors.where("doc IS NULL").select("crc").collect()], np.int64)
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -184,6 +197,16 @@ def _records(source: DataFrame, anchors: DataFrame, window: int, prefix: int) ->
             opened = (np.int64(1) << many) - 1
             removed = Records(hashes, doc, start, anchor - first, opened, words).repeated(window)
             opened &= ~removed
+            split = np.flatnonzero(np.isin(hashes.view(np.int64), large) & (opened > 0))
+            if len(split):
+                bit = np.arange(window - prefix + 1)
+                who, j = np.nonzero((opened[split, None] >> bit) & 1)
+                who = split[who]
+                whole = mix(gram_hashes(codes, window)[first[who] + j] + np.uint64(prefix))
+                sent = [b" ".join(words[w][b : b + window]) for w, b in zip(who.tolist(), j.tolist(), strict=True)]
+                cols = [whole.view(np.int64), doc[who], crc[who], start[who] + j, anchor[who] - first[who] - j, np.ones(len(who), np.int64), np.zeros(len(who), np.int64), sent]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _RECORD, strict=True)], schema=_RECORD)
+                opened[split] = 0
             key = np.where(opened > 0, hashes, mix(hashes + anchor.astype(np.uint64) + np.uint64(1)))
             sent = [b" ".join(w) if o else None for w, o in zip(words, opened.tolist(), strict=True)]
             cols = [key.view(np.int64), doc, crc, start, anchor - first, opened, removed, sent]
