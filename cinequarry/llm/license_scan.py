@@ -1,19 +1,22 @@
 """License scans: MinHash bands over overlapping text windows retrieve templates.
 
-Templates are grouped by their number of shingles. For a group of at most L
-shingles, a document is cut into windows of 2 L shingles, L apart, so every
-passage as long as a template lies whole in a window. A template contained at
-the threshold has a known least Jaccard similarity s with that window; the
-group has as many bands of one MinHash value as bring the chance that none
-collides, (1 - s) ** bands, under ``miss``. Retrieved templates are verified by
-exact containment of their shingles' words in the window.
+A template of n shingles is held where a stretch of SPREAD * n shingles, at any
+place of a document, has the threshold's share of them; so up to 1.5 n words may
+be put in. Templates are grouped by their number of shingles. For a group of at
+most L, a document is cut into blocks of L / 4 shingles; every stretch lies whole
+in a window of blocks that is less than a block longer. A template held in it has
+a known least Jaccard similarity s with that window; the group has as many bands
+of one MinHash value as bring the chance that none collides, (1 - s) ** bands,
+under ``miss``. A window has a template's value only if one of its blocks has, so
+blocks are looked up. Retrieved templates are verified in the whole document, on
+their shingles' words, in every stretch.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -45,6 +48,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 _PUNCTUATION = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
 _FOLD = bytes(_PUNCTUATION[LOWER[b]] for b in range(256))
 SHINGLE, THRESHOLD, MISS = 5, 0.75, 1e-6
+#: Shingles of a stretch to those of the template.
+SPREAD = 2.5
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -62,16 +67,17 @@ class Templates:
         self.names = [(name, i) for name, texts in templates.items() for i in range(len(texts))]
         self.sets = [set(_grams(words_of(templates[name][i].encode()), k)) for name, i in self.names]
         codes = [word_codes([words_of(templates[name][i].encode())])[0] for name, i in self.names]
-        hashes = [np.unique(gram_hashes(c, min(k, max(1, len(c))))) for c in codes]
+        self.hashes = hashes = [np.unique(gram_hashes(c, min(k, max(1, len(c))))) for c in codes]
         by_size: dict[int, list[int]] = defaultdict(list)
         for t, h in enumerate(hashes):
             if len(h):
                 by_size[math.ceil(math.log(len(h), 1.25))].append(t)
-        #: Window length, seeds of the bands, and the templates by band and value.
+        #: Block length, seeds of the bands, and the templates by band and value.
         self.groups: list[tuple[int, np.ndarray, list[dict[int, list[int]]]]] = []
         for _, members in sorted(by_size.items()):
-            longest, least = max(len(hashes[t]) for t in members), min(len(hashes[t]) for t in members)
-            s = threshold * least / (2 * longest + least - threshold * least)
+            longest = max(len(hashes[t]) for t in members)
+            block = max(1, longest // 4)
+            s = min(self.needed(t) / (self.stretch(t) + block - 1 + len(hashes[t]) - self.needed(t)) for t in members)
             bands = math.ceil(math.log(miss) / math.log(1 - s))
             seeds = mix(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(longest)) | np.uint64(1)
             tables: list[dict[int, list[int]]] = []
@@ -80,21 +86,24 @@ class Templates:
                 for t in members:
                     table[int((hashes[t] * seed).min())].append(t)
                 tables.append(dict(table))
-            self.groups.append((longest, seeds, tables))
+            self.groups.append((block, seeds, tables))
 
     def needed(self, template: int) -> int:
         return max(1, math.ceil(self.threshold * len(self.sets[template]) - 1e-9))
 
+    def stretch(self, template: int) -> int:
+        return math.ceil(SPREAD * len(self.sets[template]))
+
     def scan(self, texts: list[bytes]) -> Iterator[tuple[int, int, int, int]]:
-        """(text, template, most shared shingles, first word of that window) of every template held."""
+        """(text, template, most shared shingles, first word of that stretch) of every template held."""
         lists = [words_of(t) for t in texts]
         codes, counts = word_codes(lists)
         grams = gram_hashes(codes, self.k)
+        padded = np.append(grams, np.uint64(0))
         ends = np.cumsum(counts)
-        best: dict[tuple[int, int], tuple[int, int]] = {}
+        sizes = np.maximum(counts - self.k + 1, 0)
+        found: set[tuple[int, int]] = set()
         for length, seeds, tables in self.groups:
-            # Blocks of ``length`` shingles within each document; a window is a block and the next.
-            sizes = np.maximum(counts - self.k + 1, 0)
             per = -(-sizes // length)
             owner = np.repeat(np.arange(len(texts)), per)
             if not len(owner):
@@ -102,37 +111,48 @@ class Templates:
             inner = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
             starts = (ends - counts)[owner] + inner * length
             stops = np.minimum(starts + length, (ends - self.k + 1)[owner])
-            has_next = np.append(owner[1:] == owner[:-1], False)
-            edges = np.stack([starts, np.minimum(stops, len(grams))], 1).reshape(-1)
-            padded = np.append(grams, np.uint64(0))
-            found: set[tuple[int, int]] = set()
+            edges = np.stack([starts, stops], 1).reshape(-1)
             for seed, table in zip(seeds, tables, strict=True):
                 low = np.minimum.reduceat(padded * seed, edges)[::2]
-                both = np.where(has_next, np.minimum(low, np.append(low[1:], low[-1:])), low)
                 wanted = np.fromiter(table, np.uint64, len(table))
-                for w in np.flatnonzero(np.isin(both, wanted)).tolist():
-                    found.update((w, t) for t in table[int(both[w])])
-            for w, t in found:
-                doc = int(owner[w])
-                at = int(inner[w]) * length
-                window = set(_grams(lists[doc][at : at + 2 * length + self.k - 1], self.k))
-                shared = len(window & self.sets[t])
-                if shared >= self.needed(t):
-                    key = (doc, t)
-                    if key not in best or (shared, -at) > (best[key][0], -best[key][1]):
-                        best[key] = (shared, at)
-        for (doc, t), (shared, at) in sorted(best.items()):
-            yield doc, t, shared, at
+                for b in np.flatnonzero(np.isin(low, wanted)).tolist():
+                    found.update((int(owner[b]), t) for t in table[int(low[b])])
+        for doc, t in sorted(found):
+            begin = int(ends[doc] - counts[doc])
+            shared, at = self.most(lists[doc], grams[begin : begin + int(sizes[doc])], t)
+            if shared >= self.needed(t):
+                yield doc, t, shared, at
+
+    def most(self, words: list[bytes], grams: np.ndarray, template: int) -> tuple[int, int]:
+        """(most distinct shingles of the template in a stretch, the first of them in the first such stretch)."""
+        inside: deque[tuple[int, tuple[bytes, ...]]] = deque()
+        times: Counter = Counter()
+        best, first, length = 0, 0, self.stretch(template)
+        for at in np.flatnonzero(np.isin(grams, self.hashes[template])).tolist():
+            gram = tuple(words[at : at + self.k])
+            if gram not in self.sets[template]:
+                continue
+            inside.append((at, gram))
+            times[gram] += 1
+            while inside[0][0] <= at - length:
+                _, old = inside.popleft()
+                times[old] -= 1
+                if not times[old]:
+                    del times[old]
+            if len(times) > best:
+                best, first = len(times), inside[0][0]
+        return best, first
 
 
 def license_scan(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", templates: dict[str, tuple[str, ...]] = TEMPLATES, k: int = SHINGLE, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
     """doc_id, license, statement, n_template, n_shared, first_word: a row per document and statement that it holds.
 
     Words are lower-cased (ASCII) and split at white space and ASCII
-    punctuation. A statement is held when a window has at least ``threshold``
-    of its distinct k-word shingles; n_shared is the most that one window has,
-    first_word where the first such window begins. Templates of fewer than k
-    words are refused.
+    punctuation. A statement of n distinct k-word shingles is held when a
+    stretch of SPREAD * n shingles has at least ``threshold`` of them; n_shared
+    is the most that one stretch has, first_word where the first shared shingle
+    of the first such stretch begins. Templates of fewer than k words are
+    refused.
 
     Null, empty and short texts hold nothing. Repeated rows and ids give rows
     each. An empty table gives no rows.
