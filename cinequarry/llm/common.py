@@ -1,18 +1,14 @@
-"""Shared pieces of the training-data operators: scratch tables, whole-text
-batching, and vectorised word hashing.
+"""Shared pieces of the training-data operators: whole-text batching and
+vectorised word hashing.
 
 Words are runs of bytes other than space and \\x09-\\x0D, so ``bytes.split()``
-(ASCII white space only) yields them exactly; other Unicode spaces stay inside
-a word.
+and Arrow's ASCII split yield them exactly; other Unicode spaces stay inside a
+word.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zlib
-from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +16,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
+from xxhash import xxh3_64_intdigest
+
+from cinequarry.plans.scratch import settle
 
 #: Text bytes a task tokenises at once; bounds the Python objects of a batch.
 SLICE_BYTES = 4 << 20
@@ -32,44 +31,37 @@ _MIX2 = np.uint64(0x94D049BB133111EB)
 _STEP = 0x9E3779B97F4A7C15
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+#: Ids that may be broadcast, at 16 bytes each or so; beyond, Spark shuffles.
+BROADCAST_IDS = 1_000_000
 
-    Only where the session names none (tests, a laptop) a temporary folder is
-    made and set for the session.
-    """
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-scratch-")
-        sc.setCheckpointDir(folder)
-        folder = sc.getCheckpointDir()
-    return folder
 
+def small(ids: DataFrame) -> DataFrame:
+    """``ids`` (written, a few numbers a row) marked for broadcast if it is of bounded size."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
 
-    This cuts lineage like ``checkpoint()``, but computes the last stage once
-    (a reliable checkpoint computes it twice) and keeps the columns compressed.
-    A lost executor costs no recomputation of what was written.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/cinequarry-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def text_code(text: str | Column = "text") -> Column:
+    """Hash that tells apart rows of one id."""
+    return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
 
-#: Ids that may be broadcast, at 16 bytes each or so; beyond, Spark shuffles.
-BROADCAST_IDS = 1_000_000
+def keep_rows(docs: DataFrame, marked: DataFrame, doc_id: str, code: Column) -> DataFrame:
+    """The rows of ``docs`` that ``marked`` (doc_id, code, kept; a row each) keeps; of rows equal in id and code, one.
 
-
-def without(docs: DataFrame, gone: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose id is not among ``gone`` (doc_id); rows with a null id stay."""
-    ids = settle(gone.select(as_long("doc_id").alias("__gone")).where("__gone IS NOT NULL").distinct())
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, as_long(doc_id) == F.col("__gone"), "left_anti")
+    Rows are told by id, null or not, and ``code``, so an id of several texts
+    loses only those that go.
+    """
+    keys = settle(marked.groupBy("doc_id", "code").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("times")))
+    own = docs.withColumns({"__id": as_long(doc_id), "__code": code})
+    match = lambda k: F.col("__id").eqNullSafe(F.col("doc_id_")) & (F.col("__code") == F.col("code_"))
+    named = keys.select(F.col("doc_id").alias("doc_id_"), F.col("code").alias("code_"), "kept", "times")
+    gone = settle(named.where("NOT kept").select("doc_id_", "code_"))
+    left = own.join(small(gone), match(gone), "left_anti")
+    twice = settle(named.where("kept AND times > 1").select("doc_id_", "code_"))
+    if twice.limit(1).count():
+        repeated = left.join(small(twice), match(twice), "left_semi").dropDuplicates(["__id", "__code"])
+        left = left.join(small(twice), match(twice), "left_anti").unionByName(repeated)
+    return left.drop("__id", "__code")
 
 
 def partitions(spark: SparkSession) -> int:
@@ -106,11 +98,27 @@ def raw_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def word_codes(lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """(32-bit code of every word of all lists, words in each list)."""
-    counts = np.fromiter(map(len, lists), np.int64, len(lists))
-    codes = np.fromiter(map(zlib.crc32, chain.from_iterable(lists)), np.uint64, int(counts.sum()))
-    return codes, counts
+def words_of(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct words, place among them of every word of all texts, words of each text).
+
+    Each batch's words are told apart once; what follows works on their places.
+    """
+    column = pc.fill_null(texts if pa.types.is_string(texts.type) else texts.view(pa.string()), "")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(column) if lower else column)
+    counts = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    coded = lists.flatten().dictionary_encode()
+    values, codes = coded.dictionary.cast(pa.binary()), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    blank = pc.index(values, b"").as_py()  # of white space at a text's ends
+    if blank >= 0:
+        real = codes != blank
+        owner = np.repeat(np.arange(len(counts)), counts)
+        codes, counts = codes[real], np.bincount(owner[real], minlength=len(counts))
+    return values, codes, counts
+
+
+def word_hashes(values: pa.Array) -> np.ndarray:
+    """64-bit hash of each word's bytes."""
+    return np.fromiter(map(xxh3_64_intdigest, values.to_pylist()), np.uint64, len(values))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -134,14 +142,14 @@ def gram_hashes(codes: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def shingle_sets(texts: list[bytes], k: int = 5) -> list[np.ndarray]:
-    """Sorted distinct k-word shingle hashes of each lower-cased text.
+def word_codes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of every word of all texts, words of each text)."""
+    values, places, counts = words_of(texts, lower)
+    return word_hashes(values)[places] if len(places) else np.empty(0, np.uint64), counts
 
-    Fewer than k words count as one shingle, no words as none.
-    """
-    lists = [t.translate(LOWER).split() for t in texts]
-    codes, counts = word_codes(lists)
-    hashes = gram_hashes(codes, k)
+
+def split_sets(codes: np.ndarray, hashes: np.ndarray, counts: np.ndarray, k: int) -> list[np.ndarray]:
+    """Sorted distinct k-word shingles of each text, from its words' hashes and those of all k-grams."""
     out, at = [], 0
     for n in counts.tolist():
         if n >= k:
@@ -154,12 +162,17 @@ def shingle_sets(texts: list[bytes], k: int = 5) -> list[np.ndarray]:
     return out
 
 
+def shingle_sets(texts: pa.Array, k: int = 5) -> list[np.ndarray]:
+    """Sorted distinct k-word shingle hashes of each lower-cased text.
+
+    Fewer than k words count as one shingle, no words as none.
+    """
+    codes, counts = word_codes(texts, lower=True)
+    return split_sets(codes, gram_hashes(codes, k), counts, k)
+
+
 def run_starts(values: np.ndarray) -> np.ndarray:
     """Positions where a run of equal neighbours begins."""
     if not len(values):
         return np.empty(0, np.int64)
     return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
-
-
-def map_arrow(df: DataFrame, f: Callable, schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)

@@ -66,7 +66,7 @@ class Templates:
         self.k, self.threshold = k, threshold
         self.names = [(name, i) for name, texts in templates.items() for i in range(len(texts))]
         self.sets = [set(_grams(words_of(templates[name][i].encode()), k)) for name, i in self.names]
-        codes = [word_codes([words_of(templates[name][i].encode())])[0] for name, i in self.names]
+        codes = [word_codes(pa.array([templates[name][i].encode().translate(_FOLD)]))[0] for name, i in self.names]
         self.hashes = hashes = [np.unique(gram_hashes(c, min(k, max(1, len(c))))) for c in codes]
         by_size: dict[int, list[int]] = defaultdict(list)
         for t, h in enumerate(hashes):
@@ -96,8 +96,7 @@ class Templates:
 
     def scan(self, texts: list[bytes]) -> Iterator[tuple[int, int, int, int]]:
         """(text, template, most shared shingles, first word of that stretch) of every template held."""
-        lists = [words_of(t) for t in texts]
-        codes, counts = word_codes(lists)
+        codes, counts = word_codes(pa.array([t.translate(_FOLD) for t in texts], pa.binary()))
         grams = gram_hashes(codes, self.k)
         padded = np.append(grams, np.uint64(0))
         ends = np.cumsum(counts)
@@ -119,7 +118,7 @@ class Templates:
                     found.update((int(owner[b]), t) for t in table[int(low[b])])
         for doc, t in sorted(found):
             begin = int(ends[doc] - counts[doc])
-            shared, at = self.most(lists[doc], grams[begin : begin + int(sizes[doc])], t)
+            shared, at = self.most(words_of(texts[doc]), grams[begin : begin + int(sizes[doc])], t)
             if shared >= self.needed(t):
                 yield doc, t, shared, at
 

@@ -16,14 +16,17 @@ import os
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_long, raw_texts, settle, slices
+from .common import as_long, settle, slices, words_of
 
 CAPACITY = 4096
 #: Pieces a partition packs at once.
@@ -47,26 +50,52 @@ def _tokenizer(path: str):
 
 
 class WordIds:
-    """Ids of words as little-endian bytes, remembered between documents.
+    """Ids of words in one flat array, remembered between batches.
 
     The tokenizer's pieces never span white space, so a text's ids are those
-    of its words in order.
+    of its words in order; where it folds case, words are folded first.
     """
 
     def __init__(self, path: str, most: int = CACHE_WORDS):
-        self.path, self.most, self.known = path, most, {}
+        self.path, self.most = path, most
+        letters = _tokenizer(path).encode_batch_fast([*ascii_uppercase, *ascii_lowercase], add_special_tokens=False)
+        self.folds = all(a.ids == b.ids for a, b in zip(letters[:26], letters[26:], strict=True))
+        self.forget()
 
-    def learn(self, words: Iterable[bytes]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = list(words)
-        coded = _tokenizer(self.path).encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        for w, e in zip(new, coded, strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+    def forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.starts, self.lengths, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, "<u4")
 
-    def ids(self, words: list[bytes]) -> bytes:
-        return b"".join(map(self.known.__getitem__, words))
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """Where each of the (distinct) words is; new ones are encoded."""
+        new = [w for w in words if w not in self.known]
+        if new and len(self.known) + len(new) > self.most:
+            self.forget()
+            new = words
+        if new:
+            coded = _tokenizer(self.path).encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
+            ids = [e.ids for e in coded]
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+            self.starts = np.append(self.starts, len(self.flat) + np.cumsum(lengths) - lengths)
+            self.lengths = np.append(self.lengths, lengths)
+            self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(ids), "<u4", int(lengths.sum())))
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+
+    def ids(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each with its end; how many each text has)."""
+        values, codes, counts = words_of(texts, lower=self.folds)
+        place = self.places([w for w in values.to_pylist() if w])
+        if len(place) < len(values):  # the blank word has no ids
+            at = np.flatnonzero(np.asarray(pc.binary_length(values)) > 0)
+            place = np.bincount(at, place, len(values)).astype(np.int64)
+        sizes, begin = self.lengths[place][codes], self.starts[place][codes]
+        stop = np.cumsum(counts)  # one more id behind a text's last word
+        sizes, begin = np.insert(sizes, stop, 1), np.insert(begin, stop, len(self.flat))
+        into = np.cumsum(sizes) - sizes
+        ids = np.append(self.flat, np.array([end_id], "<u4"))[np.repeat(begin - into, sizes) + np.arange(int(sizes.sum()))]
+        ends = np.append(into, len(ids))[stop + np.arange(1, len(stop) + 1)]
+        return ids, np.diff(ends, prepend=0)
 
 
 @lru_cache(maxsize=2)
@@ -77,21 +106,21 @@ def _word_ids(path: str) -> WordIds:
 
 def pieces_of(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY, end_id: int = 1, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: only documents over ``capacity`` are cut."""
-    end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _word_ids(tokenizer_path)
         for batch in slices(batches):
-            lists = [t.split() for t in raw_texts(batch)]
-            known.learn(set().union(*lists))
-            cols: list[list] = [[], [], [], [], []]
-            for doc, words in zip(batch.column("doc_id").to_pylist(), lists, strict=True):
-                ids = known.ids(words) + end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    for col, value in zip(cols, (doc, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                        col.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _PIECE_ARROW, strict=True)], schema=_PIECE_ARROW)
+            ids, counts = known.ids(batch.column("text"), end_id)
+            pieces = -(-counts // capacity)
+            owner = np.repeat(np.arange(len(counts)), pieces)
+            piece = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = piece * capacity
+            length = np.minimum(capacity, counts[owner] - start)
+            at = (np.cumsum(counts) - counts)[owner] + start
+            raw = memoryview(ids).cast("B")
+            crc = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(at.tolist(), length.tolist(), strict=True)]
+            cols = [batch.column("doc_id").take(pa.array(owner)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, schema=_PIECE_ARROW)
 
     return docs.select(as_long(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(cut, _PIECE)
 

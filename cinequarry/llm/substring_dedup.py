@@ -124,7 +124,7 @@ def _repeated_anchors(source: DataFrame, window: int, prefix: int) -> DataFrame:
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            codes, counts = word_codes([t.split() for t in raw_texts(batch)])
+            codes, counts = word_codes(batch.column("text"))
             _, _, anchor, hashes = picked(codes, counts, window, prefix)
             begin = np.cumsum(counts) - counts
             owner = np.searchsorted(np.cumsum(counts), anchor, side="right")
@@ -183,7 +183,7 @@ def _records(source: DataFrame, anchors: DataFrame, window: int, prefix: int) ->
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             lists = [t.split() for t in raw_texts(batch)]
-            codes, counts = word_codes(lists)
+            codes, counts = word_codes(batch.column("text"))
             begin = np.cumsum(counts) - counts
             first, many, anchor, hashes = picked(codes, counts, window, prefix)
             wanted = batch.column("anchors")
