@@ -15,12 +15,16 @@ delegates of each component meet the rows of others in their columns, until a
 round finds no link. Only pairs of different components that still share a
 column are left; their shared columns are added up, pairs below the bound are
 dropped, and the rest counted exactly.
+
+A shingle is known by a 64-bit hash of its words' hashes while candidates are
+sought; a link is counted on shingles that are told apart by their words.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import count as numbers
 
 import numpy as np
 import pandas as pd
@@ -28,15 +32,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, as_long, partitions, raw_texts, run_starts, settle, shingle_sets, slices, without
-from .components import connected_components
+from cinequarry.operators.graph import connected_components
+
+from .common import as_long, gram_hashes, keep_rows, mix, partitions, run_starts, settle, shingle_sets, slices, small, split_sets, text_code, word_hashes, words_of
 
-#: A column of more components than this is crowded: rows within their slack leave it out.
+#: A column with more pairs of different components than this, for each of its rows, is crowded.
 CROWDED = 50
 #: Rounds in which components' delegates look for links, at most, and delegates of a component in each.
 ROUNDS, DELEGATES = 2, 4
-#: Rows of a block that is multiplied with others as a whole.
-BLOCK_ROWS = 112
+#: Rows and shingles of a block that is multiplied with others as a whole.
+BLOCK_ROWS, BLOCK_SHINGLES = 256, 200_000
 #: Documents whose shingles are counted together to find frequent ones, the
 #: share of them that makes a shingle frequent, and the most that are kept.
 COUNTED, FREQUENT, FREQUENT_MOST = 4096, 0.002, 500_000
@@ -46,11 +51,6 @@ def _signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
 
-def _node(grams: np.ndarray) -> int:
-    """Identity of a shingle set."""
-    return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
-
-
 def head_size(n: int, percent: int) -> tuple[int, int]:
     """(shingles that enter the product, slack among them) of a set of n."""
     base = n - -(-percent * n // 100) + 1
@@ -58,6 +58,22 @@ def head_size(n: int, percent: int) -> tuple[int, int]:
     return base + slack, slack
 
 
+def exact_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """Sorted distinct shingles of each text, as numbers that are equal in this batch only for equal words."""
+    values, places, counts = words_of(texts, lower=True)
+    own = word_hashes(values)
+    for seed in numbers():
+        codes = own[places]
+        hashes = gram_hashes(codes, k)
+        order = np.argsort(hashes, kind="stable")
+        twin = np.flatnonzero(hashes[order[1:]] == hashes[order[:-1]])
+        a, b = order[twin], order[twin + 1]
+        if all(np.array_equal(places[a + j], places[b + j]) for j in range(k)):
+            return split_sets(codes, hashes, counts, k)
+        own = mix(np.arange(len(own), dtype=np.uint64) + np.uint64(seed + 1 << 32))
+    raise AssertionError
+
+
 def frequent_shingles(source: DataFrame, k: int) -> np.ndarray:
     """Shingles in about 0.2 % of the documents or more, at most FREQUENT_MOST of them.
 
@@ -74,7 +90,7 @@ def frequent_shingles(source: DataFrame, k: int) -> np.ndarray:
             return pa.RecordBatch.from_pydict({"gram": pa.array(_signed(values[many]), pa.int64()), "n": pa.array(n[many], pa.int64())})
 
         for batch in slices(batches):
-            held += shingle_sets(raw_texts(batch), k)
+            held += shingle_sets(batch.column("text"), k)
             if len(held) >= COUNTED:
                 yield flush()
                 held = []
@@ -87,14 +103,25 @@ def frequent_shingles(source: DataFrame, k: int) -> np.ndarray:
     return np.sort(rows["gram"].to_numpy(np.int64).view(np.uint64))
 
 
-def _rows(source: DataFrame, frequent: np.ndarray, k: int, percent: int) -> DataFrame:
-    """doc_id, node, n, head: head only for the first of equal sets in a batch; node null without shingles."""
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("head", pa.list_(pa.int64()))])
+_ROW = pa.schema([("doc_id", pa.int64()), ("code", pa.int64()), ("node", pa.int64()), ("proof", pa.int64()), ("n", pa.int64()), ("head", pa.list_(pa.int64())), ("late", pa.int32())])
+_ROW_SQL = "doc_id long, code long, node long, proof long, n long, head array<long>, late int"
+
+
+def _rows(source: DataFrame, frequent: np.ndarray, k: int, percent: int, seed: int) -> DataFrame:
+    """A row a document: node and proof identify its set, both null without shingles.
+
+    head is that of the first of equal sets in a batch; its shingles from
+    place ``late`` on are frequent ones.
+    """
+
+    def identity(grams: np.ndarray) -> tuple[int, int]:
+        digest = hashlib.blake2b(grams.tobytes(), digest_size=16, salt=seed.to_bytes(4, "little")).digest()
+        return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = shingle_sets(raw_texts(batch), k)
-            nodes, heads, seen = [], [], set()
+            sets = shingle_sets(batch.column("text"), k)
+            nodes, proofs, heads, lates, seen = [], [], [], [], set()
             flat = np.concatenate(sets)
             at = np.searchsorted(frequent, flat)
             at[at == len(frequent)] = 0
@@ -102,42 +129,58 @@ def _rows(source: DataFrame, frequent: np.ndarray, k: int, percent: int) -> Data
             end = 0
             for s in sets:
                 start, end = end, end + len(s)
-                node = _node(s) if len(s) else None
-                head = None
-                if node is not None and node not in seen:
-                    seen.add(node)
-                    late = common[start:end]
+                node, proof = identity(s) if len(s) else (None, None)
+                head, late = None, None
+                if node is not None and (node, proof) not in seen:
+                    seen.add((node, proof))
+                    last = common[start:end]
+                    first = s[~last]
                     size = head_size(len(s), percent)[0]
-                    head = _signed(np.concatenate((s[~late], s[late]))[:size])
+                    head, late = _signed(np.concatenate((first, s[last]))[:size]), len(first)
                 nodes.append(node)
+                proofs.append(proof)
                 heads.append(head)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(heads, pa.list_(pa.int64()))], schema=schema)
+                lates.append(late)
+            cols = [batch.column("doc_id"), batch.column("code"), nodes, proofs, [len(s) for s in sets], heads, lates]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, _ROW, strict=True)], schema=_ROW)
 
-    return source.mapInArrow(build, "doc_id long, node long, n long, head array<long>")
+    return source.select("doc_id", "code", "text").mapInArrow(build, _ROW_SQL)
 
 
 def _columns(rows: DataFrame) -> DataFrame:
-    """nodes, many: the distinct sets of two or more rows that columns hold, and how many columns hold each."""
-    schema = pa.schema([("nodes", pa.list_(pa.int64())), ("many", pa.int64())])
+    """list, centre, node, many: columns of two or more rows; columns of the same rows are one list, ``many`` of them.
+
+    A frequent shingle's column is a list of its own, and Spark's partial sums
+    find its centre, so that no task meets all of its rows.
+    """
+    schema = pa.schema([("list", pa.int64()), ("centre", pa.int64()), ("node", pa.int64()), ("many", pa.int64())])
 
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest_g, rest_n = np.empty(0, np.int64), np.empty(0, np.int64)
         lists: dict[bytes, int] = {}
+        weight = 0
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([np.frombuffer(b, np.int64) for b in lists], pa.list_(pa.int64())), pa.array(list(lists.values()), pa.int64())], schema=schema)
+            names = np.fromiter((int.from_bytes(hashlib.blake2b(b, digest_size=8).digest(), "little", signed=True) for b in lists), np.int64, len(lists))
+            sizes = np.fromiter((len(b) // 8 for b in lists), np.int64, len(lists))
+            nodes = np.frombuffer(b"".join(lists), np.int64)
+            starts = np.cumsum(sizes) - sizes
+            many = np.fromiter(lists.values(), np.int64, len(lists))
             lists.clear()
-            return out
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(names, sizes)), pa.array(np.repeat(nodes[starts], sizes)), pa.array(nodes), pa.array(np.repeat(many, sizes))], schema=schema)
 
         def take(grams: np.ndarray, nodes: np.ndarray) -> None:
+            nonlocal weight
+            new = np.concatenate(([True], (grams[1:] != grams[:-1]) | (nodes[1:] != nodes[:-1])))  # a set from several batches is one row
+            grams, nodes = grams[new], nodes[new]
             starts = run_starts(grams)
             ends = np.append(starts[1:], len(grams))
             wide = ends - starts > 1
             for a, b in zip(starts[wide].tolist(), ends[wide].tolist(), strict=True):
-                own = nodes[a:b]
-                own = own[run_starts(own)]  # sorted: a set from several batches is one row
-                if len(own) > 1:
-                    lists[own.tobytes()] = lists.get(own.tobytes(), 0) + 1
+                own = nodes[a:b].tobytes()
+                if own not in lists:
+                    weight += b - a
+                lists[own] = lists.get(own, 0) + 1
 
         for batch in batches:
             g = np.concatenate((rest_g, batch.column("gram").to_numpy(zero_copy_only=False)))
@@ -145,61 +188,55 @@ def _columns(rows: DataFrame) -> DataFrame:
             if not len(g):
                 continue
             whole = int(np.searchsorted(g, g[-1]))
-            take(g[:whole], n[:whole])
+            if whole:
+                take(g[:whole], n[:whole])
             rest_g, rest_n = g[whole:], n[whole:]
-            if len(lists) >= 50_000:
+            if weight >= 500_000:
                 yield flush()
-        take(rest_g, rest_n)
+                weight = 0
+        if len(rest_g):
+            take(rest_g, rest_n)
         if lists:
             yield flush()
 
-    grams = rows.where("head IS NOT NULL").select("node", F.explode("head").alias("gram"))
-    dealt = grams.repartition(partitions(rows.sparkSession), "gram").sortWithinPartitions("gram", "node")
-    return dealt.mapInArrow(gather, "nodes array<long>, many long")
-
+    heads = rows.where("head IS NOT NULL").select("node", "late", F.posexplode("head").alias("pos", "gram"))
+    dealt = heads.where("pos < late").select("gram", "node").repartition(partitions(rows.sparkSession), "gram").sortWithinPartitions("gram", "node")
+    rare = dealt.mapInArrow(gather, "list long, centre long, node long, many long").groupBy("list", "centre", "node").agg(F.sum("many").alias("many"))
+    common = heads.where("pos >= late").select(F.col("gram").alias("list"), "node").distinct()
+    # A row for each frequent shingle, at most FREQUENT_MOST.
+    centres = common.groupBy("list").agg(F.min("node").alias("centre"), F.count("*").alias("rows")).where("rows > 1").select("list", "centre")
+    shared = common.join(F.broadcast(centres), "list").select("list", "centre", "node", F.lit(1).cast("long").alias("many"))
+    return rare.unionByName(shared)
 
-def _texts(source: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """node, n, text of the given nodes (node, n, doc_id)."""
-    if nodes.count() <= BROADCAST_IDS:
-        nodes = F.broadcast(nodes)
-    found = source.join(nodes, "doc_id").select("node", "n", "text")
 
-    def own(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):  # an id may be that of several texts
-            real = [_node(s) if len(s) else None for s in shingle_sets(raw_texts(batch), k)]
-            same = [a == b for a, b in zip(real, batch.column("node").to_pylist(), strict=True)]
-            yield batch.filter(pa.array(same, pa.bool_()))
-
-    texts = settle(found.mapInArrow(own, "node long, n long, text string"))
-    # Only rows that repeat an id can give a node twice; without them no text is shuffled.
+def _texts(source: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, n, text of the given nodes (node, n, doc_id, code)."""
+    texts = settle(source.join(small(nodes), ["doc_id", "code"]).select("node", "n", "text"))
+    # Only rows that repeat an id and its text give a node twice; without them no text is shuffled.
     twice = texts.groupBy("node").count().where("count > 1").limit(1).count()
     return settle(texts.dropDuplicates(["node"])) if twice else texts
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose exact overlap reaches the threshold."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "node", "left_semi")
-    left, right = (texts.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("text").alias(f"text_{c}")) for c in "ab")
-    near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    sized = pairs.join(right.select("b", "n_b"), "b").join(left.select("a", "n_a"), "a").where(near).select("a", "b")
-    both = sized.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+    ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    texts = texts.join(small(ids), "node", "left_semi")
+    left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
 
     def overlap(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, grams = None, None
         for batch in slices(slices(batches, "text_a"), "text_b"):
-            kept_a, kept_b = [], []
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            text_a, sets_b = raw_texts(batch, "text_a"), shingle_sets(raw_texts(batch, "text_b"), k)
-            for i, y in enumerate(sets_b):
-                if a[i] != last:
-                    last, grams = a[i], shingle_sets([text_a[i]], k)[0]
-                x = grams
+            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
+            firsts = run_starts(a)  # rows of one a follow each other: its text counts once
+            sets = exact_sets(pa.concat_arrays([batch.column("text_a").take(pa.array(firsts)), batch.column("text_b")]), k)
+            owner = np.cumsum(np.isin(np.arange(len(a)), firsts)) - 1
+            kept = []
+            for i, y in enumerate(sets[len(firsts) :]):
+                x = sets[owner[i]]
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * shared >= percent * (len(x) + len(y) - shared):
-                    kept_a.append(a[i])
-                    kept_b.append(b[i])
-            yield pa.RecordBatch.from_pydict({"a": pa.array(kept_a, pa.int64()), "b": pa.array(kept_b, pa.int64())})
+                    kept.append(i)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a[kept]), "b": pa.array(b[kept])})
 
     return both.mapInArrow(overlap, "a long, b long")
 
@@ -211,24 +248,34 @@ def _slack(n: str, percent: int) -> Column:
     return F.least(size - base, F.floor(size / 20) + 8)
 
 
-def _stars(columns: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of a column's first row and another that a star should try.
-
-    At the threshold two rows share one column more than the lesser slack; a
-    pair with half as many under this centre is tried, any other is left over.
-    """
-    shared = columns.select(F.element_at("nodes", 1).alias("a"), F.explode("nodes").alias("b"), "many").where("a <> b").groupBy("a", "b").agg(F.sum("many").alias("shared"))
-    one, other = sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b"))
-    return shared.join(one, "a").join(other, "b").where(_enough("shared", percent, 0.5)).select("a", "b")
+def _near(percent: int) -> Column:
+    return F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
 
 
 def _enough(shared: str, percent: int, share: float = 1.0) -> Column:
     """Whether two rows' shared columns reach a share of the fewest at the threshold, and their sizes are near."""
-    near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    return near & (F.col(shared) > share * F.least(_slack("n_a", percent), _slack("n_b", percent)))
+    return _near(percent) & (F.col(shared) > share * F.least(_slack("n_a", percent), _slack("n_b", percent)))
+
+
+def _likely(shared: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that share half as many columns as two rows at the threshold do; any other is left over."""
+    one, other = sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b"))
+    return shared.groupBy("a", "b").agg(F.sum("many").alias("shared")).join(one, "a").join(other, "b").where(_enough("shared", percent, 0.5)).select("a", "b")
+
+
+def _stars(columns: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a column's first row and another that a star should try."""
+    return _likely(columns.where("centre <> node").select(F.col("centre").alias("a"), F.col("node").alias("b"), "many"), sizes, percent)
 
 
-def _bridges(columns: DataFrame, labels: DataFrame, sizes: DataFrame, tried: DataFrame, percent: int, number: int) -> DataFrame:
+def _labelled(columns: DataFrame, labels: DataFrame) -> DataFrame:
+    """(list, node, many, label) of the columns in which several components meet."""
+    rows = columns.select("list", "node", "many").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = rows.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("list")
+    return rows.join(mixed, "list")
+
+
+def _bridges(open_rows: DataFrame, sizes: DataFrame, tried: DataFrame, percent: int, number: int) -> DataFrame:
     """Untried pairs (a, b) of a delegate of a component and a row of another one.
 
     Every component has a few delegates, others each round. In each column
@@ -236,16 +283,14 @@ def _bridges(columns: DataFrame, labels: DataFrame, sizes: DataFrame, tried: Dat
     components, so a column gives DELEGATES pairs a row at most.
     """
     picks = [F.min_by("node", F.xxhash64("node", F.lit(number), F.lit(i))) for i in range(DELEGATES)]
-    chosen = labels.groupBy("label").agg(F.count("*").alias("members"), F.array_distinct(F.array(*picks)).alias("picked")).select("label", "members", F.explode("picked").alias("node"))
-    listed = columns.select("list", "many", F.explode("nodes").alias("node"))
-    present = listed.join(chosen, "node").groupBy("list").agg(F.max(F.struct("members", "label")).alias("top"), F.collect_list(F.struct("label", "node")).alias("here"))
-    centres = present.select("list", F.col("top.label").alias("own"), F.transform(F.filter("here", lambda h: h["label"] == F.col("top.label")), lambda h: h["node"]).alias("centres"))
-    rows = listed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    met = rows.join(centres, "list").where("label <> own").select(F.explode("centres").alias("centre"), "node", "many")
-    shared = met.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b"), "many").groupBy("a", "b").agg(F.sum("many").alias("shared"))
-    one, other = sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b"))
-    good = shared.join(one, "a").join(other, "b").where(_enough("shared", percent, 0.5)).select("a", "b")
-    return good.join(tried, ["a", "b"], "left_anti")
+    members = open_rows.select("node", "label").distinct()
+    chosen = members.groupBy("label").agg(F.count("*").alias("members"), F.array_distinct(F.array(*picks)).alias("picked")).where("members > 1").select("label", "members", F.explode("picked").alias("node"))
+    present = open_rows.join(chosen, ["node", "label"]).select("list", "label", "members", F.col("node").alias("centre"))
+    top = present.groupBy("list").agg(F.max(F.struct("members", "label")).alias("top")).select("list", F.col("top.label").alias("label"))
+    centres = present.join(top, ["list", "label"]).select("list", F.col("label").alias("own"), "centre")
+    met = open_rows.join(centres, "list").where("label <> own")
+    shared = met.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b"), "many")
+    return _likely(shared, sizes, percent).join(tried, ["a", "b"], "left_anti")
 
 
 def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -260,25 +305,33 @@ def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return settle(known.join(moved, "label", "left").select("node", F.coalesce("now", "label").alias("label")))
 
 
-def _open_columns(columns: DataFrame, labels: DataFrame, sizes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(list, many, node, label, n, crowded) of columns with several components, and how many crowded ones a row is in."""
-    listed = columns.select("list", "many", F.explode("nodes").alias("node"))
-    known = listed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(sizes, "node")
-    open_lists = known.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("list")
-    rows = settle(known.join(open_lists, "list"))
-    crowded = rows.groupBy("list", "label").agg(F.lit(1).alias("one")).groupBy("list").agg(F.count("*").alias("labels")).where(F.col("labels") > CROWDED).select("list", F.lit(True).alias("crowded"))
-    marked = settle(rows.join(crowded, "list", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False))))
+def _marked(open_rows: DataFrame, sizes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(list, many, node, label, n, crowded), and how many crowded columns a row is in.
+
+    A column is crowded by its pairs of rows of different components.
+    """
+    each = open_rows.groupBy("list", "label").agg(F.count("*").cast("double").alias("c"))
+    crowded = each.groupBy("list").agg(F.sum("c").alias("rows"), F.sum(F.col("c") * F.col("c")).alias("same")).where((F.col("rows") * F.col("rows") - F.col("same")) / 2 > CROWDED * F.col("rows")).select("list", F.lit(True).alias("crowded"))
+    marked = settle(open_rows.join(sizes, "node").join(crowded, "list", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False))))
     left_out = marked.where("crowded").groupBy("node", "n").agg(F.sum("many").alias("left_out")).withColumn("over", F.col("left_out") > _slack("n", percent))
     return marked, settle(left_out)
 
 
 def _left_over(marked: DataFrame, left_out: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
-    """Untried pairs (a, b) of different components that share columns enough that aren't crowded."""
-    members = marked.where("NOT crowded").select("list", "many", "node", "label", "n")
-    one, other = members.select("list", "many", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a")), members.select("list", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"))
-    near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    pairs = one.join(other, "list").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & near)
-    counted = pairs.groupBy("a", "b", "n_a", "n_b").agg(F.sum("many").alias("shared"))
+    """Untried pairs (a, b) of different components that share columns enough that aren't crowded.
+
+    Components of a column meet first and their rows then, so pairs within one are never made.
+    """
+    members = marked.where("NOT crowded")
+    groups = members.groupBy("list", "label").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    one, other = (groups.select("list", F.col("label").alias(f"label_{c}"), F.col("lo").alias(f"lo_{c}"), F.col("hi").alias(f"hi_{c}")) for c in "ab")
+    fits = (F.col("hi_a") * 100 >= F.col("lo_b") * percent) & (F.col("hi_b") * 100 >= F.col("lo_a") * percent)
+    meet = one.join(other, "list").where((F.col("label_a") < F.col("label_b")) & fits).select("list", "label_a", "label_b")
+    left, right = (members.select("list", "many", F.col("label").alias(f"label_{c}"), F.col("node").alias(f"node_{c}"), F.col("n").alias(f"n_{c}")) for c in "ab")
+    pairs = meet.join(left, ["list", "label_a"]).join(right.drop("many"), ["list", "label_b"]).where(_near(percent))
+    turned = F.col("node_a") < F.col("node_b")
+    flat = pairs.select(*[F.when(turned, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")).alias(x) for c, x in (("node", "a"), ("n", "n_a"))], *[F.when(turned, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")).alias(x) for c, x in (("node", "b"), ("n", "n_b"))], "many")
+    counted = flat.groupBy("a", "b", "n_a", "n_b").agg(F.sum("many").alias("shared"))
     # The fewest columns that two rows at the threshold share, less those that both left out.
     for c in "ab":
         counted = counted.join(left_out.select(F.col("node").alias(c), F.col("left_out").alias(f"out_{c}")), c, "left")
@@ -286,36 +339,50 @@ def _left_over(marked: DataFrame, left_out: DataFrame, tried: DataFrame, percent
     return counted.withColumn("most", F.col("shared") + both_out).where(_enough("most", percent)).select("a", "b").join(tried, ["a", "b"], "left_anti")
 
 
-def _crowded_links(marked: DataFrame, left_out: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) among rows that are in more crowded columns than they may leave out; enough of them to connect what is linked.
+def _crowded_pairs(marked: DataFrame, left_out: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) that link rows in more crowded columns than they may leave out; enough of them to connect what is linked.
 
-    These rows are cut into blocks of about BLOCK_ROWS, by the fullest crowded
-    column that holds them. Two blocks with a crowded column in common are
-    multiplied, over all shingles of theirs, in one task: dense, so no pair is
-    ever a row, and exact, so nothing is left to verify.
+    These rows are cut into blocks, by the fullest crowded column that holds
+    them and in order of size. Two blocks with a crowded column in common and
+    sizes that can link are multiplied in one task: dense, so that no pair is
+    ever a row.
     """
-    members = marked.where("crowded").join(left_out.where("over").select("node"), "node", "left_semi").select("list", "node", "label")
-    members = settle(members)
+    members = settle(marked.where("crowded").join(left_out.where("over").select("node"), "node", "left_semi").select("list", "node", "label", "n"))
+    if not members.limit(1).count():
+        return members.select(F.col("node").alias("a"), F.col("label").alias("b"))
     filled = members.groupBy("list").agg(F.count("*").alias("rows"))
-    homes = members.join(filled, "list").groupBy("node").agg(F.max(F.struct("rows", "list")).alias("home"), F.first("label").alias("label")).select("node", "label", F.col("home.list").alias("home"))
-    parts = homes.groupBy("home").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("parts"))
-    blocks = settle(homes.join(parts, "home").select("node", "label", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block")))
-    holds = members.join(blocks, "node").select("list", "block").distinct()
-    pairs = holds.withColumnRenamed("block", "x").join(holds.withColumnRenamed("block", "y"), "list").where("x <= y").select("x", "y").distinct()
-    sides = pairs.select(F.xxhash64("x", "y").alias("pair"), F.explode(F.array_distinct(F.array(F.struct(F.col("x").alias("block"), F.lit(0).alias("side")), F.struct(F.col("y").alias("block"), F.when(F.col("x") == F.col("y"), 0).otherwise(1).alias("side"))))).alias("s")).select("pair", "s.block", "s.side")
-    rows = sides.join(blocks, "block").join(texts.select("node", "text"), "node").select("pair", "side", "node", "label", "text")
+    homes = members.join(filled, "list").groupBy("node").agg(F.max(F.struct("rows", "list")).alias("home"), F.first("label").alias("label"), F.first("n").alias("n")).select("node", "label", "n", F.col("home.list").alias("home"))
+    # Sizes within a band of a tenth are one class, whose rows are dealt to blocks.
+    classed = homes.withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.1))))
+    parts = classed.groupBy("home", "band").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
+    dealt = classed.join(parts, ["home", "band"]).withColumn("block", F.xxhash64("home", "band", F.pmod(F.xxhash64("node"), F.col("parts"))))
+
+    def shingled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            grams = [s.tobytes() for s in shingle_sets(batch.column("text"), k)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "label", "block")), pa.array(grams, pa.binary())], names=["node", "label", "block", "grams"])
+
+    placed = settle(dealt.select("node", "label", "n", "block"))
+    sets = settle(texts.select("node", "text").join(small(placed), "node").select("node", "label", "block", "text").mapInArrow(shingled, "node long, label long, block long, grams binary"))
+    spans = placed.groupBy("block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("label").alias("least"), F.max("label").alias("most"))
+    holds = members.select("list", "node").join(placed.select("node", "block"), "node").select("list", "block").distinct().join(spans, "block")
+    one, other = (holds.select("list", *[F.col(c).alias(f"{c}_{x}") for c in ("block", "lo", "hi", "least", "most")]) for x in "xy")
+    fits = (F.col("hi_x") * 100 >= F.col("lo_y") * percent) & (F.col("hi_y") * 100 >= F.col("lo_x") * percent)
+    mixed = (F.col("least_x") != F.col("most_y")) | (F.col("least_y") != F.col("most_x"))
+    pairs = one.join(other, "list").where((F.col("block_x") <= F.col("block_y")) & fits & mixed).select("block_x", "block_y").distinct()
+    sides = pairs.select(F.xxhash64("block_x", "block_y").alias("pair"), F.explode(F.array_distinct(F.array(F.struct(F.col("block_x").alias("block"), F.lit(0).alias("side")), F.struct(F.col("block_y").alias("block"), F.when(F.col("block_x") == F.col("block_y"), 0).otherwise(1).alias("side"))))).alias("s")).select("pair", "s.block", "s.side")
 
     def multiply(frame: pd.DataFrame) -> pd.DataFrame:
-        sets = shingle_sets([t.encode() for t in frame["text"]], k)
-        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-        columns, places, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        owner = np.repeat(np.arange(len(sets)), sizes)
+        own = [np.frombuffer(g, np.uint64) for g in frame["grams"]]
+        sizes = np.fromiter(map(len, own), np.int64, len(own))
+        _, places, times = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(own)), sizes)
         kept = times[places] > 1
         owner, places = owner[kept], np.cumsum(times > 1)[places[kept]] - 1
-        shared = np.zeros((len(sets), len(sets)), np.float32)
+        shared = np.zeros((len(own), len(own)), np.float32)
         for start in range(0, int((times > 1).sum()), 4096):
             here = (places >= start) & (places < start + 4096)
-            incidence = np.zeros((len(sets), 4096), np.float32)
+            incidence = np.zeros((len(own), 4096), np.float32)
             incidence[owner[here], places[here] - start] = 1
             shared += incidence @ incidence.T
         side, label, node = (frame[c].to_numpy() for c in ("side", "label", "node"))
@@ -337,7 +404,43 @@ def _crowded_links(marked: DataFrame, left_out: DataFrame, texts: DataFrame, k:
                 out.append((int(node[i]), int(node[j])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return rows.groupBy("pair").applyInPandas(multiply, "a long, b long")
+    return sides.join(sets, "block").groupBy("pair").applyInPandas(multiply, "a long, b long")
+
+
+def _components(docs: DataFrame, text: str, doc_id: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(rows: doc_id, code, node, n), (node, least doc_id and code of its component)."""
+    source = docs.select(as_long(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("code", text_code())
+    frequent = frequent_shingles(source, k)
+    for seed in numbers():
+        rows = settle(_rows(source, frequent, k, percent, seed))
+        first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "code")))
+        sets = rows.where("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), first.alias("least"), F.min(F.struct("doc_id", "code")).alias("row"), F.min("proof").alias("lo"), F.max("proof").alias("hi"))
+        sets = settle(sets)
+        if not sets.where("lo <> hi").limit(1).count():
+            break  # else two sets share a node: name them anew
+    columns = settle(_columns(rows))
+    nodes = settle(sets.join(columns.select("node").distinct(), "node", "left_semi").select("node", "n", "row.doc_id", "row.code"))
+    known = source.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    texts = _texts(known, nodes.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63)))))
+    sizes = nodes.select("node", "n")
+    stars = settle(_stars(columns, sizes, percent))
+    labels = _joined(None, settle(_linked(stars, texts, k, percent)))
+    open_rows, tried = settle(_labelled(columns, labels)), stars
+    for number in range(ROUNDS):
+        pairs = settle(_bridges(open_rows, sizes, tried, percent, number))
+        links = settle(_linked(pairs, texts, k, percent))
+        if not links.limit(1).count():
+            break
+        labels, tried = _joined(labels, links), tried.unionByName(pairs)
+        open_rows = settle(_labelled(open_rows.drop("label"), labels))
+    marked, left_out = _marked(open_rows, sizes, percent)
+    left_over = _left_over(marked, left_out, tried, percent)
+    links = settle(_linked(settle(left_over.unionByName(_crowded_pairs(marked, left_out, texts, k, percent))), texts, k, percent))
+    if links.limit(1).count():
+        labels = _joined(labels, links)
+    groups = sets.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "least", "row")
+    smallest = groups.groupBy("label").agg(F.min("least").alias("least"), F.min("row").alias("row"))
+    return rows.drop("head", "late", "proof"), groups.select("node", "label").join(smallest, "label").select("node", F.coalesce("least", "row").alias("least"))
 
 
 def jaccard_groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", k: int = 5, percent: int = 75) -> DataFrame:
@@ -348,40 +451,24 @@ def jaccard_groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     component_id is the smallest doc_id that links reach.
 
     Texts without words, or null, have no shingles and their own id as
-    component. Repeated rows and ids come back as often as they occur. Null ids
-    name no component: such a row takes the smallest known id of the rows with
-    its own set and theirs, and null where none of its copies has an id. An
-    empty table gives no rows.
+    component. Very long texts count whole. Repeated rows and ids come back as
+    often as they occur. Null ids name no component: such a row takes the
+    smallest known id of its component, and null where none has an id. An
+    empty table gives no rows; further columns are ignored.
     """
-    source = docs.select(as_long(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = settle(_rows(source, frequent_shingles(source, k), k, percent))
-    columns = settle(_columns(rows).groupBy("nodes").agg(F.sum("many").alias("many")).withColumn("list", F.xxhash64("nodes")))
-    sets = rows.where("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"))
-    wanted = columns.select(F.explode("nodes").alias("node")).distinct()
-    nodes = settle(sets.join(wanted, "node", "left_semi"))
-    texts = _texts(source, nodes.where("doc_id IS NOT NULL"), k)
-    sizes = nodes.select("node", "n")
-    stars = settle(_stars(columns, sizes, percent))
-    labels = _joined(None, settle(_linked(stars, texts, k, percent)))
-    tried = stars
-    for number in range(ROUNDS):
-        pairs = settle(_bridges(columns, labels, sizes, tried, percent, number))
-        links = settle(_linked(pairs, texts, k, percent))
-        if not links.limit(1).count():
-            break
-        labels, tried = _joined(labels, links), tried.unionByName(pairs)
-    marked, left_out = _open_columns(columns, labels, sizes, percent)
-    left_over = settle(_left_over(marked, left_out, tried, percent))
-    links = settle(_linked(left_over, texts, k, percent).unionByName(_crowded_links(marked, left_out, texts, k, percent)))
-    if links.limit(1).count():
-        labels = _joined(labels, links)
-    groups = sets.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "doc_id")
-    smallest = groups.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    component = groups.join(smallest, "label").select("node", "component_id")
-    return rows.join(component, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    rows, least = _components(docs, text, doc_id, k, percent)
+    own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id"))
+    return rows.join(least, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", k: int = 5, percent: int = 75) -> DataFrame:
-    """The rows of ``docs``, columns unchanged, whose id is the smallest of its component."""
-    groups = jaccard_groups(docs, text=text, doc_id=doc_id, k=k, percent=percent)
-    return without(docs, groups.where("doc_id <> component_id"), doc_id)
+    """The rows of ``docs``, columns unchanged, that have the smallest id of their component.
+
+    One row of each component stays: of rows with that id the one of least
+    text hash, of rows without any id one of them. Texts without words are
+    components of their own.
+    """
+    rows, least = _components(docs, text, doc_id, k, percent)
+    found = rows.join(least, "node", "left")
+    kept = F.col("node").isNull() | (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("code") == F.col("least.code")))
+    return keep_rows(docs, found.select("doc_id", "code", kept.alias("kept")), doc_id, text_code(text))
