@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cinequarry.llm import toxicity
-from cinequarry.llm.components import connected_components
+from cinequarry.operators.graph import connected_components
 from cinequarry.llm.decontamination import contaminated_pairs, decontaminate
 from cinequarry.llm.exact_dedup import drop_copies, exact_dedup
 from cinequarry.llm.html_extraction import extract_main_text, main_text, parse, style_tree
@@ -288,11 +288,12 @@ def test_decontamination(spark, docs, odd, empty):
             s = shingles(text)
             if s and 4 * len(s & own) >= 3 * len(s):
                 expected[i, item, len(s), len(s & own)] += 1
-    for block in (1 << 20, 600):
-        assert Counter(tuple(r) for r in contaminated_pairs(docs, bench, block_bytes=block).collect()) == expected
+    for most in (1 << 20, 600):
+        assert Counter(tuple(r) for r in contaminated_pairs(docs, bench, sent_bytes=most).collect()) == expected
     held = {i for i, *_ in expected}
-    clean = decontaminate(docs, bench, block_bytes=600)
-    assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == set(texts) - held
+    for most in (1 << 20, 600):
+        clean = decontaminate(docs, bench, sent_bytes=most)
+        assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == set(texts) - held
     assert contaminated_pairs(empty, bench).count() == 0 and contaminated_pairs(docs, bench.limit(0)).count() == 0
     assert contaminated_pairs(odd, bench, threshold=Fraction(1)).count() == 0
 
