@@ -9,9 +9,12 @@ reads alike on all pages is a template and is cut from each page.
 
 Entropy alone can't see that a menu with entries of its own on every page is a
 menu, and can't judge a host of few pages, so what an element says of itself
-(its tag, role, class and id words) takes its importance away first. Inside an
-article only elements with a class or id of their own are judged by entropy,
-so that copies of a page on one host don't lose their text.
+(its tag, role, and class and id names that mean nothing but page furniture)
+takes its importance away first. Inside an article only elements with a class
+or id of their own are judged by entropy, so that copies of a page on one host
+don't lose their text.
+
+Pages are read in one pass without recursion, in time linear in their length.
 """
 
 from __future__ import annotations
@@ -38,14 +41,18 @@ APART_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar comment comments commentlist respond disqus "
     "cookie cookies consent gdpr notice notices newsletter subscribe subscription signup share sharing social related recommended popup modal login search pagination pager toolbar copyright".split()
 )
+#: Parts of a name that leave the meaning of the words above as it is.
+PLAIN_WORDS = frozenset(
+    "area articles bar block body box buttons col column container content entry form global group holder icons inner item items left link links list main module news outer overlay page panel posts primary reader right row secondary section site slot stories sub thread top bottom unit user widget widgets wrap wrapper".split()
+)
 APART_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
-#: One attribute of any name with its value, so that no name is looked for inside another's value.
-_ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
-_WORD = re.compile(r"[a-z]+")
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+#: The next attribute of any name with its value, or the end of the tag. An open quote runs to the end of the page.
+_ATTRIBUTE = re.compile(r"""[\s/]*(?:(>)|([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s>"'][^\s>]*))?)?)""")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Pages of a host that must have a node before its entropy counts, and the importance below which it goes.
 LEAST_PAGES, LEAST_IMPORTANCE = 4, 0.2
 #: Characters of a path that is spelled out; no path so written begins with a space, as hashed ones do.
@@ -66,10 +73,31 @@ class Element:
     blocks: list = field(default_factory=list)  # text runs and child elements, in page order
 
 
+def furniture(name: str) -> bool:
+    """Whether a class or id name says nothing but what is not main text: ad-slot does, share-price does not."""
+    parts = {p.lower() for p in _PART.findall(name)}
+    return bool(parts & APART_WORDS) and parts <= APART_WORDS | PLAIN_WORDS
+
+
+def _attributes(source: str, at: int) -> tuple[list[tuple[str, str]], int]:
+    """(name, value) of a tag's attributes from ``at`` on, and where the tag ends; -1 if it doesn't."""
+    found = []
+    while m := _ATTRIBUTE.match(source, at):
+        at = m.end()
+        if m[1]:
+            return found, at
+        found.append((m[2].lower(), m[3] or m[4] or m[5] or ""))
+    return found, -1
+
+
 def parse(source: str) -> Element:
-    """The page's tree of block elements; inline elements leave their text to the block around."""
+    """The page's tree of block elements; inline elements leave their text to the block around.
+
+    What follows an unfinished tag or comment is part of it.
+    """
     root = Element("", "", False, False, None)
     top, at, text = root, 0, []
+    opened: Counter = Counter()
 
     def flush() -> None:
         if text:
@@ -78,60 +106,81 @@ def parse(source: str) -> Element:
                 top.blocks.append(run)
             text.clear()
 
+    def leave(to: Element) -> None:
+        """Close elements up to, not including, ``to``."""
+        nonlocal top
+        while top is not to:
+            opened[top.tag] -= 1
+            top = top.parent
+
     end = len(source)
     while at < end:
-        m = _TAG.search(source, at)
-        if not m:
+        begin = source.find("<", at)
+        if begin < 0:
             text.append(source[at:])
             break
-        text.append(source[at : m.start()])
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name or name in INLINE and not m[3].strip():
+        text.append(source[at:begin])
+        at = begin + 1
+        m = _NAME.match(source, at)
+        if not m:
+            if source.startswith("!--", at):
+                stop = source.find("-->", at + 1)
+                at = end if stop < 0 else stop + 3
+            elif source[at : at + 1] in ("!", "?", "/") and at < end:
+                stop = source.find(">", at)
+                at = end if stop < 0 else stop + 1
+            else:
+                text.append("<")
             continue
-        if m[1]:
-            if name in INLINE or name in VOID:
+        name = m[0].lower()
+        attributes, at = _attributes(source, m.end())
+        if at < 0:
+            break
+        if name[0] == "/":
+            name = name[1:]
+            if opened[name] < 1:
+                if name in ("p", "br"):
+                    flush()
                 continue
+            flush()
             node = top
-            while node is not root and node.tag != name:
+            while node.tag != name:
                 node = node.parent
-            if node is not root:
-                flush()
-                top = node.parent
+            leave(node.parent)
             continue
         if name in VOID:
             if name in ("br", "hr"):
                 flush()
             continue
-        words, label, apart = set(), name, name in APART
-        for a in _ATTRIBUTE.finditer(m[3]):
-            key, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
+        label, apart = name, name in APART
+        for key, value in attributes:
             if key in ("class", "id"):
-                words.update(_WORD.findall(value))
-                label += ("." if key == "class" else "#") + (value.split() or [""])[0]
+                names = value.split()
+                label += ("." if key == "class" else "#") + (names[0].lower() if names else "")
+                apart |= name not in ("html", "body", "main") and any(map(furniture, names))
             elif key == "role":
-                apart |= value in APART_ROLES
+                apart |= value.strip().lower() in APART_ROLES
             elif key in ("hidden", "aria-hidden"):
-                apart |= value != "false"
-        if name in INLINE:
-            if not (apart or words & APART_WORDS):
-                continue
+                apart |= value.strip().lower() != "false"
+        if name in INLINE and not apart and not opened[name]:  # within one that is set apart, they are told apart
+            continue
         flush()
         if name in RAW:
-            close = re.compile(rf"</{re.escape(name)}[\s>/]|\Z", re.I).search(source, at)
-            at = close.start()
-            rest = _TAG.match(source, at)
-            at = rest.end() if rest else end
+            close = re.compile(rf"</{re.escape(name)}(?=[\s>/])", re.I).search(source, at)
+            if not close:
+                break
+            at = _attributes(source, close.end())[1]
+            if at < 0:
+                break
             continue
         if name in _CLOSES:
             while top.tag in _CLOSES[name]:
-                top = top.parent
+                leave(top.parent)
         elif name in _ENDS_P and top.tag == "p":
-            top = top.parent
-        if name not in ("html", "body", "article", "main"):
-            apart |= bool(words & APART_WORDS)
-        child = Element(name, label[:80], apart, name in ("article", "main"), top)
+            leave(top.parent)
+        child = Element(name, label, apart, name in ("article", "main"), top)
         top.blocks.append(child)
+        opened[name] += 1
         top = child
     flush()
     return root
@@ -240,7 +289,8 @@ def extract_main_text(pages: DataFrame, *, page_id: str = "page_id", url: str =
     space, and blocks are joined by one. Null or empty html, and pages whose
     every branch goes, give an empty text. Pages without a readable host are
     one host. Repeated rows and ids are pages of their own; null ids and urls
-    stay null. An empty table gives no rows; further columns are ignored.
+    stay null. Very long pages are read whole. An empty table gives no rows;
+    further columns are ignored.
     """
     tree = style_tree(pages, url=url, html=html)
     low = tree.where((F.col("pages") >= LEAST_PAGES) & (F.greatest("layout_importance", "content_importance") < LEAST_IMPORTANCE))

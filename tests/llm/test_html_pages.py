@@ -38,3 +38,88 @@ def test_votes_are_of_the_texts_below():
     assert votes["/div#a"] == votes["/div#c"] and votes["/div#a"][1] == votes["/ul"][1] == votes["/ul/li"][1]
     assert len({votes[p][1] for p in ("/div#a", "/div#b", "/div#d", "/div#e")}) == 4
     assert votes["/div#e"] == ("", 0) and votes["/div#a"][0] == "p"
+
+
+def in_article(inner):
+    return main_text(parse(f"<body><nav>Menu</nav><article>{inner}</article></body>"))
+
+
+def test_article_text_stays():
+    for inner in (
+        '<div style="overflow:hidden"><p>Body text</p></div>',
+        '<p title="hidden gem">Body text</p>',
+        '<a href="https://x.org/hidden-valley">Body text</a>',
+        '<p class="share-price">Body text</p>',
+        '<section id="search-results">Body text</section>',
+        '<div id="related-work">Body text</div>',
+        "<p title=it's>Body text</p>",
+        '<a href="https://x.org/cookie" class="ext">Body <em id=adjective>text</em></a>',
+        "Body<!-- a > b --> text<!x>",
+        "Body</> text</zzz></div>",
+    ):
+        assert in_article(inner) == "Body text", inner
+    assert in_article("<p title=it's>Hello world. Don't go</p><p>next</p>") == "Hello world. Don't go next"
+    assert in_article("a < b <3 c &lt;p&gt; d<") == "a < b <3 c <p> d<"
+
+
+def test_furniture_goes():
+    for inner in ('<article class="comment">x</article>', '<div class="comments-area">x</div>', '<div id="adSlot3">x</div>', '<ul class="social-links"><li>x</ul>', '<p class="cookie-notice">x</p>', '<span class="share-buttons">x</span>', "<div hidden>x</div>", '<section class="related-posts">x</section>', "<form>x</form>", "<svg><text>x</text></svg>"):
+        assert in_article(f"Body{inner} text") == "Body text", inner
+
+
+def test_large_odd_pages_take_linear_time():
+    import time
+
+    begun = time.process_time()
+    assert main_text(parse("<p>open" + "<a " * 350_000)) == "open"
+    assert main_text(parse("<div>" * 100_000 + "deep" + "</span></b></section>" * 100_000)) == "deep"
+    assert main_text(parse('<p>one<p title="' + "x" * 1_000_000)) == "one"
+    assert main_text(parse("<script>" + "<" * 1_000_000)) == ""
+    assert main_text(parse("<p>end" + "<!" * 500_000)) == "end"
+    assert len(main_text(parse("<" * 200_000))) == 200_000
+    assert len(list(nodes(parse("<div class=a>" * 20_000)))) == 20_000
+    assert time.process_time() - begun < 30
+
+
+def plain_importance(pages):
+    """path: the larger of the two entropies of its layouts and texts, as shares of the most possible; by recursion over one host."""
+    import math
+    from collections import Counter, defaultdict
+
+    layouts, texts = defaultdict(Counter), defaultdict(Counter)
+
+    def words_below(e):
+        return " ".join(b if isinstance(b, str) else words_below(b) for b in e.blocks if isinstance(b, str) or not b.apart)
+
+    def walk(e, path, seen):
+        for b in e.blocks:
+            if not isinstance(b, str) and not b.apart:
+                own = f"{path}/{b.label}"
+                kinds = " ".join(dict.fromkeys(c.label for c in b.blocks if not isinstance(c, str) and not c.apart))
+                seen.setdefault(own, []).append((kinds, " ".join(words_below(b).split())))
+                walk(b, own, seen)
+
+    for page in pages:
+        seen = {}
+        walk(parse(page), "", seen)
+        for path, found in seen.items():
+            layouts[path][" | ".join(dict.fromkeys(k for k, _ in found))] += 1
+            texts[path][" ".join(t for _, t in found if t)] += 1
+
+    def share(counts):
+        n = sum(counts.values())
+        return 1.0 if n == 1 else -sum(c / n * math.log(c / n) for c in counts.values()) / math.log(n)
+
+    return {p: (sum(layouts[p].values()), share(layouts[p]), share(texts[p])) for p in layouts}
+
+
+def test_importance_is_that_of_a_plain_count(spark):
+    from cinequarry.llm.html_extraction import style_tree
+
+    pages = [f"<body><div class=top>Same</div><div class=tags><i>t{i % 2}</i></div><ul>{'<li>x' * (i % 3)}</ul><div class=text><p>own {i}</p><p>b</p>{'<table></table>' if i % 4 else ''}</div></body>" for i in range(9)]
+    frame = spark.createDataFrame([(i, "http://one.example.org/x", p) for i, p in enumerate(pages)], "page_id long, url string, html string").repartition(3)
+    got = {r["path"]: (r["pages"], r["layout_importance"], r["content_importance"]) for r in style_tree(frame).collect()}
+    expected = plain_importance(pages)
+    assert got.keys() == expected.keys()
+    for path, values in expected.items():
+        assert got[path] == pytest.approx(values, abs=1e-9), path
