@@ -34,8 +34,6 @@ _TABLE = str.maketrans(_BLANK | _DIGITS | _GLYPHS | _WIDE | _HIDDEN)
 
 #: Labelled rows that the lexicon is learned from, at most.
 TRAIN_ROWS = 20_000
-#: Lexicon entries, at most.
-ENTRIES = 5_000
 STARTS = (4, 5, 6)
 
 
@@ -47,7 +45,7 @@ def fold(text: str) -> str:
 def entries_of(folded: str) -> set[str]:
     """What a lexicon could hold of a text: ' word ' and ' start'."""
     words = set(folded.split())
-    out = {f" {w} " for w in words if 3 <= len(w) <= 24}
+    out = {f" {w} " for w in words if len(w) >= 3}
     for n in STARTS:
         out.update(f" {w[:n]}" for w in words if len(w) >= n)
     return out
@@ -87,7 +85,13 @@ class Lexicon:
                     safe.append((end - n + 1, end))
                 elif w > found.get(end - n + 1, 0.0):
                     found[end - n + 1] = w
-        total = sum(w for at, w in found.items() if not any(a <= at < b for a, b in safe))
+        total, reach, spans = 0.0, -1, iter(sorted(safe))
+        span = next(spans, None)
+        for at in sorted(found):  # one sweep over matches and safe spans
+            while span and span[0] <= at:
+                reach, span = max(reach, span[1]), next(spans, None)
+            if at >= reach:
+                total += found[at]
         return total / math.log2(16 + folded.count(" ")) if total else 0.0
 
     def score(self, text: str) -> float:
@@ -107,13 +111,15 @@ def _curve(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
     return float(max(theta[0], 0.0)), float(theta[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, *, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", exceptions: Sequence[str] = EXCEPTIONS, train_rows: int = TRAIN_ROWS, entries: int = ENTRIES, least_rows: int = 4, least_odds: float = 2.5) -> Lexicon:
+def train(docs: DataFrame, labels: DataFrame, usable: Column, *, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", exceptions: Sequence[str] = EXCEPTIONS, train_rows: int = TRAIN_ROWS, least_rows: int = 4, least_odds: float = 2.5) -> Lexicon:
     """Learn the lexicon from at most ``train_rows`` labelled rows for which ``usable`` (over doc_id) holds.
 
     The rows with the smallest id hashes are taken, a sample that doesn't
     depend on their order. Null labels and null texts are left out; a doc_id
-    labelled more than once takes its highest label. Without labelled rows of
-    both kinds the lexicon is empty and every score is low.
+    labelled more than once takes its highest label. Whole texts count, however
+    long. Without labelled rows of both kinds the lexicon is empty and every
+    score is low. Every word or start of a word that ``least_rows`` toxic rows
+    have, with log odds of ``least_odds``, is an entry.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).select(as_long(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).where(usable)
     chosen = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
@@ -135,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, *, text: str = "te
         if totals is None or not totals["bad"] or not totals["fine"]:
             return Lexicon({}, exceptions, 1.0, -4.0)
         odds = F.log((F.col("bad") + 0.5) / (totals["bad"] + 1.0)) - F.log((F.col("fine") + 0.5) / (totals["fine"] + 1.0))
-        best = counted.where((F.col("entry") != "") & (F.col("bad") >= least_rows)).withColumn("w", odds).where(F.col("w") >= least_odds).orderBy(F.desc("w"), F.desc("bad"), "entry").limit(entries).collect()
+        best = counted.where((F.col("entry") != "") & (F.col("bad") >= least_rows)).withColumn("w", odds).where(F.col("w") >= least_odds).orderBy("entry").collect()  # bounded by the sample's words
     finally:
         counted.unpersist()
     lexicon = Lexicon({r["entry"]: float(r["w"]) for r in best}, exceptions)
