@@ -141,27 +141,34 @@ def _repeated_anchors(source: DataFrame, window: int, prefix: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"gram": pa.array(key.view(np.int64)), "doc": pa.array(doc), "tag": pa.array(crc << 32 | place), "again": pa.array(again)})
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.empty(0, np.int64)] * 4
+        names = ("gram", "doc", "tag", "again")
+        alone = [np.empty(0, np.int64)] * 4  # the last row, while its gram has no other
+        open_gram, open_times, open_rows = 0, 0, 0  # the last gram, its occurrences and rows that are out
 
         def out(cols: list[np.ndarray]) -> pa.RecordBatch:
+            nonlocal alone, open_gram, open_times, open_rows
             gram, doc, tag, again = cols
             runs = run_starts(gram)
-            sizes = np.diff(np.append(runs, len(gram)))
-            keep = (np.repeat(sizes, sizes) > 1) | (again > 0)
-            large = gram[runs[np.add.reduceat(np.maximum(again, 1), runs) > RECORDS]]
-            docs = pa.concat_arrays([pa.array(doc[keep]), pa.nulls(len(large), pa.int64())])
-            return pa.RecordBatch.from_pydict({"doc": docs, "crc": pa.array(np.append((tag[keep] >> 32) & _LOW32, large)), "anchor": pa.array(np.append(tag[keep] & _LOW32, 0 * large).astype(np.int32))})
+            sizes, times = np.diff(np.append(runs, len(gram))), np.add.reduceat(np.maximum(again, 1), runs)
+            before = 0
+            if open_rows and gram[0] == open_gram:
+                before = open_times
+                times[0] += before
+                sizes[0] += open_rows
+            many = np.repeat(sizes > 1, np.diff(np.append(runs, len(gram))))
+            keep = many | (again > 0)
+            large = times > RECORDS
+            large[0] &= before <= RECORDS  # told once
+            alone = [c[:0] if keep[-1] else c[-1:] for c in cols]
+            open_gram, open_times, open_rows = gram[-1], times[-1], sizes[-1] if keep[-1] else 0
+            grams = gram[runs[large]]
+            docs = pa.concat_arrays([pa.array(doc[keep]), pa.nulls(len(grams), pa.int64())])
+            return pa.RecordBatch.from_pydict({"doc": docs, "crc": pa.array(np.append((tag[keep] >> 32) & _LOW32, grams)), "anchor": pa.array(np.append(tag[keep] & _LOW32, 0 * grams).astype(np.int32))})
 
         for batch in batches:
-            cols = [np.concatenate((r, batch.column(c).to_numpy())) for r, c in zip(rest, ("gram", "doc", "tag", "again"), strict=True)]
-            if not len(cols[0]):
-                continue
-            whole = int(np.searchsorted(cols[0], cols[0][-1]))
-            if whole:
-                yield out([c[:whole] for c in cols])
-            rest = [c[whole:] for c in cols]
-        if len(rest[0]):
-            yield out(rest)
+            cols = [np.concatenate((r, batch.column(c).to_numpy())) for r, c in zip(alone, names, strict=True)]
+            if len(cols[0]):
+                yield out(cols)
 
     found = source.select("doc", "crc", "text").mapInArrow(emit, "gram long, doc long, tag long, again long")
     met = found.repartition(partitions(source.sparkSession), "gram").sortWithinPartitions("gram").mapInArrow(meet, "doc long, crc long, anchor int")
@@ -278,8 +285,8 @@ def substring_dedup(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     Windows are judged on the input. kept is the other words joined by one
     space; spans lists begin and end of the removed runs in words, flat.
 
-    Null and empty texts have no words. Null ids come before all others. Rows
-    equal in id and text are one document and lose the same words; rows of one
+    Null and empty texts have no words; very long ones are cut whole. Null ids
+    come before all others. Rows equal in id and text are one document and lose the same words; rows of one
     id with different texts are compared by place alone. An empty table gives
     no rows; further columns are ignored.
     """
