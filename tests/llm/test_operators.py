@@ -9,6 +9,7 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -342,19 +343,24 @@ def test_lm_scores(docs, odd, empty):
 
 def test_lm_is_a_distribution():
     """Over all counted words and the open classes' shares, the model sums to one in any context."""
-    from cinequarry.llm.lm_scoring import CLOSED, END, OPEN, Model, Tokens, _class_logs, _word_logs
+    from cinequarry.llm.lm_scoring import CLOSED, END, OPEN, Model, Tokens, log_p, word_hash
 
     r = np.random.default_rng(0)
-    model = Model.start([END, *(f"w{i}".encode() for i in range(50))], np.arange(51, 0, -1.0), 3000)
+    words = [END, *(f"w{i}".encode() for i in range(50))]
+    model = Model.start(np.array([word_hash(w) for w in words], np.uint64), np.arange(51, 0, -1.0), 3000)
     for name in ("ngram", "skip", "word"):
         setattr(model, name, r.normal(size=getattr(model, name).shape).astype(np.float32))
-    t = Tokens([b"w3 w4 unknown w5"], model)
-    p = np.exp(_class_logs(model, t, slice(0, 1)))[0]
-    total = p[CLOSED:].sum()
-    for c in range(CLOSED):
-        t.cls[0] = c
-        total += p[c] * np.exp(_word_logs(model, t, np.array([0])))[0].sum()
-    assert OPEN == 8 and total == pytest.approx(1, abs=1e-4)
+    texts = [*(w.decode() for w in words[1:]), *(f"unknown{i}" for i in range(200))]
+    t = Tokens(pa.array(texts), model)
+    p, first = np.exp(log_p(model, t)), t.begin
+    classes = {int(t.cls[i]): p[i] for i in first.tolist() if t.cls[i] >= CLOSED}
+    end = Tokens(pa.array([""]), model)
+    total = sum(p[first[: len(words) - 1]]) + sum(classes.values()) + np.exp(log_p(model, end))[0]
+    # Classes without any word hold what is left.
+    empty = [c for c in range(CLOSED) if c * 32 >= len(words)]
+    x = model.class_bias + model.ngram[end.ngram[0]] + model.skip[end.skip[0]]
+    total += sum(np.exp(x - x.max())[empty]) / np.exp(x - x.max()).sum()
+    assert len(classes) == OPEN and total == pytest.approx(1, abs=1e-4)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="no-sidebar">
