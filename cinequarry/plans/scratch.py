@@ -7,12 +7,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: dict[str, list[str]] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only a session that names none gets a temporary folder."""
+    """``spark.checkpoint.dir``.
+
+    A session on one machine that names none gets a temporary folder; on a
+    cluster that is an error, as executors would write to their own disks.
+    """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-scratch-"))
         folder = sc.getCheckpointDir()
     return folder
@@ -28,4 +36,21 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/cinequarry-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def written(spark: SparkSession) -> list[str]:
+    """Scratch tables of this application that are still there."""
+    return list(_made.get(spark.sparkContext.applicationId, ()))
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables that no DataFrame in use reads any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    own = _made.get(spark.sparkContext.applicationId, [])
+    for path in paths:
+        if path in own:  # nothing but what settle() wrote
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+            own.remove(path)
