@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinequarry.llm import toxicity as toxic
-from cinequarry.llm.common import settle
 from cinequarry.llm.decontamination import decontaminate
 from cinequarry.llm.exact_dedup import drop_copies
 from cinequarry.llm.jaccard_join import keep_one
 from cinequarry.llm.packing import pack_documents
 from cinequarry.llm.queries import learned_toxicity, tokenizer_path
+from cinequarry.plans.scratch import discard, settle, written
 
 #: Documents that score this or more are rejected.
 REJECTED = 0.7
@@ -61,7 +61,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES:
+        before = written(spark)
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
+            own = [p for p in written(spark) if p not in before]
             docs = settle(docs)
+            discard(spark, own)  # the stage's scratch tables; its result is written
     return docs
