@@ -237,7 +237,7 @@ def similar_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tag_clusters(types.select(F.xxhash64("p_type").alias("id"), F.array("s", "p").alias("vector")))
 
 
-@register()
+@register("WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS term FROM documents), df AS (SELECT term, count(*) AS df FROM t GROUP BY term) SELECT doc_id, round(1 - avg(df / (SELECT count(*) FROM documents)), 6) AS score, count(*) FILTER (WHERE df <= 1) AS rare_terms FROM t JOIN df USING (term) GROUP BY doc_id")
 def document_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rarity of every document by its words."""
-    return rare(table(spark, sf_dir, "documents"), "doc_id", ascii_tokens("text")).select("doc_id", F.round("score", 6).alias("score"), F.size("rare_terms").alias("rare_terms"))
+    return rare(table(spark, sf_dir, "documents"), "doc_id", ascii_tokens("text")).select("doc_id", F.round("score", 6).alias("score"), F.when(F.col("least_df") <= 1, F.size("rare_terms")).otherwise(0).cast("long").alias("rare_terms"))

@@ -36,7 +36,9 @@ def far_frr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threshold_sweep(trials).select("threshold", F.round("far", 6).alias("far"), F.round("frr", 6).alias("frr"))
 
 
-@register()
+@register("""WITH t AS (SELECT round(value / 500, 4) AS threshold, event_type = 'purchase' AS same FROM events WHERE value IS NOT NULL), c AS (SELECT threshold, count(*) FILTER (WHERE same) AS s, count(*) FILTER (WHERE NOT same) AS d FROM t GROUP BY threshold),
+    w AS (SELECT threshold, sum(d) OVER (ORDER BY threshold ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) / (SELECT sum(d) FROM c) AS far, coalesce(sum(s) OVER (ORDER BY threshold ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / (SELECT sum(s) FROM c) AS frr FROM c)
+    SELECT threshold, (far + frr) / 2 AS eer FROM w ORDER BY abs(far - frr), threshold LIMIT 1""")
 def speaker_eer(spark: SparkSession, sf_dir: str) -> DataFrame:
     trials = table(spark, sf_dir, "events").where("value IS NOT NULL").select((F.col("value") / 500).alias("score"), (F.col("event_type") == "purchase").alias("same"))
     return equal_error(threshold_sweep(trials))
@@ -73,7 +75,8 @@ def event_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def diarization(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as speaker turns by role, against turns that alternate."""
+    """Conversations as speaker turns by role, against turns that alternate; tests hold this query against single frames."""
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("asset"), F.col("role").alias("speaker"), (F.col("turn") * 1000).alias("start_ms"), (F.col("turn") * 1000 + F.least(F.length("text"), F.lit(900))).alias("end_ms"), "turn")
     guess = turns.select("asset", (F.col("turn") % 2).cast("string").alias("speaker"), "start_ms", (F.col("end_ms") - 50).alias("end_ms"))
-    return diarization_error(turns.drop("turn"), guess)
+    durations = turns.groupBy("asset").agg(F.max("end_ms").alias("duration_ms"))
+    return diarization_error(turns.drop("turn"), guess, durations)

@@ -129,7 +129,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy selection depends on its own order; tests hold it against a plain restatement."""
+    """Greedy selection depends on its own order; tests hold this query against a plain restatement."""
     found = nearest(*_vectors(spark, sf_dir), k=200)
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("asset"), (F.col("label") % 5).alias("session"), (F.col("vec_id") * 700).alias("start_ms"))
     return diversify(found.join(rows, "id"), 20)
@@ -155,22 +155,31 @@ def _shots(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"""WITH {_SHOTS}, needs(query_id, need, value) AS (VALUES (1::BIGINT, 'must', 'ring'), (1::BIGINT, 'must_not', 'red'), (2::BIGINT, 'must', 'economy'), (2::BIGINT, 'should', 'bolt'), (3::BIGINT, 'must', 'nothing')),
     pairs AS (SELECT n.query_id, s.id, n.need, n.value, list_contains(s.seen, n.value) AS hit FROM shots s, needs n),
     st AS (SELECT *, CASE WHEN hit THEN 'confirmed' ELSE 'unknown' END AS state FROM pairs)
-    SELECT query_id, id, round(0.5 + 0.5 * count(*) FILTER (WHERE need <> 'must_not' AND state = 'confirmed') / count(*) FILTER (WHERE need <> 'must_not'), 6) AS score
+    SELECT query_id, id, round(0.5 + 0.5 * count(*) FILTER (WHERE need = 'must' AND state = 'confirmed') / count(*) FILTER (WHERE need = 'must'), 6) AS score
     FROM st GROUP BY query_id, id
-    HAVING count(*) FILTER (WHERE need = 'must' AND state = 'unknown') = 0 AND count(*) FILTER (WHERE need = 'must_not' AND state = 'confirmed') = 0""")
+    HAVING count(*) FILTER (WHERE need <> 'must_not' AND hit) > 0 AND count(*) FILTER (WHERE need = 'must' AND state = 'unknown') = 0 AND count(*) FILTER (WHERE need = 'must_not' AND state = 'confirmed') = 0""")
 def evidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates are the shots that name anything a query asks for; the gate then holds them to its musts."""
     shots = _shots(spark, sf_dir)
     needs = spark.createDataFrame([(1, "must", "object", "ring"), (1, "must_not", "object", "red"), (2, "must", "object", "economy"), (2, "should", "object", "bolt"), (3, "must", "object", "nothing")], "query_id long, need string, kind string, value string")
-    candidates = shots.select("id").crossJoin(F.broadcast(needs.select("query_id").distinct())).select("query_id", "id", F.lit(1.0).alias("score"))
-    proof = evidence(candidates, needs, observations(shots))
+    observed = settle(observations(shots))
+    wanted = needs.where("need <> 'must_not'").select("query_id", "value").distinct()
+    candidates = observed.join(F.broadcast(wanted), "value").select("query_id", "id", F.lit(1.0).alias("score")).distinct()
+    proof = evidence(candidates, needs, observed)
     return gate(candidates, proof).withColumn("score", F.round("score", 6))
 
 
-_PLAIN = ", ".join(f"('{w}', '{concept}', '{kind}')" for kind, own in VOCABULARY.items() for concept, words in own.items() for w in words.split() if w.isascii())
+def _sql(text: str) -> str:
+    return text.replace("'", "''")
 
 
-@register(f"""SELECT DISTINCT d.doc_id, v.kind, v.concept FROM (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'))) AS word FROM documents) d
-    JOIN (VALUES {_PLAIN}) v(word, concept, kind) USING (word)""")
+_NAMES = [(w, concept, kind) for kind, own in VOCABULARY.items() for concept, words in own.items() for w in words if w.isascii()]
+_PLAIN, _PARTS = (", ".join(f"('{_sql(w)}', '{concept}', '{kind}')" for w, concept, kind in _NAMES if w.isalnum() == plain) for plain in (True, False))
+
+
+@register(f"""SELECT d.doc_id, v.kind, v.concept FROM (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'))) AS word FROM documents) d
+    JOIN (VALUES {_PLAIN}) v(word, concept, kind) USING (word)
+    UNION SELECT d.doc_id, v.kind, v.concept FROM documents d, (VALUES {_PARTS}) v(word, concept, kind) WHERE regexp_matches(lower(text), '(^|[^a-z0-9])' || word || '($|[^a-z0-9])')""")
 def named_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "kind", "concept")
 

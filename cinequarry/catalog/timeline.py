@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from cinequarry.functions.intervals import RELATIONS, islands, iou, overlap_ms, related
 from cinequarry.functions.text import ascii_tokens
 from cinequarry.functions.timecode import frames_of_ms, in_clock_window, timecode
-from cinequarry.operators.library import sessions
-from cinequarry.operators.timeline import matching_assets, merge_window_shots, phrase_hits, plan_frames, plan_windows, pyramid, silent_share, sound_events, transcript_score
+from cinequarry.operators.library import session_spans, sessions
+from cinequarry.operators.timeline import matching_assets, merge_window_shots, patch_cells, phrase_hits, plan_frames, plan_windows, pyramid, silent_share, sound_events, transcript_score
 
 from .common import registry, table
 
@@ -83,10 +83,21 @@ def sessionize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return islands(_events(spark, sf_dir), ["user_id"], gap_ms=GAP_MS)
 
 
-@register(f"WITH {_EV}, n AS (SELECT event_id, user_id, s, CASE WHEN s - max(e) OVER (PARTITION BY user_id ORDER BY s, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 1800000 THEN 0 ELSE 1 END AS fresh FROM ev), i AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY s, event_id ROWS UNBOUNDED PRECEDING) AS island FROM n) SELECT event_id AS id, min(event_id) OVER (PARTITION BY user_id, island) AS session FROM i")
+@register(f"WITH {_EV}, n AS (SELECT event_id, user_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY user_id ORDER BY s, event_id) <= 1800000 THEN 0 ELSE 1 END AS fresh FROM ev WHERE event_type NOT IN ('error', 'signup')), i AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY s, event_id ROWS UNBOUNDED PRECEDING) AS island FROM n) SELECT event_id AS id, min(event_id) OVER (PARTITION BY user_id, island) AS session FROM i")
 def capture_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    captures = _events(spark, sf_dir).select(F.col("event_id").alias("id"), "start_ms", "end_ms", F.col("user_id").cast("string").alias("device"))
-    return sessions(captures, ["device"], [])
+    """Events as captures of their user; errors and signups stand for proxies and sidecars, which join no session."""
+    return sessions(_captures(spark, sf_dir), ["device"], [])
+
+
+def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = F.when(F.col("event_type") == "error", "proxy").when(F.col("event_type") == "signup", " Sidecar").otherwise("camera")
+    return _events(spark, sf_dir).select(F.col("event_id").alias("id"), "start_ms", "end_ms", F.concat(F.lit(" U"), F.col("user_id").cast("string")).alias("device"), source.alias("source"))
+
+
+@register(f"WITH {_EV}, n AS (SELECT event_id, user_id, s, e, CASE WHEN s - lag(s) OVER (PARTITION BY user_id ORDER BY s, event_id) <= 1800000 THEN 0 ELSE 1 END AS fresh FROM ev WHERE event_type NOT IN ('error', 'signup')), i AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY s, event_id ROWS UNBOUNDED PRECEDING) AS island FROM n) SELECT min(event_id) AS session, min(s) AS start_ms, max(e) AS end_ms, count(*) AS captures FROM i GROUP BY user_id, island")
+def shoot_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = _captures(spark, sf_dir)
+    return session_spans(captures, sessions(captures, ["device"], []))
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,18 +119,29 @@ def transcript_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("user_id", "event_type").agg(F.round(transcript_score(F.col("value") / 200), 6).alias("score"))
 
 
-@register("""WITH d AS (SELECT doc_id, n_chars * 400 AS ms FROM documents), n AS (SELECT *, greatest(ceil((ms - 5000) / 475000.0), 1)::BIGINT AS n FROM d),
-    m AS (SELECT doc_id, ms, CASE WHEN n > 1 AND ms - (n - 1) * 475000 < 30000 THEN n - 1 ELSE n END AS n FROM n)
-    SELECT doc_id, i * 475000 AS start_ms, CASE WHEN i = n - 1 THEN ms ELSE least(i * 475000 + 480000, ms) END AS end_ms FROM (SELECT doc_id, ms, n, unnest(range(n)) AS i FROM m)""")
+@register("""WITH d AS (SELECT doc_id, n_chars * 400 AS ms, n_chars * 900 AS bytes FROM documents),
+    w AS (SELECT *, greatest(least(ms * 1000000 // nullif(bytes, 0), 480000), 30000) AS size FROM d),
+    p AS (SELECT *, ms <= 0 OR bytes <= 0 OR (bytes <= 1000000 AND ms <= 480000) OR size >= ms AS whole FROM w)
+    SELECT doc_id, 0::BIGINT AS start_ms, ms AS end_ms FROM p WHERE whole
+    UNION ALL SELECT doc_id, i * (size - 5000), least(i * (size - 5000) + size, ms) FROM (SELECT *, unnest(range(ceil((ms - size) / (size - 5000)::DOUBLE)::BIGINT + 1)) AS i FROM p WHERE NOT whole)""")
 def window_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents stand for recordings of 0.4 s a character."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(plan_windows((F.col("n_chars") * 400).cast("long"))).alias("w")).select("doc_id", "w.start_ms", "w.end_ms")
+    """Documents stand for recordings of 0.4 s a character whose proxies have 900 bytes a character, in calls of a megabyte."""
+    planned = plan_windows((F.col("n_chars") * 400).cast("long"), (F.col("n_chars") * 900).cast("long"), 1_000_000)
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(planned).alias("w")).select("doc_id", "w.start_ms", "w.end_ms")
 
 
-@register("""WITH d AS (SELECT doc_id, n_chars * 7 AS ms FROM documents), n AS (SELECT *, CASE WHEN ms < 2000 THEN 2 WHEN ms > 30000 THEN 6 ELSE 4 END AS n FROM d)
-    SELECT DISTINCT doc_id, floor(ms * (2 * i - 1) / (2.0 * n))::BIGINT AS at_ms FROM (SELECT doc_id, ms, n, unnest(range(1, n + 1)) AS i FROM n)""")
+_RATIOS = "CASE WHEN ms < 2000 THEN [0.2, 0.7] WHEN ms > 30000 THEN [0.05, 0.20, 0.40, 0.60, 0.80, 0.95] ELSE [0.10, 0.35, 0.65, 0.90] END::DOUBLE[]"
+
+
+@register(f"SELECT DISTINCT doc_id, 500 + floor(ms * unnest({_RATIOS}) + 0.5)::BIGINT AS at_ms FROM (SELECT doc_id, (n_chars - 20) * 7 AS ms FROM documents) WHERE ms > 0")
 def frame_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(plan_frames(F.lit(0).cast("long"), (F.col("n_chars") * 7).cast("long"))).alias("at_ms"))
+    """Documents as shots of 7 ms a character beyond the twentieth, from 0.5 s on."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(plan_frames(F.lit(500).cast("long"), 500 + ((F.col("n_chars") - 20) * 7).cast("long"))).alias("at_ms"))
+
+
+@register("WITH d AS (SELECT doc_id, n_chars * 7 AS ms, CASE WHEN n_chars * 7 < 2000 THEN 2 WHEN n_chars * 7 > 30000 THEN 6 ELSE 4 END AS n FROM documents) SELECT DISTINCT doc_id, floor(ms * ((i + 0.5::DOUBLE) / n) + 0.5)::BIGINT AS at_ms FROM (SELECT doc_id, ms, n, unnest(range(n)) AS i FROM d WHERE ms > 0)")
+def frame_plan_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(plan_frames(F.lit(0).cast("long"), (F.col("n_chars") * 7).cast("long"), "uniform")).alias("at_ms"))
 
 
 @register("SELECT user_id, i >> 3 AS bucket, min(value) AS low, max(value) AS high FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events) GROUP BY 1, 2")
@@ -150,21 +172,52 @@ def speech_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return silent_share(rows, "user_id", durations).select("user_id", F.round("share", 6).alias("share"), F.round("speech", 6).alias("speech"))
 
 
-@register()
-def sound_event_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hysteresis over each user's values; tests hold it against a plain restatement."""
+_CELLS = """c AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS cell, coalesce(value, 0) / 100 AS score FROM events)"""
+_TRACKS = """l AS (SELECT *, lag(score) OVER w AS a, lead(score) OVER w AS b, (max(cell) OVER (PARTITION BY user_id, event_type) + 1) * 100 AS length FROM c WINDOW w AS (PARTITION BY user_id, event_type ORDER BY cell)),
+    m AS (SELECT *, list_median(list_filter([a, score, b], lambda x: x IS NOT NULL)) AS v FROM (SELECT * FROM l)),
+    s AS (SELECT *, v < 0.2 AND coalesce(lag(v) OVER (PARTITION BY user_id, event_type ORDER BY cell) < 0.2, false) AS second FROM m),
+    k AS (SELECT *, count(*) FILTER (WHERE second) OVER (PARTITION BY user_id, event_type ORDER BY cell ROWS UNBOUNDED PRECEDING) AS block FROM s),
+    o AS (SELECT *, min(cell) FILTER (WHERE v >= 0.35) OVER (PARTITION BY user_id, event_type, block) AS opened FROM k),
+    g AS (SELECT user_id, event_type, block, min(cell) AS first, min(opened) AS opened, max(v) FILTER (WHERE cell >= opened) AS best, max(length) AS length FROM o GROUP BY ALL),
+    e AS (SELECT user_id, event_type, opened * 100 AS s, coalesce((lead(first) OVER (PARTITION BY user_id, event_type ORDER BY block) - 1) * 100, length) AS e, best, opened FROM g),
+    r AS (SELECT *, CASE WHEN s - max(e) OVER (PARTITION BY user_id, event_type ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 300 THEN 0 ELSE 1 END AS fresh FROM e WHERE opened IS NOT NULL AND e > s),
+    i AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id, event_type ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS n FROM r)
+    SELECT user_id, event_type, min(s)::BIGINT AS start_ms, max(e)::BIGINT AS end_ms, max(best) AS raw_score FROM i GROUP BY user_id, event_type, n HAVING max(e) - min(s) >= 200"""
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     order = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    cells = table(spark, sf_dir, "events").select("user_id", "event_type", F.row_number().over(order).cast("long").alias("cell"), (F.coalesce("value", F.lit(0.0)) / 100).alias("score"))
-    return sound_events(cells, ["user_id", "event_type"])
+    return table(spark, sf_dir, "events").select("user_id", "event_type", (F.row_number().over(order) - 1).cast("long").alias("cell"), (F.coalesce("value", F.lit(0.0)) / 100).alias("score"))
+
+
+@register(f"WITH {_CELLS}, {_TRACKS}".replace("list_median(", "list_aggregate(").replace("lambda x: x IS NOT NULL))", "lambda x: x IS NOT NULL), 'median')"))
+def sound_event_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sound events in each user's values of a type, a cell each."""
+    return sound_events(_cells(spark, sf_dir), ["user_id", "event_type"])
+
+
+@register(f"""WITH {_CELLS}, p AS (SELECT *, cell * 480 AS s, least(cell * 480 + 960, length) AS e FROM (SELECT *, max(cell) OVER (PARTITION BY user_id) * 480 + 700 AS length FROM c)),
+    x AS (SELECT user_id, event_type, k AS cell, least(least((k + 1) * 100, length), e) - greatest(k * 100, s) AS w, score FROM (SELECT *, unnest(range(s // 100, (e - 1) // 100 + 1)) AS k FROM p))
+    SELECT user_id, event_type, cell, round(sum(w * score) / sum(w), 6) AS score FROM x GROUP BY ALL
+    UNION ALL SELECT user_id, event_type, cell, 0 FROM (SELECT user_id, event_type, unnest(range((length + 99) // 100)) AS cell FROM (SELECT DISTINCT user_id, event_type, length FROM p)) ANTI JOIN x USING (user_id, event_type, cell)""")
+def sound_patch_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each value as the score of a patch of 960 ms, hop 480 ms; recordings end 700 ms into the last one."""
+    patches = _cells(spark, sf_dir).withColumnRenamed("cell", "patch")
+    durations = patches.groupBy("user_id").agg((F.max("patch") * 480 + 700).alias("duration_ms"))
+    return patch_cells(patches, ["user_id", "event_type"], durations, "user_id").withColumn("score", F.round("score", 6))
 
 
-@register()
+@register(f"""WITH {_EV}, o AS (SELECT user_id AS asset, event_type AS text, value, s, e, max((e, s)) OVER (PARTITION BY user_id, event_type ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ev),
+    f AS (SELECT *, CASE WHEN 2 * (least(before[1], e) - s) >= least(before[1] - before[2], e - s) THEN 0 ELSE 1 END AS fresh FROM o),
+    i AS (SELECT *, sum(fresh) OVER (PARTITION BY asset, text ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS n FROM f)
+    SELECT asset, min(s) AS start_ms, max(e) AS end_ms, text, 1 AS n_tags, max(value) AS confidence FROM i GROUP BY asset, text, n""")
 def window_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of one type merged as shots of overlapping windows."""
     rows = _events(spark, sf_dir)
-    return merge_window_shots(rows.select(F.col("user_id").alias("asset"), "start_ms", "end_ms", F.col("event_type").alias("text"), F.array("event_type").alias("tags"), F.col("value").alias("confidence")))
+    merged = merge_window_shots(rows.select(F.col("user_id").alias("asset"), "start_ms", "end_ms", F.col("event_type").alias("text"), F.array("event_type").alias("tags"), F.col("value").alias("confidence")))
+    return merged.select("asset", "start_ms", "end_ms", "text", F.size("tags").alias("n_tags"), "confidence")
 
 
 @register("SELECT event_type AS track, count(*) AS n, min(event_id) AS first FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-12' GROUP BY event_type")

@@ -11,6 +11,11 @@ def frames_of_ms(ms: Column, rate_num: int, rate_den: int) -> Column:
     return F.floor((2 * ms * rate_num + 1000 * rate_den) / (2 * 1000 * rate_den)).cast("long")
 
 
+def rounded_frames(ms: Column, fps: float) -> Column:
+    """The nearest frame at a rate that may be a rounded decimal; halves go up."""
+    return F.floor(ms.cast("double") / 1000.0 * F.lit(float(fps)) + 0.5).cast("long")
+
+
 def timecode(frame: Column, nominal: int, drop: bool = False) -> Column:
     """HH:MM:SS:FF of a frame number; with ``drop``, HH:MM:SS;FF of the 29.97 and 59.94 counts.
 

@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries whose vectors go to the tasks at once.
-BLOCK = 2048
+#: Bytes of query vectors up to which all go to the tasks at once, and rows of a block beyond.
+SENT_BYTES, BLOCK, CORPUS_BLOCK = 64 << 20, 4096, 65_536
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -33,51 +33,101 @@ def unit(a: str | Column) -> Column:
     return F.when(norm(a) > 0, F.transform(a, lambda x: x / norm(a))).otherwise(a)
 
 
-def nearest(corpus: DataFrame, queries: DataFrame, *, k: int, digits: int = 6, exclude_self: bool = True, block: int = BLOCK) -> DataFrame:
-    """query_id, id, score: the k best rows of ``corpus`` (id, vector) for every row of ``queries``, exactly.
+def _matrices(frame: pd.DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(width, ids, unit vectors as rows) of each width; vectors that are null or without length are left out."""
+    frame = frame[frame["vector"].notna()]
+    widths = frame["vector"].map(len).to_numpy() if len(frame) else np.empty(0, int)
+    out = []
+    for width in sorted(set(widths.tolist()) - {0}):
+        own = frame[widths == width]
+        matrix = np.stack(own["vector"].to_numpy()).astype(float)
+        lengths = np.linalg.norm(matrix, axis=1)
+        good = lengths > 0
+        out.append((width, own["id"].to_numpy()[good], matrix[good] / lengths[good, None]))
+    return out
+
+
+def _best(queries: list, corpus: list, k: int, digits: int, exclude_self: bool) -> pd.DataFrame:
+    """query_id, id, score: at least the k best positive pairs a query, and what ties with the last of them."""
+    found = []
+    for width, ids, matrix in queries:
+        for other, own, vectors in corpus:
+            if other != width or not len(ids) or not len(own):
+                continue
+            scores = np.round(matrix @ vectors.T, digits)
+            if exclude_self:
+                scores[ids[:, None] == own[None, :]] = 0
+            least = np.partition(scores, -k, axis=1)[:, -k] if k < len(own) else np.zeros(len(ids))
+            q, c = np.nonzero((scores >= least[:, None]) & (scores > 0))
+            found.append(pd.DataFrame({"query_id": ids[q], "id": own[c], "score": scores[q, c]}))
+    return pd.concat(found) if found else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+
+
+def _head(found: pd.DataFrame, k: int) -> pd.DataFrame:
+    return found.sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id").head(k)
+
+
+def nearest(corpus: DataFrame, queries: DataFrame, *, k: int, digits: int = 6, exclude_self: bool = True, sent_bytes: int = SENT_BYTES, block: int = BLOCK) -> DataFrame:
+    """query_id, id, score, rank: the k best rows of ``corpus`` (id, vector) for every row of ``queries``, exactly.
 
     Only positive scores count, rounded, ties by id; rows of another width
-    than the query, null vectors and zero vectors never match. Queries go out
-    in blocks of a fixed size; every task keeps its own k best a query, so the
-    shuffle carries k rows a query and task at most.
+    than the query, null vectors and zero vectors never match. Query vectors
+    of checked size go to the tasks, which read the corpus once; more of them
+    meet the corpus in a grid of blocks, a task a cell. Either way a task
+    keeps its own k best a query.
     """
-    chosen = queries.where("vector IS NOT NULL").select(F.col("id").alias("query_id"), "vector")
-    total = chosen.count()
-    out: DataFrame | None = None
-    blocks = max(1, -(-total // block))
-    for number in range(blocks):
-        rows = chosen.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).toPandas()
-        widths = rows["vector"].map(len).to_numpy() if len(rows) else np.empty(0, int)
-        groups = []
-        for width in sorted(set(widths.tolist())):
-            own = rows[widths == width]
-            matrix = np.stack(own["vector"].to_numpy()).astype(float)
-            lengths = np.linalg.norm(matrix, axis=1)
-            good = lengths > 0
-            groups.append((width, own["query_id"].to_numpy()[good], matrix[good] / lengths[good, None]))
-
-        def search(batches: Iterable[pd.DataFrame], groups: list = groups) -> Iterator[pd.DataFrame]:
+    chosen = queries.where("vector IS NOT NULL").select("id", "vector")
+    total = chosen.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("vector")), F.lit(0)).alias("x")).first()
+    out_schema = "query_id long, id long, score double"
+    if 8 * (total["x"] + total["n"]) <= sent_bytes:
+        sent = _matrices(chosen.toPandas())
+
+        def search(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             best: pd.DataFrame | None = None
             for batch in batches:
-                sizes = batch["vector"].map(lambda v: -1 if v is None else len(v)).to_numpy()
-                for width, ids, matrix in groups:
-                    own = batch[sizes == width]
-                    if not len(own) or not len(ids):
-                        continue
-                    vectors = np.stack(own["vector"].to_numpy()).astype(float)
-                    lengths = np.linalg.norm(vectors, axis=1)
-                    scores = np.round(matrix @ (vectors / np.where(lengths > 0, lengths, 1)[:, None]).T, digits)
-                    scores[:, lengths == 0] = 0
-                    if exclude_self:
-                        scores[ids[:, None] == own["id"].to_numpy()[None, :]] = 0
-                    q, c = np.nonzero(scores > 0)
-                    found = pd.DataFrame({"query_id": ids[q], "id": own["id"].to_numpy()[c], "score": scores[q, c]})
-                    best = found if best is None else pd.concat([best, found])
-                    best = best.sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id").head(k)
+                found = _best(sent, _matrices(batch), k, digits, exclude_self)
+                best = _head(found if best is None else pd.concat([best, found]), k)
             if best is not None:
                 yield best
 
-        part = corpus.select("id", "vector").mapInPandas(search, "query_id long, id long, score double")
-        out = part if out is None else out.unionByName(part)
+        out = corpus.select("id", "vector").mapInPandas(search, out_schema)
+    else:
+        rows, cells = max(1, -(-total["n"] // block)), max(1, -(-corpus.count() // CORPUS_BLOCK))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        q = chosen.select(F.pmod(F.xxhash64("id"), F.lit(rows)).cast("int").alias("row"), every(cells).alias("cell"), "id", "vector")
+        c = corpus.select(every(rows).alias("row"), F.pmod(F.xxhash64("id"), F.lit(cells)).cast("int").alias("cell"), "id", "vector")
+        meet = lambda a, b: _head(_best(_matrices(a), _matrices(b), k, digits, exclude_self), k)
+        out = q.groupBy("row", "cell").cogroup(c.groupBy("row", "cell")).applyInPandas(meet, out_schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return out.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+
+
+def similar_pairs(rows: DataFrame, least: float, *, block: int = 1024) -> DataFrame:
+    """a, b of rows (id, vector) whose cosine is at least ``least``: enough pairs to connect all that are alike.
+
+    Rows are cut into blocks; every two blocks meet in one task, which gives
+    no pair between rows that it has connected already.
+    """
+    blocks = max(1, -(-rows.count() // block))
+    own = rows.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    placed = own.select("id", "vector", F.col("block"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    cells = placed.select("id", "vector", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+
+    def meet(frame: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int]] = []
+        for _, ids, matrix in _matrices(frame):
+            root = list(range(len(ids)))
+
+            def top(i: int, root: list = root) -> int:
+                while root[i] != i:
+                    root[i] = i = root[root[i]]
+                return i
+
+            for i, j in zip(*np.nonzero(np.triu(matrix @ matrix.T >= least - 1e-12, 1)), strict=True):
+                a, b = top(int(i)), top(int(j))
+                if a != b:
+                    root[b] = a
+                    out.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return cells.groupBy("x", "y").applyInPandas(meet, "a long, b long").distinct()

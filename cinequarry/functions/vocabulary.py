@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cinequarry.plans.scratch import settle
@@ -14,70 +14,84 @@ from cinequarry.plans.scratch import settle
 # Kind, concept and the words that name it.
 VOCABULARY = {
     "object": {
-        "car": "汽车 轿车 车 车流 交通 car cars vehicle vehicles sedan truck 卡车 traffic",
-        "umbrella": "伞 雨伞 umbrella umbrellas",
-        "person": "人 行人 人们 person people human pedestrian",
-        "dog": "狗 dog dogs",
-        "cat": "猫 cat cats",
-        "boat": "船 boat boats ship",
-        "laptop": "笔记本 laptop computer",
-        "train": "火车 列车 train trains",
-        "bridge": "桥 bridge bridges",
-        "bicycle": "自行车 单车 bicycle bike bikes",
-        "flower": "花 flower flowers tulip tulips 郁金香",
-        "cup": "杯 杯子 cup",
-        "table": "桌 桌子 table desk",
-        "ocean": "海 大海 ocean sea",
-        "sun": "太阳 sun",
+        "car": ["汽车", "轿车", "车", "车流", "交通", "car", "cars", "vehicle", "vehicles", "sedan", "truck", "卡车", "traffic"],
+        "umbrella": ["伞", "雨伞", "umbrella", "umbrellas"],
+        "person": ["人", "行人", "人们", "person", "people", "human", "pedestrian"],
+        "dog": ["狗", "dog", "dogs"],
+        "cat": ["猫", "cat", "cats"],
+        "boat": ["船", "boat", "boats", "ship"],
+        "laptop": ["笔记本", "laptop", "computer"],
+        "train": ["火车", "列车", "train", "trains"],
+        "bridge": ["桥", "bridge", "bridges"],
+        "bicycle": ["自行车", "单车", "bicycle", "bike", "bikes"],
+        "flower": ["花", "flower", "flowers", "tulip", "tulips", "郁金香"],
+        "cup": ["杯", "杯子", "cup", "coffee cup"],
+        "table": ["桌", "桌子", "table", "desk"],
+        "ocean": ["海", "大海", "ocean", "sea"],
+        "sun": ["太阳", "sun"],
     },
     "action": {
-        "walking": "走 行走 步行 漫步 walk walking stroll strolling",
-        "running": "跑 奔跑 run running",
-        "driving": "开 驾驶 drive driving",
-        "eating": "吃 eating eat",
-        "drinking": "喝 drink drinking",
-        "sitting": "坐 sit sitting",
+        "walking": ["走", "行走", "步行", "漫步", "walk", "walking", "stroll", "strolling"],
+        "running": ["跑", "奔跑", "run", "running"],
+        "driving": ["开", "驾驶", "drive", "driving"],
+        "eating": ["吃", "eating", "eat"],
+        "drinking": ["喝", "drink", "drinking"],
+        "sitting": ["坐", "sit", "sitting"],
     },
     "scene": {
-        "street": "街 街道 路 马路 street streets road alley avenue",
-        "city": "城市 城 city cities urban downtown",
-        "beach": "海边 沙滩 海滩 beach beaches",
-        "park": "公园 park parks",
-        "market": "市场 集市 market markets",
-        "kitchen": "厨房 kitchen",
-        "cafe": "咖啡厅 咖啡馆 cafe",
-        "office": "办公室 office",
-        "mountain": "山 山间 mountain mountains",
-        "river": "河 河流 river",
-        "station": "车站 火车站 station platform 站台",
-        "school": "学校 校园 school schoolyard",
-        "library": "图书馆 library",
-        "restaurant": "餐厅 饭馆 restaurant dining",
-        "stadium": "体育场 场馆 stadium arena",
-        "factory": "工厂 factory",
-        "garden": "花园 园 garden gardens",
+        "street": ["街", "街道", "路", "马路", "street", "streets", "road", "alley", "avenue"],
+        "city": ["城市", "城", "city", "cities", "urban", "downtown"],
+        "beach": ["海边", "沙滩", "海滩", "beach", "beaches"],
+        "park": ["公园", "park", "parks"],
+        "market": ["市场", "集市", "market", "markets"],
+        "kitchen": ["厨房", "kitchen"],
+        "cafe": ["咖啡厅", "咖啡馆", "cafe", "coffee shop"],
+        "office": ["办公室", "office"],
+        "mountain": ["山", "山间", "mountain", "mountains"],
+        "river": ["河", "河流", "river"],
+        "station": ["车站", "火车站", "station", "platform", "站台"],
+        "school": ["学校", "校园", "school", "schoolyard"],
+        "library": ["图书馆", "library"],
+        "restaurant": ["餐厅", "饭馆", "restaurant", "dining"],
+        "stadium": ["体育场", "场馆", "stadium", "arena"],
+        "factory": ["工厂", "factory"],
+        "garden": ["花园", "园", "garden", "gardens"],
     },
     "weather": {
-        "rain": "雨 下雨 雨天 rain rainy raining",
-        "snow": "雪 下雪 snow snowy snowing",
-        "fog": "雾 fog foggy mist",
-        "wind": "风 wind windy",
-        "sunny": "晴 晴天 sunny clear",
+        "rain": ["雨", "下雨", "雨天", "rain", "rainy", "raining"],
+        "snow": ["雪", "下雪", "snow", "snowy", "snowing"],
+        "fog": ["雾", "fog", "foggy", "mist"],
+        "wind": ["风", "wind", "windy"],
+        "sunny": ["晴", "晴天", "sunny", "clear"],
     },
     "time": {
-        "night": "夜晚 夜里 晚上 夜 晚 night nighttime evening",
-        "day": "白天 日 day daytime",
-        "dawn": "黎明 拂晓 清晨 dawn",
-        "dusk": "黄昏 傍晚 dusk",
-        "morning": "早晨 早上 morning",
+        "night": ["夜晚", "夜里", "晚上", "夜", "晚", "night", "nighttime", "evening"],
+        "day": ["白天", "日", "day", "daytime"],
+        "dawn": ["黎明", "拂晓", "清晨", "dawn"],
+        "dusk": ["黄昏", "傍晚", "dusk"],
+        "morning": ["早晨", "早上", "morning"],
+    },
+    "mood": {
+        "lonely": ["孤独", "lonely"],
+        "depressing": ["压抑", "阴郁", "depressing", "oppressive"],
+        "cinematic": ["电影感", "氛围", "cinematic", "moody"],
+    },
+    "camera": {
+        "aerial": ["航拍", "俯瞰", "aerial", "bird's eye"],
+    },
+    "shot_size": {
+        "close_up": ["特写", "closeup", "close-up", "close up"],
+        "wide": ["全景", "广角", "wide", "establishing"],
+        "medium": ["中景", "medium", "medium shot"],
     },
-    "mood": {"lonely": "孤独 lonely", "depressing": "压抑 阴郁 depressing oppressive", "cinematic": "电影感 氛围 cinematic moody"},
-    "camera": {"aerial": "航拍 俯瞰 aerial"},
-    "shot_size": {"close_up": "特写 closeup", "wide": "全景 广角 wide establishing", "medium": "中景 medium"},
 }
-NEGATIONS = "没有 无人 无 不见 no without"
-ABSENCE = "空 empty abandoned unoccupied"  # describe a thing, and deny nothing
+NEGATIONS = ["没有", "无人", "无", "不见", "no", "without"]
+ABSENCE = ["空", "empty", "abandoned", "unoccupied"]  # describe a thing, and deny nothing
 CLAUSE_ENDS = "的在于是了也就都还很更但而则且或与和及又再，。、；：！？…"
+CJK_STOPWORDS = ["地方", "场景", "画面", "镜头", "素材", "东西", "内容", "片段"]
+#: Order in which a query's needs are listed.
+KINDS = ("object", "action", "scene", "weather", "time", "mood", "speech", "camera", "shot_size", "tag", "metadata")
+MODES = ("auto", "fact", "speech", "semantic", "similar", "creative")
 CREATIVE = ("给我找", "帮我找", "找点", "找几个", "来几个", "来点", "创意", "creative")
 SPEECH_MARKERS = ("说过", "说了", "说道", "提到", "说")
 QUOTES = (("「", "」"), ("“", "”"), ('"', '"'), ("'", "'"))
@@ -85,9 +99,9 @@ SHOT_ID = r"(?i)(shot_[a-z0-9]{6,})"
 
 
 def vocabulary(spark: SparkSession) -> DataFrame:
-    """kind, concept, word, wide (a word of a script without blanks): some 180 rows."""
-    rows = [(kind, concept, w, not w.isascii()) for kind, own in VOCABULARY.items() for concept, words in own.items() for w in words.split()]
-    return spark.createDataFrame(rows, "kind string, concept string, word string, wide boolean")
+    """kind, concept, word, wide (of a script without blanks), parts (of several words): some 180 rows."""
+    rows = [(kind, concept, w, not w.isascii(), w.isascii() and not w.isalnum()) for kind, own in VOCABULARY.items() for concept, words in own.items() for w in words]
+    return spark.createDataFrame(rows, "kind string, concept string, word string, wide boolean, parts boolean")
 
 
 def word_at(text: Column, word: Column, wide: Column) -> Column:
@@ -103,8 +117,8 @@ def denials(texts: DataFrame, key: str) -> DataFrame:
     plain one itself and two bytes more, at its first. Only texts with such a
     word reach the Python step.
     """
-    wide = "|".join(w for w in NEGATIONS.split() if not w.isascii())
-    plain = [re.compile(rf"(?<![a-z0-9]){w}(?![a-z0-9])") for w in NEGATIONS.split() if w.isascii()]
+    wide = "|".join(w for w in NEGATIONS if not w.isascii())
+    plain = [re.compile(rf"(?<![a-z0-9]){w}(?![a-z0-9])") for w in NEGATIONS if w.isascii()]
     clause = re.compile(rf"(?=((?:{wide})[^{CLAUSE_ENDS}]*))")
 
     def find(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,7 +132,7 @@ def denials(texts: DataFrame, key: str) -> DataFrame:
                     rows.append((own, begin, begin + len(m[1].encode())))
             yield pd.DataFrame(rows, columns=[key, "start", "end"])
 
-    found = texts.where(F.col("text").rlike("|".join(NEGATIONS.split()))).select(key, "text")
+    found = texts.where(F.col("text").rlike("|".join(NEGATIONS))).select(key, "text")
     return found.mapInPandas(find, f"{key} {dict(texts.dtypes)[key]}, start long, end long")
 
 
@@ -131,15 +145,38 @@ def named(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     spark = texts.sparkSession
     source = texts.select(key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))
     table = vocabulary(spark)
-    plain = source.withColumn("word", F.explode(F.array_distinct(F.split("text", "[^a-z0-9]+")))).join(F.broadcast(table.where("NOT wide")), "word")
+    plain = source.withColumn("word", F.explode(F.array_distinct(F.split("text", "[^a-z0-9]+")))).join(F.broadcast(table.where("NOT wide AND NOT parts")), "word")
+    several = [w for own in VOCABULARY.values() for words in own.values() for w in words if w.isascii() and not w.isalnum()]
+    runs = source.where(F.col("text").rlike(rf"(?<![a-z0-9])({'|'.join(several)})(?![a-z0-9])")).join(F.broadcast(table.where("parts")), word_at(F.col("text"), F.col("word"), F.col("wide")) >= 0)
     wide = source.where(F.col("text").rlike("[^\\x00-\\x7F]")).join(F.broadcast(table.where("wide")), F.expr("instr(text, word) > 0"))
-    both = plain.select(key, "text", "kind", "concept", "word", "wide").unionByName(wide.select(key, "text", "kind", "concept", "word", "wide"))
+    columns = (key, "text", "kind", "concept", "word", "wide")
+    both = plain.select(*columns).unionByName(wide.select(*columns)).unionByName(runs.select(*columns))
     placed = both.withColumn("position", word_at(F.col("text"), F.col("word"), F.col("wide")))
     first = placed.groupBy(key, "kind", "concept").agg(F.min("position").alias("position"))
     inside = first.join(denials(source, key), key).where("position >= start AND position < end").select(key, "kind", "concept", F.lit(True).alias("denied")).distinct()
     return first.join(inside, [key, "kind", "concept"], "left").select(key, "kind", "concept", "position", F.coalesce("denied", F.lit(False)).alias("denied"))
 
 
+def unclaimed(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, value, position: terms of a text that the vocabulary doesn't know, as objects of their own.
+
+    A plain term has three letters or more; one of a script without blanks has
+    two or three, is no stopword and holds no vocabulary or negation word.
+    """
+    words = [w for own in VOCABULARY.values() for all_words in own.values() for w in all_words]
+    denying = [*NEGATIONS, *ABSENCE]
+    claimed = F.array(*[F.lit(w) for w in sorted({*words, *denying})])
+    holds = "|".join(sorted({w for w in [*words, *denying] if not w.isascii()}))
+    source = texts.select(key, F.lower(F.trim(F.coalesce(F.col(text), F.lit("")))).alias("text"))
+    terms = source.withColumn("value", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([a-z0-9\u3040-\u9fff]+)"), 1))))
+    wide = F.col("value").rlike("[\u2e80-\u9fff]")
+    size = F.char_length("value")
+    held = F.col("value").rlike(holds) | F.col("value").rlike("|".join(sorted({w for w in [*words, *denying] if w.isascii() and w.isalnum()})))
+    own = F.when(wide, size.between(2, 3) & ~F.col("value").isin(*CJK_STOPWORDS) & ~held).otherwise((size >= 3) & ~F.array_contains(claimed, F.col("value")))
+    place = F.octet_length(F.expr("substr(text, 1, instr(text, value) - 1)"))
+    return terms.where(own).select(key, "value", place.alias("position"))
+
+
 def speech_phrase(text: Column) -> Column:
     """What a query quotes: between quotation marks, else after the last speech marker; null if nothing."""
     quoted = [F.nullif(F.trim(F.regexp_extract(text, f"{a}([^{b}]*){b}", 1)), F.lit("")) for a, b in QUOTES]
@@ -150,13 +187,20 @@ def speech_phrase(text: Column) -> Column:
 def compile_queries(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(query_id, text, phrase, intent) and (query_id, need, kind, value, position) of queries (query_id, text).
 
-    need is must, should or must_not: named objects must be there, other kinds
-    should, denied ones must not; a query that only should have things must
-    have them. A spoken phrase and a shot id are musts.
+    need is must, should or must_not: named objects and unknown terms must be
+    there, other kinds should, denied ones must not; a query that only should
+    have things must have them. A spoken phrase and a shot id are musts. A
+    column mode of the queries, one of MODES or empty, overrides the intent;
+    any other is an error.
     """
-    phrases = settle(queries.select("query_id", "text", speech_phrase(F.col("text")).alias("phrase"), F.lower(F.nullif(F.regexp_extract("text", SHOT_ID, 1), F.lit(""))).alias("shot")))
+    has_mode = "mode" in queries.columns
+    phrases = settle(queries.select("query_id", "text", *(["mode"] if has_mode else []), speech_phrase(F.col("text")).alias("phrase"), F.lower(F.nullif(F.regexp_extract("text", SHOT_ID, 1), F.lit(""))).alias("shot")))
     rest = phrases.withColumn("rest", F.when(F.col("phrase").isNull(), F.col("text")).otherwise(F.expr("replace(text, phrase, ' ')")))
-    found = settle(named(rest.select("query_id", F.col("rest").alias("text")), "query_id"))  # it is read four times below
+    rest = rest.select("query_id", F.col("rest").alias("text"))
+    terms = unclaimed(rest, "query_id")
+    inside = terms.join(denials(rest.withColumn("text", F.lower("text")), "query_id"), "query_id").where("position >= start AND position < end").select("query_id", "value", F.lit(True).alias("denied")).distinct()
+    unknown = terms.join(inside, ["query_id", "value"], "left").select("query_id", F.lit("object").alias("kind"), F.col("value").alias("concept"), "position", F.coalesce("denied", F.lit(False)).alias("denied"))
+    found = settle(named(rest, "query_id").unionByName(unknown))  # it is read four times below
     need = F.when(F.col("denied"), "must_not").when(F.col("kind") == "object", "must").otherwise("should")
     rows = found.select("query_id", need.alias("need"), "kind", F.col("concept").alias("value"), "position")
     spoken = phrases.where("phrase IS NOT NULL").select("query_id", F.lit("must").alias("need"), F.lit("speech").alias("kind"), F.col("phrase").alias("value"), F.lit(-1).alias("position"))
@@ -168,4 +212,11 @@ def compile_queries(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
     creative = F.lower("text").rlike("|".join(CREATIVE))
     intent = F.when(F.trim("text") == "", "auto").when(F.col("phrase").isNotNull(), "speech").when(F.col("shot").isNotNull(), "similar").when(flag("denies"), "fact").when(creative, "creative").when((flag("moods") | flag("settings")) & ~flag("objects"), "semantic").otherwise("fact")
+    if has_mode:
+        mode = F.coalesce("mode", F.lit(""))
+        known = F.when(mode.isin("", "auto"), intent).when(mode.isin(*MODES), mode)
+        intent = F.coalesce(known, F.raise_error(F.concat(F.lit("unknown mode "), mode)).cast("string"))
+    rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
+    order = Window.partitionBy("query_id", "need").orderBy(rank, "position", "value")
+    rows = rows.withColumn("place", F.row_number().over(order).cast("long"))
     return phrases.join(seen, "query_id", "left").select("query_id", "text", "phrase", intent.alias("intent")), rows

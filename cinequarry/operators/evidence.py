@@ -28,18 +28,20 @@ def observations(shots: DataFrame, key: str = "id") -> DataFrame:
 
 
 def evidence(candidates: DataFrame, needs: DataFrame, observed: DataFrame, spoken: DataFrame | None = None) -> DataFrame:
-    """query_id, id, need, value, state of every need of every candidate (query_id, id).
+    """query_id, id, need, value, state, sources of every need of every candidate (query_id, id).
 
     confirmed: a structured field says so; possible: only the description or
     the transcript does; contradicted: the description denies it; unknown:
     nothing does. For a must_not, an explicit denial leaves it unknown, never
-    confirmed absent. ``spoken`` (id, value) are phrases found in speech.
+    confirmed absent. sources are the fields that name the value, and
+    transcript. ``spoken`` (id, value) are phrases found in speech.
     """
     pairs = candidates.select("query_id", "id").join(F.broadcast(needs.select("query_id", "need", "kind", "value").distinct()), "query_id")
     seen = observed.groupBy("id", "value").agg(
         F.bool_or(F.col("source") != "description").alias("structured"),
         F.bool_or((F.col("source") == "description") & ~F.col("denied")).alias("described"),
         F.bool_or((F.col("source") == "description") & F.col("denied")).alias("denied"),
+        F.collect_set("source").alias("fields"),
     )
     found = pairs.join(seen, ["id", "value"], "left")
     if spoken is not None:
@@ -57,20 +59,22 @@ def evidence(candidates: DataFrame, needs: DataFrame, observed: DataFrame, spoke
         .when(flag("described") | ((F.col("kind") == "speech") & flag("said")), "possible")
         .otherwise("unknown")
     )
-    return found.select("query_id", "id", "need", "value", state.alias("state"))
+    said = F.when((F.col("kind") == "speech") & flag("said"), F.array(F.lit("transcript"))).otherwise(F.array().cast("array<string>"))
+    sources = F.array_sort(F.concat(F.coalesce("fields", F.array().cast("array<string>")), said))
+    return found.select("query_id", "id", "need", "value", state.alias("state"), sources.alias("sources"))
 
 
 def gate(candidates: DataFrame, proof: DataFrame) -> DataFrame:
-    """Candidates (query_id, id, score) that the evidence doesn't refute, with score * (0.5 + 0.5 * confirmed share).
+    """Candidates (query_id, id, score) that the evidence doesn't refute, with score * (0.5 + 0.5 * confirmed share of musts).
 
-    Out go rows with a contradicted need, with a must that nothing supports,
-    and with a must_not that is observed.
+    Out go rows with a contradicted must, with a must that nothing supports,
+    and with a must_not that is observed. A should neither counts nor refutes.
     """
-    wanted = F.col("need") != "must_not"
+    wanted, negated = F.col("need") == "must", F.col("need") == "must_not"
     judged = proof.groupBy("query_id", "id").agg(
-        F.count_if(F.col("state") == "contradicted").alias("contradicted"),
-        F.count_if((F.col("need") == "must") & (F.col("state") == "unknown")).alias("unsupported"),
-        F.count_if(~wanted & F.col("state").isin("confirmed", "possible")).alias("forbidden"),
+        F.count_if(wanted & (F.col("state") == "contradicted")).alias("contradicted"),
+        F.count_if(wanted & (F.col("state") == "unknown")).alias("unsupported"),
+        F.count_if(negated & F.col("state").isin("confirmed", "possible")).alias("forbidden"),
         F.count_if(wanted & (F.col("state") == "confirmed")).alias("confirmed"),
         F.count_if(wanted).alias("total"),
     )

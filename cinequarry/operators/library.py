@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cinequarry.functions.vectors import norm, similar_pairs, unit
 from cinequarry.operators.graph import connected_components
 
 
@@ -75,55 +76,97 @@ def merge_fields(candidates: DataFrame, keys: Sequence[str], ranks: Sequence[str
     return best.select(*keys, "field", "best.value", "best.source", F.array_remove("values", F.col("best.value")).alias("conflicting"))
 
 
+#: Sources that follow from other captures and are none themselves.
+DERIVED = ("proxy", "sidecar", "derived")
+
+
 def sessions(captures: DataFrame, device_keys: Sequence[str], markers: Sequence[str], gap_ms: int = 30 * 60_000) -> DataFrame:
-    """id, session of captures (id, start_ms, end_ms, device keys, markers).
+    """id, session of captures (id, start_ms, device keys, markers; optionally source).
 
-    Captures of one device with a gap of at most ``gap_ms`` belong together,
-    and so do those that share a marker; sessions are the connected
-    components, named by their smallest id. Each device key and marker only
-    links a capture to its neighbour, so links are fewer than captures times keys.
+    Captures of one device whose times are at most ``gap_ms`` after the one
+    before belong together, and so do those that share a marker; sessions are
+    the connected components, named by their smallest id. Keys are trimmed and
+    lower-cased, empty ones join nothing, a capture without a time has no
+    device neighbour, an id counts once, and derived sources are left out.
+
+    Nothing is sorted by device: captures within one stretch of ``gap_ms`` are
+    linked to its first, and stretches that follow each other by their last
+    and first, so that a device of a third of all rows is summed in parts.
     """
-    links = None
-    for key in [*device_keys, *markers]:
-        own = captures.where(F.col(key).isNotNull() & (F.col(key).cast("string") != ""))
-        order = Window.partitionBy(key).orderBy("start_ms", "id")
-        reach = F.max(F.struct("end_ms", "id")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-        linked = own.withColumn("__before", reach)
-        if key in device_keys:
-            linked = linked.where(F.col("start_ms") - F.col("__before.end_ms") <= gap_ms)
-        pairs = linked.where("__before IS NOT NULL").select(F.col("__before.id").alias("a"), F.col("id").alias("b"))
-        links = pairs if links is None else links.unionByName(pairs)
-    if links is None:
+    if "source" in captures.columns:
+        captures = captures.where(~F.coalesce(F.lower(F.trim("source")), F.lit("")).isin(*DERIVED))
+    captures = captures.dropDuplicates(["id"])
+    key_of = lambda c: F.lower(F.trim(F.col(c).cast("string")))
+    links = []
+    for name in markers:
+        own = captures.select("id", key_of(name).alias("k")).where("k <> ''")
+        first = own.groupBy("k").agg(F.min("id").alias("a"))
+        links.append(own.join(first, "k").select("a", F.col("id").alias("b")))
+    for name in device_keys:
+        own = captures.where("start_ms IS NOT NULL").select("id", "start_ms", key_of(name).alias("k"), F.floor(F.col("start_ms") / gap_ms).alias("stretch")).where("k <> ''")
+        ends = own.groupBy("k", "stretch").agg(F.min(F.struct("start_ms", "id")).alias("first"), F.max(F.struct("start_ms", "id")).alias("last"))
+        links.append(own.join(ends, ["k", "stretch"]).select(F.col("first.id").alias("a"), F.col("id").alias("b")))
+        following = ends.select("k", (F.col("stretch") - 1).alias("stretch"), F.col("first").alias("next"))
+        links.append(ends.join(following, ["k", "stretch"]).where(F.col("next.start_ms") - F.col("last.start_ms") <= gap_ms).select(F.col("last.id").alias("a"), F.col("next.id").alias("b")))
+    if not links:
         return captures.select("id", F.col("id").alias("session"))
-    return captures.select("id").join(connected_components(links).select(F.col("node").alias("id"), "label"), "id", "left").select("id", F.coalesce("label", "id").alias("session"))
+    both = links[0]
+    for more in links[1:]:
+        both = both.unionByName(more)
+    labels = connected_components(both.where("a <> b")).select(F.col("node").alias("id"), "label")
+    return captures.select("id").join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("session"))
+
+
+def session_spans(captures: DataFrame, members: DataFrame) -> DataFrame:
+    """session, start_ms, end_ms, captures: a session ends with the capture that ends last."""
+    end = F.coalesce("end_ms", "start_ms") if "end_ms" in captures.columns else F.col("start_ms")
+    return captures.dropDuplicates(["id"]).join(members, "id").groupBy("session").agg(F.min("start_ms").alias("start_ms"), F.max(end).alias("end_ms"), F.count("*").alias("captures"))
+
+
+def rebuild_sessions(stored: DataFrame, captures: DataFrame, device_keys: Sequence[str], markers: Sequence[str], gap_ms: int = 30 * 60_000) -> DataFrame:
+    """id, session, root, origin after the automatic sessions of every root in ``captures`` are made anew.
+
+    ``stored`` (id, session, root, origin) keeps what people set; automatic
+    rows of the roots that are rebuilt are replaced. Sessions never cross a
+    root: it is part of every key. ``captures`` has a row a location
+    (id, root, rank and sessions()' columns); the best-ranked of an asset counts.
+    """
+    best = first_of(captures, ["root", "id"], [F.col("rank"), F.col("id")])
+    own = [*device_keys, *markers]
+    keyed = best.withColumns({c: F.when(F.trim(F.col(c)) != "", F.concat_ws("\x1f", "root", F.trim(F.col(c)))) for c in own})
+    fresh = sessions(keyed, device_keys, markers, gap_ms).join(best.select("id", "root"), "id").select("id", "session", "root", F.lit("automatic").alias("origin"))
+    rebuilt = captures.select("root").distinct()
+    kept = stored.where("origin <> 'automatic'").unionByName(stored.where("origin = 'automatic'").join(rebuilt, "root", "left_anti").select(*stored.columns))
+    return kept.select("id", "session", "root", "origin").unionByName(fresh)
 
 
 def rare(rows: DataFrame, key: str, terms: Column) -> DataFrame:
-    """key, score, rare_terms: the mean of 1 - df/N over a row's distinct terms, and the terms of one row only."""
+    """key, score, rare_terms, least_df: the mean of 1 - df/N over a row's distinct terms, and its rare terms.
+
+    Rare terms are those of one row only, or else the row's first term.
+    """
     n = rows.count()
-    each = rows.select(key, F.explode(F.array_distinct(terms)).alias("term"))
+    each = rows.select(key, F.posexplode(F.array_distinct(terms)).alias("place", "term"))
     df = each.groupBy("term").agg(F.count("*").alias("df"))
-    return each.join(df, "term").groupBy(key).agg((1 - F.avg(F.col("df") / F.lit(n))).alias("score"), F.array_sort(F.collect_list(F.when(F.col("df") <= 1, F.col("term")))).alias("rare_terms"))
+    lonely = F.array_sort(F.collect_list(F.when(F.col("df") <= 1, F.col("term"))))
+    sums = each.join(df, "term").groupBy(key).agg((1 - F.avg(F.col("df") / F.lit(n))).alias("score"), lonely.alias("lonely"), F.min_by("term", "place").alias("first"), F.min("df").alias("least_df"))
+    return sums.select(key, "score", F.when(F.size("lonely") > 0, F.col("lonely")).otherwise(F.array("first")).alias("rare_terms"), "least_df")
 
 
-def tag_clusters(tags: DataFrame, least: float = 0.86) -> DataFrame:
+def tag_clusters(tags: DataFrame, least: float = 0.86, block: int = 1024) -> DataFrame:
     """tag, cluster, members, similarity of tags (id, vector) alike by cosine; a tag alone is in none.
 
-    Tag catalogues are curated lists of some hundreds; pairs are made within
-    this one table, which may hold MOST_TAGS rows.
+    Every tag is a query against all others, in blocks that meet in tasks as
+    matrices; only pairs that reach ``least`` become rows. similarity is the
+    mean over all pairs of a cluster, from the sum of its unit vectors, so
+    pairs within a cluster are never made. A vector of another width, or
+    without length, is like none.
     """
-    from cinequarry.functions.vectors import cosine
-
-    n = tags.count()
-    if n > MOST_TAGS:
-        raise ValueError(f"{n} tags; a catalogue may hold {MOST_TAGS}")
-    a, b = tags.select(F.col("id").alias("a"), F.col("vector").alias("va")), tags.select(F.col("id").alias("b"), F.col("vector").alias("vb"))
-    pairs = a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", cosine("va", "vb", -1.0).alias("similarity"))
-    labels = connected_components(pairs.where(F.col("similarity") >= least).select("a", "b")).select(F.col("node").alias("tag"), F.col("label").alias("cluster"))
-    inner = pairs.join(labels.withColumnsRenamed({"tag": "a", "cluster": "ca"}), "a").join(labels.withColumnsRenamed({"tag": "b", "cluster": "cb"}), "b").where("ca = cb").groupBy(F.col("ca").alias("cluster")).agg(F.avg("similarity").alias("similarity"))
-    sizes = labels.groupBy("cluster").agg(F.count("*").alias("members"))
-    return labels.join(sizes, "cluster").join(inner, "cluster").select("tag", "cluster", "members", "similarity")
-
-
-#: Tags that tag_clusters() takes at most.
-MOST_TAGS = 5_000
+    rows = tags.where(F.col("vector").isNotNull() & (norm(F.col("vector")) > 0)).select("id", unit("vector").alias("vector"))
+    links = similar_pairs(rows, least, block=block)
+    labels = connected_components(links.select("a", "b")).select(F.col("node").alias("tag"), F.col("label").alias("cluster"))
+    parts = labels.join(rows, F.col("tag") == F.col("id")).select("cluster", F.posexplode("vector").alias("i", "x"))
+    sums = parts.groupBy("cluster", "i").agg(F.sum("x").alias("s")).groupBy("cluster").agg(F.sum(F.col("s") * F.col("s")).alias("square"))
+    sizes = labels.groupBy("cluster").agg(F.count("*").alias("members")).join(sums, "cluster")
+    mean = (F.col("square") - F.col("members")) / (F.col("members") * (F.col("members") - 1))
+    return labels.join(sizes.select("cluster", "members", mean.alias("similarity")), "cluster").select("tag", "cluster", "members", "similarity")

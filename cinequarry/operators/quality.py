@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinequarry.functions.intervals import iou
+from cinequarry.functions.intervals import iou, related
 
 
 def ranking(results: DataFrame, grades: DataFrame, k: int = 10) -> DataFrame:
@@ -26,27 +27,51 @@ def ranking(results: DataFrame, grades: DataFrame, k: int = 10) -> DataFrame:
     return ideal.join(hits, "query_id", "left").select("query_id", (n("hits") / k).alias("precision"), (n("hits") / F.col("relevant")).alias("recall"), (n("dcg") / F.col("ideal")).alias("ndcg"))
 
 
-def match_events(predicted: DataFrame, truth: DataFrame, keys: list[str], least: float = 0.5) -> DataFrame:
+def match_events(predicted: DataFrame, truth: DataFrame, keys: list[str], least: float = 0.5, *, bucket_ms: int = 60_000) -> DataFrame:
     """keys, prediction, truth, iou: each prediction, in order, with the best truth still free.
 
-    One-to-one matching in order is greedy within an (asset, label) track, so
-    a track is one group; only pairs that reach the threshold enter it.
+    Pairs are made in shared time buckets and only where they reach the
+    threshold. One-to-one matching in order is greedy, but pairs of spans that
+    don't touch can't compete, so each run of overlapping spans is a group of
+    its own.
     """
-    p = predicted.select(*keys, F.col("id").alias("prediction"), F.col("start_ms").alias("ps"), F.col("end_ms").alias("pe"))
-    t = truth.select(*keys, F.col("id").alias("truth"), F.col("start_ms").alias("ts"), F.col("end_ms").alias("te"))
-    pairs = p.join(t, keys).withColumn("iou", iou((F.col("ps"), F.col("pe")), (F.col("ts"), F.col("te")))).where(F.col("iou") >= least)
+    tag = lambda d, name: d.select(F.concat_ws("\x1f", *[F.col(k).cast("string") for k in keys]).alias("__key"), F.struct(*keys).alias(f"__{name}"), F.col("id").alias(name), "start_ms", "end_ms")
+    met = related(tag(predicted, "prediction"), tag(truth, "truth"), "__key", "simultaneous", bucket_ms=bucket_ms)
+    p, t = (F.col("left_start_ms"), F.col("left_end_ms")), (F.col("right_start_ms"), F.col("right_end_ms"))
+    pairs = met.withColumn("iou", iou(p, t)).where(F.col("iou") >= least).withColumns({"start_ms": F.least(p[0], t[0]), "end_ms": F.greatest(p[1], t[1])})
+    order = Window.partitionBy("__key").orderBy("start_ms", "end_ms")
+    reach = F.max("end_ms").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = pairs.withColumn("__new", F.when(F.col("start_ms") < reach, 0).otherwise(1)).withColumn("__run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     types = {f.name: f.dataType.simpleString() for f in pairs.schema}
+    columns = ["__prediction", "prediction", "truth", "iou"]
 
     def match(frame: pd.DataFrame) -> pd.DataFrame:
         used, rows = set(), []
-        for _, own in frame.sort_values(["ps", "pe", "prediction"]).groupby(["ps", "pe", "prediction"], sort=True):
-            free = own[~own["truth"].isin(used)].sort_values(["iou", "truth"], ascending=[False, True])
+        for _, own in frame.sort_values(["left_start_ms", "left_end_ms", "prediction"]).groupby(["left_start_ms", "left_end_ms", "prediction"], sort=True):
+            free = own[~own["truth"].isin(used)].sort_values(["iou", "right_start_ms", "truth"], ascending=[False, True, True])
             if len(free):
                 used.add(free["truth"].iloc[0])
-                rows.append(free.iloc[0])
-        return pd.DataFrame(rows, columns=frame.columns)[[*keys, "prediction", "truth", "iou"]]
+                rows.append(free.index[0])
+        return frame.loc[rows, columns]
 
-    return pairs.groupBy(*keys).applyInPandas(match, ", ".join([*(f"{k} {types[k]}" for k in keys), f"prediction {types['prediction']}", f"truth {types['truth']}", "iou double"]))
+    found = runs.groupBy("__key", "__run").applyInPandas(match, f"__prediction {types['__prediction']}, prediction {types['prediction']}, truth {types['truth']}, iou double")
+    return found.select("__prediction.*", "prediction", "truth", "iou")
+
+
+def event_scores(predicted: DataFrame, truth: DataFrame, matches: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: micro_f1, macro_f1, boundary_error_ms of match_events()' pairs.
+
+    The macro mean is over keys with any match; the boundary error is the mean
+    of both ends' distances over matched pairs.
+    """
+    n = lambda d, name: d.groupBy(*keys).agg(F.count("*").alias(name))
+    every = n(predicted, "p").join(n(truth, "t"), keys, "full_outer").join(n(matches, "tp"), keys, "left").na.fill(0, ["p", "t", "tp"])
+    own = F.when(F.col("tp") > 0, 2 * F.col("tp") / (F.col("p") + F.col("t")))
+    sums = every.agg(F.coalesce(2 * F.sum("tp") / F.sum(F.col("p") + F.col("t")), F.lit(0.0)).alias("micro_f1"), F.coalesce(F.avg(own), F.lit(0.0)).alias("macro_f1"))
+    ends = lambda d, name: d.select(F.col("id").alias(name), F.col("start_ms").alias(f"s_{name}"), F.col("end_ms").alias(f"e_{name}"))
+    both = matches.join(ends(predicted, "prediction"), "prediction").join(ends(truth, "truth"), "truth")
+    off = (F.abs(F.col("s_prediction") - F.col("s_truth")) + F.abs(F.col("e_prediction") - F.col("e_truth"))) / 2
+    return sums.crossJoin(both.agg(F.coalesce(F.avg(off), F.lit(0.0)).alias("boundary_error_ms")))  # one row each
 
 
 def f1(hits: Column, predicted: Column, actual: Column) -> Column:
@@ -81,38 +106,90 @@ def centroid(rows: DataFrame, key: str) -> DataFrame:
     return sums.select(key, "position", F.when(length > 0, F.col("s") / length).otherwise(F.lit(0.0)).alias("value"))
 
 
-def diarization_frames(turns: DataFrame, frame_ms: int = 10) -> DataFrame:
-    """asset, speaker, frame of every frame that a turn covers."""
-    last = F.greatest(F.floor((F.col("end_ms") - 1) / frame_ms), F.floor(F.col("start_ms") / frame_ms))
-    return turns.where("end_ms > start_ms").select("asset", "speaker", F.explode(F.sequence(F.floor(F.col("start_ms") / frame_ms), last)).alias("frame")).distinct()
-
-
-def diarization_error(reference: DataFrame, hypothesis: DataFrame, frame_ms: int = 10) -> DataFrame:
-    """asset, missed, false_alarm, confused, der, with each hypothesis speaker mapped to its best reference speaker.
-
-    The mapping is one-to-one and optimal per asset, over at most 20 speakers
-    of either side (a small matrix of shared frames, not the frames themselves).
+def best_assignment(weights: np.ndarray) -> list[tuple[int, int]]:
+    """(row, column) pairs, one a row and column at most, of the greatest total weight, by shortest augmenting paths."""
+    n, m = weights.shape
+    if n > m:
+        return sorted((r, c) for c, r in best_assignment(weights.T))
+    cost = weights.max(initial=0) - weights.astype(float)
+    u, v, owner = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
+    for row in range(1, n + 1):
+        owner[0], at = row, 0
+        least, way, done = np.full(m + 1, np.inf), np.zeros(m + 1, int), np.zeros(m + 1, bool)
+        while owner[at]:
+            done[at] = True
+            slack = cost[owner[at] - 1] - u[owner[at]] - v[1:]
+            better = ~done[1:] & (slack < least[1:])
+            least[1:][better], way[1:][better] = slack[better], at
+            step_to = 1 + int(np.argmin(np.where(done[1:], np.inf, least[1:])))
+            step = least[step_to]
+            u[owner[done]] += step
+            v[done] -= step
+            least[~done] -= step
+            at = step_to
+        while at:
+            owner[at] = owner[way[at]]
+            at = way[at]
+    return sorted((int(owner[c]) - 1, c - 1) for c in range(1, m + 1) if owner[c])
+
+
+def diarization_error(reference: DataFrame, hypothesis: DataFrame, durations: DataFrame, *, frame_ms: int = 10, collar_ms: int = 250) -> DataFrame:
+    """asset, der_with_overlap, der_without_overlap, speaker_count_error of turns (asset, speaker, start_ms, end_ms).
+
+    Errors are counted over frames of ``frame_ms`` within ``durations``
+    (asset, duration_ms), but for those within the collar of a reference
+    boundary. Where turns of one side overlap, the one that starts last (and
+    then ends last) holds the frame; the second rate leaves out what several
+    reference turns share. Each reference speaker is matched with one of the
+    hypothesis at most, for the most frames in common. Assets without a scored
+    frame have no rates.
+
+    Frames aren't made: a recording's turns are one group, swept once over
+    their boundaries, for any number of speakers.
     """
-    r, h = diarization_frames(reference, frame_ms), diarization_frames(hypothesis, frame_ms)
-    shared = r.join(h.withColumnRenamed("speaker", "guess"), ["asset", "frame"]).groupBy("asset", "speaker", "guess").agg(F.count("*").alias("n"))
-
-    def assign(frame: pd.DataFrame) -> pd.DataFrame:
-        table = frame.pivot_table(index="guess", columns="speaker", values="n", fill_value=0)
-        if max(table.shape) > 20:
-            raise ValueError("more than 20 speakers in an asset")
-        best = {0: 0}
-        for row in table.to_numpy():
-            grown = dict(best)
-            for mask, value in best.items():
-                for j, n in enumerate(row):
-                    if n and not mask >> j & 1:
-                        grown[mask | 1 << j] = max(grown.get(mask | 1 << j, 0), value + int(n))
-            best = grown
-        return pd.DataFrame({"asset": [frame["asset"].iloc[0]], "right": [max(best.values())]})
-
-    right = shared.groupBy("asset").applyInPandas(assign, f"asset {dict(shared.dtypes)['asset']}, right long")
-    per = lambda d, name: d.groupBy("asset", "frame").agg(F.count("*").alias(name))
-    frames = per(r, "a").join(per(h, "b"), ["asset", "frame"], "full_outer").na.fill(0)
-    sums = frames.groupBy("asset").agg(F.sum("a").alias("speech"), F.sum(F.greatest(F.col("a") - F.col("b"), F.lit(0))).alias("missed"), F.sum(F.greatest(F.col("b") - F.col("a"), F.lit(0))).alias("false_alarm"), F.sum(F.least("a", "b")).alias("both"))
-    confused = F.col("both") - F.coalesce("right", F.lit(0))
-    return sums.join(right, "asset", "left").select("asset", "missed", "false_alarm", confused.alias("confused"), F.when(F.col("speech") > 0, (F.col("missed") + F.col("false_alarm") + confused) / F.col("speech")).alias("der"))
+    own = lambda d, side: d.where("end_ms > start_ms").select("asset", F.col("speaker").cast("string").alias("speaker"), F.floor(F.col("start_ms") / frame_ms).alias("a"), F.floor(F.col("end_ms") / frame_ms).alias("b"), F.lit(side).alias("side"))
+    turns = own(reference, 0).unionByName(own(hypothesis, 1)).join(durations.select("asset", F.floor(F.col("duration_ms") / frame_ms).alias("frames")), "asset")
+    collar = collar_ms // frame_ms
+
+    def sweep(frame: pd.DataFrame) -> pd.DataFrame:
+        total = int(frame["frames"].iloc[0])
+        clipped = frame.assign(a=frame["a"].clip(0, total), b=frame["b"].clip(0, total)).sort_values(["a", "b", "speaker"])
+        ref, hyp = clipped[clipped["side"] == 0], clipped[clipped["side"] == 1]
+        raw = frame[frame["side"] == 0]
+        near = np.concatenate([raw["a"].to_numpy(), raw["b"].to_numpy()]).astype(int)
+        collars = np.stack([np.clip(near - collar, 0, total), np.clip(near + collar, 0, total)], 1)
+        edges = np.unique(np.concatenate([[0, total], clipped["a"], clipped["b"], collars.reshape(-1)]).astype(int))
+        starts, sizes = edges[:-1], np.diff(edges)
+        names = [sorted(side["speaker"].unique()) for side in (ref, hyp)]
+
+        def holders(side: pd.DataFrame, known: list[str]) -> np.ndarray:
+            out = np.full(len(starts), -1)
+            for s, a, b in zip(side["speaker"], np.searchsorted(edges, side["a"]), np.searchsorted(edges, side["b"]), strict=True):
+                out[a:b] = known.index(s)
+            return out
+
+        def depth(spans: np.ndarray) -> np.ndarray:
+            change = np.zeros(len(edges), int)
+            np.add.at(change, np.searchsorted(edges, spans[:, 0]), 1)
+            np.add.at(change, np.searchsorted(edges, spans[:, 1]), -1)
+            return np.cumsum(change)[:-1]
+
+        r, h = holders(ref, names[0]), holders(hyp, names[1])
+        shared = np.zeros((len(names[0]), len(names[1])))
+        both = (r >= 0) & (h >= 0)
+        np.add.at(shared, (r[both], h[both]), sizes[both])
+        match = np.full(len(names[0]) + 1, -2)  # the last for no speaker
+        for x, y in best_assignment(shared) if shared.size else ():
+            if shared[x, y]:
+                match[x] = y
+        wrong = np.where(r >= 0, match[r] != h, h >= 0)
+        scored = depth(collars) == 0
+        alone = scored & (depth(ref[["a", "b"]].to_numpy().astype(int)) <= 1)
+        rates = [float((sizes * (wrong & k)).sum() / n) if (n := int((sizes * k).sum())) else (None if k is scored else 0.0) for k in (scored, alone)]
+        present = [len(set(x[(x >= 0) & (sizes > 0)].tolist())) for x in (r, h)]
+        if rates[0] is None:
+            rates[1] = None
+        return pd.DataFrame({"asset": [frame["asset"].iloc[0]], "der_with_overlap": [rates[0]], "der_without_overlap": [rates[1]], "speaker_count_error": [present[1] - present[0]]})
+
+    kind = dict(turns.dtypes)["asset"]
+    return turns.where("frames > 0").groupBy("asset").applyInPandas(sweep, f"asset {kind}, der_with_overlap double, der_without_overlap double, speaker_count_error long")

@@ -30,35 +30,35 @@ def check_page(limit: int = 0, offset: int = 0) -> tuple[int, int]:
 def diversify(pool: DataFrame, limit: int, diversity: float = 0.2) -> DataFrame:
     """Greedy choice a query from (query_id, id, asset, session, start_ms, score), with its place from 1.
 
-    A shot within five seconds of a chosen one of its asset is left out; every
-    chosen shot of its asset or session lowers its score, by a share of the
-    pool's best. The choice depends on its order, so each query's pool is one
-    group; it is cut to the pool size first, so no group grows with the data.
+    One pass in order of score and id: a shot within five seconds of a chosen
+    one of its asset is left out; each chosen shot of its asset, or else of
+    its session, takes a share of the pool's best from its score; it is put
+    behind the chosen ones that score as much, and the list is cut to the
+    limit. Without diversity the order stays. The choice depends on its order,
+    so each query's pool is one group; it is cut to the pool size first, so no
+    group grows with the data.
     """
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    cut = pool.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= pool_size(limit)).drop("__rank")
+    cut = pool.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= pool_size(limit))
+    if diversity <= 0:
+        return cut.where(F.col("__rank") <= limit).select("query_id", "id", "score", F.col("__rank").cast("long").alias("place"))
 
     def choose(frame: pd.DataFrame) -> pd.DataFrame:
-        left = frame.sort_values(["score", "id"], ascending=[False, True]).to_dict("records")
-        scale = diversity / 0.2 * max([0.0, *(r["score"] for r in left)])
+        rows = frame.sort_values("__rank").to_dict("records")
+        scale = diversity / 0.2 * max([0.0, *(r["score"] for r in rows)])
         chosen: list[dict] = []
-        while left and len(chosen) < limit:
-            best, best_score = None, 0.0
-            for r in left:
-                own = [c for c in chosen if c["asset"] == r["asset"]]
-                if any(abs(c["start_ms"] - r["start_ms"]) <= NEAR_MS for c in own):
-                    continue
-                session = sum(1 for c in chosen if r["session"] is not None and c["session"] == r["session"])
-                score = max(0.0, r["score"] - scale * (SAME_ASSET * len(own) + SAME_SESSION * session))
-                if best is None or (score, -r["id"]) > (best_score, -best["id"]):
-                    best, best_score = r, score
-            if best is None:
-                break
-            left.remove(best)
-            chosen.append(best | {"score": best_score, "place": len(chosen) + 1})
-        return pd.DataFrame([{k: c[k] for k in ("query_id", "id", "score", "place")} for c in chosen], columns=["query_id", "id", "score", "place"])
+        for r in rows if scale > 0 else ():
+            own = [c for c in chosen if c["asset"] == r["asset"]]
+            if any(abs(c["start_ms"] - r["start_ms"]) <= NEAR_MS for c in own):
+                continue
+            kin = sum(c["asset"] != r["asset"] and pd.notna(r["session"]) and c["session"] == r["session"] for c in chosen)
+            score = max(0.0, r["score"] - scale * (SAME_ASSET * len(own) + SAME_SESSION * kin))
+            place = sum(c["score"] >= score for c in chosen)
+            chosen.insert(place, r | {"score": score})
+            del chosen[limit:]
+        return pd.DataFrame([(r["query_id"], r["id"], r["score"], i) for i, r in enumerate(chosen, 1)], columns=["query_id", "id", "score", "place"])
 
-    return cut.select("query_id", "id", "asset", "session", "start_ms", "score").groupBy("query_id").applyInPandas(choose, "query_id long, id long, score double, place long")
+    return cut.select("query_id", "id", "asset", "session", "start_ms", "score", "__rank").groupBy("query_id").applyInPandas(choose, "query_id long, id long, score double, place long")
 
 
 def neighbours(rows: DataFrame, key: str, group: str, ordinal: str) -> DataFrame:

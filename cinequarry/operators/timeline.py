@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,20 +52,42 @@ def phrase_hits(words: DataFrame, keys: list[str], phrase: list[str], gap_ms: in
     return rows.select(*keys, "start_ms", end.alias("end_ms"), ok.alias("__ok")).where("__ok").drop("__ok")
 
 
-def plan_windows(duration_ms: Column, longest_ms: int = 480_000, least_ms: int = 30_000, overlap_ms: int = 5_000) -> Column:
-    """Windows of an asset as an array of (start_ms, end_ms): equal steps, overlapping, the last not shorter than ``least_ms``."""
-    step = longest_ms - overlap_ms
-    n = F.greatest(F.ceil((duration_ms - overlap_ms) / step), F.lit(1))
-    n = F.when((n > 1) & (duration_ms - (n - 1) * step < least_ms), n - 1).otherwise(n)
-    last = n
-    return F.transform(F.sequence(F.lit(0).cast("long"), last - 1), lambda i: F.struct((i * step).cast("long").alias("start_ms"), F.when(i == last - 1, duration_ms).otherwise(F.least(i * step + longest_ms, duration_ms)).cast("long").alias("end_ms")))
+def plan_windows(duration_ms: Column, proxy_bytes: Column, budget_bytes: int, longest_ms: int = 480_000, least_ms: int = 30_000, overlap_ms: int = 5_000) -> Column:
+    """Windows of a recording as an array of (start_ms, end_ms): as long as the byte budget and ``longest_ms`` allow.
 
+    Windows of one length overlap, the last is cut at the end. A recording
+    within both limits, or without a known size or duration, is one window. A
+    window is not made shorter than ``least_ms`` for the budget's sake.
+    """
+    long = lambda c: c.cast("long")
+    size = F.greatest(F.least(F.floor(duration_ms * F.lit(budget_bytes) / proxy_bytes), F.lit(longest_ms)), F.lit(least_ms))
+    whole = (F.coalesce(duration_ms, F.lit(0)) <= 0) | (F.coalesce(proxy_bytes, F.lit(0)) <= 0) | F.lit(budget_bytes <= 0) | ((proxy_bytes <= budget_bytes) & (duration_ms <= longest_ms)) | (size >= duration_ms)
+    step = F.when(size > overlap_ms, size - max(overlap_ms, 0)).otherwise(size)
+    last = F.ceil((duration_ms - size) / step)
+    span = lambda s, e: F.struct(long(s).alias("start_ms"), long(e).alias("end_ms"))
+    split = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(long(last), F.lit(0).cast("long"))), lambda i: span(i * step, F.least(i * step + size, duration_ms)))
+    return F.when(whole, F.array(span(F.lit(0), F.coalesce(duration_ms, F.lit(0))))).otherwise(split)
+
+
+# Where in a shot its sample frames lie, for short, usual and long shots.
+FRAME_RATIOS = ((0.2, 0.7), (0.10, 0.35, 0.65, 0.90), (0.05, 0.20, 0.40, 0.60, 0.80, 0.95))
+
+
+def plan_frames(start_ms: Column, end_ms: Column, mode: str = "boundary_aware") -> Column:
+    """Times of a shot's sample frames: 2 below two seconds, 6 above thirty, else 4, rounded and distinct.
 
-def plan_frames(start_ms: Column, end_ms: Column) -> Column:
-    """Times of a shot's sample frames: 2 below two seconds, 6 above thirty, else 4, evenly inside, distinct."""
+    In the mode uniform they stand evenly, else off the shot's boundaries. A
+    shot without length has none.
+    """
     span = end_ms - start_ms
-    n = F.when(span < 2000, 2).when(span > 30_000, 6).otherwise(4)
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: (start_ms + F.floor(span * (2 * i - 1) / (2 * n))).cast("long")))
+
+    def at(ratios: tuple[float, ...]) -> Column:
+        if mode == "uniform":
+            ratios = tuple((i + 0.5) / len(ratios) for i in range(len(ratios)))
+        return F.array(*[(start_ms + F.floor(span * F.lit(r) + 0.5)).cast("long") for r in ratios])
+
+    times = F.when(span < 2000, at(FRAME_RATIOS[0])).when(span > 30_000, at(FRAME_RATIOS[2])).otherwise(at(FRAME_RATIOS[1]))
+    return F.when(span > 0, F.array_distinct(times)).otherwise(F.array().cast("array<long>"))
 
 
 def pyramid(samples: DataFrame, keys: list[str], level: int) -> DataFrame:
@@ -74,45 +95,52 @@ def pyramid(samples: DataFrame, keys: list[str], level: int) -> DataFrame:
     return samples.groupBy(*keys, F.shiftright("index", level).alias("bucket")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
 
-def sound_events(cells: DataFrame, keys: list[str], *, cell_ms: int = 100, on: float = 0.35, off: float = 0.20, gap_ms: int = 300, least_ms: int = 200) -> DataFrame:
-    """keys, start_ms, end_ms, raw_score of events in scored cells (keys, cell, score).
+def patch_cells(patches: DataFrame, keys: list[str], durations: DataFrame, on: str, *, hop_ms: int = 480, patch_ms: int = 960, cell_ms: int = 100) -> DataFrame:
+    """keys, cell, score: the mean of the patches over each cell, weighted by what they share; 0 where there is none.
 
-    Scores are smoothed by a median of three; an event opens at ``on`` and
-    closes with the second cell in a row under ``off``; events closer than the
-    gap merge and short ones go. The state machine needs each track in order,
-    so one (asset, label) track is one group, as long as its recording.
+    From patches (keys, patch, score) of overlapping stretches and durations
+    (``on``, duration_ms). A recording's last cell and patches end with it.
+    """
+    begin = F.col("patch") * hop_ms
+    rows = patches.join(durations, on).withColumn("__end", F.least(begin + patch_ms, F.col("duration_ms"))).where(F.col("__end") > begin)
+    rows = rows.withColumn("cell", F.explode(F.sequence(F.floor(begin / cell_ms), F.floor((F.col("__end") - 1) / cell_ms))))
+    shared = F.least(F.least((F.col("cell") + 1) * cell_ms, F.col("duration_ms")), F.col("__end")) - F.greatest(F.col("cell") * cell_ms, begin)
+    sums = rows.withColumn("__w", shared).groupBy(*keys, "cell").agg((F.sum(F.col("__w") * F.col("score")) / F.sum("__w")).alias("score"))
+    cells = F.explode(F.sequence(F.lit(0).cast("long"), (F.ceil(F.col("duration_ms") / cell_ms) - 1).cast("long")))
+    every = patches.select(*keys).distinct().join(durations.where("duration_ms > 0"), on).select(*keys, cells.alias("cell"))
+    return every.join(sums, [*keys, "cell"], "left").select(*keys, "cell", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def sound_events(cells: DataFrame, keys: list[str], *, cell_ms: int = 100, on: float = 0.35, off: float = 0.20, gap_ms: int = 300, least_ms: int = 200, duration_ms: Column | None = None) -> DataFrame:
+    """keys, start_ms, end_ms, raw_score of events in scored cells (keys, cell, score), one cell each from 0.
+
+    Scores are smoothed by a median of three (the mean of two at the ends); an
+    event opens at ``on`` and closes where the first of two cells in a row
+    under ``off`` begins, or with the recording; events closer than the gap
+    merge and short ones go. ``duration_ms`` is the recording's length, the
+    last cell's end by default.
+
+    A second low cell in a row closes whatever is open, so tracks fall into
+    blocks between such cells and no state has to be carried.
     """
-    types = {f.name: f.dataType.simpleString() for f in cells.schema}
-
-    def track(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("cell")
-        scores = frame["score"].rolling(3, center=True, min_periods=1).median().tolist()
-        spans: list[list] = []
-        start, low, best = None, 0, 0.0
-        places = frame["cell"].tolist()
-        for place, s in [*zip(places, scores, strict=True), (places[-1] + 1, 0.0), (places[-1] + 2, 0.0)]:
-            if start is None:
-                if s >= on:
-                    start, low, best = place, 0, s
-                continue
-            low = low + 1 if s < off else 0
-            best = max(best, s)
-            if low == 2:
-                spans.append([start * cell_ms, (place - 1) * cell_ms, best])
-                start = None
-        merged: list[list] = []
-        for s in spans:
-            if merged and s[0] - merged[-1][1] <= gap_ms:
-                merged[-1][1:] = [s[1], max(merged[-1][2], s[2])]
-            else:
-                merged.append(s)
-        rows = [s for s in merged if s[1] - s[0] >= least_ms]
-        out = pd.DataFrame(rows, columns=["start_ms", "end_ms", "raw_score"])
-        for k in keys:
-            out[k] = frame[k].iloc[0]
-        return out[[*keys, "start_ms", "end_ms", "raw_score"]]
-
-    return cells.groupBy(*keys).applyInPandas(track, ", ".join([*(f"{k} {types[k]}" for k in keys), "start_ms long", "end_ms long", "raw_score double"]))
+    order = Window.partitionBy(*keys).orderBy("cell")
+    side = lambda n: F.lag("score", n).over(order)
+    three = F.array_sort(F.array_compact(F.array(side(1), F.col("score"), side(-1))))
+    value = F.when(F.size(three) == 3, F.element_at(three, 2)).when(F.size(three) == 2, (F.element_at(three, 1) + F.element_at(three, 2)) / 2).otherwise(F.element_at(three, 1))
+    length = duration_ms if duration_ms is not None else (F.max("cell").over(Window.partitionBy(*keys)) + 1) * cell_ms
+    rows = cells.withColumns({"__length": length, "__value": value}).withColumn("__low", F.col("__value") < off)
+    rows = rows.withColumn("__second", F.col("__low") & F.coalesce(F.lag("__low").over(order), F.lit(False)))
+    rows = rows.withColumn("__block", F.count_if("__second").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    opened = F.min(F.when(F.col("__value") >= on, F.col("cell"))).over(Window.partitionBy(*keys, "__block"))
+    blocks = rows.withColumn("__from", opened).groupBy(*keys, "__block").agg(F.min("cell").alias("__first"), F.min("__from").alias("__from"), F.max(F.when(F.col("cell") >= F.col("__from"), F.col("__value"))).alias("__best"), F.max("__length").alias("__length"))
+    by_block = Window.partitionBy(*keys).orderBy("__block")
+    closes = F.coalesce((F.lead("__first").over(by_block) - 1) * cell_ms, F.col("__length"))
+    spans = blocks.withColumn("end_ms", closes.cast("long")).where("__from IS NOT NULL").select(*keys, (F.col("__from") * cell_ms).cast("long").alias("start_ms"), "end_ms", F.col("__best").alias("raw_score")).where("end_ms > start_ms")
+    in_time = Window.partitionBy(*keys).orderBy("start_ms", "end_ms")
+    reach = F.max("end_ms").over(in_time.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = spans.withColumn("__new", F.when(F.col("start_ms") - reach <= gap_ms, 0).otherwise(1)).withColumn("__event", F.sum("__new").over(in_time.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = fresh.groupBy(*keys, "__event").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.max("raw_score").alias("raw_score"))
+    return merged.where(F.col("end_ms") - F.col("start_ms") >= least_ms).drop("__event")
 
 
 def merge_window_shots(shots: DataFrame) -> DataFrame:

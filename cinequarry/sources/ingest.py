@@ -11,45 +11,65 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of each of the three samples of a file.
-SAMPLE = 64 * 1024
-MEDIA = ("mp4", "mov", "mkv", "avi", "webm", "m4v", "mts", "m2ts", "mxf", "wav", "mp3")
+SAMPLE = 4 << 20
+# The extensions of video sources.
+MEDIA = ("mov", "mp4", "m4v", "mxf", "braw", "r3d", "ari", "crm", "dng", "nev", "insv")
 
 
 def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = MEDIA) -> DataFrame:
-    """path, size, modified, extension, wanted of all files under a folder, without reading them."""
+    """path, size, modified, extension, wanted of all files with content under a folder, without reading them."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
     extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     return files.select("path", "size", "modified", extension.alias("extension"), extension.isin(*extensions).alias("wanted"))
 
 
 def skipped_extensions(files: DataFrame, most: int = 20) -> DataFrame:
-    """extension, n of unwanted files, the most frequent first; the rest is one row with a null extension."""
-    counts = files.where("NOT wanted").groupBy("extension").agg(F.count("*").alias("n"))
-    first = counts.orderBy(F.desc("n"), "extension").limit(most)
+    """extension, n of unwanted files: the first kinds in path order; all others in one row with a null extension.
+
+    Files without an extension are skipped too, but are no kind.
+    """
+    counts = files.where("NOT wanted AND extension <> ''").groupBy("extension").agg(F.count("*").alias("n"), F.min("path").alias("first"))
+    first = counts.orderBy("first").limit(most).select("extension", "n")
     rest = counts.join(first.select("extension"), "extension", "left_anti").agg(F.sum("n").alias("n")).where("n IS NOT NULL")
     return first.unionByName(rest.select(F.lit(None).cast("string").alias("extension"), "n"))
 
 
-def fingerprint(content: bytes, size: int, sample: int = SAMPLE) -> str:
-    """sha256 over the size and samples at the head, middle and tail; overlapping samples count once."""
+def sample_offsets(size: int, sample: int = SAMPLE) -> list[int]:
+    """Where the samples at the head, middle and tail begin; small files have one."""
+    return sorted({0, *(at for at in (size // 2 - sample // 2, size - sample) if size > sample and at > 0)})
+
+
+def fingerprint(file, size: int, sample: int = SAMPLE) -> str:
+    """sha256 over the size and the samples of an open file, which is read nowhere else."""
     digest = hashlib.sha256(f"{size}:".encode())
-    for at in sorted({0, max(0, size // 2 - sample // 2), max(0, size - sample)}):
-        digest.update(content[at : at + sample])
+    for at in sample_offsets(size, sample):
+        file.seek(at)
+        digest.update(file.read(min(sample, size - at)))
     return digest.hexdigest()
 
 
-def fingerprints(spark: SparkSession, root: str, known: DataFrame | None = None) -> DataFrame:
-    """path, size, modified, fingerprint; files whose size and time are as in ``known`` keep theirs unread."""
-    files = scan(spark, root)
+def fingerprints(spark: SparkSession, root: str, known: DataFrame | None = None, extensions: tuple[str, ...] | None = None) -> DataFrame:
+    """path, size, modified, fingerprint; files whose size and time are as in ``known`` keep theirs unread.
+
+    A task opens each file and reads its samples, 12 MiB at most, whatever its size.
+    """
+    files = scan(spark, root, extensions or MEDIA)
+    if extensions is not None:
+        files = files.where("wanted")
     fresh = files if known is None else files.join(known.select("path", "size", "modified"), ["path", "size", "modified"], "left_anti")
-    content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "content")
 
     def mark(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"path": b["path"], "fingerprint": [fingerprint(c, n) for c, n in zip(b["content"], b["length"], strict=True)]})
+        from pyarrow.fs import FileSystem
 
-    marked = content.join(fresh.select("path"), "path", "left_semi").mapInPandas(mark, "path string, fingerprint string")
-    out = fresh.join(marked, "path").select("path", "size", "modified", "fingerprint")
+        for b in batches:
+            marks = []
+            for path, size in zip(b["path"], b["size"], strict=True):
+                system, place = FileSystem.from_uri(path)
+                with system.open_input_file(place) as file:
+                    marks.append(fingerprint(file, size))
+            yield b.assign(fingerprint=marks)
+
+    out = fresh.select("path", "size", "modified").mapInPandas(mark, "path string, size long, modified timestamp, fingerprint string")
     if known is None:
         return out
     return out.unionByName(known.join(files.select("path", "size", "modified"), ["path", "size", "modified"], "left_semi").select("path", "size", "modified", "fingerprint"))
@@ -82,6 +102,36 @@ def vectors_of_blobs(rows: DataFrame, key: str, blob: str) -> DataFrame:
     return rows.select(key, F.col(blob).alias("blob")).mapInPandas(decode, f"{key} {dict(rows.dtypes)[key]}, vector array<float>")
 
 
+def blobs_of_vectors(rows: DataFrame, key: str, vector: str = "vector") -> DataFrame:
+    """key, blob: vectors as little-endian float32; null where a vector is null, empty or not finite."""
+
+    def encode(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [np.asarray(v, "<f4").tobytes() if v is not None and len(v) and np.isfinite(np.asarray(v, "<f4")).all() else None for v in b["vector"]]
+            yield pd.DataFrame({key: b[key], "blob": out})
+
+    return rows.select(key, F.col(vector).alias("vector")).mapInPandas(encode, f"{key} {dict(rows.dtypes)[key]}, blob binary")
+
+
+def corpus(spark: SparkSession, root: str) -> DataFrame:
+    """query, language, intent, asset, start_ms, end_ms of a labelled corpus: ground_truth.json beside its clips.
+
+    A row an expected span; a query without any has one with nulls. Clips that
+    the folder lacks are named by ``missing``.
+    """
+    expected = "array<struct<asset:string,start_ms:long,end_ms:long>>"
+    schema = f"queries array<struct<query:string,language:string,intent:string,expected:{expected}>>"
+    listed = spark.read.schema(schema).json(f"{root}/ground_truth.json", multiLine=True).select(F.explode("queries").alias("q")).select("q.query", "q.language", "q.intent", F.explode_outer("q.expected").alias("e")).select("query", "language", "intent", "e.*")
+    clips = spark.read.format("binaryFile").load(f"{root}/clips").select(F.regexp_extract("path", r"([^/]+)$", 1).alias("asset"), F.lit(True).alias("there"))
+    return listed.join(clips, "asset", "left").select("query", "language", "intent", "asset", "start_ms", "end_ms", (F.col("asset").isNotNull() & F.col("there").isNull()).alias("missing"))
+
+
+def live_references(references: DataFrame, now: Column) -> DataFrame:
+    """Stored query images (id, created, ttl_ms, ...) that haven't expired; the newest of an id counts."""
+    newest = references.groupBy("id").agg(F.max_by(F.struct(*[c for c in references.columns if c != "id"]), "created").alias("r")).select("id", "r.*")
+    return newest.where(F.unix_millis("created") + F.col("ttl_ms") > F.unix_millis(now))
+
+
 def stale_embeddings(texts: DataFrame, stored: DataFrame, key: str, model: str) -> DataFrame:
     """Rows (key, text) whose text's hash under this model isn't stored, with that hash."""
     hashed = texts.withColumn("text_hash", F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32)).withColumn("model", F.lit(model))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import numpy as np
@@ -44,11 +45,12 @@ def test_features(spark):
     assert np.allclose(rows[0]["vector"], want / np.linalg.norm(want)) and not any(rows[1]["vector"])
 
 
-def test_nearest_is_exact(spark):
+@pytest.mark.parametrize("sent", [0, 1 << 20])
+def test_nearest_is_exact(spark, sent):
     r = np.random.default_rng(1)
     data = r.normal(size=(80, 5))
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)] + [(900, [0.0] * 5), (901, [1.0]), (902, None)], "id long, vector array<double>").repartition(3)
-    got = {(x["query_id"], x["rank"]): (x["id"], x["score"]) for x in vectors.nearest(rows, rows.where("id % 20 = 0"), k=3, block=2).collect()}
+    got = {(x["query_id"], x["rank"]): (x["id"], x["score"]) for x in vectors.nearest(rows, rows.where("id % 20 = 0"), k=3, sent_bytes=sent, block=2).collect()}
     unit = data / np.linalg.norm(data, axis=1)[:, None]
     for q in (0, 20, 40, 60):
         best = sorted(((-round(float(unit[q] @ unit[i]), 6), i) for i in range(80) if i != q and unit[q] @ unit[i] > 0))[:3]
@@ -91,7 +93,7 @@ def test_compiler(spark):
     intents = {r["query_id"]: r["intent"] for r in plans.collect()}
     assert {("must", "dog"), ("should", "street"), ("must_not", "person")} <= needs[1]
     assert needs[2] == {("must", "night"), ("must", "city")}
-    assert ("must", "打开 door") in needs[3] and ("must_not", "person") in needs[4] and ("must_not", "beach") not in needs[4] and 5 not in needs
+    assert ("must", "打开 door") in needs[3] and ("must_not", "person") in needs[4] and ("must_not", "beach") not in needs[4] and needs[5] == {("must", "carefree"), ("must", "carpet")}
     assert intents == {1: "fact", 2: "semantic", 3: "speech", 4: "fact", 5: "fact", 6: "creative", 7: "auto", 8: "similar", 9: "speech"}
 
 
@@ -107,6 +109,10 @@ def test_named_and_evidence(spark):
     assert [states[1, i] for i in range(1, 5)] == ["contradicted", "confirmed", "possible", "unknown"]
     assert [states[2, i] for i in range(1, 5)] == ["unknown", "confirmed", "possible", "unknown"]
     assert {(r["query_id"], r["id"]): r["score"] for r in gate(candidates, proof).collect()} == {(1, 2): 1.0, (1, 3): 0.5, (2, 1): 1.0, (2, 4): 1.0}
+    assert {r["id"]: r["sources"] for r in proof.where("query_id = 1").collect()} == {1: ["description"], 2: ["description", "objects"], 3: ["description"], 4: []}
+    # A should neither lowers the factor nor refutes.
+    mixed = spark.createDataFrame([(1, 1, "must", "a", "confirmed"), (1, 1, "should", "b", "unknown"), (1, 2, "must", "a", "confirmed"), (1, 2, "should", "b", "contradicted")], "query_id long, id long, need string, value string, state string")
+    assert {r["id"]: r["score"] for r in gate(candidates.where("query_id = 1 AND id < 3"), mixed).collect()} == {1: 1.0, 2: 1.0}
 
 
 def test_fusion_invariants(spark):
@@ -131,20 +137,35 @@ def test_lexical_phrases_and_hints(spark):
 def test_selection(spark):
     pool = spark.createDataFrame([(1, 1, 1, 9, 0, 1.0), (1, 2, 1, 9, 3000, 0.99), (1, 3, 1, 9, 9000, 0.9), (1, 4, 2, None, 0, 0.8), (1, 5, 3, 9, 0, 0.85)], "query_id long, id long, asset long, session long, start_ms long, score double")
     rows = selection.diversify(pool, 4).orderBy("place").collect()
-    assert [r["id"] for r in rows] == [1, 4, 5, 3] and rows[2]["score"] == pytest.approx(0.65) and rows[3]["score"] == pytest.approx(0.9 - 0.25 - 0.4)
+    # 1 is chosen, 2 is a burst of it, 3 costs 0.25 beside it, 5 0.2 for its session with 1 and with 3, 4 nothing.
+    assert [(r["id"], round(r["score"], 6)) for r in rows] == [(1, 1.0), (4, 0.8), (3, 0.65), (5, 0.45)]
+    burst = spark.createDataFrame([(1, 1, 1, 7, 0, 1.0), (1, 3, 1, 7, 9000, 0.9), (1, 5, 3, 7, 0, 0.85)], "query_id long, id long, asset long, session long, start_ms long, score double")
+    assert [(r["id"], round(r["score"], 6)) for r in selection.diversify(burst, 3).orderBy("place").collect()] == [(1, 1.0), (3, 0.65), (5, 0.45)]
+    assert [r["id"] for r in selection.diversify(pool, 2, 0).orderBy("place").collect()] == [1, 2]
     assert selection.pool_size(1) == 30 and selection.pool_size(100) == 200 and selection.check_page() == (20, 0)
     with pytest.raises(ValueError):
         selection.check_page(50, 180)
 
 
 def test_library(spark):
-    captures = spark.createDataFrame([(1, 0, 10, "x", None), (2, 1_800_010, 1_800_020, "x", "reel"), (3, 9_000_000, 9_000_001, "y", "reel"), (4, 9_900_000, 9_900_001, "x", None), (5, 0, 1, None, None)], "id long, start_ms long, end_ms long, device string, marker string")
-    assert {r["id"]: r["session"] for r in library.sessions(captures, ["device"], ["marker"]).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+    captures = spark.createDataFrame(
+        [(1, 0, 9_000_000, "x", None, "camera"), (2, 1_800_000, 1_800_020, " X", "Reel", "camera"), (3, 9_000_000, 9_000_001, "y", "reel ", "camera"), (4, 3_600_001, 9_900_001, "x", None, None), (5, 0, 1, None, None, "camera"), (6, 1, 2, "x", "reel", "Proxy"), (2, 1_800_000, 1_800_020, " X", "Reel", "camera"), (7, None, None, "x", "", "camera")],
+        "id long, start_ms long, end_ms long, device string, marker string, source string",
+    )
+    found = library.sessions(captures, ["device"], ["marker"])
+    assert {r["id"]: r["session"] for r in found.collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 7: 7}
+    assert (1, 0, 9_000_001, 3) in {tuple(r) for r in library.session_spans(captures, found).collect()}
+    rooted = captures.withColumns({"root": F.when(F.col("id") < 3, "r1").otherwise("r2"), "rank": F.lit(1)})
+    stored = spark.createDataFrame([(1, 90, "r1", "automatic"), (8, 91, "r3", "automatic"), (2, 92, "r1", "manual")], "id long, session long, root string, origin string")
+    again = {(r["id"], r["session"], r["root"], r["origin"]) for r in library.rebuild_sessions(stored, rooted, ["device"], ["marker"]).collect()}
+    assert {(8, 91, "r3", "automatic"), (2, 92, "r1", "manual"), (1, 1, "r1", "automatic"), (2, 1, "r1", "automatic"), (3, 3, "r2", "automatic")} <= again and (1, 90, "r1", "automatic") not in again
     fields = spark.createDataFrame([(1, "camera", "A", "exif", "s2"), (1, "camera", "B", "exif", "s1"), (1, "camera", "C", "guess", "s0"), (1, "place", "", "exif", "s1")], "id long, field string, value string, family string, source string")
     row = library.merge_fields(fields, ["id"], ["exif", "name"]).first()
     assert (row["value"], row["source"], row["conflicting"]) == ("B", "s1", ["A", "C"])
     tags = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.99, 0.1]), (3, [0.0, 1.0]), (4, [1.0])], "id long, vector array<double>")
-    assert {(r["tag"], r["cluster"], r["members"]) for r in library.tag_clusters(tags).collect()} == {(1, 1, 2), (2, 1, 2)}
+    for block in (2, 1024):
+        got = library.tag_clusters(tags, block=block).collect()
+        assert {(r["tag"], r["cluster"], r["members"]) for r in got} == {(1, 1, 2), (2, 1, 2)} and got[0]["similarity"] == pytest.approx(0.99 / np.hypot(0.99, 0.1))
     assert {r["node"]: r["label"] for r in connected_components(spark.createDataFrame([(1, 2), (3, 2), (5, 6)], "a long, b long")).collect()} == {1: 1, 2: 1, 3: 1, 5: 5, 6: 5}
 
 
@@ -154,6 +175,20 @@ def test_timeline(spark):
     assert timeline.phrase_hits(words, ["asset"], ["my", "friend"]).count() == 0  # the gap is too long
     cells = spark.createDataFrame([("a", i, s) for i, s in enumerate([0.0, 0.5, 0.5, 0.5, 0.1, 0.5, 0.5, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1, 0.9, 0.0, 0.0])], "k string, cell long, score double")
     assert [tuple(r) for r in timeline.sound_events(cells, ["k"]).collect()] == [("a", 100, 700, 0.5)]
+    ends = spark.createDataFrame([("a", i, s) for i, s in enumerate([0.0, 0.5, 0.5, 0.5, 0.1])], "k string, cell long, score double")
+    # One low cell at the end doesn't close: the event ends with the recording.
+    assert [tuple(r) for r in timeline.sound_events(ends, ["k"]).collect()] == [("a", 100, 500, 0.5)]
+    patches = spark.createDataFrame([("a", 0, 0.0), ("a", 1, 1.0)], "k string, patch long, score double")
+    durations = spark.createDataFrame([("a", 1250)], "k string, duration_ms long")
+    got = {r["cell"]: r["score"] for r in timeline.patch_cells(patches, ["k"], durations, "k").collect()}
+    assert len(got) == 13 and got[0] == 0 and got[4] == pytest.approx(20 / 120) and got[5] == 0.5 and got[12] == 1.0
+    plan = lambda ms, size: one(spark, timeline.plan_windows(F.col("d"), F.col("b"), 1000), d=ms, b=size)
+    assert [tuple(w) for w in plan(100_000, 1000)] == [(0, 100_000)] and [tuple(w) for w in plan(0, 9)] == [(0, 0)]
+    assert [tuple(w) for w in plan(100_000, 2500)] == [(0, 40_000), (35_000, 75_000), (70_000, 100_000)]
+    assert [tuple(w) for w in plan(900_000, 10)] == [(0, 480_000), (475_000, 900_000)] and len(plan(60_000, 1_000_000)) == 3
+    frames = lambda a, b, mode="boundary_aware": one(spark, timeline.plan_frames(F.col("a"), F.col("b"), mode), a=a, b=b)
+    assert frames(0, 1001) == [200, 701] and frames(100, 10_100) == [1100, 3600, 6600, 9100] and frames(5, 5) == [] and frames(0, 1) == [0, 1]
+    assert frames(0, 40_000) == [2000, 8000, 16_000, 24_000, 32_000, 38_000] and frames(0, 4000, "uniform") == [500, 1500, 2500, 3500]
     shots = spark.createDataFrame([(1, 0, 100, "A  cat", ["x"], 0.5), (1, 60, 200, "a cat", ["y"], 0.9), (1, 500, 600, "a cat", [], 0.1)], "asset long, start_ms long, end_ms long, text string, tags array<string>, confidence double")
     assert sorted(tuple(r) for r in timeline.merge_window_shots(shots).collect()) == [(1, 0, 100, "A  cat", ["x"], 0.5), (1, 60, 200, "a cat", ["y"], 0.9), (1, 500, 600, "a cat", [], 0.1)]
     with pytest.raises(ValueError):
@@ -167,28 +202,96 @@ def test_quality(spark):
     trials = spark.createDataFrame([(0.9, True), (0.8, True), (0.4, True), (0.5, False), (0.1, False)], "score double, same boolean")
     row = quality.equal_error(quality.threshold_sweep(trials)).first()
     assert row["eer"] == pytest.approx((0.5 + 1 / 3) / 2)
-    ref = spark.createDataFrame([(1, "A", 0, 1000), (1, "B", 1000, 2000)], "asset long, speaker string, start_ms long, end_ms long")
-    hyp = spark.createDataFrame([(1, "x", 0, 1200), (1, "y", 1200, 1900)], "asset long, speaker string, start_ms long, end_ms long")
-    row = quality.diarization_error(ref, hyp).first()
-    assert (row["missed"], row["false_alarm"], row["confused"]) == (10, 0, 20) and row["der"] == pytest.approx(0.15)
+    scores = quality.event_scores(p, t, quality.match_events(p, t, ["k"]), ["k"]).first()
+    assert scores["micro_f1"] == scores["macro_f1"] == pytest.approx(0.8) and scores["boundary_error_ms"] == pytest.approx((2.5 + 5) / 2)
+
+
+def frame_by_frame(reference, hypothesis, duration):
+    """Diarization error by single frames and all assignments."""
+    from itertools import permutations
+
+    n = duration // 10
+
+    def mark(turns):
+        out = [""] * n
+        for s, a, b in sorted(turns, key=lambda x: (min(x[1] // 10, n), min(x[2] // 10, n), x[0])):
+            for i in range(a // 10, min(b // 10, n)):
+                out[i] = s
+        return out
+
+    ref, hyp = mark(reference), mark(hypothesis)
+    near, depth = set(), [0] * n
+    for _, a, b in reference:
+        for edge in (a // 10, b // 10):
+            near.update(range(edge - 25, edge + 25))
+        for i in range(a // 10, min(b // 10, n)):
+            depth[i] += 1
+    names, guesses = sorted({r for r in ref if r}), sorted({h for h in hyp if h})
+    shared = lambda r, h: sum(x == r and y == h for x, y in zip(ref, hyp, strict=True))
+    best = max((dict(zip(names, p, strict=False)) for p in permutations([*guesses, *[None] * len(names)], len(names))), key=lambda m: sum(shared(r, h) for r, h in m.items()))
+    wrong = [best[r] != h or not shared(r, h) if r else bool(h) for r, h in zip(ref, hyp, strict=True)]
+    rates = []
+    for keep in (lambda i: True, lambda i: depth[i] <= 1):
+        own = [wrong[i] for i in range(n) if i not in near and keep(i)]
+        rates.append(sum(own) / len(own) if own else 0.0)
+    return rates, len(guesses) - len(names)
+
+
+def test_diarization(spark):
+    r = random.Random(9)
+    turns = lambda names: [(r.choice(names), s, s + r.choice([300, 900, 2500])) for s in sorted(r.randrange(20_000) for _ in range(r.randint(3, 12)))]
+    cases = {i: (turns("ABC"[: 1 + i % 3]), turns("xyzw"[: 1 + i % 4])) for i in range(12)}
+    schema = "asset long, speaker string, start_ms long, end_ms long"
+    ref, hyp = (spark.createDataFrame([(i, *t) for i, both in cases.items() for t in both[side]], schema) for side in (0, 1))
+    durations = spark.createDataFrame([(i, 21_005) for i in cases], "asset long, duration_ms long")
+    for row in quality.diarization_error(ref, hyp, durations).collect():
+        rates, off = frame_by_frame(*cases[row["asset"]], 21_005)
+        assert (row["der_with_overlap"], row["der_without_overlap"], row["speaker_count_error"]) == (pytest.approx(rates[0]), pytest.approx(rates[1]), off)
+
+
+def test_assignment():
+    from itertools import permutations
+
+    r = np.random.default_rng(2)
+    for rows, columns in ((1, 4), (5, 5), (6, 3), (3, 6)):
+        w = r.integers(0, 9, (rows, columns)).astype(float)
+        wide = w if rows <= columns else w.T
+        best = max(sum(wide[i, p[i]] for i in range(len(wide))) for p in permutations(range(wide.shape[1]), len(wide)))
+        pairs = quality.best_assignment(w)
+        assert sum(w[a, b] for a, b in pairs) == best and len({a for a, _ in pairs}) == len({b for _, b in pairs}) == len(wide)
+    assert len(quality.best_assignment(r.random((40, 30)))) == 30
 
 
 def test_sources(spark, tmp_path):
-    (tmp_path / "a.mp4").write_bytes(b"x" * 300_000)
+    big = np.random.default_rng(1).bytes(13 << 20)
+    (tmp_path / "a.mp4").write_bytes(big)
     (tmp_path / "b.txt").write_bytes(b"y")
     files = ingest.scan(spark, str(tmp_path))
     assert {r["extension"]: r["wanted"] for r in files.collect()} == {"mp4": True, "txt": False}
     assert [tuple(r) for r in ingest.skipped_extensions(files).collect()] == [("txt", 1)]
     marks = ingest.fingerprints(spark, str(tmp_path))
-    assert {r["size"]: r["fingerprint"] for r in marks.collect()}[1] == ingest.fingerprint(b"y", 1)
+    half = len(big) // 2 - (2 << 20)
+    want = hashlib.sha256(f"{len(big)}:".encode() + big[: 4 << 20] + big[half : half + (4 << 20)] + big[-(4 << 20) :]).hexdigest()
+    got = {r["size"]: r["fingerprint"] for r in marks.collect()}
+    assert got == {len(big): want, 1: hashlib.sha256(b"1:y").hexdigest()}
+    assert ingest.sample_offsets((4 << 20) + 2) == [0, 1, 2] and ingest.sample_offsets(9) == [0]
     assert ingest.fingerprints(spark, str(tmp_path), marks).count() == 2
     rows = spark.createDataFrame([(1, '[{"start_ms":0,"end_ms":5,"text":"a"},{"start_ms":5,"end_ms":5,"text":"b"}]'), (2, "junk")], "id long, js string")
     assert [tuple(r) for r in ingest.segments(rows, "id", "js").collect()] == [(1, 0, 0, 5, "a")]
     blobs = spark.createDataFrame([(1, bytearray(np.array([1, 2], "<f4").tobytes())), (2, bytearray(b"abc")), (3, None)], "id long, b binary")
     assert {r["id"]: r["vector"] for r in ingest.vectors_of_blobs(blobs, "id", "b").collect()} == {1: [1.0, 2.0], 2: None, 3: None}
+    back = ingest.blobs_of_vectors(spark.createDataFrame([(1, [1.0, 2.0]), (2, []), (3, None)], "id long, vector array<float>"), "id")
+    assert {r["id"]: r["blob"] for r in back.collect()} == {1: bytearray(np.array([1, 2], "<f4").tobytes()), 2: None, 3: None}
     cuts = spark.createDataFrame([("l", 1, "long clip name A", 0, 1000), ("l", 2, "long clip name B", 40, 1020)], "list string, position long, clip string, start_ms long, end_ms long")
     lines = [r["line"] for r in edl.edl(cuts, "list").orderBy("line_no").collect()]
-    assert lines[0].split() == ["001", "LONGCLIP", "V", "C", "00:00:00:00", "00:00:01:00", "00:00:00:00", "00:00:01:00"] and lines[1].split()[1] == "LONGC002" and lines[1].endswith("00:00:01:00 00:00:02:00")
+    assert lines[:2] == ["TITLE: l", "FCM: NON-DROP FRAME"] and lines[2] == "001  LONG_CLI  V     C        00:00:00:00  00:00:01:00  00:00:00:00  00:00:01:00"
+    assert lines[3].split()[1] == "LONG_C_2" and lines[3].endswith("00:00:01:00  00:00:02:00")
+    late = spark.createDataFrame([("l", 1, "", 60_000, 660_000)], "list string, position long, clip string, start_ms long, end_ms long")
+    drop = [r["line"] for r in edl.edl(late, "list", fps=29.97, title="T").orderBy("line_no").collect()]
+    assert drop[:2] == ["TITLE: T", "FCM: DROP FRAME"] and drop[2].split()[4:6] == ["00:00:59;28", "00:10:59;28"]
+    for a, b in ((-1, 50), (50, 50), (0, 3)):
+        with pytest.raises(Exception, match="a clip"):
+            edl.edl(spark.createDataFrame([("l", 1, "x", a, b)], cuts.schema), "list").collect()
 
 
 def test_streams(spark, tmp_path):
