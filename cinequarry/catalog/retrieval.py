@@ -11,7 +11,7 @@ from cinequarry.functions.vocabulary import VOCABULARY, compile_queries, named
 from cinequarry.operators import fusion, lexical
 from cinequarry.operators.evidence import evidence, gate, observations
 from cinequarry.operators.selection import diversify
-from cinequarry.plans.scratch import settle
+from cinequarry.plans.scratch import scratch_path, settle
 
 from .common import registry, table
 
@@ -53,6 +53,21 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.postings(table(spark, sf_dir, "documents"), "doc_id", {"body": ascii_tokens("text")}).select("doc_id", "token", "tf")
 
 
+_POSITIONED = f"""tok AS (SELECT doc_id, unnest(t) AS token, unnest(range(len(t))) AS i, len(t) AS d FROM (SELECT doc_id, {_TOK.format('text')} AS t FROM documents)),
+    phr(query_id, phrase, a, b) AS (VALUES (1::BIGINT, 0, 'of', 'the'), (2::BIGINT, 0, 'in', 'the'), (2::BIGINT, 1, 'de', 'la'), (3::BIGINT, 0, 'thing', NULL)),
+    hit AS (SELECT p.query_id, p.phrase, x.doc_id, count(*) AS f FROM tok x JOIN phr p ON x.token = p.a LEFT JOIN tok y ON y.doc_id = x.doc_id AND y.i = x.i + 1 AND y.token = p.b WHERE p.b IS NULL OR y.i IS NOT NULL GROUP BY ALL)"""
+
+
+@register(f"""WITH {_POSITIONED}, len AS (SELECT doc_id, len({_TOK.format('text')}) AS d FROM documents), st AS (SELECT count(*) AS n, avg(d) AS mean FROM len), df AS (SELECT query_id, phrase, count(*) AS df FROM hit GROUP BY ALL), need AS (SELECT query_id, count(*) AS needed FROM phr GROUP BY ALL),
+    s AS (SELECT query_id, doc_id, sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * d / mean))) AS score, count(*) AS matched FROM hit JOIN df USING (query_id, phrase) JOIN len USING (doc_id), st GROUP BY ALL)
+    SELECT query_id, doc_id, round(score, 6) AS score FROM s JOIN need USING (query_id) WHERE matched = needed""")
+def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of one and two words, all of which a document must hold, over a positional index that is written first."""
+    asked = spark.createDataFrame([(1, 0, 0, "of"), (1, 0, 1, "the"), (2, 0, 0, "in"), (2, 0, 1, "the"), (2, 1, 0, "de"), (2, 1, 1, "la"), (3, 0, 0, "thing")], "query_id long, phrase int, place int, token string")
+    index = lexical.write_index(table(spark, sf_dir, "documents"), "doc_id", {"body": ascii_tokens("text")}, scratch_path(spark))
+    return lexical.search_index(index, asked).withColumn("score", F.round("score", 6))
+
+
 @register(f"WITH {_bm25_sql([('text', 1.0)])} SELECT query_id, doc_id, round(score, 6) AS score FROM lex")
 def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.bm25(table(spark, sf_dir, "documents"), "doc_id", {"body": ascii_tokens("text")}, _terms(spark)).withColumn("score", F.round("score", 6))

@@ -22,6 +22,11 @@ PROFILES = {
 FIELD_WEIGHTS = {"fact": {"objects": 1.2, "actions": 1.2, "mood": 0.8}}
 
 
+def pool(channels: DataFrame, size: int) -> DataFrame:
+    """The best ``size`` rows of every query and signal, so that what is fused doesn't grow with the corpus."""
+    return _ranked(channels).where(F.col("rank") <= size).drop("rank")
+
+
 def _ranked(channels: DataFrame) -> DataFrame:
     order = Window.partitionBy("query_id", "signal").orderBy(F.desc("score"), "id")
     return channels.withColumn("rank", F.row_number().over(order))
@@ -54,6 +59,11 @@ def weighted_rrf(channels: DataFrame, weights: Mapping[str, float], shift: int =
     return _total(_ranked(used).withColumn("part", _weight(weights) / (F.lit(shift) + F.col("rank"))))
 
 
+def legacy_rrf(channels: DataFrame, shift: int = RANK_SHIFT) -> DataFrame:
+    """rrf() over positive scores alone."""
+    return rrf(channels.where("score > 0"), shift)
+
+
 def fuse(channels: DataFrame, intent: str) -> DataFrame:
     """The default fusion of an intent: plain ranks for auto and fact, weighted ones for the others."""
     weights = PROFILES[intent]

@@ -1,51 +1,141 @@
-"""Lexical index and ranking: postings, phrases, field-weighted BM25."""
+"""Lexical index and ranking: postings with positions, phrases, field-weighted BM25.
+
+An index is two tables: postings (token, key, field, tf, positions), sorted by
+token so that a read of few tokens skips the rest, and lengths (key, length).
+It is built from the rows once; all queries of a table of queries read it
+together.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cinequarry.functions.text import CJK, chunks
+from cinequarry.plans.scratch import settle
+
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 HALF = 2.2  # score at which the normalised score is a half
+#: Distinct query terms up to which they are a list in the plan; beyond, tokens meet them in a join.
+LISTED_TERMS = 2_000
 
 
-def postings(rows: DataFrame, key: str, fields: Mapping[str, Column]) -> DataFrame:
-    """key, field, token, tf: a row per token that a field holds."""
+@dataclass
+class Index:
+    postings: DataFrame  # token, key, field, tf, positions
+    lengths: DataFrame  # key, length
+    key: str
+
+
+def _listed(rows: DataFrame, key: str, fields: Mapping[str, Column]) -> DataFrame:
     each = F.explode(F.array(*[F.struct(F.lit(name).alias("field"), tokens.alias("tokens")) for name, tokens in fields.items()]))
-    listed = rows.select(key, each.alias("f")).select(key, "f.field", F.explode("f.tokens").alias("token"))
-    return listed.groupBy(key, "field", "token").agg(F.count("*").alias("tf"))
+    return rows.select(key, each.alias("f")).select(key, "f.field", F.posexplode("f.tokens").alias("position", "token"))
+
+
+def postings(rows: DataFrame, key: str, fields: Mapping[str, Column]) -> DataFrame:
+    """key, field, token, tf, positions: a row per token that a field holds."""
+    return _listed(rows, key, fields).groupBy(key, "field", "token").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
+
+
+def write_index(rows: DataFrame, key: str, fields: Mapping[str, Column], path: str) -> Index:
+    """Build the index of ``rows`` from canonical columns and replace what is at ``path``."""
+    postings(rows, key, fields).repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/postings")
+    sizes = sum((F.size(t) for t in fields.values()), F.lit(0))
+    rows.select(key, sizes.alias("length")).write.mode("overwrite").parquet(f"{path}/lengths")
+    return open_index(rows.sparkSession, path, key)
+
+
+def open_index(spark: SparkSession, path: str, key: str) -> Index:
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"), key)
+
+
+def refresh_index(index: Index, rows: DataFrame, fields: Mapping[str, Column], path: str) -> Index:
+    """The index at ``path`` after ``rows`` replaced those of their keys; other keys are read from ``index``."""
+    key = index.key
+    fresh = postings(rows, key, fields)
+    sizes = rows.select(key, sum((F.size(t) for t in fields.values()), F.lit(0)).alias("length"))
+    old = rows.select(key).distinct()
+    own = lambda d: d.join(old, key, "left_anti")
+    own(index.postings).unionByName(fresh).repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/postings")
+    own(index.lengths).unionByName(sizes).write.mode("overwrite").parquet(f"{path}/lengths")
+    return open_index(rows.sparkSession, path, key)
+
+
+def phrases(queries: DataFrame) -> DataFrame:
+    """query_id, phrase, place, token of queries (query_id, text): each run of a text is a phrase.
+
+    A plain word is a phrase of one token; a run of a script without blanks is
+    the phrase of its overlapping pairs, which must follow each other.
+    """
+    runs = queries.select("query_id", F.posexplode(chunks("text")).alias("phrase", "run"))
+    return runs.select("query_id", "phrase", F.posexplode("run").alias("place", "token"))
+
+
+def _weight_of(weights: Mapping[str, float] | None) -> Column:
+    """Weight of the column field; those under zero count as zero, absent ones as 1."""
+    pairs = [x for name, w in (weights or {}).items() for x in (F.lit(name), F.lit(max(0.0, float(w))))]
+    return F.coalesce(F.create_map(*pairs)[F.col("field")], F.lit(1.0)) if pairs else F.lit(1.0)
+
+
+def _idf(n: Column, df: Column) -> Column:
+    idf = F.log((n - df + 0.5) / (df + 0.5))
+    return F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF))
+
+
+def _part(idf: Column, f: Column, length: Column, mean: Column) -> Column:
+    return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * length / mean))
+
+
+def search_index(index: Index, asked: DataFrame, weights: Mapping[str, float] | None = None) -> DataFrame:
+    """query_id, key, score of every row that holds all phrases of a query (query_id, phrase, place, token).
+
+    A phrase stands in one field, its tokens at consecutive positions. Each
+    phrase is ranked like a term: by the rows that hold it and by how often.
+    """
+    key = index.key
+    sizes = asked.groupBy("query_id", "phrase").agg(F.count("*").alias("tokens"))
+    wanted = asked.join(sizes, ["query_id", "phrase"])
+    found = index.postings.join(F.broadcast(wanted), "token")
+    single = found.where("tokens = 1").select("query_id", "phrase", key, "field", F.col("tf").alias("hits"))
+    starts = found.where("tokens > 1").select("query_id", "phrase", "tokens", key, "field", "place", F.explode("positions").alias("position"))
+    whole = starts.groupBy("query_id", "phrase", "tokens", key, "field", (F.col("position") - F.col("place")).alias("start")).agg(F.count("*").alias("n")).where("n = tokens")
+    several = whole.groupBy("query_id", "phrase", key, "field").agg(F.count("*").alias("hits"))
+    hits = settle(single.unionByName(several).groupBy("query_id", "phrase", key).agg(F.sum(_weight_of(weights) * F.col("hits")).alias("f")))
+    df = hits.groupBy("query_id", "phrase").agg(F.count("*").alias("df"))
+    needed = sizes.groupBy("query_id").agg(F.count("*").alias("needed"))
+    totals = index.lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
+    n, mean = F.lit(int(totals["n"])), F.lit(float(totals["mean"] or 0.0) or 1.0)
+    scored = hits.join(F.broadcast(df), ["query_id", "phrase"]).join(index.lengths, key)
+    parts = scored.groupBy("query_id", key).agg(F.sum(_part(_idf(n, F.col("df")), F.col("f"), F.col("length"), mean)).alias("score"), F.count("*").alias("matched"))
+    return parts.join(F.broadcast(needed), "query_id").where("matched = needed").select("query_id", key, "score")
 
 
 def bm25(rows: DataFrame, key: str, fields: Mapping[str, Column], terms: DataFrame, weights: Mapping[str, float] | None = None) -> DataFrame:
-    """key, query_id, score of every row that holds all terms of a query (query_id, term).
+    """query_id, key, score of every row that holds all terms of a query (query_id, term), without an index.
 
-    Weights under zero count as zero. The rows are scanned once: each keeps,
-    of its tokens, only those some query asks for, so what is shuffled grows
-    with the matches. ``terms`` is broadcast, as queries are given by hand or
-    cut into blocks before.
+    One scan: of its tokens each row keeps, before they are exploded, only
+    those some query asks for, and its length; that small table is written
+    once and gives the totals, the frequencies and the scores.
     """
-    weights = {name: max(0.0, (weights or {}).get(name, 1.0)) for name in fields}
-    distinct = terms.select("query_id", "term").distinct()
-    wanted = F.broadcast(distinct.groupBy("term").agg(F.collect_set("query_id").alias("queries")))
+    distinct = settle(terms.select("query_id", "term").distinct())
+    names = [r["term"] for r in distinct.select("term").distinct().limit(LISTED_TERMS + 1).collect()]
     length = sum((F.size(t) for t in fields.values()), F.lit(0))
-    sized = rows.select(key, length.alias("length"), *[t.alias(f"__{name}") for name, t in fields.items()])
+    listed = F.array(*[F.lit(t) for t in names]) if 0 < len(names) <= LISTED_TERMS else None
+    keep = (lambda tokens: F.filter(tokens, lambda t: F.array_contains(listed, t))) if listed is not None else (lambda tokens: tokens)
+    own = F.filter(F.array(*[F.struct(F.lit(name).alias("field"), keep(tokens).alias("tokens")) for name, tokens in fields.items()]), lambda f: F.size(f["tokens"]) > 0)
+    sized = settle(rows.select(key, length.alias("length"), own.alias("found")))
     totals = sized.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
-    n, mean = int(totals["n"]), float(totals["mean"] or 0.0) or 1.0
-
-    def weighed(name: str, weight: float) -> Column:
-        return F.transform(F.col(f"__{name}"), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
-
-    each = F.explode(F.flatten(F.array(*[weighed(name, w) for name, w in weights.items()])))
-    hits = sized.select(key, "length", each.alias("h")).select(key, "length", "h.term", "h.w").join(wanted, "term").groupBy(key, "term").agg(F.first("length").alias("length"), F.sum("w").alias("f"), F.first("queries").alias("queries"))
+    n, mean = F.lit(int(totals["n"])), F.lit(float(totals["mean"] or 0.0) or 1.0)
+    each = sized.select(key, "length", F.explode("found").alias("f")).select(key, "length", "f.field", F.explode("f.tokens").alias("term"))
+    hits = each.groupBy(key, "length", "term").agg(F.sum(_weight_of(weights)).alias("f")).join(F.broadcast(distinct.select("term").distinct()), "term")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = hits.join(F.broadcast(df.withColumn("idf", F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF)))), "term")
-    part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.lit(mean)))
-    needed = F.broadcast(distinct.groupBy("query_id").agg(F.count("*").alias("needed")))
-    scored = weighted.select(key, F.explode("queries").alias("query_id"), part.alias("part")).groupBy(key, "query_id").agg(F.sum("part").alias("score"), F.count("*").alias("matched"))
-    return scored.join(needed, "query_id").where("matched = needed").select("query_id", key, "score")
+    needed = distinct.groupBy("query_id").agg(F.count("*").alias("needed"))
+    scored = hits.join(F.broadcast(df), "term").join(F.broadcast(distinct), "term")
+    parts = scored.groupBy("query_id", key).agg(F.sum(_part(_idf(n, F.col("df")), F.col("f"), F.col("length"), mean)).alias("score"), F.count("*").alias("matched"))
+    return parts.join(F.broadcast(needed), "query_id").where("matched = needed").select("query_id", key, "score")
 
 
 def unit_score(score: Column) -> Column:
@@ -62,6 +152,8 @@ def top(scores: DataFrame, key: str, k: int, by: str = "query_id") -> DataFrame:
 def name_hints(rows: DataFrame, key: str, path: str, terms: DataFrame) -> DataFrame:
     """query_id, key, score 1.0 of rows whose file name holds a term: plain terms as whole words, others anywhere."""
     base = F.lower(F.element_at(F.split(F.col(path), "/"), -1))
-    named = rows.select(key, base.alias("base"), F.split(base, "[^a-z0-9_]+").alias("words"))
+    named = rows.select(key, base.alias("base"))
     plain = F.col("term").rlike("^[a-z0-9_]+$")
-    return named.join(F.broadcast(terms), F.when(plain, F.array_contains("words", F.col("term"))).otherwise(F.contains("base", F.col("term")))).select("query_id", key, F.lit(1.0).alias("score")).distinct()
+    whole = named.withColumn("term", F.explode(F.array_distinct(F.split("base", "[^a-z0-9_]+")))).join(F.broadcast(terms.where(plain)), "term").select("query_id", key)
+    wide = named.where(F.col("base").rlike(f"[{CJK}]")).join(F.broadcast(terms.where(~plain)), F.contains("base", F.col("term"))).select("query_id", key)
+    return whole.unionByName(wide).distinct().select("query_id", key, F.lit(1.0).alias("score"))

@@ -26,6 +26,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    path = f"{shared_folder(spark).rstrip('/')}/cinequarry-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
@@ -34,9 +41,8 @@ def settle(df: DataFrame) -> DataFrame:
     A lost executor costs no recomputation of what was written.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/cinequarry-{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     df.write.parquet(path)
-    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
