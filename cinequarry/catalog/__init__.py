@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import library, modalities, quality, retrieval, timeline
+from . import browse, library, modalities, quality, retrieval, timeline
 
-QUERIES = retrieval.QUERIES | library.QUERIES | timeline.QUERIES | quality.QUERIES | modalities.QUERIES
-ORACLES = retrieval.ORACLES | library.ORACLES | timeline.ORACLES | quality.ORACLES | modalities.ORACLES
+QUERIES = retrieval.QUERIES | library.QUERIES | timeline.QUERIES | quality.QUERIES | modalities.QUERIES | browse.QUERIES
+ORACLES = retrieval.ORACLES | library.ORACLES | timeline.ORACLES | quality.ORACLES | modalities.ORACLES | browse.ORACLES

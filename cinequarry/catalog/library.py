@@ -73,9 +73,10 @@ def primary_location(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_of(table(spark, sf_dir, "lineitem"), ["l_partkey"], [health, F.desc("l_shipdate"), F.asc("l_orderkey"), F.asc("l_linenumber")]).select("l_partkey", "l_orderkey", "l_linenumber")
 
 
-@register("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@register("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P' AND o_orderkey % 2 = 0)")
 def unseen_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    seen = table(spark, sf_dir, "orders").where("o_orderstatus = 'P' AND o_orderkey % 2 = 0")
+    return table(spark, sf_dir, "customer").join(seen, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @register("SELECT change, count(*) AS n, count(missing_since) AS dated FROM (SELECT CASE WHEN s.k IS NULL THEN 'missing' WHEN o.k IS NULL THEN 'created' WHEN s.v = o.v THEN 'unchanged' ELSE 'changed' END AS change, CASE WHEN s.k IS NULL THEN 1 END AS missing_since FROM (SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderkey % 7 <> 0) o FULL JOIN (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS v FROM orders WHERE o_orderstatus <> 'P') s ON o.k = s.k) GROUP BY change")
