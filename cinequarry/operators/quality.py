@@ -27,6 +27,109 @@ def ranking(results: DataFrame, grades: DataFrame, k: int = 10) -> DataFrame:
     return ideal.join(hits, "query_id", "left").select("query_id", (n("hits") / k).alias("precision"), (n("hits") / F.col("relevant")).alias("recall"), (n("dcg") / F.col("ideal")).alias("ndcg"))
 
 
+def interval_ranking(results: DataFrame, positives: DataFrame, k: int = 10, least: float = 0.5, *, bucket_ms: int = 60_000) -> DataFrame:
+    """query_id, precision, recall, ndcg at k where results (query_id, rank, asset, start_ms, end_ms) must meet positive intervals.
+
+    A result is right when it overlaps an unused positive (query_id, id,
+    asset, start_ms, end_ms, grade) of its asset by ``least`` IoU, the first
+    one by id; grades under 1 count as 1. Every query with positives has a
+    row. Which positive a result uses depends on those before it, so the first
+    k results of a query are one group.
+    """
+    tag = lambda d: d.withColumn("__key", F.concat_ws("\x1f", F.col("query_id").cast("string"), F.col("asset").cast("string")))
+    r = tag(results.where(F.col("rank") <= k)).select("__key", "rank", "start_ms", "end_ms")
+    p = tag(positives).select("__key", "query_id", F.col("id").alias("positive"), F.greatest("grade", F.lit(1)).alias("grade"), "start_ms", "end_ms")
+    met = related(r, p, "__key", "simultaneous", bucket_ms=bucket_ms)
+    a, b = (F.col("left_start_ms"), F.col("left_end_ms")), (F.col("right_start_ms"), F.col("right_end_ms"))
+    pairs = met.where(iou(a, b) >= least).select("query_id", "rank", "positive", "grade")
+    kind = dict(pairs.dtypes)["query_id"]
+
+    def gain(frame: pd.DataFrame) -> pd.DataFrame:
+        used, hits, dcg = set(), 0, 0.0
+        for rank, own in frame.sort_values(["rank", "positive"]).groupby("rank", sort=True):
+            free = own[~own["positive"].isin(used)]
+            if len(free):
+                used.add(free["positive"].iloc[0])
+                hits += 1
+                dcg += (2.0 ** int(free["grade"].iloc[0]) - 1) / np.log2(rank + 1)
+        return pd.DataFrame({"query_id": [frame["query_id"].iloc[0]], "hits": [hits], "dcg": [dcg]})
+
+    gained = pairs.groupBy("query_id").applyInPandas(gain, f"query_id {kind}, hits long, dcg double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("grade"), "id")
+    best = positives.withColumn("grade", F.greatest("grade", F.lit(1))).withColumn("place", F.row_number().over(order))
+    ideal = best.groupBy("query_id").agg(F.count("*").alias("relevant"), F.sum(F.when(F.col("place") <= k, (F.pow(F.lit(2.0), F.col("grade")) - 1) / F.log2(F.col("place") + 1)).otherwise(0.0)).alias("ideal"))
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return ideal.join(gained, "query_id", "left").select("query_id", (n("hits") / k).alias("precision"), (n("hits") / F.col("relevant")).alias("recall"), (n("dcg") / F.col("ideal")).alias("ndcg"))
+
+
+def false_positives(results: DataFrame, relevant: DataFrame, semantic: DataFrame, lexical: DataFrame, k: int = 10) -> DataFrame:
+    """query_id, id, cause of the wrong ones among the first k results (query_id, id, rank).
+
+    The cause is the signal whose own first k (query_id, id, rank) hold it,
+    semantic before lexical; else blend, as only the fusion brought it up.
+    """
+    own = lambda d, name: d.where(F.col("rank") <= k).select("query_id", "id", F.lit(True).alias(name)).distinct()
+    wrong = results.where(F.col("rank") <= k).join(relevant, ["query_id", "id"], "left_anti")
+    both = wrong.join(own(semantic, "s"), ["query_id", "id"], "left").join(own(lexical, "l"), ["query_id", "id"], "left")
+    return both.select("query_id", "id", F.when(F.col("s"), "semantic").when(F.col("l"), "lexical").otherwise("blend").alias("cause"))
+
+
+def by_intent(scores: DataFrame, intents: DataFrame, columns: list[str]) -> DataFrame:
+    """intent, queries and the mean of each column over all queries of an intent; a query without a score counts as 0, an empty intent as auto."""
+    named = intents.select("query_id", F.coalesce(F.nullif(F.trim("intent"), F.lit("")), F.lit("auto")).alias("intent"))
+    return named.join(scores, "query_id", "left").groupBy("intent").agg(F.count("*").alias("queries"), *[F.avg(F.coalesce(c, F.lit(0.0))).alias(c) for c in columns])
+
+
+def mean_over(scores: DataFrame, queries: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: the mean of each column over all ``queries`` (query_id); what has no score counts as 0."""
+    return queries.select("query_id").join(scores, "query_id", "left").agg(*[F.avg(F.coalesce(c, F.lit(0.0))).alias(c) for c in columns])
+
+
+def expected_shots(expected: DataFrame, shots: DataFrame, *, bucket_ms: int = 60_000) -> DataFrame:
+    """span, shot: the shot that overlaps an expected span (span, asset, start_ms, end_ms) most, by half of it at least.
+
+    Equal overlaps go to the earlier shot, then the smaller id; a span without
+    such a shot has a null.
+    """
+    own = shots.select("asset", F.col("id").alias("shot"), "start_ms", "end_ms")
+    met = related(expected.select("asset", "span", "start_ms", "end_ms"), own, "asset", "simultaneous", bucket_ms=bucket_ms)
+    shared = F.least("left_end_ms", "right_end_ms") - F.greatest("left_start_ms", "right_start_ms")
+    fit = met.withColumn("shared", shared).where(2 * F.col("shared") >= F.col("left_end_ms") - F.col("left_start_ms"))
+    best = fit.groupBy("span").agg(F.min_by("shot", F.struct((-F.col("shared")).alias("s"), "right_start_ms", "shot")).alias("shot"))
+    return expected.select("span").join(best, "span", "left")
+
+
+def relevance_suite(results: DataFrame, judgments: DataFrame, queries: DataFrame, proof: DataFrame | None = None, *, recall_at: int = 20, precision_at: int = 10) -> DataFrame:
+    """One row of a suite's measures over queries (query_id, expected_intent, intent, expected_empty).
+
+    results (query_id, id, rank) under judgments (query_id, id, grade; 0: not
+    relevant): recall and nDCG over queries that have relevant shots,
+    precision with its fixed divisor over all, the share of empty results,
+    whether emptiness and intent are as expected, hits of shots judged not
+    relevant; and of ``proof`` (query_id, id, value, state, expected) how many
+    expected states are met, and how many that claim support were expected to.
+    """
+    good = judgments.where("grade > 0")
+    wide, narrow = ranking(results, good, recall_at), ranking(results, good, precision_at)
+    found = results.where(F.col("rank") <= recall_at).select("query_id").distinct().withColumn("some", F.lit(True))
+    per = queries.join(wide.select("query_id", "recall"), "query_id", "left").join(narrow.select("query_id", "precision", "ndcg"), "query_id", "left").join(found, "query_id", "left")
+    empty = F.col("some").isNull()
+    wrong = results.where(F.col("rank") <= recall_at).join(judgments.where("grade <= 0"), ["query_id", "id"], "left_semi").agg(F.count("*").alias("not_relevant_hits"))
+    sums = per.agg(
+        F.avg("recall").alias("recall"),
+        F.avg(F.coalesce("precision", F.lit(0.0))).alias("precision"),
+        F.avg("ndcg").alias("ndcg"),
+        F.avg(empty.cast("double")).alias("empty_rate"),
+        F.avg((empty == F.coalesce("expected_empty", F.lit(False))).cast("double")).alias("empty_accuracy"),
+        F.avg(F.col("intent").eqNullSafe(F.col("expected_intent")).cast("double")).alias("intent_accuracy"),
+    ).crossJoin(wrong)  # one row each
+    if proof is None:
+        return sums
+    claims = F.col("state").isin("confirmed", "possible")
+    right = proof.agg(F.avg((F.col("state") == F.col("expected")).cast("double")).alias("evidence_correct"), F.avg(F.when(claims, F.col("expected").isin("confirmed", "possible").cast("double"))).alias("evidence_precision"))
+    return sums.crossJoin(right)
+
+
 def match_events(predicted: DataFrame, truth: DataFrame, keys: list[str], least: float = 0.5, *, bucket_ms: int = 60_000) -> DataFrame:
     """keys, prediction, truth, iou: each prediction, in order, with the best truth still free.
 

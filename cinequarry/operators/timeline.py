@@ -163,13 +163,29 @@ def merge_window_shots(shots: DataFrame) -> DataFrame:
     return merged.select("asset", "start_ms", "end_ms", "text", "tags", "confidence")
 
 
-def silent_share(silences: DataFrame, key: str, durations: DataFrame) -> DataFrame:
-    """key, share, speech: the union of silences over the duration, and 1 - share but at least 0.05."""
+def read_pyramid(level: DataFrame, width_ms: int, start_ms: int, end_ms: int, most: int = 0) -> DataFrame:
+    """Buckets of a level (bucket, low, high) that a viewport touches, with start_ms, at most so many from its start."""
+    if start_ms < 0 or end_ms <= start_ms or width_ms <= 0:
+        raise ValueError("a viewport must have a length and a bucket a width")
+    first, last = start_ms // width_ms, (end_ms - 1) // width_ms
+    if most > 0:
+        last = min(last, first + most - 1)
+    return level.where(F.col("bucket").between(first, last)).withColumn("start_ms", F.col("bucket") * width_ms)
+
+
+def silent_share(silences: DataFrame, key: str, durations: DataFrame, mostly: float = 0.8) -> DataFrame:
+    """key, share, speech, kind: the union of silences over the duration, and 1 - share but at least 0.05.
+
+    Silences are cut at the recording's ends; from ``mostly`` on a recording
+    is mostly_silent, else a speech_candidate.
+    """
     from cinequarry.functions.intervals import islands
 
     quiet = islands(silences, [key]).groupBy(key).agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("quiet"))
     share = F.coalesce(F.col("quiet") / F.col("duration_ms"), F.lit(0.0))
-    return durations.join(quiet, key, "left").select(key, share.alias("share"), F.greatest(1 - share, F.lit(0.05)).alias("speech"))
+    share = F.greatest(F.least(share, F.lit(1.0)), F.lit(0.0))
+    kind = F.when(share >= mostly, "mostly_silent").otherwise("speech_candidate")
+    return durations.join(quiet, key, "left").select(key, share.alias("share"), F.greatest(1 - share, F.lit(0.05)).alias("speech"), kind.alias("kind"))
 
 
 def validate_predicates(conditions: Mapping[str, str], predicates: list[tuple[str, str, str, int]]) -> None:
