@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import browse, library, modalities, quality, retrieval, speech, timeline
+from . import browse, ingest, library, modalities, quality, retrieval, speech, timeline
 
-QUERIES = retrieval.QUERIES | library.QUERIES | timeline.QUERIES | quality.QUERIES | modalities.QUERIES | browse.QUERIES | speech.QUERIES
-ORACLES = retrieval.ORACLES | library.ORACLES | timeline.ORACLES | quality.ORACLES | modalities.ORACLES | browse.ORACLES | speech.ORACLES
+QUERIES = retrieval.QUERIES | library.QUERIES | timeline.QUERIES | quality.QUERIES | modalities.QUERIES | browse.QUERIES | speech.QUERIES | ingest.QUERIES
+ORACLES = retrieval.ORACLES | library.ORACLES | timeline.ORACLES | quality.ORACLES | modalities.ORACLES | browse.ORACLES | speech.ORACLES | ingest.ORACLES

@@ -40,6 +40,16 @@ def postings(rows: DataFrame, key: str, fields: Mapping[str, Column]) -> DataFra
     return _listed(rows, key, fields).groupBy(key, "field", "token").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
 
 
+#: Columns of an asset's index; its location is never filled.
+ASSET_FIELDS = ("filename", "summary", "transcript", "scene_tags", "subjects", "mood_tags", "extra_tags", "location", "editorial_reason")
+
+
+def asset_fields(present: Mapping[str, Column]) -> dict[str, Column]:
+    """Token columns of ASSET_FIELDS, empty for those that aren't given, and always for the location."""
+    none = F.array().cast("array<string>")
+    return {name: F.flatten(chunks(present[name])) if name in present and name != "location" else none for name in ASSET_FIELDS}
+
+
 def write_index(rows: DataFrame, key: str, fields: Mapping[str, Column], path: str) -> Index:
     """Build the index of ``rows`` from canonical columns and replace what is at ``path``."""
     postings(rows, key, fields).repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/postings")

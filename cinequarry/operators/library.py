@@ -60,6 +60,39 @@ def upsert(known: DataFrame, scan: DataFrame, key: Sequence[str], same: Sequence
     return new.join(old, list(key), "full_outer").select(*key, *[F.coalesce(F.col(c), F.col(f"__{c}")).alias(c) for c in same], F.col("__missing").alias("missing_since"), change.alias("change"))
 
 
+def scan_changes(known: DataFrame, scan: DataFrame) -> DataFrame:
+    """path, fingerprint, size, asset, change of every path of a library (path, fingerprint, size, asset, missing) or a scan of it.
+
+    A file is what its fingerprint and size say, wherever it lies. Of the
+    scanned paths, created ones hold unknown files, moved ones a known file
+    none of whose old paths is still seen with it, linked ones another copy of
+    a known file, changed ones another file than before (known elsewhere or
+    not), and reappeared ones were missing; missing ones weren't scanned.
+    """
+    file = ("fingerprint", "size")
+    owners = known.groupBy(*file).agg(F.min("asset").alias("owner"))
+    still = known.join(scan, ["path", *file], "left_semi").select(*file).distinct().withColumn("still", F.lit(True))
+    old = known.select("path", F.col("fingerprint").alias("old_fingerprint"), F.col("size").alias("old_size"), F.col("asset").alias("old_asset"), F.col("missing").alias("was_missing"), F.lit(True).alias("was"))
+    rows = scan.select("path", *file, F.lit(True).alias("seen")).join(owners, list(file), "left").join(still, list(file), "left").join(old, "path", "full_outer")
+    same = F.col("fingerprint").eqNullSafe(F.col("old_fingerprint")) & F.col("size").eqNullSafe(F.col("old_size"))
+    change = (
+        F.when(F.col("seen").isNull(), "missing")
+        .when(F.col("was") & same & F.col("was_missing"), "reappeared")
+        .when(F.col("was") & same, "unchanged")
+        .when(F.col("was"), "changed")
+        .when(F.col("owner").isNull(), "created")
+        .when(F.col("still"), "linked")
+        .otherwise("moved")
+    )
+    asset = F.when(F.col("seen").isNull(), F.col("old_asset")).otherwise(F.col("owner"))
+    return rows.select("path", F.coalesce("fingerprint", "old_fingerprint").alias("fingerprint"), F.coalesce("size", "old_size").alias("size"), asset.alias("asset"), change.alias("change"))
+
+
+def primary_session(memberships: DataFrame) -> DataFrame:
+    """asset, session of memberships (asset, session, is_primary, created): the primary one, else the newest, ties by session."""
+    return first_of(memberships, ["asset"], [F.desc("is_primary"), F.desc("created"), F.asc("session")]).select("asset", "session")
+
+
 def mark_missing(changes: DataFrame, now: Column) -> DataFrame:
     """upsert()'s rows with missing_since set once when a row goes missing, and cleared when it is back."""
     return changes.withColumn("missing_since", F.when(F.col("change") == "missing", F.coalesce("missing_since", now)))

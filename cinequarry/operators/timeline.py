@@ -163,6 +163,44 @@ def merge_window_shots(shots: DataFrame) -> DataFrame:
     return merged.select("asset", "start_ms", "end_ms", "text", "tags", "confidence")
 
 
+def assemble(tracks: Mapping[str, DataFrame], coverage: DataFrame, start_ms: int, end_ms: int) -> DataFrame:
+    """track, record, start_ms, end_ms, label, state of what each track (record, start_ms, end_ms, label) has within a viewport.
+
+    Every track comes back: one with nothing there has a row without a record.
+    state is that of its coverage (track, state); a track without any is absent.
+    """
+    rows = None
+    for name, own in tracks.items():
+        one = own.where((F.col("start_ms") < end_ms) & (F.col("end_ms") > start_ms)).select(F.lit(name).alias("track"), "record", "start_ms", "end_ms", "label")
+        rows = one if rows is None else rows.unionByName(one)
+    every = coverage.sparkSession.createDataFrame([(name,) for name in tracks], "track string").join(coverage.select("track", "state"), "track", "left").select("track", F.coalesce("state", F.lit("absent")).alias("state"))
+    return F.broadcast(every).join(rows, "track", "left").select("track", "record", "start_ms", "end_ms", "label", "state")
+
+
+def on_recording(shots: DataFrame, windows: DataFrame) -> DataFrame:
+    """Shots of windows (asset, window, start_ms, end_ms, ...) on the time of their recording, cut to their window; empty ones go."""
+    own = windows.select("asset", "window", F.col("start_ms").alias("__begin"), F.col("end_ms").alias("__stop"))
+    rows = shots.join(own, ["asset", "window"])
+    cut = lambda c: F.least(F.greatest(F.col(c) + F.col("__begin"), F.col("__begin")), F.col("__stop"))
+    return rows.withColumns({"start_ms": cut("start_ms"), "end_ms": cut("end_ms")}).where("end_ms > start_ms").drop("__begin", "__stop")
+
+
+def merge_window_analyses(windows: DataFrame, lists: list[str]) -> DataFrame:
+    """asset, summary, confidence, people and the given lists of windows' analyses (asset, window, same columns) as one.
+
+    Lists are united in order of first mention, the summary is the first that
+    isn't empty, confidence the mean of those given, people the most seen.
+    """
+    joined = lambda c: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("window", F.coalesce(F.col(c), F.array().cast("array<string>")).alias("v")))), lambda x: x["v"])))
+    summary = F.min_by(F.when(F.trim("summary") != "", F.col("summary")), F.when(F.trim("summary") != "", F.col("window")))
+    return windows.groupBy("asset").agg(summary.alias("summary"), F.avg("confidence").alias("confidence"), F.max("people").alias("people"), *[joined(c).alias(c) for c in lists])
+
+
+def transcript_pool(limit: int) -> int:
+    """Rows that a recall pool of transcripts holds on one machine; the channel here checks all that it finds."""
+    return max(1000, min(50 * limit, 10_000))
+
+
 def read_pyramid(level: DataFrame, width_ms: int, start_ms: int, end_ms: int, most: int = 0) -> DataFrame:
     """Buckets of a level (bucket, low, high) that a viewport touches, with start_ms, at most so many from its start."""
     if start_ms < 0 or end_ms <= start_ms or width_ms <= 0:
