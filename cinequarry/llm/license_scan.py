@@ -43,6 +43,12 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC-BY-4.0": ("This work is licensed under a Creative Commons Attribution 4.0 International License.",),
     "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",),
+    "BSD-2-Clause": ("Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",),
+    "AGPL-3.0": ("You should have received a copy of the GNU Affero General Public License along with this program.",),
+    "CC-BY-SA-4.0": ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",),
+    "CC0-1.0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.",),
     "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",),
 }
 _PUNCTUATION = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
@@ -153,7 +159,7 @@ def license_scan(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     of the first such stretch begins. Templates of fewer than k words are
     refused.
 
-    Null, empty and short texts hold nothing. Repeated rows and ids give rows
+    Null, empty and short texts hold nothing; very long ones are scanned whole. Repeated rows and ids give rows
     each. An empty table gives no rows.
     """
     short = [s for texts in templates.values() for s in texts if len(words_of(s.encode())) < k]
