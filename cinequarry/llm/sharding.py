@@ -12,6 +12,7 @@ bracket holds no further boundary. Only then are the rows exchanged, once.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -104,13 +105,13 @@ def find_splitters(keys: DataFrame, parts: int, tolerance: float, cut_tolerance:
         for p, (b_size, b_rows) in zip(probes.tolist(), below.iloc[:-1].itertuples(index=False, name=None), strict=True):
             known[p] = (int(b_size), int(b_rows))
         order = sorted(known)
+        sizes = [known[p][0] for p in order]  # never falls with the key
         for b in brackets:
-            for p in order:
-                s, r = known[p]
-                if s <= b.target and p > b.lo:
-                    b.lo, b.lo_bytes, b.lo_rows = p, s, r
-                elif s > b.target and p < b.hi:
-                    b.hi, b.hi_bytes, b.hi_rows = p, s, r
+            at = bisect_right(sizes, b.target)
+            if order[at - 1] > b.lo:
+                b.lo, (b.lo_bytes, b.lo_rows) = order[at - 1], known[order[at - 1]]
+            if at < len(order) and order[at] < b.hi:
+                b.hi, (b.hi_bytes, b.hi_rows) = order[at], known[order[at]]
     out = [(b.nearest()[0], b.nearest()[2]) for b in brackets]
     return sorted(out)
 
@@ -127,6 +128,7 @@ def shard_by_bytes(docs: DataFrame, *, shards: int = 8, text: str = "text", doc_
     A shard is made of key ranges of near-equal bytes, one a task, so tasks
     don't grow with the number of shards fixed. Rows equal in text and id
     can't be told apart and stay together, in any order. Null ids sort first.
+    Very long texts are rows like all others, whole.
     An empty table gives no rows. Input columns named like an output column
     are replaced.
     """
