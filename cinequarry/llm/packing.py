@@ -34,7 +34,7 @@ PIECES = 4096
 #: Rounds at most; partitions grow eightfold with each, up to this many pieces.
 ROUNDS, MOST_PIECES = 5, 1 << 20
 #: Distinct words whose ids a task keeps.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECE_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
