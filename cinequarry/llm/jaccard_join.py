@@ -272,7 +272,7 @@ def _labelled(columns: DataFrame, labels: DataFrame) -> DataFrame:
     """(list, node, many, label) of the columns in which several components meet."""
     rows = columns.select("list", "node", "many").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = rows.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("list")
-    return rows.join(mixed, "list")
+    return rows.join(small(settle(mixed)), "list")  # not dealt by list: one may hold a third of all rows
 
 
 def _bridges(open_rows: DataFrame, sizes: DataFrame, tried: DataFrame, percent: int, number: int) -> DataFrame:
@@ -288,7 +288,7 @@ def _bridges(open_rows: DataFrame, sizes: DataFrame, tried: DataFrame, percent:
     present = open_rows.join(chosen, ["node", "label"]).select("list", "label", "members", F.col("node").alias("centre"))
     top = present.groupBy("list").agg(F.max(F.struct("members", "label")).alias("top")).select("list", F.col("top.label").alias("label"))
     centres = present.join(top, ["list", "label"]).select("list", F.col("label").alias("own"), "centre")
-    met = open_rows.join(centres, "list").where("label <> own")
+    met = open_rows.join(small(settle(centres)), "list").where("label <> own")
     shared = met.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b"), "many")
     return _likely(shared, sizes, percent).join(tried, ["a", "b"], "left_anti")
 
@@ -312,7 +312,7 @@ def _marked(open_rows: DataFrame, sizes: DataFrame, percent: int) -> tuple[DataF
     """
     each = open_rows.groupBy("list", "label").agg(F.count("*").cast("double").alias("c"))
     crowded = each.groupBy("list").agg(F.sum("c").alias("rows"), F.sum(F.col("c") * F.col("c")).alias("same")).where((F.col("rows") * F.col("rows") - F.col("same")) / 2 > CROWDED * F.col("rows")).select("list", F.lit(True).alias("crowded"))
-    marked = settle(open_rows.join(sizes, "node").join(crowded, "list", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False))))
+    marked = settle(open_rows.join(sizes, "node").join(small(settle(crowded)), "list", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False))))
     left_out = marked.where("crowded").groupBy("node", "n").agg(F.sum("many").alias("left_out")).withColumn("over", F.col("left_out") > _slack("n", percent))
     return marked, settle(left_out)
 
