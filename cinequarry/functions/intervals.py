@@ -61,10 +61,20 @@ def related(left: DataFrame, right: DataFrame, key: str, relation: str, *, max_g
     return met.where(holds(relation, l, r, max_gap_ms) & (F.col("__bucket") == F.greatest("__from", "__other"))).drop("__bucket", "__from", "__other")
 
 
-def islands(rows: DataFrame, keys: list[str], *, gap_ms: int = 0) -> DataFrame:
-    """keys, start_ms, end_ms, parts: unions of intervals no more than ``gap_ms`` apart (0: touching merge)."""
+def islands(rows: DataFrame, keys: list[str], *, gap_ms: int = 0, stretch_ms: int = 86_400_000) -> DataFrame:
+    """keys, start_ms, end_ms, parts: unions of intervals no more than ``gap_ms`` apart (0: touching merge).
+
+    Intervals that start within one stretch of time are united first, then
+    these unions of each key, so a key with very many intervals is sorted in
+    many parts.
+    """
+    counted = rows.select(*keys, "start_ms", "end_ms", F.lit(1).cast("long").alias("parts"), F.floor(F.col("start_ms") / stretch_ms).alias("__stretch"))
+    return _united(_united(counted, [*keys, "__stretch"], gap_ms), keys, gap_ms)
+
+
+def _united(rows: DataFrame, keys: list[str], gap_ms: int) -> DataFrame:
     ordered = Window.partitionBy(*keys).orderBy("start_ms", "end_ms")
     reach = F.max("end_ms").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
     fresh = rows.withColumn("__new", F.when(F.col("start_ms") <= reach + gap_ms, 0).otherwise(1))
     numbered = fresh.withColumn("__island", F.sum("__new").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*keys, "__island").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("parts")).drop("__island")
+    return numbered.groupBy(*keys, "__island").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.sum("parts").alias("parts")).drop("__island")

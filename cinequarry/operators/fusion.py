@@ -64,8 +64,12 @@ def legacy_rrf(channels: DataFrame, shift: int = RANK_SHIFT) -> DataFrame:
     return rrf(channels.where("score > 0"), shift)
 
 
-def fuse(channels: DataFrame, intent: str) -> DataFrame:
-    """The default fusion of an intent: plain ranks for auto and fact, weighted ones for the others."""
+def fuse(channels: DataFrame, intent: str, size: int | None = None) -> DataFrame:
+    """The default fusion of an intent: plain ranks for auto and fact, weighted ones for the others.
+
+    ``size`` cuts every channel to its best rows first, see pool().
+    """
     weights = PROFILES[intent]
     used = channels.where(F.col("signal").isin(*weights))
+    used = used if size is None else pool(used, size)
     return rrf(used) if intent in ("auto", "fact") else weighted_rrf(used, weights)
