@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinequarry.functions.vocabulary import named
+from cinequarry.plans.scratch import settle
 
 STRUCTURED = ("objects", "actions", "tags", "mood")
 
@@ -16,11 +17,11 @@ def observations(shots: DataFrame, key: str = "id") -> DataFrame:
     Computed once at index time, as it depends on no query. Values that the
     vocabulary doesn't know stand for themselves.
     """
-    listed = shots.select(key, F.explode(F.array(*[F.struct(F.lit(s).alias("source"), F.col(s).alias("values")) for s in STRUCTURED])).alias("f")).select(key, "f.source", F.explode("f.values").alias("raw"))
-    unit = listed.select(F.concat_ws("\x1f", F.col(key).cast("string"), "source", "raw").alias("unit"), key, "source", F.lower("raw").alias("text"))
-    known = named(unit.select("unit", "text").distinct(), "unit")
-    concepts = unit.join(known, "unit").select(key, "source", F.col("concept").alias("value"), F.lit(False).alias("denied"))
-    own = unit.select(key, "source", F.explode(F.array_distinct(F.split("text", "[^a-z0-9]+"))).alias("value"), F.lit(False).alias("denied")).where("value <> ''")
+    listed = shots.select(key, F.explode(F.array(*[F.struct(F.lit(s).alias("source"), F.col(s).alias("values")) for s in STRUCTURED])).alias("f")).select(key, "f.source", F.explode("f.values").alias("raw")).withColumn("raw", F.lower("raw"))
+    # Values repeat: each is looked up once.
+    known = settle(named(listed.select("raw", F.col("raw").alias("text")).distinct(), "raw").select("raw", "concept").distinct())
+    concepts = listed.join(F.broadcast(known) if known.count() <= 1_000_000 else known, "raw").select(key, "source", F.col("concept").alias("value"), F.lit(False).alias("denied"))
+    own = listed.select(key, "source", F.explode(F.array_distinct(F.split("raw", "[^a-z0-9]+"))).alias("value"), F.lit(False).alias("denied")).where("value <> ''")
     text = shots.select(key, F.col("description").alias("text"))
     described = named(text, key).select(key, F.lit("description").alias("source"), F.col("concept").alias("value"), "denied")
     words = text.select(key, F.lit("description").alias("source"), F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9]+"))).alias("value"), F.lit(False).alias("denied")).where("value <> ''")

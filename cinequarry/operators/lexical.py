@@ -132,11 +132,17 @@ def bm25(rows: DataFrame, key: str, fields: Mapping[str, Column], terms: DataFra
     """
     distinct = settle(terms.select("query_id", "term").distinct())
     names = [r["term"] for r in distinct.select("term").distinct().limit(LISTED_TERMS + 1).collect()]
-    length = sum((F.size(t) for t in fields.values()), F.lit(0))
     listed = F.array(*[F.lit(t) for t in names]) if 0 < len(names) <= LISTED_TERMS else None
-    keep = (lambda tokens: F.filter(tokens, lambda t: F.array_contains(listed, t))) if listed is not None else (lambda tokens: tokens)
-    own = F.filter(F.array(*[F.struct(F.lit(name).alias("field"), keep(tokens).alias("tokens")) for name, tokens in fields.items()]), lambda f: F.size(f["tokens"]) > 0)
-    sized = settle(rows.select(key, length.alias("length"), own.alias("found")))
+    tokenised = rows.select(key, *[tokens.alias(f"__{name}") for name, tokens in fields.items()])  # apart, so that each text is split once
+    length = sum((F.size(f"__{name}") for name in fields), F.lit(0))
+
+    def keep(column: str) -> Column:
+        if listed is None:
+            return F.col(column)
+        return F.when(F.arrays_overlap(column, listed), F.filter(column, lambda t: F.array_contains(listed, t))).otherwise(F.array().cast("array<string>"))
+
+    own = F.filter(F.array(*[F.struct(F.lit(name).alias("field"), keep(f"__{name}").alias("tokens")) for name in fields]), lambda f: F.size(f["tokens"]) > 0)
+    sized = settle(tokenised.select(key, length.alias("length"), own.alias("found")))
     totals = sized.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
     n, mean = F.lit(int(totals["n"])), F.lit(float(totals["mean"] or 0.0) or 1.0)
     each = sized.select(key, "length", F.explode("found").alias("f")).select(key, "length", "f.field", F.explode("f.tokens").alias("term"))
