@@ -78,6 +78,7 @@ class Templates:
         for t, h in enumerate(hashes):
             if len(h):
                 by_size[math.ceil(math.log(len(h), 1.25))].append(t)
+        telling: set[int] = set()
         #: Block length, seeds of the bands, and the templates by band and value.
         self.groups: list[tuple[int, np.ndarray, list[dict[int, list[int]]]]] = []
         for _, members in sorted(by_size.items()):
@@ -90,9 +91,13 @@ class Templates:
             for seed in seeds:
                 table: dict[int, list[int]] = defaultdict(list)
                 for t in members:
-                    table[int((hashes[t] * seed).min())].append(t)
+                    values = hashes[t] * seed
+                    table[int(values.min())].append(t)
+                    telling.add(int(hashes[t][values.argmin()]))
                 tables.append(dict(table))
             self.groups.append((block, seeds, tables))
+        #: Shingles that give a template its value in some band, sorted.
+        self.telling = np.array(sorted(telling), np.uint64)
 
     def needed(self, template: int) -> int:
         return max(1, math.ceil(self.threshold * len(self.sets[template]) - 1e-9))
@@ -101,8 +106,25 @@ class Templates:
         return math.ceil(SPREAD * len(self.sets[template]))
 
     def scan(self, texts: list[bytes]) -> Iterator[tuple[int, int, int, int]]:
-        """(text, template, most shared shingles, first word of that stretch) of every template held."""
+        """(text, template, most shared shingles, first word of that stretch) of every template held.
+
+        A block can only have a template's value of a band if it holds the
+        shingle that gives it, so texts without any of these are passed over.
+        """
         codes, counts = word_codes(pa.array([t.translate(_FOLD) for t in texts], pa.binary()))
+        grams = gram_hashes(codes, self.k)
+        if not len(self.telling):
+            return
+        at = np.minimum(np.searchsorted(self.telling, grams), len(self.telling) - 1)
+        ends = np.cumsum(counts)
+        places = np.unique(np.searchsorted(ends, np.flatnonzero(self.telling[at] == grams), side="right")).tolist()
+        if places:
+            spans = [slice(int(ends[d] - counts[d]), int(ends[d])) for d in places]
+            own = np.concatenate([codes[s] for s in spans])
+            for doc, *rest in self._retrieved([texts[d] for d in places], own, counts[places]):
+                yield places[doc], *rest
+
+    def _retrieved(self, texts: list[bytes], codes: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         grams = gram_hashes(codes, self.k)
         padded = np.append(grams, np.uint64(0))
         ends = np.cumsum(counts)
