@@ -3,8 +3,9 @@
 Folding maps homoglyphs and digit substitutions to plain letters and
 punctuation to blanks. The lexicon (word starts and whole words) and its
 weights are learned as smoothed log odds from a bounded sample of labelled
-rows; matches inside exception phrases don't count. The weight found is
-normalised by the text's length, and a logistic curve turns it into a score.
+rows, and so are phrases of two words in which a match is harmless; matches
+inside exception phrases don't count. The weight found is normalised by the
+text's length, and a logistic curve turns it into a score.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql.types import DoubleType, StructType
 
 from .common import as_long, slices
 
-# Characters that stand for another, and phrases that are harmless.
+# Characters that stand for another, and phrases that are harmless whatever is learned.
 _DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 _GLYPHS = dict(zip("аеорсухіјѕԁһԛԝνοαρτυικ", "aeopcyxijsdhqwvoaptuik", strict=True))
 EXCEPTIONS = ("trash can", "trash bin", "clown fish")
@@ -94,6 +95,21 @@ class Lexicon:
                 total += found[at]
         return total / math.log2(16 + folded.count(" ")) if total else 0.0
 
+    def phrases(self, text: str) -> set[str]:
+        """The pairs of neighbouring words of which one has a match."""
+        folded = fold(text)
+        if not len(self.automaton()):
+            return set()
+        starts = {end - n + 2 for end, (n, w) in self.automaton().iter(folded) if w is not None}
+        words = folded.split()
+        out, at = set(), 0
+        for i, word in enumerate(words):
+            at = folded.index(word, at)
+            if at in starts:
+                out.update(" ".join(words[k : k + 2]) for k in (i - 1, i) if 0 <= k < len(words) - 1)
+            at += len(word)
+        return out
+
     def score(self, text: str) -> float:
         z = self.slope * self.weight(text) + self.shift
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
@@ -119,7 +135,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, *, text: str = "te
     labelled more than once takes its highest label. Whole texts count, however
     long. Without labelled rows of both kinds the lexicon is empty and every
     score is low. Every word or start of a word that ``least_rows`` toxic rows
-    have, with log odds of ``least_odds``, is an entry.
+    have, with log odds of ``least_odds``, is an entry; every pair of words with
+    a match that as many clean rows have and no toxic one is an exception.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).select(as_long(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).where(usable)
     chosen = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
@@ -146,6 +163,18 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, *, text: str = "te
         counted.unpersist()
     lexicon = Lexicon({r["entry"]: float(r["w"]) for r in best}, exceptions)
 
+    def around(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            bad, fine = Counter(), Counter()
+            for t, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                (bad if y else fine).update(lexicon.phrases(t))
+            names = list(dict.fromkeys([*bad, *fine]))
+            yield pa.RecordBatch.from_pydict({"phrase": pa.array(names, pa.string()), "bad": pa.array([bad[p] for p in names], pa.int64()), "fine": pa.array([fine[p] for p in names], pa.int64())})
+
+    met = rows.mapInArrow(around, "phrase string, bad long, fine long").groupBy("phrase").agg(F.sum("bad").alias("bad"), F.sum("fine").alias("fine"))
+    harmless = met.where((F.col("bad") == 0) & (F.col("fine") >= least_rows)).orderBy("phrase").collect()  # bounded by the sample's words
+    lexicon = Lexicon(lexicon.weights, (*exceptions, *(r["phrase"] for r in harmless)))
+
     def weigh(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             x = [round(lexicon.weight(t), 2) for t in batch.column("text").to_pylist()]

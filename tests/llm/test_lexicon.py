@@ -50,3 +50,13 @@ def test_long_words_are_entries(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     lexicon = toxicity.train(docs, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(80)], "doc_id long, toxic int"), F.lit(True))
     assert f" {word} " in lexicon.weights and lexicon.score(word) > 0.7 > lexicon.score("row 5 of plain text fine")
+
+
+def test_harmless_phrases_are_learned(spark):
+    """A word of toxic rows that clean ones only have in one phrase."""
+    rows = [(i, f"n{i} x{i} blarg y{i} m{i}") for i in range(40)] + [(100 + i, f"n{i} p{i} blarg bin q{i}") for i in range(12)] + [(200 + i, f"plain row {i}") for i in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lexicon = toxicity.train(docs, spark.createDataFrame([(i, int(i < 100)) for i, _ in rows], "doc_id long, toxic int"), F.lit(True), least_odds=1.0)
+    assert "blarg bin" in lexicon.exceptions and "x1 blarg" not in lexicon.exceptions
+    assert lexicon.score("what a blarg") > 0.7 > lexicon.score("in the blarg bin now")
+    assert lexicon.phrases("a blarg. Bin!") == {"a blarg", "blarg bin"}
