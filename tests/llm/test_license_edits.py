@@ -40,3 +40,12 @@ def test_edited_statements_at_every_alignment(name):
         if shared >= THRESHOLD * of:
             expected[d] = shared
     assert got == expected and n < len(expected) < len(texts)
+
+
+def test_a_statement_deep_in_a_long_text():
+    index = Templates(TEMPLATES, SHINGLE, THRESHOLD, MISS)
+    far = " ".join(f"w{i % 9973}x{i % 7}" for i in range(300_000))
+    texts = [f"{far} {TEMPLATES['MIT'][-1]} {far}", far, "", f"{TEMPLATES['ISC'][0]}"]
+    got = {(d, index.names[t][0]): at for d, t, _, at in index.scan([t.encode() for t in texts])}
+    assert got == {(0, "MIT"): len(words_of(far.encode())), (3, "ISC"): 0}
+    assert not list(Templates({}, SHINGLE, THRESHOLD, MISS).scan([b"any text at all here"]))
