@@ -231,11 +231,15 @@ def place_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.rollup("r_name", "n_name").agg(_n("n")).select(F.coalesce("r_name", F.lit("ALL")).alias("region"), F.coalesce("n_name", F.lit("ALL")).alias("nation"), "n")
 
 
-@register()
+@register("""WITH RECURSIVE t AS (SELECT *, row_number() OVER (ORDER BY p_type) AS id FROM (SELECT p_type, avg(p_size) - 25 AS s, avg(p_retailprice) % 7 - 3 AS p FROM part GROUP BY p_type)),
+    c AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity([a.s, a.p], [b.s, b.p]) AS c FROM t a, t b WHERE a.id < b.id), l AS (SELECT a, b FROM c WHERE c >= 0.86 UNION ALL SELECT b, a FROM c WHERE c >= 0.86), r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+    g AS (SELECT a AS tag, least(a, min(b)) AS cluster FROM r GROUP BY a), m AS (SELECT cluster, count(*) AS members FROM g GROUP BY cluster), s AS (SELECT x.cluster, avg(c) AS similarity FROM c JOIN g x ON x.tag = c.a JOIN g y ON y.tag = c.b AND x.cluster = y.cluster GROUP BY x.cluster)
+    SELECT tag, cluster, members, round(similarity, 6) AS similarity FROM g JOIN m USING (cluster) JOIN s USING (cluster)""")
 def similar_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters of the part types, a curated list, by the mean of their parts' figures."""
-    types = table(spark, sf_dir, "part").groupBy("p_type").agg(F.avg("p_size").alias("s"), (F.avg("p_retailprice") / 100).alias("p"))
-    return tag_clusters(types.select(F.xxhash64("p_type").alias("id"), F.array("s", "p").alias("vector")))
+    """Clusters of the part types, a curated list, by what is left of their parts' mean figures."""
+    types = table(spark, sf_dir, "part").groupBy("p_type").agg((F.avg("p_size") - 25).alias("s"), (F.avg("p_retailprice") % 7 - 3).alias("p"))
+    ids = types.select(F.row_number().over(Window.orderBy("p_type")).cast("long").alias("id"), F.array("s", "p").alias("vector"))  # a row a type
+    return tag_clusters(ids).withColumn("similarity", F.round("similarity", 6))
 
 
 @register("WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS term FROM documents), df AS (SELECT term, count(*) AS df FROM t GROUP BY term) SELECT doc_id, round(1 - avg(df / (SELECT count(*) FROM documents)), 6) AS score, count(*) FILTER (WHERE df <= 1) AS rare_terms FROM t JOIN df USING (term) GROUP BY doc_id")

@@ -200,13 +200,13 @@ def sound_event_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"""WITH {_CELLS}, p AS (SELECT *, cell * 480 AS s, least(cell * 480 + 960, length) AS e FROM (SELECT *, max(cell) OVER (PARTITION BY user_id) * 480 + 700 AS length FROM c)),
     x AS (SELECT user_id, event_type, k AS cell, least(least((k + 1) * 100, length), e) - greatest(k * 100, s) AS w, score FROM (SELECT *, unnest(range(s // 100, (e - 1) // 100 + 1)) AS k FROM p))
-    SELECT user_id, event_type, cell, round(sum(w * score) / sum(w), 6) AS score FROM x GROUP BY ALL
+    SELECT user_id, event_type, cell, round(sum(w * score) / sum(w) + 1e-9, 6) AS score FROM x GROUP BY ALL
     UNION ALL SELECT user_id, event_type, cell, 0 FROM (SELECT user_id, event_type, unnest(range((length + 99) // 100)) AS cell FROM (SELECT DISTINCT user_id, event_type, length FROM p)) ANTI JOIN x USING (user_id, event_type, cell)""")
 def sound_patch_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each value as the score of a patch of 960 ms, hop 480 ms; recordings end 700 ms into the last one."""
     patches = _cells(spark, sf_dir).withColumnRenamed("cell", "patch")
     durations = patches.groupBy("user_id").agg((F.max("patch") * 480 + 700).alias("duration_ms"))
-    return patch_cells(patches, ["user_id", "event_type"], durations, "user_id").withColumn("score", F.round("score", 6))
+    return patch_cells(patches, ["user_id", "event_type"], durations, "user_id").withColumn("score", F.when(F.col("score") > 0, F.round(F.col("score") + 1e-9, 6)).otherwise(0.0))
 
 
 @register(f"""WITH {_EV}, o AS (SELECT user_id AS asset, event_type AS text, value, s, e, max((e, s)) OVER (PARTITION BY user_id, event_type ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ev),
