@@ -147,10 +147,11 @@ def _rows(source: DataFrame, frequent: np.ndarray, k: int, percent: int, seed: i
     return source.select("doc_id", "code", "text").mapInArrow(build, _ROW_SQL)
 
 
-def _columns(rows: DataFrame) -> DataFrame:
+def _columns(rows: DataFrame, bearers: DataFrame) -> DataFrame:
     """list, centre, node, many: columns of two or more rows; columns of the same rows are one list, ``many`` of them.
 
-    A frequent shingle's column is a list of its own, and Spark's partial sums
+    A set enters by the head of one row, its bearer (node, doc_id, code). A
+    frequent shingle's column is a list of its own, and Spark's partial sums
     find its centre, so that no task meets all of its rows.
     """
     schema = pa.schema([("list", pa.int64()), ("centre", pa.int64()), ("node", pa.int64()), ("many", pa.int64())])
@@ -199,7 +200,10 @@ def _columns(rows: DataFrame) -> DataFrame:
         if lists:
             yield flush()
 
-    heads = rows.where("head IS NOT NULL").select("node", "late", F.posexplode("head").alias("pos", "gram"))
+    one = bearers.select(F.col("node").alias("n_"), F.col("doc_id").alias("d_"), F.col("code").alias("c_"))
+    own = (F.col("node") == F.col("n_")) & F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("code") == F.col("c_"))
+    borne = rows.where("head IS NOT NULL").join(small(one), own, "left_semi")
+    heads = borne.select("node", "late", F.posexplode("head").alias("pos", "gram"))
     dealt = heads.where("pos < late").select("gram", "node").repartition(partitions(rows.sparkSession), "gram").sortWithinPartitions("gram", "node")
     rare = dealt.mapInArrow(gather, "list long, centre long, node long, many long").groupBy("list", "centre", "node").agg(F.sum("many").alias("many"))
     common = heads.where("pos >= late").select(F.col("gram").alias("list"), "node").distinct()
@@ -272,7 +276,7 @@ def _labelled(columns: DataFrame, labels: DataFrame) -> DataFrame:
     """(list, node, many, label) of the columns in which several components meet."""
     rows = columns.select("list", "node", "many").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = rows.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("list")
-    return rows.join(small(settle(mixed)), "list")  # not dealt by list: one may hold a third of all rows
+    return rows.join(mixed, "list")
 
 
 def _bridges(open_rows: DataFrame, sizes: DataFrame, tried: DataFrame, percent: int, number: int) -> DataFrame:
@@ -288,7 +292,7 @@ def _bridges(open_rows: DataFrame, sizes: DataFrame, tried: DataFrame, percent:
     present = open_rows.join(chosen, ["node", "label"]).select("list", "label", "members", F.col("node").alias("centre"))
     top = present.groupBy("list").agg(F.max(F.struct("members", "label")).alias("top")).select("list", F.col("top.label").alias("label"))
     centres = present.join(top, ["list", "label"]).select("list", F.col("label").alias("own"), "centre")
-    met = open_rows.join(small(settle(centres)), "list").where("label <> own")
+    met = open_rows.join(centres, "list").where("label <> own")
     shared = met.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b"), "many")
     return _likely(shared, sizes, percent).join(tried, ["a", "b"], "left_anti")
 
@@ -312,7 +316,7 @@ def _marked(open_rows: DataFrame, sizes: DataFrame, percent: int) -> tuple[DataF
     """
     each = open_rows.groupBy("list", "label").agg(F.count("*").cast("double").alias("c"))
     crowded = each.groupBy("list").agg(F.sum("c").alias("rows"), F.sum(F.col("c") * F.col("c")).alias("same")).where((F.col("rows") * F.col("rows") - F.col("same")) / 2 > CROWDED * F.col("rows")).select("list", F.lit(True).alias("crowded"))
-    marked = settle(open_rows.join(sizes, "node").join(small(settle(crowded)), "list", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False))))
+    marked = settle(open_rows.join(sizes, "node").join(crowded, "list", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False))))
     left_out = marked.where("crowded").groupBy("node", "n").agg(F.sum("many").alias("left_out")).withColumn("over", F.col("left_out") > _slack("n", percent))
     return marked, settle(left_out)
 
@@ -414,11 +418,11 @@ def _components(docs: DataFrame, text: str, doc_id: str, k: int, percent: int) -
     for seed in numbers():
         rows = settle(_rows(source, frequent, k, percent, seed))
         first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "code")))
-        sets = rows.where("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), first.alias("least"), F.min(F.struct("doc_id", "code")).alias("row"), F.min("proof").alias("lo"), F.max("proof").alias("hi"))
+        sets = rows.where("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), first.alias("least"), F.min(F.struct("doc_id", "code")).alias("row"), F.min(F.when(F.col("head").isNotNull(), F.struct("doc_id", "code"))).alias("bearer"), F.min("proof").alias("lo"), F.max("proof").alias("hi"))
         sets = settle(sets)
         if not sets.where("lo <> hi").limit(1).count():
             break  # else two sets share a node: name them anew
-    columns = settle(_columns(rows))
+    columns = settle(_columns(rows, sets.select("node", "bearer.doc_id", "bearer.code")))
     nodes = settle(sets.join(columns.select("node").distinct(), "node", "left_semi").select("node", "n", "row.doc_id", "row.code"))
     known = source.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
     texts = _texts(known, nodes.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63)))))
