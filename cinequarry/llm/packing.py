@@ -20,7 +20,6 @@ from itertools import chain
 from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -192,16 +191,16 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, pieces_each: int = PIEC
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema), "sequence_id long, offset long, released boolean"])
 
     def run(number: int):
-        def packed(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-            lengths = frame["length"].to_numpy()
+        def packed(keys: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+            lengths = table.column("length").to_numpy()
             bins, offsets, fill = best_fit_decreasing(lengths, capacity)
             room = fill < capacity
             if len(fill) <= lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity):
                 # Certified: only what rounding the bound up may have left goes on, the emptiest bin.
                 room &= np.arange(len(fill)) == fill.argmin()
-            out = frame[columns].copy()
-            out["sequence_id"] = bins + (int(keys[0]) << 24) + (number << 58)
-            out["offset"], out["released"] = offsets, room[bins]
+            out = table.select(columns)  # Arrow throughout: a null beside an id would make floats of a pandas column
+            for name, values in (("sequence_id", bins + (keys[0].as_py() << 24) + (number << 58)), ("offset", offsets), ("released", room[bins])):
+                out = out.append_column(name, pa.array(values))
             return out
 
         return packed
@@ -215,7 +214,7 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, pieces_each: int = PIEC
         groups = max(1, -(-n // min(most_pieces, pieces_each << 3 * number)))
         # An even deal, whatever the ids: the table is written, so a row's number stays the same.
         dealt = todo.withColumn("__part", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(number)), F.lit(groups)))
-        done = settle(dealt.groupBy("__part").applyInPandas(run(number), schema))
+        done = settle(dealt.groupBy("__part").applyInArrow(run(number), schema))
         tally = done.where("offset = 0").agg(F.count("*").alias("bins"), F.count_if("released").alias("released")).first()
         bins, released = int(tally["bins"]), int(tally["released"])
         if held is not None and bins >= before:  # the exchange saved nothing
@@ -239,6 +238,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPA
     """Best-fit packing of whole documents: a row per piece, see pieces_of() and pack().
 
     Null and empty texts give a piece of one token, the end id. Very long
-    texts are cut, never shortened. Null and repeated ids keep their rows.
+    texts are cut, never shortened. Null and repeated ids keep their rows as
+    they are, and so do ids beside a null. An empty table gives no rows;
+    further columns of ``docs`` are not read, whatever their names.
     """
     return pack(pieces_of(docs, tokenizer_path, capacity=capacity, text=text, doc_id=doc_id), capacity=capacity)

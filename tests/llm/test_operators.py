@@ -425,3 +425,10 @@ def test_pipeline_stages(spark, sf):
         before = after
     rows = corpus_pipeline.run(spark, sf).collect()
     assert {r["doc_id"] for r in rows} == before
+
+
+def test_packing_keeps_ids_beside_a_null(spark):
+    ids = [2**60 + 1, 2**60 + 3, None, None, 2**63 - 1]
+    rows = pack_documents(spark.createDataFrame([(i, "one two", "x") for i in ids], "doc_id long, text string, length string"), tokenizer_path()).collect()
+    assert Counter(r["doc_id"] for r in rows) == Counter(ids)
+    assert pack_documents(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path()).count() == 0
