@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import toxicity
+from .centroid_clustering import cluster_vectors
+from .collocations import collocations
 from .decontamination import contaminated_pairs
 from .exact_dedup import exact_dedup
 from .html_extraction import extract_main_text
@@ -15,6 +17,7 @@ from .jaccard_join import jaccard_groups
 from .license_scan import license_scan
 from .lm_scoring import score_documents
 from .packing import pack_documents
+from .pii import KINDS, default_field, find_spans
 from .sharding import shard_by_bytes
 from .substring_dedup import substring_dedup
 
@@ -83,6 +86,22 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents"), keep="largest")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_read(spark, sf_dir, "documents"))
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_spans(_read(spark, sf_dir, "documents").select("doc_id", "text"), default_field())
+    base = F.filter("spans", lambda s: s.base)
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
+    counts = [F.expr(f"size(filter(spans, s -> s.base AND s.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_sharding": op2_sharding,
@@ -94,13 +113,66 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_license_scan": op9_license_scan,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_collocations": op12_collocations,
+    "op13_pii": op13_pii,
 }
 
 #: Words of a table's texts, lower-cased; unnested lists keep their order.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 _SHINGLES = "SELECT DISTINCT {id}, s FROM (SELECT {id}, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)] END) AS s FROM (SELECT {id}, " + _WORDS + " AS w FROM {table}))"
 
+
+
+def _lloyd_sql(k: int = 16, rounds: int = 3) -> str:
+    """Rounds one after the other; a centroid is a row for each component."""
+    parts = [
+        """WITH v AS MATERIALIZED (
+            SELECT vec_id, [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS xs FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, xs FROM v QUALIFY c < {k})""",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (
+            SELECT vec_id, xs, c, d FROM (SELECT vec_id, v.xs, c, list_sum([(p[1] - p[2]) * (p[1] - p[2]) FOR p IN list_zip(v.xs, m.xs)])::BIGINT AS d FROM v, c{i} m)
+            QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1)""")
+        if i < rounds:
+            parts.append(f"""s{i} AS (SELECT c, j, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT c, unnest(xs) AS x, unnest(range(64)) AS j FROM a{i}) GROUP BY c, j)""")
+            parts.append(f"""c{i + 1} AS MATERIALIZED (
+                SELECT c, coalesce(m.xs, c{i}.xs) AS xs
+                FROM c{i} LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY j) AS xs FROM s{i} GROUP BY c) m USING (c))""")
+    return ", ".join(parts) + f"""
+        SELECT vec_id, c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+               sha256(array_to_string(m.xs, ',')) AS centroid_sha256
+        FROM a{rounds} a JOIN c{rounds} m USING (c)"""
+
+
+_SCORED_SQL = r"""
+        WITH pieces AS (
+            SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+            FROM (SELECT coalesce(lang, 'und') AS lang, text FROM documents)),
+        n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+        f AS MATERIALIZED (
+            SELECT lang, p, k, count(*) AS f FROM (
+                SELECT lang, k, array_to_string(w[i:i+k-1], ' ') AS p FROM (
+                    SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k))
+            GROUP BY lang, p, k HAVING count(*) >= 100),
+        cuts AS (SELECT lang, p, k, f, unnest(range(1, k)) AS cut, string_split(p, ' ') AS w FROM f WHERE k >= 2),
+        scored AS (
+            SELECT cuts.lang, cuts.p, cuts.k, cuts.f AS a, l.f AS l, r.f AS r, n.n, ((1000::HUGEINT * cuts.f * n.n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+            FROM cuts JOIN n USING (lang)
+            JOIN f l ON l.lang = cuts.lang AND l.p = array_to_string(cuts.w[1:cut], ' ') JOIN f r ON r.lang = cuts.lang AND r.p = array_to_string(cuts.w[cut+1:], ' ')
+            QUALIFY row_number() OVER (PARTITION BY cuts.lang, cuts.p ORDER BY score, cut) = 1),
+        inner_ AS (SELECT DISTINCT c.lang, c.f, array_to_string(c.w[i:i+m-1], ' ') AS p
+                   FROM (SELECT lang, f, w, k, m, unnest(range(1, k - m + 2)) AS i FROM (SELECT lang, f, k, string_split(p, ' ') AS w, unnest(range(2, k)) AS m FROM f WHERE k >= 3)) c)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank, p AS phrase, a, l, r, n, score
+        FROM scored s WHERE NOT EXISTS (SELECT 1 FROM inner_ i WHERE i.lang = s.lang AND i.p = s.p AND 100 * i.f >= 100 * s.a)
+        QUALIFY rank <= 2000
+"""
+
 ORACLES: dict[str, str] = {
+    "op11_centroid_clustering": _lloyd_sql(),
+    "op12_collocations": _SCORED_SQL,
     "op3_substring_dedup": r"""
         WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
              win AS (SELECT doc_id, i, sha256(array_to_string(w[i:i+19], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
