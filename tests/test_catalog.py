@@ -29,7 +29,7 @@ def test_query(spark, sf, duck, name):
         return
     want = duck.sql(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
-    columns = ", ".join(f"round({c}, 6) AS {c}" if want[c].dtype.kind == "f" else c for c in sorted(want.columns))
+    columns = ", ".join(f'round("{c}", 6) AS "{c}"' if want[c].dtype.kind == "f" else f'"{c}"' for c in sorted(want.columns))
     duck.register("got", got)
     duck.register("want", want)
     for a, b in (("got", "want"), ("want", "got")):
