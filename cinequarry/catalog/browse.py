@@ -97,9 +97,9 @@ def job_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return browse.job_summary(_jobs(spark, sf_dir), _now(), ("disk_low",))
 
 
-@register(f"WITH {_JOBS} SELECT coalesce(nullif(trim(code), ''), 'unknown') AS code, count(*) AS n, count(DISTINCT asset) AS assets, count(*) FILTER (WHERE terminal) AS terminal, min(created) AS first_at, min(run_after) FILTER (WHERE NOT terminal) AS next_retry, min(asset) AS sample FROM jobs WHERE state = 'failed' GROUP BY 1")
+@register(f"WITH {_JOBS} SELECT coalesce(nullif(code, ''), 'unknown') AS code, count(*) AS n, count(DISTINCT asset) AS assets, count(*) FILTER (WHERE terminal) AS terminal, min(created) AS first_at, min(run_after) FILTER (WHERE state = 'pending') AS next_retry, min(asset) AS sample FROM jobs WHERE state = 'failed' OR state = 'pending' AND run_after > make_timestamp({_NOW}000000) AND code IN ('disk_low', 'timeout') GROUP BY 1")
 def job_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = browse.job_issues(_jobs(spark, sf_dir).where("state = 'failed'"))
+    found = browse.job_issues(_jobs(spark, sf_dir), _now(), ("disk_low", "timeout"))
     return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_at", "next_retry")})
 
 

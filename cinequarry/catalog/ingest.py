@@ -111,7 +111,7 @@ def timeline_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble({t: own(t) for t in ("click", "view", "purchase", "none")}, coverage, *_VIEW).drop("label")
 
 
-@register("""SELECT user_id AS asset, first(t ORDER BY w) FILTER (WHERE t <> '') AS summary, round(avg(value), 6) AS confidence, max(p) AS people, array_to_string(list_distinct(list(event_type)).list_sort(), ',') AS tags
+@register("""SELECT user_id AS asset, first(t ORDER BY w) FILTER (WHERE t <> '') AS summary, round(coalesce(avg(value) FILTER (WHERE value > 0), 0), 6) AS confidence, max(p) AS people, array_to_string(list_distinct(list(event_type)).list_sort(), ',') AS tags
     FROM (SELECT user_id, event_id AS w, value, event_id % 9 AS p, event_type, CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type || event_id END AS t FROM events) GROUP BY user_id""")
 def window_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as windows of their user."""
@@ -141,7 +141,7 @@ def turn_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     words = _words(spark, sf_dir).select("conv_id", (F.col("turn") * 9000 + F.col("start_ms")).alias("start_ms"), (F.col("turn") * 9000 + F.col("end_ms")).alias("end_ms"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("turn") * 9000).alias("start_ms"), (F.col("turn") * 9000 + 4000).alias("end_ms"))
-    met = related(words, turns, "conv_id", "simultaneous", bucket_ms=4_000)
+    met = related(words, turns, "conv_id", "simultaneous")
     shared = overlap_ms((F.col("left_start_ms"), F.col("left_end_ms")), (F.col("right_start_ms"), F.col("right_end_ms")))
     return met.groupBy("conv_id", "turn").agg(F.count("*").alias("words"), F.sum(shared).alias("overlap_ms"))
 

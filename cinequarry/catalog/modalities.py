@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinequarry.operators.modalities import active, best_windows, build_matches, distinct_matches, evidence_class, evidence_sources, has_head, merge_coverage, place_on_shots, sound_channel, speaker_channel, speaker_matches, universe, vector_channel
+from cinequarry.operators.temporal import Recordings, Requests, evaluate
 
 from .common import registry, table
 
@@ -87,7 +88,7 @@ _PLACED = f"{_SOUND}, {_SHOTS}, pl AS (SELECT s.*, h.shot FROM snd s JOIN shots
 @register(f"WITH {_PLACED}, b AS (SELECT *, row_number() OVER (PARTITION BY query_id, shot ORDER BY score DESC, start_ms, end_ms, record, asset) AS r FROM pl) SELECT query_id, shot, asset, start_ms, end_ms, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, shot) AS k FROM b WHERE r = 1) WHERE k <= 20")
 def modality_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sound windows on the shots that they overlap, one candidate a shot."""
-    return best_windows(place_on_shots(_sound(spark, sf_dir), _shots(spark, sf_dir), bucket_ms=3_600_000), 20)[0].select("query_id", "shot", "asset", "start_ms", "end_ms", "score")
+    return best_windows(place_on_shots(_sound(spark, sf_dir), _shots(spark, sf_dir)), 20)[0].select("query_id", "shot", "asset", "start_ms", "end_ms", "score")
 
 
 @register(f"WITH {_ACTIVE} SELECT 1::BIGINT AS query_id, record, asset, start_ms, 1.0::DOUBLE AS score FROM act WHERE asset = 3 AND label = 'view' UNION ALL SELECT 2, record, asset, start_ms, 1.0 FROM act WHERE asset = 5 AND label = 'click'")
@@ -144,3 +145,67 @@ def coverage_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 def speaker_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL").select(F.col("label").alias("profile"), F.when(F.col("vec_id") % 3 == 0, "other").otherwise("main").alias("space"), F.col("embedding").alias("vector"), (F.col("vec_id") % 7 + 1).alias("duration_ms"))
     return speaker_matches(rows, True, profile=1, limit=5).withColumn("similarity", F.round("similarity", 6))
+
+
+# Requests of every supplier over timed channels: a siren or music in some relation to rain or thunder, every third with a picture too.
+_CLASSES = {"view": "/m/06mb1", "click": "/m/0ngt1", "purchase": "/m/03kmc9"}
+_ASKED = {"view": "rain", "click": "thunder", "purchase": "a police siren"}
+_FRAMES = 1_704_067_200_000
+_CASE = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _CLASSES.items()) + " ELSE '/m/04rlf' END"
+_REQUESTS = f"""{_RECORDS.replace('event_type AS label', _CASE + ' AS label')}, act AS (SELECT * FROM rec WHERE generation = asset % 3), {_SHOTS},
+    frames AS (SELECT 100000000 + vec_id AS record, vec_id % 50 + 1 AS asset, {_FRAMES} + (vec_id * 7919 % 700) * 3600000 AS start_ms, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL),
+    cond AS (SELECT s_suppkey AS query_id, 'a' AS condition, CASE WHEN s_suppkey % 2 = 0 THEN '{_CLASSES["purchase"]}' ELSE '/m/04rlf' END AS label FROM supplier
+             UNION ALL SELECT s_suppkey, 'b', CASE WHEN s_suppkey % 4 < 2 THEN '{_CLASSES["view"]}' ELSE '{_CLASSES["click"]}' END FROM supplier),
+    pred AS (SELECT s_suppkey AS query_id, 'p' AS predicate, 'a' AS l, 'b' AS r, (['simultaneous', 'before', 'after', 'during', 'starts_within', 'ends_within'])[s_suppkey % 6 + 1] AS relation, 900000 * (1 + s_suppkey % 5) AS gap FROM supplier
+             UNION ALL SELECT s_suppkey, 'q', 'c', 'a', 'during', 0 FROM supplier WHERE s_suppkey % 3 = 0),
+    heard AS (SELECT query_id, condition, asset, record, start_ms, end_ms, raw_score AS score, CASE WHEN record % 2 = 0 THEN 'confirmed' ELSE 'possible' END AS status FROM cond JOIN act USING (label)
+              UNION ALL SELECT s_suppkey, 'c', f.asset, f.record, f.start_ms, f.start_ms + 600000, round(list_cosine_similarity(f.v, q.v), 6), 'possible' FROM supplier JOIN frames q ON q.record = 100000000 + s_suppkey JOIN frames f ON list_cosine_similarity(f.v, q.v) > 0 WHERE s_suppkey % 3 = 0),
+    win AS (SELECT * FROM heard h WHERE EXISTS (SELECT 1 FROM shots x WHERE x.asset = h.asset AND x.start_ms < h.end_ms AND x.end_ms > h.start_ms)),
+    sup AS (SELECT p.query_id, p.predicate, l.asset, p.relation, l.record AS left_record, r.record AS right_record, CASE WHEN l.status = 'confirmed' AND r.status = 'confirmed' THEN 'confirmed' ELSE 'possible' END AS evidence,
+                CASE WHEN relation IN ('before', 'after') THEN l.start_ms || '-' || l.end_ms || ',' || r.start_ms || '-' || r.end_ms ELSE greatest(l.start_ms, r.start_ms) || '-' || least(l.end_ms, r.end_ms) END AS supports
+            FROM pred p JOIN win l ON l.query_id = p.query_id AND l.condition = p.l JOIN win r ON r.query_id = p.query_id AND r.condition = p.r AND r.asset = l.asset
+            WHERE CASE relation WHEN 'simultaneous' THEN l.start_ms < r.end_ms AND l.end_ms > r.start_ms WHEN 'before' THEN l.end_ms <= r.start_ms AND r.start_ms - l.end_ms <= gap WHEN 'after' THEN r.end_ms <= l.start_ms AND l.start_ms - r.end_ms <= gap
+                WHEN 'during' THEN r.start_ms <= l.start_ms AND l.end_ms <= r.end_ms WHEN 'starts_within' THEN r.start_ms <= l.start_ms AND l.start_ms < r.end_ms ELSE r.start_ms < l.end_ms AND l.end_ms <= r.end_ms END),
+    ans AS (SELECT query_id, asset FROM (SELECT query_id, asset, count(DISTINCT condition) AS n FROM win GROUP BY ALL) JOIN (SELECT query_id, count(*) AS cs FROM (SELECT query_id FROM cond UNION ALL SELECT query_id FROM pred WHERE predicate = 'q') GROUP BY ALL) USING (query_id)
+            JOIN (SELECT query_id, asset, count(DISTINCT predicate) AS held FROM sup GROUP BY ALL) USING (query_id, asset) JOIN (SELECT query_id, count(*) AS ps FROM pred GROUP BY ALL) USING (query_id) WHERE n = cs AND held = ps)"""
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> tuple[Requests, Recordings, DataFrame]:
+    rows = table(spark, sf_dir, "events")
+    kind = F.coalesce(F.create_map(*[F.lit(x) for pair in _CLASSES.items() for x in pair])[F.col("event_type")], F.lit("/m/04rlf"))
+    events = _records(spark, sf_dir).drop("label").join(rows.select(F.col("event_id").alias("record"), kind.alias("label")), "record").withColumn("status", F.when(F.col("record") % 2 == 0, "confirmed").otherwise("possible"))
+    vectors = table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL")
+    frame = F.lit(_FRAMES) + (F.col("vec_id") * 7919 % 700) * 3_600_000
+    frames = vectors.select((F.col("vec_id") + 100_000_000).alias("record"), (F.col("vec_id") % 50 + 1).alias("asset"), F.lit(1).cast("long").alias("generation"), F.lit("s").alias("space"), frame.alias("start_ms"), (frame + 600_000).alias("end_ms"), F.col("embedding").alias("vector"))
+    heads = _heads(events, "sound_event").unionByName(frames.select("asset", F.lit("visual").alias("modality"), F.lit(1).cast("long").alias("generation")).distinct())
+    key = F.col("s_suppkey")
+    ask = table(spark, sf_dir, "supplier").select(key.cast("long").alias("query_id"), "s_suppkey")
+    none = F.lit(None).cast("string"), F.lit(None).cast("array<float>")
+    heard = lambda name, text: ask.select("query_id", F.lit(name).alias("condition"), F.lit("sound_event").alias("modality"), text.alias("text"), none[0].alias("space"), none[1].alias("vector"))
+    seen = ask.where(key % 3 == 0).join(vectors.select(F.col("vec_id").alias("s_suppkey"), "embedding"), "s_suppkey").select("query_id", F.lit("c").alias("condition"), F.lit("visual").alias("modality"), F.lit("a picture").alias("text"), F.lit("s").alias("space"), F.col("embedding").alias("vector"))
+    conditions = heard("a", F.when(key % 2 == 0, _ASKED["purchase"]).otherwise("loud music")).unionByName(heard("b", F.when(key % 4 < 2, _ASKED["view"]).otherwise(_ASKED["click"]))).unionByName(seen)
+    relation = F.element_at(F.array(*[F.lit(r) for r in ("simultaneous", "before", "after", "during", "starts_within", "ends_within")]), (key % 6 + 1).cast("int"))
+    rule = lambda name, left, right, relation, gap: (F.lit(name).alias("predicate"), F.lit(left).alias("left"), relation.alias("relation"), F.lit(right).alias("right"), gap.cast("long").alias("max_gap_ms"))
+    predicates = ask.select("query_id", *rule("p", "a", "b", relation, 900_000 * (1 + key % 5))).unionByName(ask.where(key % 3 == 0).select("query_id", *rule("q", "c", "a", F.lit("during"), F.lit(0))))
+    return Requests(conditions=conditions, predicates=predicates), Recordings(heads, {"visual": frames}, events), _shots(spark, sf_dir)
+
+
+@register(f"WITH {_REQUESTS} SELECT query_id, asset FROM ans")
+def request_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users in whose events every condition and predicate of a supplier's request holds."""
+    return evaluate(*_requests(spark, sf_dir))[0].select("query_id", "asset")
+
+
+@register(f"""WITH {_REQUESTS}, m AS (SELECT w.* FROM win w JOIN ans USING (query_id, asset))
+    SELECT query_id, condition, asset, start_ms, end_ms, record, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, condition, asset, start_ms, end_ms ORDER BY score DESC, record) AS r FROM m) WHERE r = 1""")
+def request_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a request's answer shows: its windows, one a condition and interval."""
+    return evaluate(*_requests(spark, sf_dir))[1].select("query_id", "condition", "asset", "start_ms", "end_ms", "record", "score")
+
+
+@register(f"WITH {_REQUESTS} SELECT s.* FROM sup s JOIN ans USING (query_id, asset)")
+def request_supports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair that shows a predicate of a request, the intervals that show it, and how sure it is."""
+    held = evaluate(*_requests(spark, sf_dir))[2]
+    told = F.array_join(F.transform("supports", lambda s: F.concat_ws("-", s.start_ms.cast("string"), s.end_ms.cast("string"))), ",")
+    return held.withColumn("supports", told)

@@ -129,7 +129,7 @@ def expected_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clicks as expected spans of other events of their user."""
     rows = _events(spark, sf_dir).withColumn("asset", F.col("user_id"))
     expected = rows.where("event_type = 'click'").select(F.col("event_id").alias("span"), "asset", "start_ms", "end_ms")
-    return expected_shots(expected, rows.where("event_type <> 'click'").select(F.col("event_id").alias("id"), "asset", "start_ms", "end_ms"), bucket_ms=1_800_000)
+    return expected_shots(expected, rows.where("event_type <> 'click'").select(F.col("event_id").alias("id"), "asset", "start_ms", "end_ms"))
 
 
 def _results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -143,7 +143,7 @@ def _results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @register()
 def interval_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's clicks as results for their views and purchases; tests restate it."""
-    return interval_ranking(*_results(spark, sf_dir), bucket_ms=1_800_000)
+    return interval_ranking(*_results(spark, sf_dir))
 
 
 @register()
@@ -151,7 +151,7 @@ def event_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clicks as predictions of views, scored; tests restate the matching."""
     rows = _events(spark, sf_dir)
     own = lambda t: rows.where(F.col("event_type") == t).select("user_id", F.col("event_id").alias("id"), "start_ms", "end_ms")
-    return event_scores(own("click"), own("view"), match_events(own("click"), own("view"), ["user_id"], bucket_ms=1_800_000), ["user_id"])
+    return event_scores(own("click"), own("view"), match_events(own("click"), own("view"), ["user_id"]), ["user_id"])
 
 
 @register("""WITH r AS (SELECT c_nationkey AS query_id, c_custkey AS id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer WHERE c_nationkey % 6 <> 0), j AS (SELECT c_nationkey AS query_id, c_custkey AS id, CASE c_mktsegment WHEN 'BUILDING' THEN 2 WHEN 'MACHINERY' THEN 0 END AS grade FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')),

@@ -33,7 +33,7 @@ def window_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = _spoken(spark, sf_dir)
     k = F.explode(F.array(*[F.lit(i).cast("long") for i in range(3)]))
     windows = words.select("asset").distinct().select("asset", k.alias("k")).select("asset", (F.col("asset") * 10 + F.col("k")).alias("window"), (F.col("k") * 4000).alias("start_ms"), (F.col("k") * 4000 + 5000).alias("end_ms"))
-    return speech.sliced(words, windows, bucket_ms=5_000)
+    return speech.sliced(words, windows)
 
 
 @register(f"WITH {_SPANS} SELECT asset AS request, ordinal, text, s::BIGINT AS start_ms, e::BIGINT AS end_ms FROM a WHERE asset % 3 = 0 AND s < 2500 AND e > 1000")

@@ -9,7 +9,7 @@ from cinequarry.functions.intervals import RELATIONS, islands, iou, overlap_ms,
 from cinequarry.functions.text import ascii_tokens
 from cinequarry.functions.timecode import frames_of_ms, in_clock_window, timecode
 from cinequarry.operators.library import session_spans, sessions
-from cinequarry.operators.timeline import matching_assets, merge_window_shots, patch_cells, phrase_hits, plan_frames, plan_windows, pyramid, silent_share, sound_events, transcript_score
+from cinequarry.operators.timeline import matching_assets, merge_window_scenes, merge_window_shots, patch_cells, phrase_hits, plan_frames, plan_windows, pyramid, silent_share, sound_events, transcript_score
 
 from .common import registry, table
 
@@ -38,7 +38,7 @@ def _relation(relation: str):
         rows = _events(spark, sf_dir)
         left = rows.where("event_type = 'click'").select("user_id", F.col("event_id").alias("left_id"), "start_ms", "end_ms")
         right = rows.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("right_id"), "start_ms", F.when(F.col("event_id") % 2 == 0, F.col("end_ms") + SPAN_MS).otherwise(F.col("end_ms")).alias("end_ms"))
-        return related(left, right, "user_id", relation, max_gap_ms=GAP_MS, bucket_ms=SPAN_MS).select("left_id", "right_id")
+        return related(left, right, "user_id", relation, max_gap_ms=GAP_MS).select("left_id", "right_id")
 
     query.__name__ = f"temporal_{relation}"
     query.__doc__ = f"Pairs of a click and a purchase of one user: the click stands {relation.replace('_', ' ')} the purchase."
@@ -52,7 +52,7 @@ for _name in RELATIONS:
 @register(f"WITH {_EV} SELECT l.event_id AS left_id, r.event_id AS right_id, least(l.e, r.e) - greatest(l.s, r.s) AS overlap, round((least(l.e, r.e) - greatest(l.s, r.s)) / (greatest(l.e, r.e) - least(l.s, r.s))::DOUBLE, 6) AS iou FROM ev l JOIN ev r ON l.user_id = r.user_id AND l.event_id < r.event_id AND l.s < r.e AND l.e > r.s")
 def overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _events(spark, sf_dir)
-    pairs = related(rows.select("user_id", F.col("event_id").alias("left_id"), "start_ms", "end_ms"), rows.select("user_id", F.col("event_id").alias("right_id"), "start_ms", "end_ms"), "user_id", "simultaneous", bucket_ms=SPAN_MS).where("left_id < right_id")
+    pairs = related(rows.select("user_id", F.col("event_id").alias("left_id"), "start_ms", "end_ms"), rows.select("user_id", F.col("event_id").alias("right_id"), "start_ms", "end_ms"), "user_id", "simultaneous").where("left_id < right_id")
     left, right = (F.col("left_start_ms"), F.col("left_end_ms")), (F.col("right_start_ms"), F.col("right_end_ms"))
     return pairs.select("left_id", "right_id", overlap_ms(left, right).alias("overlap"), F.round(iou(left, right), 6).alias("iou"))
 
@@ -60,7 +60,7 @@ def overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"WITH {_EV}, p AS (SELECT DISTINCT l.user_id FROM ev l JOIN ev r ON l.user_id = r.user_id AND l.event_type = 'view' AND r.event_type = 'purchase' AND {_HOLDS['before']}) SELECT user_id AS asset FROM p WHERE user_id IN (SELECT user_id FROM ev WHERE event_type = 'click')")
 def conjunction(spark: SparkSession, sf_dir: str) -> DataFrame:
     windows = _events(spark, sf_dir).select(F.col("user_id").alias("asset"), F.col("event_type").alias("condition"), "start_ms", "end_ms")
-    return matching_assets(windows, [("view", "before", "purchase", GAP_MS)], ["view", "purchase", "click"], bucket_ms=SPAN_MS)
+    return matching_assets(windows, [("view", "before", "purchase", GAP_MS)], ["view", "purchase", "click"])
 
 
 _ISLANDS = f"""WITH {_EV}, n AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {{gap}} THEN 0 ELSE 1 END AS fresh FROM ev),
@@ -209,15 +209,39 @@ def sound_patch_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patch_cells(patches, ["user_id", "event_type"], durations, "user_id").withColumn("score", F.when(F.col("score") > 0, F.round(F.col("score") + 1e-9, 6)).otherwise(0.0))
 
 
-@register(f"""WITH {_EV}, o AS (SELECT user_id AS asset, event_type AS text, value, s, e, max((e, s)) OVER (PARTITION BY user_id, event_type ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ev),
-    f AS (SELECT *, CASE WHEN 2 * (least(before[1], e) - s) >= least(before[1] - before[2], e - s) THEN 0 ELSE 1 END AS fresh FROM o),
-    i AS (SELECT *, sum(fresh) OVER (PARTITION BY asset, text ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS n FROM f)
-    SELECT asset, min(s) AS start_ms, max(e) AS end_ms, text, 1 AS n_tags, max(value) AS confidence FROM i GROUP BY asset, text, n""")
+def _greedy_sql(wider: str) -> str:
+    """Shots in order, each to the first kept one of its text that it overlaps by half of the shorter: a recursion over their places."""
+    return f"""WITH RECURSIVE {_EV}, o AS (SELECT user_id AS asset, event_type AS text, event_id % 2 AS odd, coalesce(value, 0.0) AS c, s, CASE WHEN event_id % 3 = 0 THEN e + 3 * {SPAN_MS} ELSE e END AS e FROM ev),
+    p AS (SELECT *, row_number() OVER (PARTITION BY asset, text ORDER BY s, e, odd, c) AS n FROM o),
+    k(asset, text, n, kept) AS (
+        SELECT asset, text, 1::BIGINT, [{{'s': s, 'e': e, 'c': c, 'tags': ['t' || odd]}}] FROM p WHERE n = 1
+        UNION ALL SELECT asset, text, n, CASE WHEN i IS NULL OR i = 0 THEN list_append(kept, {{'s': s, 'e': e, 'c': c, 'tags': ['t' || odd]}}) ELSE list_transform(kept, lambda x, j: CASE WHEN j = i THEN
+            {{'s': CASE WHEN {wider} THEN s ELSE x.s END, 'e': CASE WHEN {wider} THEN e ELSE x.e END, 'c': greatest(x.c, c), 'tags': CASE WHEN list_contains(x.tags, 't' || odd) THEN x.tags ELSE list_append(x.tags, 't' || odd) END}} ELSE x END) END
+        FROM (SELECT k.asset, k.text, p.n, k.kept, p.s, p.e, p.c, p.odd, list_position(list_transform(k.kept, lambda x: least(x.e, p.e) > greatest(x.s, p.s) AND 2 * (least(x.e, p.e) - greatest(x.s, p.s)) >= least(x.e - x.s, p.e - p.s)), true) AS i FROM k JOIN p ON p.asset = k.asset AND p.text = k.text AND p.n = k.n + 1))
+    SELECT asset, text, x.s AS start_ms, x.e AS end_ms, x.c AS confidence, array_to_string(x.tags, ',') AS tags
+    FROM (SELECT asset, text, unnest(kept) AS x FROM k QUALIFY row_number() OVER (PARTITION BY asset, text ORDER BY n DESC) = 1)"""
+
+
+def _window_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of one type as shots of overlapping windows; every third is longer."""
+    n = F.col("event_id")
+    end = F.when(n % 3 == 0, F.col("end_ms") + 3 * SPAN_MS).otherwise(F.col("end_ms"))
+    return _events(spark, sf_dir).select(F.col("user_id").alias("asset"), "start_ms", end.alias("end_ms"), F.col("event_type").alias("text"), F.array(F.concat(F.lit("t"), (n % 2).cast("string"))).alias("tags"), F.coalesce("value", F.lit(0.0)).alias("confidence"))
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    return rows.select("asset", "text", "start_ms", "end_ms", "confidence", F.array_join("tags", ",").alias("tags"))
+
+
+@register(_greedy_sql("e - s > x.e - x.s"))
 def window_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of one type merged as shots of overlapping windows."""
-    rows = _events(spark, sf_dir)
-    merged = merge_window_shots(rows.select(F.col("user_id").alias("asset"), "start_ms", "end_ms", F.col("event_type").alias("text"), F.array("event_type").alias("tags"), F.col("value").alias("confidence")))
-    return merged.select("asset", "start_ms", "end_ms", "text", F.size("tags").alias("n_tags"), "confidence")
+    return _merged(merge_window_shots(_window_shots(spark, sf_dir)))
+
+
+@register(_greedy_sql("false"))
+def window_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as scenes: the first one's span stays."""
+    return _merged(merge_window_scenes(_window_shots(spark, sf_dir)))
 
 
 @register("SELECT event_type AS track, count(*) AS n, min(event_id) AS first FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-12' GROUP BY event_type")

@@ -21,6 +21,14 @@ def holds(relation: str, left: tuple[Column, Column], right: tuple[Column, Colum
     }[relation]
 
 
+def holds_by(relation: Column, left: tuple[Column, Column], right: tuple[Column, Column], max_gap_ms: Column) -> Column:
+    """holds() with the relation and the gap as columns; a row of an unknown relation is an error."""
+    (le, rs), (re, ls) = (left[1], right[0]), (right[1], left[0])
+    within = {"before": (le <= rs) & (rs - le <= max_gap_ms), "after": (re <= ls) & (ls - re <= max_gap_ms)}
+    found = F.coalesce(*[F.when(relation == r, within.get(r, holds(r, left, right))) for r in RELATIONS])
+    return F.when(relation.isin(*RELATIONS), found).otherwise(F.raise_error(F.concat(F.lit("unknown relation "), F.coalesce(relation, F.lit("null")))).cast("boolean"))
+
+
 def overlap_ms(left: tuple[Column, Column], right: tuple[Column, Column]) -> Column:
     return F.greatest(F.least(left[1], right[1]) - F.greatest(left[0], right[0]), F.lit(0))
 
@@ -32,6 +40,11 @@ def iou(left: tuple[Column, Column], right: tuple[Column, Column]) -> Column:
     return F.when(whole > 0, shared / whole).otherwise(F.lit(0.0))
 
 
+def support_by(relation: Column, left: tuple[Column, Column], right: tuple[Column, Column]) -> Column:
+    """support() with the relation as a column."""
+    return F.when(relation.isin("before", "after"), support("before", left, right)).otherwise(support("during", left, right))
+
+
 def support(relation: str, left: tuple[Column, Column], right: tuple[Column, Column]) -> Column:
     """Intervals that show the relation: both operands for before and after, else what they share."""
     pair = lambda s, e: F.struct(s.alias("start_ms"), e.alias("end_ms"))
@@ -40,25 +53,63 @@ def support(relation: str, left: tuple[Column, Column], right: tuple[Column, Col
     return F.array(pair(F.greatest(left[0], right[0]), F.least(left[1], right[1])))
 
 
-def related(left: DataFrame, right: DataFrame, key: str, relation: str, *, max_gap_ms: int = 0, bucket_ms: int) -> DataFrame:
+def _level(start: Column, end: Column) -> Column:
+    """The power of two that an interval's length reaches: bins of that size hold it in two at most."""
+    length = F.greatest(end - start, F.lit(1))
+    return F.when(length <= 1, 0).otherwise(F.length(F.bin(length - 1))).cast("int")
+
+
+def _bin(at: Column, level: Column) -> Column:
+    return F.call_function("shiftright", at.cast("long"), level)  # rounds down, also before 0
+
+
+def _binned(rows: DataFrame, start: Column, end: Column, levels: Column, name: str) -> DataFrame:
+    """A row for each of ``levels`` and each bin there that the interval touches, with its first bin."""
+    out = rows.withColumn("__level", F.explode(levels))
+    out = out.withColumn(name, _bin(start, F.col("__level")))
+    return out.withColumn("__bin", F.explode(F.sequence(name, _bin(F.greatest(start, end), F.col("__level")))))
+
+
+def related(left: DataFrame, right: DataFrame, key: str | list[str], relation: str | None = None, *, max_gap_ms: int = 0) -> DataFrame:
     """Pairs of rows of one key whose intervals stand in the relation.
 
     Both sides have start_ms and end_ms, and no other name in common but
-    ``key``. A plain equi-join on the key would meet every row with every
-    other; instead rows go to the time buckets they touch (the right side also
-    those within the gap), and a pair is made in the first bucket it shares.
-    ``bucket_ms`` should be about as long as the intervals.
+    ``key``. Without a relation the left side's columns relation and
+    max_gap_ms say it for each row. A plain equi-join on the key would meet
+    every row with every other; instead rows meet in bins of time.
+
+    Bins are of all powers of two. An interval belongs to the level of its
+    length, where it touches two bins at most; the longer of two intervals
+    waits at its own level, and the shorter one visits it there. A row visits
+    only levels that the other side has (looked up first: 63 at most), so an
+    interval of any length is written a logarithmic number of times, and a
+    pair is made in the first bin that both touch.
     """
-    pad = max_gap_ms if relation in ("before", "after") else 0
-    bucket = lambda c: F.floor(c / bucket_ms).cast("long")
-    last = lambda s, e: F.greatest(bucket(e), bucket(s))
+    keys = [key] if isinstance(key, str) else list(key)
     a = left.withColumnsRenamed({"start_ms": "left_start_ms", "end_ms": "left_end_ms"})
     b = right.withColumnsRenamed({"start_ms": "right_start_ms", "end_ms": "right_end_ms"})
-    a = a.withColumn("__from", bucket(F.col("left_start_ms"))).withColumn("__bucket", F.explode(F.sequence("__from", last(F.col("left_start_ms"), F.col("left_end_ms")))))
-    b = b.withColumn("__other", bucket(F.col("right_start_ms") - pad)).withColumn("__bucket", F.explode(F.sequence("__other", last(F.col("right_start_ms"), F.col("right_end_ms") + pad))))
-    met = a.join(b, [key, "__bucket"])
     l, r = (F.col("left_start_ms"), F.col("left_end_ms")), (F.col("right_start_ms"), F.col("right_end_ms"))
-    return met.where(holds(relation, l, r, max_gap_ms) & (F.col("__bucket") == F.greatest("__from", "__other"))).drop("__bucket", "__from", "__other")
+    if relation is None:
+        pad = F.when(F.col("relation").isin("before", "after"), F.col("max_gap_ms")).otherwise(0)
+        test = holds_by(F.col("relation"), l, r, F.col("max_gap_ms"))
+    else:
+        pad = F.lit(max_gap_ms if relation in ("before", "after") else 0)
+        test = holds(relation, l, r, max_gap_ms)
+    a = a.withColumns({"__from": l[0] - pad, "__to": F.greatest(*l) + pad}).withColumn("__own", _level(F.col("__from"), F.col("__to")))
+    b = b.withColumn("__other", _level(*r))
+    there = {side: sorted(x[0] for x in frame.select(c).distinct().where(F.col(c).isNotNull()).collect()) for side, frame, c in (("a", a, "__own"), ("b", b, "__other"))}
+    listed = lambda found: F.array(*[F.lit(x) for x in found]).cast("array<int>")
+    a_columns, b_columns = [*a.columns, "__level", "__bin", "__a"], [*b.columns, "__level", "__bin", "__b"]
+    meet = [*keys, "__level", "__bin"]
+
+    def met(a_levels: Column, b_levels: Column) -> DataFrame:
+        own = _binned(a, F.col("__from"), F.col("__to"), a_levels, "__a").select(*a_columns)
+        other = _binned(b, *r, b_levels, "__b").select(*b_columns)
+        return own.join(other, meet).where(test & (F.col("__bin") == F.greatest("__a", "__b")))
+
+    waits = met(F.array("__own"), F.filter(listed(there["a"]), lambda x: x >= F.col("__other")))  # the left one is as long or longer
+    visits = met(F.filter(listed(there["b"]), lambda x: x > F.col("__own")), F.array("__other"))
+    return waits.unionByName(visits).drop("__level", "__bin", "__a", "__b", "__from", "__to", "__own", "__other")
 
 
 def islands(rows: DataFrame, keys: list[str], *, gap_ms: int = 0, stretch_ms: int = 86_400_000) -> DataFrame:

@@ -60,7 +60,7 @@ def _best(queries: list, corpus: list, k: int, digits: int, exclude_self: bool)
             least = np.partition(scores, -k, axis=1)[:, -k] if k < len(own) else np.zeros(len(ids))
             q, c = np.nonzero((scores >= least[:, None]) & (scores > 0))
             found.append(pd.DataFrame({"query_id": ids[q], "id": own[c], "score": scores[q, c]}))
-    return pd.concat(found) if found else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+    return pd.concat(found) if found else pd.DataFrame({"query_id": pd.Series(dtype="object"), "id": pd.Series(dtype="object"), "score": pd.Series(dtype="float64")})
 
 
 def _head(found: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -78,7 +78,7 @@ def nearest(corpus: DataFrame, queries: DataFrame, *, k: int, digits: int = 6, e
     """
     chosen = queries.where("vector IS NOT NULL").select("id", "vector")
     total = chosen.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("vector")), F.lit(0)).alias("x")).first()
-    out_schema = "query_id long, id long, score double"
+    out_schema = f"query_id {dict(chosen.dtypes)['id']}, id {dict(corpus.dtypes)['id']}, score double"
     if 8 * (total["x"] + total["n"]) <= sent_bytes:
         sent = _matrices(chosen.toPandas())
 
@@ -108,13 +108,14 @@ def similar_pairs(rows: DataFrame, least: float, *, block: int = 1024) -> DataFr
     Rows are cut into blocks; every two blocks meet in one task, which gives
     no pair between rows that it has connected already.
     """
+    kind = dict(rows.dtypes)["id"]
     blocks = max(1, -(-rows.count() // block))
     own = rows.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
     placed = own.select("id", "vector", F.col("block"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
     cells = placed.select("id", "vector", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int]] = []
+        out: list[tuple] = []
         for _, ids, matrix in _matrices(frame):
             root = list(range(len(ids)))
 
@@ -127,7 +128,7 @@ def similar_pairs(rows: DataFrame, least: float, *, block: int = 1024) -> DataFr
                 a, b = top(int(i)), top(int(j))
                 if a != b:
                     root[b] = a
-                    out.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+                    out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        return pd.DataFrame(out, columns=["a", "b"])
 
-    return cells.groupBy("x", "y").applyInPandas(meet, "a long, b long").distinct()
+    return cells.groupBy("x", "y").applyInPandas(meet, f"a {kind}, b {kind}").distinct()

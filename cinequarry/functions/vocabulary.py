@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cinequarry.functions.matcher import Offsets, denial_spans, families, is_wide, matcher, terms, wide_grams, words
 from cinequarry.plans.scratch import settle
 
 # Kind, concept and the words that name it.
@@ -98,16 +99,40 @@ QUOTES = (("「", "」"), ("“", "”"), ('"', '"'), ("'", "'"))
 SHOT_ID = r"(?i)(shot_[a-z0-9]{6,})"
 
 
-def vocabulary(spark: SparkSession) -> DataFrame:
-    """kind, concept, word, wide (of a script without blanks), parts (of several words): some 180 rows."""
-    rows = [(kind, concept, w, not w.isascii(), w.isascii() and not w.isalnum()) for kind, own in VOCABULARY.items() for concept, words in own.items() for w in words]
-    return spark.createDataFrame(rows, "kind string, concept string, word string, wide boolean, parts boolean")
+@cache
+def _concepts() -> dict[str, list[tuple[str, str]]]:
+    """The concepts of each word."""
+    out: dict[str, list[tuple[str, str]]] = {}
+    for kind, own in VOCABULARY.items():
+        for concept, listed in own.items():
+            for w in listed:
+                out.setdefault(w, []).append((kind, concept))
+    return out
 
 
-def word_at(text: Column, word: Column, wide: Column) -> Column:
-    """UTF-8 offset of a word in a lower-case text, -1 if absent: plain words whole, wide ones anywhere."""
-    place = F.when(wide, F.expr("instr(text, word)")).otherwise(F.regexp_instr(text, F.concat(F.lit("(?<![a-z0-9])"), word, F.lit("(?![a-z0-9])"))))
-    return F.when(place > 0, F.octet_length(F.substr(text, F.lit(1), place - 1))).otherwise(F.lit(-1))
+def _reads(text: str) -> tuple[list[tuple[str, int]], list[tuple[int, int]]]:
+    """(every vocabulary and negation word of a lower-case text with its character, what the text denies in bytes): one pass."""
+    found = list(matcher((*_concepts(), *NEGATIONS)).places(text))
+    found.sort(key=lambda x: x[1])
+    return found, denial_spans(text, found, NEGATIONS, CLAUSE_ENDS)
+
+
+def _passed(texts: DataFrame, key: str, columns: str, rows_of: Callable[[str], Iterable[tuple]]) -> DataFrame:
+    """key and ``columns``: what ``rows_of`` gives of each lower-case text, in Arrow batches."""
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [{"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}[c.split()[1]] for c in columns.split(", ")]
+        for batch in batches:
+            owner, rows = [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                own = list(rows_of(text))
+                owner += [i] * len(own)
+                rows += own
+            values = [pa.array([r[j] for r in rows], t) for j, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(owner, pa.int64())), *values], names=[key, *names])
+
+    return texts.select(key, "text").mapInArrow(read, f"`{key}` {texts.schema[key].dataType.simpleString()}, {columns}")
 
 
 def denials(texts: DataFrame, key: str) -> DataFrame:
@@ -117,71 +142,86 @@ def denials(texts: DataFrame, key: str) -> DataFrame:
     plain one itself and two bytes more, at its first. Only texts with such a
     word reach the Python step.
     """
-    wide = "|".join(w for w in NEGATIONS if not w.isascii())
-    plain = [re.compile(rf"(?<![a-z0-9]){w}(?![a-z0-9])") for w in NEGATIONS if w.isascii()]
-    clause = re.compile(rf"(?=((?:{wide})[^{CLAUSE_ENDS}]*))")
+    return _passed(texts.where(F.col("text").rlike("|".join(NEGATIONS))), key, "start long, end long", lambda text: _reads(text)[1])
 
-    def find(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for own, text in zip(batch[key], batch["text"], strict=True):
-                for m in filter(None, (p.search(text) for p in plain)):
-                    rows.append((own, len(text[: m.start()].encode()), len(text[: m.end()].encode()) + 2))
-                for m in clause.finditer(text):
-                    begin = len(text[: m.start()].encode())
-                    rows.append((own, begin, begin + len(m[1].encode())))
-            yield pd.DataFrame(rows, columns=[key, "start", "end"])
 
-    found = texts.where(F.col("text").rlike("|".join(NEGATIONS))).select(key, "text")
-    return found.mapInPandas(find, f"{key} {dict(texts.dtypes)[key]}, start long, end long")
+def _named(text: str) -> Iterator[tuple[str, str, int, bool]]:
+    found, denied = _reads(text)
+    byte = Offsets(text)
+    for (kind, concept), at in families(found, _concepts()).items():
+        position = byte(at)
+        yield kind, concept, position, any(s <= position < e for s, e in denied)
 
 
 def named(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, kind, concept, position, denied: the vocabulary that each text names, at its earliest place.
 
-    A text's words meet the vocabulary by a broadcast join (the table has some
-    180 rows), so the work grows with the texts alone.
+    One automaton reads each text once; repeated keys of one concept keep the
+    earliest place, and are denied if any is.
     """
-    spark = texts.sparkSession
     source = texts.select(key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))
-    table = vocabulary(spark)
-    plain = source.withColumn("word", F.explode(F.array_distinct(F.split("text", "[^a-z0-9]+")))).join(F.broadcast(table.where("NOT wide AND NOT parts")), "word")
-    several = [w for own in VOCABULARY.values() for words in own.values() for w in words if w.isascii() and not w.isalnum()]
-    runs = source.where(F.col("text").rlike(rf"(?<![a-z0-9])({'|'.join(several)})(?![a-z0-9])")).join(F.broadcast(table.where("parts")), word_at(F.col("text"), F.col("word"), F.col("wide")) >= 0)
-    wide = source.where(F.col("text").rlike("[^\\x00-\\x7F]")).join(F.broadcast(table.where("wide")), F.expr("instr(text, word) > 0"))
-    columns = (key, "text", "kind", "concept", "word", "wide")
-    both = plain.select(*columns).unionByName(wide.select(*columns)).unionByName(runs.select(*columns))
-    placed = both.withColumn("position", word_at(F.col("text"), F.col("word"), F.col("wide")))
-    first = placed.groupBy(key, "kind", "concept").agg(F.min("position").alias("position"))
-    inside = first.join(denials(source, key), key).where("position >= start AND position < end").select(key, "kind", "concept", F.lit(True).alias("denied")).distinct()
-    return first.join(inside, [key, "kind", "concept"], "left").select(key, "kind", "concept", "position", F.coalesce("denied", F.lit(False)).alias("denied"))
+    rows = _passed(source, key, "kind string, concept string, position long, denied boolean", _named)
+    return rows.groupBy(key, "kind", "concept").agg(F.min("position").alias("position"), F.bool_or("denied").alias("denied"))
 
 
-def unclaimed(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, value, position: terms of a text that the vocabulary doesn't know, as objects of their own.
+def own_terms(text: str) -> Iterator[tuple[str, int]]:
+    """(term, character) of the terms of a lower-case text that the vocabulary doesn't know.
 
     A plain term has three letters or more; one of a script without blanks has
     two or three, is no stopword and holds no vocabulary or negation word.
     """
-    words = [w for own in VOCABULARY.values() for all_words in own.values() for w in all_words]
-    denying = [*NEGATIONS, *ABSENCE]
-    claimed = F.array(*[F.lit(w) for w in sorted({*words, *denying})])
-    holds = "|".join(sorted({w for w in [*words, *denying] if not w.isascii()}))
+    names = _concepts()
+    for term, at in terms(text):
+        if is_wide(term):
+            if 2 <= len(term) <= 3 and term not in CJK_STOPWORDS and not any(w in term for w in (*names, *NEGATIONS, *ABSENCE)):
+                yield term, at
+        elif len(term) >= 3 and term not in names and term not in NEGATIONS and term not in ABSENCE:
+            yield term, at
+
+
+def _unclaimed(text: str) -> Iterator[tuple[str, int, bool]]:
+    denied = _reads(text)[1]
+    byte = Offsets(text)
+    for term, at in own_terms(text):
+        position = byte(text.index(term))
+        yield term, position, any(s <= position < e for s, e in denied)
+
+
+def unclaimed(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, value, position, denied: terms of a text that the vocabulary doesn't know (own_terms()), as objects of their own."""
     source = texts.select(key, F.lower(F.trim(F.coalesce(F.col(text), F.lit("")))).alias("text"))
-    terms = source.withColumn("value", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([a-z0-9\u3040-\u9fff]+)"), 1))))
-    wide = F.col("value").rlike("[\u2e80-\u9fff]")
-    size = F.char_length("value")
-    held = F.col("value").rlike(holds) | F.col("value").rlike("|".join(sorted({w for w in [*words, *denying] if w.isascii() and w.isalnum()})))
-    own = F.when(wide, size.between(2, 3) & ~F.col("value").isin(*CJK_STOPWORDS) & ~held).otherwise((size >= 3) & ~F.array_contains(claimed, F.col("value")))
-    place = F.octet_length(F.expr("substr(text, 1, instr(text, value) - 1)"))
-    return terms.where(own).select(key, "value", place.alias("position"))
+    return _passed(source, key, "value string, position long, denied boolean", _unclaimed)
+
+
+def mentioned(text: str) -> set[str]:
+    """All that a field's value says: concepts, terms of its own, plain words, and the short pieces of wide terms."""
+    text = text.lower()
+    found, _ = _reads(text)
+    return {concept for _, concept in families(found, _concepts())} | {t for t, _ in own_terms(text)} | {*words(text)} | wide_grams(text)
+
+
+def described(text: str) -> list[tuple[str, str, bool]]:
+    """("description", value, denied) of all that a description says or denies."""
+    text = text.lower()
+    found, denied = _reads(text)
+    byte = Offsets(text)
+    within = lambda at: any(s <= byte(at) < e for s, e in denied)
+    out = {concept: within(at) for (_, concept), at in families(found, _concepts()).items()}
+    for word, at in words(text).items():
+        out.setdefault(word, len(word) >= 3 and within(at))
+    for piece in {t for t, _ in own_terms(text)} | wide_grams(text):
+        out.setdefault(piece, False)
+    return [("description", value, no) for value, no in out.items()]
 
 
 def speech_phrase(text: Column) -> Column:
-    """What a query quotes: between quotation marks, else after the last speech marker; null if nothing."""
-    quoted = [F.nullif(F.trim(F.regexp_extract(text, f"{a}([^{b}]*){b}", 1)), F.lit("")) for a, b in QUOTES]
+    """What a query quotes: between quotation marks, else after the last speech marker; null if nothing.
+
+    The first kind of quotation marks that a query has decides, even with nothing between them.
+    """
+    quoted = F.coalesce(*[F.when(F.rlike(text, F.lit(f"{a}[^{b}]*{b}")), F.trim(F.regexp_extract(text, f"{a}([^{b}]*){b}", 1))) for a, b in QUOTES])
     marked = [F.nullif(F.trim(F.element_at(F.split(F.when(F.contains(text, F.lit(m)), text), m), -1)), F.lit("")) for m in SPEECH_MARKERS]
-    return F.coalesce(*quoted, *marked)
+    return F.when(quoted.isNotNull(), F.nullif(quoted, F.lit(""))).otherwise(F.coalesce(*marked))
 
 
 def compile_queries(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -197,9 +237,7 @@ def compile_queries(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     phrases = settle(queries.select("query_id", "text", *(["mode"] if has_mode else []), speech_phrase(F.col("text")).alias("phrase"), F.lower(F.nullif(F.regexp_extract("text", SHOT_ID, 1), F.lit(""))).alias("shot")))
     rest = phrases.withColumn("rest", F.when(F.col("phrase").isNull(), F.col("text")).otherwise(F.expr("replace(text, phrase, ' ')")))
     rest = rest.select("query_id", F.col("rest").alias("text"))
-    terms = unclaimed(rest, "query_id")
-    inside = terms.join(denials(rest.withColumn("text", F.lower("text")), "query_id"), "query_id").where("position >= start AND position < end").select("query_id", "value", F.lit(True).alias("denied")).distinct()
-    unknown = terms.join(inside, ["query_id", "value"], "left").select("query_id", F.lit("object").alias("kind"), F.col("value").alias("concept"), "position", F.coalesce("denied", F.lit(False)).alias("denied"))
+    unknown = unclaimed(rest, "query_id").select("query_id", F.lit("object").alias("kind"), F.col("value").alias("concept"), "position", "denied")
     found = settle(named(rest, "query_id").unionByName(unknown))  # it is read four times below
     need = F.when(F.col("denied"), "must_not").when(F.col("kind") == "object", "must").otherwise("should")
     rows = found.select("query_id", need.alias("need"), "kind", F.col("concept").alias("value"), "position")

@@ -113,14 +113,18 @@ def job_summary(jobs: DataFrame, now: Column, deferring: Sequence[str] = ("defer
     )
 
 
-def job_issues(jobs: DataFrame) -> DataFrame:
-    """code, n, assets, terminal, first_at, next_retry, sample of failed jobs (asset, code, terminal, created, run_after) by code.
+def job_issues(jobs: DataFrame, now: Column, deferring: Sequence[str]) -> DataFrame:
+    """code, n, assets, terminal, first_at, next_retry, sample of jobs (asset, state, code, terminal, created, run_after) that are stuck, by code.
 
-    An empty code is unknown; only jobs that may run again have a next retry.
+    Stuck are failed jobs, and pending ones that one of the ``deferring`` codes
+    has parked until later than ``now``; the next retry is that of parked ones,
+    as a failed job's time lies in the past. An empty code is unknown.
     """
-    code = F.coalesce(F.nullif(F.trim("code"), F.lit("")), F.lit("unknown"))
-    dead = F.coalesce("terminal", F.lit(False))
-    return jobs.groupBy(code.alias("code")).agg(F.count("*").alias("n"), F.count_distinct("asset").alias("assets"), F.count_if(dead).alias("terminal"), F.min("created").alias("first_at"), F.min(F.when(~dead, F.col("run_after"))).alias("next_retry"), F.min("asset").alias("sample"))
+    parked = (F.col("state") == "pending") & (F.col("run_after") > now) & F.col("code").isin(*deferring)
+    stuck = jobs.where((F.col("state") == "failed") | F.coalesce(parked, F.lit(False)))
+    code = F.coalesce(F.nullif("code", F.lit("")), F.lit("unknown"))
+    waiting = F.when(F.col("state") == "pending", F.col("run_after"))
+    return stuck.groupBy(code.alias("code")).agg(F.count("*").alias("n"), F.count_distinct("asset").alias("assets"), F.count_if(F.coalesce("terminal", F.lit(False))).alias("terminal"), F.min("created").alias("first_at"), F.min(waiting).alias("next_retry"), F.min("asset").alias("sample"))
 
 
 def _due(now: Column) -> Column:
@@ -209,22 +213,24 @@ def asset_search(tagged: DataFrame, lexical: DataFrame, limit: int, allowed: Dat
 def review_tags(proposals: DataFrame, decisions: DataFrame, catalog: DataFrame, aliases: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(proposals, catalog, aliases, links) after decisions (proposal, approved) on pending proposals.
 
-    Proposals are (proposal, state, name, aliases). An approved one makes its
-    name canonical if it isn't, adds its aliases that no tag has, and links
-    assets whose raw tag is one of its names and that have no tag; a rejected
-    one changes its state alone. Decisions on what isn't pending do nothing.
+    Proposals are (proposal, state, name, aliases[, tag_id]). An approved one
+    is for its tag, or the one of its name, or a new one. Its aliases and its
+    name then belong to this tag, even if another had them, and every link
+    whose normalised raw tag is one of them leads to it, linked before or not.
+    A rejected one changes its state alone; decisions on what isn't pending
+    do nothing. Of approved proposals that claim one alias the last one wins.
     """
     judged = proposals.join(decisions, "proposal", "left")
-    state = F.when((F.col("state") != "pending") | F.col("approved").isNull(), F.col("state")).when(F.col("approved"), "applied").otherwise("rejected")
-    applied = judged.where("state = 'pending' AND approved").select("name", "aliases")
-    known = catalog.select(F.col("tag_id"), F.col("name"))
-    fresh = applied.select("name").distinct().join(known, "name", "left_anti").select(F.xxhash64("name").alias("tag_id"), "name")
+    state = F.when((F.col("state") != "pending") | F.col("approved").isNull(), F.col("state")).when(F.col("approved"), "approved").otherwise("rejected")
+    given = F.col("tag_id") if "tag_id" in proposals.columns else F.lit(None).cast(catalog.schema["tag_id"].dataType)
+    approved = judged.where("state = 'pending' AND approved").select("proposal", "name", "aliases", given.alias("given"))
+    known = catalog.select("tag_id", "name")
+    fresh = approved.where("given IS NULL").select("name").distinct().join(known, "name", "left_anti").select(F.xxhash64("name").alias("tag_id"), "name")
     tags = known.unionByName(fresh)
-    every = applied.select("name", F.explode("aliases").alias("alias")).join(tags, "name").select("tag_id", "alias").distinct()
-    more = first_of(every.join(aliases.select("alias"), "alias", "left_anti").join(tags.select(F.col("name").alias("alias")), "alias", "left_anti"), ["alias"], [F.col("tag_id")])
-    names = aliases.select("tag_id", "alias").unionByName(more.select("tag_id", "alias"))
-    target = tags.select("tag_id", F.col("name").alias("raw")).unionByName(names.select("tag_id", F.col("alias").alias("raw"))).groupBy("raw").agg(F.min("tag_id").alias("__tag"))
-    linked = links.join(target, "raw", "left").withColumn("tag_id", F.coalesce("tag_id", "__tag")).select(*links.columns)
+    owned = approved.join(tags.groupBy("name").agg(F.min("tag_id").alias("own")), "name", "left").select("proposal", F.coalesce("given", "own").alias("tag_id"), F.explode(F.concat("aliases", F.array("name"))).alias("alias"))
+    claimed = owned.withColumn("alias", tag_key("alias")).where("alias <> ''").groupBy("alias").agg(F.max_by("tag_id", "proposal").alias("tag_id"))
+    names = aliases.select("tag_id", "alias").join(claimed.select("alias"), "alias", "left_anti").select("tag_id", "alias").unionByName(claimed.select("tag_id", "alias"))
+    linked = links.withColumn("__key", tag_key("raw")).join(claimed.select(F.col("alias").alias("__key"), F.col("tag_id").alias("__tag")), "__key", "left").withColumn("tag_id", F.coalesce("__tag", "tag_id")).select(*links.columns)
     return judged.select(*[state.alias("state") if c == "state" else c for c in proposals.columns]), tags, names, linked
 
 

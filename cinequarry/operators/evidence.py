@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinequarry.functions.vocabulary import named
-from cinequarry.plans.scratch import settle
+from cinequarry.functions.vocabulary import described, mentioned
+from cinequarry.plans.broadcasts import checked
 
 STRUCTURED = ("objects", "actions", "tags", "mood")
 
@@ -14,18 +17,29 @@ STRUCTURED = ("objects", "actions", "tags", "mood")
 def observations(shots: DataFrame, key: str = "id") -> DataFrame:
     """key, source, value, denied: what each shot's fields name; its description may deny it.
 
-    Computed once at index time, as it depends on no query. Values that the
-    vocabulary doesn't know stand for themselves.
+    Computed once at index time, as it depends on no query: the vocabulary's
+    concepts, plain words, terms of their own, and every two and three letters
+    of scripts without blanks, so that a query's short term is found inside a
+    sentence by an equality. One automaton reads each field once. A concept is
+    denied where its first word stands in a denial, another plain word of
+    three letters or more likewise.
     """
-    listed = shots.select(key, F.explode(F.array(*[F.struct(F.lit(s).alias("source"), F.col(s).alias("values")) for s in STRUCTURED])).alias("f")).select(key, "f.source", F.explode("f.values").alias("raw")).withColumn("raw", F.lower("raw"))
-    # Values repeat: each is looked up once.
-    known = settle(named(listed.select("raw", F.col("raw").alias("text")).distinct(), "raw").select("raw", "concept").distinct())
-    concepts = listed.join(F.broadcast(known) if known.count() <= 1_000_000 else known, "raw").select(key, "source", F.col("concept").alias("value"), F.lit(False).alias("denied"))
-    own = listed.select(key, "source", F.explode(F.array_distinct(F.split("raw", "[^a-z0-9]+"))).alias("value"), F.lit(False).alias("denied")).where("value <> ''")
-    text = shots.select(key, F.col("description").alias("text"))
-    described = named(text, key).select(key, F.lit("description").alias("source"), F.col("concept").alias("value"), "denied")
-    words = text.select(key, F.lit("description").alias("source"), F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9]+"))).alias("value"), F.lit(False).alias("denied")).where("value <> ''")
-    return concepts.unionByName(own).unionByName(described).unionByName(words).groupBy(key, "source", "value").agg(F.bool_or("denied").alias("denied"))
+    fields = [key, "description", *STRUCTURED]
+    schema = f"`{key}` {shots.schema[key].dataType.simpleString()}, source string, value string, denied boolean"
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, rows = [], []
+            for i, (description, *listed) in enumerate(zip(*(batch.column(c).to_pylist() for c in fields[1:]), strict=True)):
+                own = described(description or "")
+                for source, values in zip(STRUCTURED, listed, strict=True):
+                    own += [(source, v, False) for v in set().union(*(mentioned(v) for v in values or () if v))]
+                owner += [i] * len(own)
+                rows += own
+            columns = [pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.string(), pa.string(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(owner, pa.int64())), *columns], names=[key, "source", "value", "denied"])
+
+    return shots.select(*fields).mapInArrow(read, schema)
 
 
 def evidence(candidates: DataFrame, needs: DataFrame, observed: DataFrame, spoken: DataFrame | None = None) -> DataFrame:
@@ -37,7 +51,7 @@ def evidence(candidates: DataFrame, needs: DataFrame, observed: DataFrame, spoke
     confirmed absent. sources are the fields that name the value, and
     transcript. ``spoken`` (id, value) are phrases found in speech.
     """
-    pairs = candidates.select("query_id", "id").join(F.broadcast(needs.select("query_id", "need", "kind", "value").distinct()), "query_id")
+    pairs = candidates.select("query_id", "id").join(checked(needs.select("query_id", "need", "kind", "value").distinct()), "query_id")
     seen = observed.groupBy("id", "value").agg(
         F.bool_or(F.col("source") != "description").alias("structured"),
         F.bool_or((F.col("source") == "description") & ~F.col("denied")).alias("described"),

@@ -64,10 +64,10 @@ def legacy_rrf(channels: DataFrame, shift: int = RANK_SHIFT) -> DataFrame:
     return rrf(channels.where("score > 0"), shift)
 
 
-def fuse(channels: DataFrame, intent: str, size: int | None = None) -> DataFrame:
+def fuse(channels: DataFrame, intent: str, size: int | None = 200) -> DataFrame:
     """The default fusion of an intent: plain ranks for auto and fact, weighted ones for the others.
 
-    ``size`` cuts every channel to its best rows first, see pool().
+    ``size`` cuts every channel to its best rows first, see pool(); None ranks all.
     """
     weights = PROFILES[intent]
     used = channels.where(F.col("signal").isin(*weights))

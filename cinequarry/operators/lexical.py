@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cinequarry.functions.text import CJK, chunks
+from cinequarry.plans.broadcasts import checked
 from cinequarry.plans.scratch import settle
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -108,7 +109,7 @@ def search_index(index: Index, asked: DataFrame, weights: Mapping[str, float] |
     key = index.key
     sizes = asked.groupBy("query_id", "phrase").agg(F.count("*").alias("tokens"))
     wanted = asked.join(sizes, ["query_id", "phrase"])
-    found = index.postings.join(F.broadcast(wanted), "token")
+    found = index.postings.join(checked(wanted), "token")
     single = found.where("tokens = 1").select("query_id", "phrase", key, "field", F.col("tf").alias("hits"))
     starts = found.where("tokens > 1").select("query_id", "phrase", "tokens", key, "field", "place", F.explode("positions").alias("position"))
     whole = starts.groupBy("query_id", "phrase", "tokens", key, "field", (F.col("position") - F.col("place")).alias("start")).agg(F.count("*").alias("n")).where("n = tokens")
@@ -118,9 +119,9 @@ def search_index(index: Index, asked: DataFrame, weights: Mapping[str, float] |
     needed = sizes.groupBy("query_id").agg(F.count("*").alias("needed"))
     totals = index.lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
     n, mean = F.lit(int(totals["n"])), F.lit(float(totals["mean"] or 0.0) or 1.0)
-    scored = hits.join(F.broadcast(df), ["query_id", "phrase"]).join(index.lengths, key)
+    scored = hits.join(checked(df), ["query_id", "phrase"]).join(index.lengths, key)
     parts = scored.groupBy("query_id", key).agg(F.sum(_part(_idf(n, F.col("df")), F.col("f"), F.col("length"), mean)).alias("score"), F.count("*").alias("matched"))
-    return parts.join(F.broadcast(needed), "query_id").where("matched = needed").select("query_id", key, "score")
+    return parts.join(checked(needed), "query_id").where("matched = needed").select("query_id", key, "score")
 
 
 def bm25(rows: DataFrame, key: str, fields: Mapping[str, Column], terms: DataFrame, weights: Mapping[str, float] | None = None) -> DataFrame:
@@ -146,12 +147,12 @@ def bm25(rows: DataFrame, key: str, fields: Mapping[str, Column], terms: DataFra
     totals = sized.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
     n, mean = F.lit(int(totals["n"])), F.lit(float(totals["mean"] or 0.0) or 1.0)
     each = sized.select(key, "length", F.explode("found").alias("f")).select(key, "length", "f.field", F.explode("f.tokens").alias("term"))
-    hits = each.groupBy(key, "length", "term").agg(F.sum(_weight_of(weights)).alias("f")).join(F.broadcast(distinct.select("term").distinct()), "term")
+    hits = each.groupBy(key, "length", "term").agg(F.sum(_weight_of(weights)).alias("f")).join(checked(distinct.select("term").distinct()), "term")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     needed = distinct.groupBy("query_id").agg(F.count("*").alias("needed"))
-    scored = hits.join(F.broadcast(df), "term").join(F.broadcast(distinct), "term")
+    scored = hits.join(checked(df), "term").join(checked(distinct), "term")
     parts = scored.groupBy("query_id", key).agg(F.sum(_part(_idf(n, F.col("df")), F.col("f"), F.col("length"), mean)).alias("score"), F.count("*").alias("matched"))
-    return parts.join(F.broadcast(needed), "query_id").where("matched = needed").select("query_id", key, "score")
+    return parts.join(checked(needed), "query_id").where("matched = needed").select("query_id", key, "score")
 
 
 def unit_score(score: Column) -> Column:
@@ -165,11 +166,24 @@ def top(scores: DataFrame, key: str, k: int, by: str = "query_id") -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
+#: Letters of a file name at most.
+NAME = 255
+
+
 def name_hints(rows: DataFrame, key: str, path: str, terms: DataFrame) -> DataFrame:
-    """query_id, key, score 1.0 of rows whose file name holds a term: plain terms as whole words, others anywhere."""
+    """query_id, key, score 1.0 of rows whose file name holds a term: plain terms as whole words, others anywhere.
+
+    For these, a name (a few hundred letters at most) is written as its pieces
+    of the lengths that the terms have, so that all meet by equality.
+    """
     base = F.lower(F.element_at(F.split(F.col(path), "/"), -1))
     named = rows.select(key, base.alias("base"))
     plain = F.col("term").rlike("^[a-z0-9_]+$")
-    whole = named.withColumn("term", F.explode(F.array_distinct(F.split("base", "[^a-z0-9_]+")))).join(F.broadcast(terms.where(plain)), "term").select("query_id", key)
-    wide = named.where(F.col("base").rlike(f"[{CJK}]")).join(F.broadcast(terms.where(~plain)), F.contains("base", F.col("term"))).select("query_id", key)
-    return whole.unionByName(wide).distinct().select("query_id", key, F.lit(1.0).alias("score"))
+    whole = named.withColumn("term", F.explode(F.array_distinct(F.split("base", "[^a-z0-9_]+")))).join(checked(terms.where(plain)), "term").select("query_id", key)
+    others = settle(terms.where(~plain).select("query_id", "term", F.char_length("term").alias("size")))
+    sizes = sorted(r["size"] for r in others.where(F.col("size") <= NAME).select("size").distinct().collect())
+    if sizes:
+        cuts = F.flatten(F.transform(F.array(*[F.lit(n) for n in sizes]), lambda n: F.when(F.char_length("base") >= n, F.transform(F.sequence(F.lit(1), F.char_length("base") - n + 1), lambda i: F.substring("base", i, n))).otherwise(F.array().cast("array<string>"))))
+        wide = named.where(F.col("base").rlike(f"[{CJK}]")).withColumn("term", F.explode(F.array_distinct(cuts))).join(checked(others.select("query_id", "term")), "term").select("query_id", key)
+        whole = whole.unionByName(wide)
+    return whole.distinct().select("query_id", key, F.lit(1.0).alias("score"))

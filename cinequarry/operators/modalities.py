@@ -16,6 +16,7 @@ from cinequarry.functions.intervals import islands, related
 from cinequarry.functions.vectors import nearest
 from cinequarry.operators.library import facets
 from cinequarry.operators.timeline import coverage_state
+from cinequarry.plans.broadcasts import checked
 
 # Sound classes and the words that name them.
 SOUNDS = {
@@ -95,13 +96,13 @@ def vector_channel(records: DataFrame, heads: DataFrame, queries: DataFrame, mod
         own = nearest(rows.where(F.col("space") == space).select(F.col("record").alias("id"), "vector"), queries.where(F.col("space") == space).select(F.col("query_id").alias("id"), "vector"), k=limit, exclude_self=False)
         found = own if found is None else found.unionByName(own)
     if found is None:
-        found = queries.sparkSession.createDataFrame([], "query_id long, id long, score double, rank long")
+        found = queries.sparkSession.createDataFrame([], f"query_id {dict(queries.dtypes)['query_id']}, id {dict(records.dtypes)['record']}, score double, rank long")
     return found.withColumnRenamed("id", "record").join(rows.drop("vector", "space"), "record").withColumn("modality", F.lit(modality)).drop("rank")
 
 
 def sound_channel(events: DataFrame, heads: DataFrame, labels: DataFrame, *, limit: int, allowed: DataFrame | None = None) -> DataFrame:
     """Windows of sound events (record, asset, generation, label, start_ms, end_ms, raw_score) of the queries' labels, best first."""
-    rows = within(active(events, heads, "sound_event"), allowed).join(F.broadcast(labels), "label")
+    rows = within(active(events, heads, "sound_event"), allowed).join(checked(labels), "label")
     order = Window.partitionBy("query_id").orderBy(F.desc("raw_score"), "asset", "start_ms", "record")
     ranked = rows.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= limit).drop("__n")
     return ranked.withColumns({"score": F.col("raw_score"), "modality": F.lit("sound_event")}).drop("raw_score")
@@ -110,12 +111,12 @@ def sound_channel(events: DataFrame, heads: DataFrame, labels: DataFrame, *, lim
 def speaker_channel(turns: DataFrame, heads: DataFrame, filters: DataFrame, *, allowed: DataFrame | None = None) -> DataFrame:
     """Windows, score 1, of the turns (record, asset, generation, speaker, start_ms, end_ms) that filters (query_id, asset, generation, speaker) name."""
     rows = within(active(turns, heads, "speaker"), allowed)
-    return rows.join(F.broadcast(filters), ["asset", "generation", "speaker"]).withColumns({"score": F.lit(1.0), "modality": F.lit("speaker")})
+    return rows.join(checked(filters), ["asset", "generation", "speaker"]).withColumns({"score": F.lit(1.0), "modality": F.lit("speaker")})
 
 
-def place_on_shots(windows: DataFrame, shots: DataFrame, *, bucket_ms: int = 10_000) -> DataFrame:
+def place_on_shots(windows: DataFrame, shots: DataFrame) -> DataFrame:
     """Windows without a shot (asset, start_ms, end_ms, ...) with every shot (shot, asset, start_ms, end_ms) that they overlap."""
-    met = related(windows.drop("shot"), shots.select("asset", "shot", "start_ms", "end_ms"), "asset", "simultaneous", bucket_ms=bucket_ms)
+    met = related(windows.drop("shot"), shots.select("asset", "shot", "start_ms", "end_ms"), "asset", "simultaneous")
     return met.withColumnsRenamed({"left_start_ms": "start_ms", "left_end_ms": "end_ms"}).drop("right_start_ms", "right_end_ms")
 
 
@@ -135,6 +136,8 @@ def best_windows(windows: DataFrame, limit: int | None = None) -> tuple[DataFram
 
 
 def _first(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    if "query_id" in rows.columns:  # of many queries, each its own
+        keys = ("query_id", *keys)
     order = F.struct((-F.col("score")).alias("s"), *MATCH_ORDER)
     rest = [c for c in rows.columns if c not in keys]
     return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("b")).select(*keys, "b.*").select(*rows.columns)

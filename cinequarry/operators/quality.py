@@ -27,7 +27,7 @@ def ranking(results: DataFrame, grades: DataFrame, k: int = 10) -> DataFrame:
     return ideal.join(hits, "query_id", "left").select("query_id", (n("hits") / k).alias("precision"), (n("hits") / F.col("relevant")).alias("recall"), (n("dcg") / F.col("ideal")).alias("ndcg"))
 
 
-def interval_ranking(results: DataFrame, positives: DataFrame, k: int = 10, least: float = 0.5, *, bucket_ms: int = 60_000) -> DataFrame:
+def interval_ranking(results: DataFrame, positives: DataFrame, k: int = 10, least: float = 0.5) -> DataFrame:
     """query_id, precision, recall, ndcg at k where results (query_id, rank, asset, start_ms, end_ms) must meet positive intervals.
 
     A result is right when it overlaps an unused positive (query_id, id,
@@ -39,7 +39,7 @@ def interval_ranking(results: DataFrame, positives: DataFrame, k: int = 10, leas
     tag = lambda d: d.withColumn("__key", F.concat_ws("\x1f", F.col("query_id").cast("string"), F.col("asset").cast("string")))
     r = tag(results.where(F.col("rank") <= k)).select("__key", "rank", "start_ms", "end_ms")
     p = tag(positives).select("__key", "query_id", F.col("id").alias("positive"), F.greatest("grade", F.lit(1)).alias("grade"), "start_ms", "end_ms")
-    met = related(r, p, "__key", "simultaneous", bucket_ms=bucket_ms)
+    met = related(r, p, "__key", "simultaneous")
     a, b = (F.col("left_start_ms"), F.col("left_end_ms")), (F.col("right_start_ms"), F.col("right_end_ms"))
     pairs = met.where(iou(a, b) >= least).select("query_id", "rank", "positive", "grade")
     kind = dict(pairs.dtypes)["query_id"]
@@ -85,14 +85,14 @@ def mean_over(scores: DataFrame, queries: DataFrame, columns: list[str]) -> Data
     return queries.select("query_id").join(scores, "query_id", "left").agg(*[F.avg(F.coalesce(c, F.lit(0.0))).alias(c) for c in columns])
 
 
-def expected_shots(expected: DataFrame, shots: DataFrame, *, bucket_ms: int = 60_000) -> DataFrame:
+def expected_shots(expected: DataFrame, shots: DataFrame) -> DataFrame:
     """span, shot: the shot that overlaps an expected span (span, asset, start_ms, end_ms) most, by half of it at least.
 
     Equal overlaps go to the earlier shot, then the smaller id; a span without
     such a shot has a null.
     """
     own = shots.select("asset", F.col("id").alias("shot"), "start_ms", "end_ms")
-    met = related(expected.select("asset", "span", "start_ms", "end_ms"), own, "asset", "simultaneous", bucket_ms=bucket_ms)
+    met = related(expected.select("asset", "span", "start_ms", "end_ms"), own, "asset", "simultaneous")
     shared = F.least("left_end_ms", "right_end_ms") - F.greatest("left_start_ms", "right_start_ms")
     fit = met.withColumn("shared", shared).where(2 * F.col("shared") >= F.col("left_end_ms") - F.col("left_start_ms"))
     best = fit.groupBy("span").agg(F.min_by("shot", F.struct((-F.col("shared")).alias("s"), "right_start_ms", "shot")).alias("shot"))
@@ -130,7 +130,7 @@ def relevance_suite(results: DataFrame, judgments: DataFrame, queries: DataFrame
     return sums.crossJoin(right)
 
 
-def match_events(predicted: DataFrame, truth: DataFrame, keys: list[str], least: float = 0.5, *, bucket_ms: int = 60_000) -> DataFrame:
+def match_events(predicted: DataFrame, truth: DataFrame, keys: list[str], least: float = 0.5) -> DataFrame:
     """keys, prediction, truth, iou: each prediction, in order, with the best truth still free.
 
     Pairs are made in shared time buckets and only where they reach the
@@ -139,7 +139,7 @@ def match_events(predicted: DataFrame, truth: DataFrame, keys: list[str], least:
     its own.
     """
     tag = lambda d, name: d.select(F.concat_ws("\x1f", *[F.col(k).cast("string") for k in keys]).alias("__key"), F.struct(*keys).alias(f"__{name}"), F.col("id").alias(name), "start_ms", "end_ms")
-    met = related(tag(predicted, "prediction"), tag(truth, "truth"), "__key", "simultaneous", bucket_ms=bucket_ms)
+    met = related(tag(predicted, "prediction"), tag(truth, "truth"), "__key", "simultaneous")
     p, t = (F.col("left_start_ms"), F.col("left_end_ms")), (F.col("right_start_ms"), F.col("right_end_ms"))
     pairs = met.withColumn("iou", iou(p, t)).where(F.col("iou") >= least).withColumns({"start_ms": F.least(p[0], t[0]), "end_ms": F.greatest(p[1], t[1])})
     order = Window.partitionBy("__key").orderBy("start_ms", "end_ms")

@@ -32,7 +32,7 @@ def diversify(pool: DataFrame, limit: int, diversity: float = 0.2) -> DataFrame:
 
     One pass in order of score and id: a shot within five seconds of a chosen
     one of its asset is left out; each chosen shot of its asset, or else of
-    its session, takes a share of the pool's best from its score; it is put
+    its session (null or empty: none), takes a share of the pool's best from its score; it is put
     behind the chosen ones that score as much, and the list is cut to the
     limit. Without diversity the order stays. The choice depends on its order,
     so each query's pool is one group; it is cut to the pool size first, so no
@@ -51,14 +51,15 @@ def diversify(pool: DataFrame, limit: int, diversity: float = 0.2) -> DataFrame:
             own = [c for c in chosen if c["asset"] == r["asset"]]
             if any(abs(c["start_ms"] - r["start_ms"]) <= NEAR_MS for c in own):
                 continue
-            kin = sum(c["asset"] != r["asset"] and pd.notna(r["session"]) and c["session"] == r["session"] for c in chosen)
+            kin = sum(c["asset"] != r["asset"] and pd.notna(r["session"]) and r["session"] != "" and c["session"] == r["session"] for c in chosen)
             score = max(0.0, r["score"] - scale * (SAME_ASSET * len(own) + SAME_SESSION * kin))
             place = sum(c["score"] >= score for c in chosen)
             chosen.insert(place, r | {"score": score})
             del chosen[limit:]
         return pd.DataFrame([(r["query_id"], r["id"], r["score"], i) for i, r in enumerate(chosen, 1)], columns=["query_id", "id", "score", "place"])
 
-    return cut.select("query_id", "id", "asset", "session", "start_ms", "score", "__rank").groupBy("query_id").applyInPandas(choose, "query_id long, id long, score double, place long")
+    kinds = dict(cut.dtypes)
+    return cut.select("query_id", "id", "asset", "session", "start_ms", "score", "__rank").groupBy("query_id").applyInPandas(choose, f"query_id {kinds['query_id']}, id {kinds['id']}, score double, place long")
 
 
 def neighbours(rows: DataFrame, key: str, group: str, ordinal: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cinequarry.functions.intervals import related
 from cinequarry.functions.text import CJK
 from cinequarry.operators.timeline import PHRASE_GAP_MS, transcript_score
+from cinequarry.plans.broadcasts import checked
 
 _RUNS = rf"([{CJK}]+|[\p{{L}}\p{{Nd}}_&&[^{CJK}]]+)"
 
@@ -75,10 +76,10 @@ def follows(parts: Sequence[str], spans: Sequence[tuple[str, int, int]], gap_ms:
     return any(at(i) for i in range(len(spans)))
 
 
-def words_on_shots(words: DataFrame, shots: DataFrame, *, bucket_ms: int = 10_000) -> DataFrame:
+def words_on_shots(words: DataFrame, shots: DataFrame) -> DataFrame:
     """shot, asset and the words (asset, ordinal, start_ms, end_ms, text, confidence) that overlap each shot."""
     own = shots.select("asset", F.col("id").alias("shot"), "start_ms", "end_ms")
-    met = related(words, own, "asset", "simultaneous", bucket_ms=bucket_ms)
+    met = related(words, own, "asset", "simultaneous")
     return met.withColumnsRenamed({"left_start_ms": "start_ms", "left_end_ms": "end_ms"}).drop("right_start_ms", "right_end_ms")
 
 
@@ -93,8 +94,14 @@ def transcript_channel(queries: DataFrame, placed: DataFrame, gap_ms: int = PHRA
     parts = queries.select("query_id", components(F.col("phrase")).alias("parts")).where("size(parts) > 0")
     wanted = parts.select("query_id", "parts", F.explode(F.array_distinct("parts")).alias("part"))
     words = placed.withColumn("word", F.lower("text"))
-    plain = words.join(F.broadcast(wanted.where(~F.col("part").rlike(f"^[{CJK}]"))), F.col("word") == F.col("part"))
-    wide = words.where(F.col("word").rlike(f"[{CJK}]")).join(F.broadcast(wanted.where(F.col("part").rlike(f"^[{CJK}]"))), F.expr("contains(part, word)"))
+    plain = words.join(checked(wanted.where(~F.col("part").rlike(f"^[{CJK}]"))), F.col("word") == F.col("part"))
+    # A part of a script without blanks is written as its pieces no longer than the longest word: words meet them by equality.
+    letters = words.where(F.col("word").rlike(f"[{CJK}]"))
+    longest = letters.agg(F.max(F.char_length("word"))).first()[0] or 0
+    size, at = F.char_length("part"), F.sequence(F.lit(1), F.char_length("part"))
+    pieces = F.array_distinct(F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(max(longest, 1)), size - i + 1)), lambda n: F.substring("part", i, n)))))
+    held = wanted.where(F.col("part").rlike(f"^[{CJK}]")).withColumn("word", F.explode(pieces))
+    wide = letters.join(checked(held), "word")
     columns = ("query_id", "parts", "part", "shot", "confidence")
     hits = plain.select(*columns).unionByName(wide.select(*columns))
     likely = hits.groupBy("query_id", "parts", "shot").agg(F.count_distinct("part").alias("n"), transcript_score(F.col("confidence")).alias("said")).where("n = size(array_distinct(parts))")
@@ -105,23 +112,23 @@ def transcript_channel(queries: DataFrame, placed: DataFrame, gap_ms: int = PHRA
     def exact(own: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([follows(list(p), [(s["text"], s["start_ms"], s["end_ms"]) for s in rows], gap_ms) for p, rows in zip(own, spans, strict=True)])
 
-    checked = likely.join(lists, "shot").where(exact("parts", "spans"))
-    return checked.select("query_id", F.col("shot").alias("id"), F.when(F.size("parts") == 1, F.col("said")).otherwise(F.lit(1.0)).alias("score"))
+    spoken = likely.join(lists, "shot").where(exact("parts", "spans"))
+    return spoken.select("query_id", F.col("shot").alias("id"), F.when(F.size("parts") == 1, F.col("said")).otherwise(F.lit(1.0)).alias("score"))
 
 
-def request_spans(requests: DataFrame, words: DataFrame, *, bucket_ms: int = 10_000) -> DataFrame:
+def request_spans(requests: DataFrame, words: DataFrame) -> DataFrame:
     """request, ordinal, text, start_ms, end_ms of the words that overlap each request (request, asset, start_ms, end_ms)."""
-    met = related(words.select("asset", "ordinal", "text", "start_ms", "end_ms"), requests.select("asset", "request", "start_ms", "end_ms"), "asset", "simultaneous", bucket_ms=bucket_ms)
+    met = related(words.select("asset", "ordinal", "text", "start_ms", "end_ms"), requests.select("asset", "request", "start_ms", "end_ms"), "asset", "simultaneous")
     return met.select("request", "ordinal", "text", F.col("left_start_ms").alias("start_ms"), F.col("left_end_ms").alias("end_ms"))
 
 
-def sliced(segments: DataFrame, windows: DataFrame, *, bucket_ms: int = 60_000) -> DataFrame:
+def sliced(segments: DataFrame, windows: DataFrame) -> DataFrame:
     """window, ordinal, start_ms, end_ms, text: segments (asset, ordinal, ...) within windows (asset, window, start_ms, end_ms), from the window's start on.
 
     Segments without length are left out; what reaches over a window is cut.
     """
     real = segments.where("end_ms > start_ms").select("asset", "ordinal", "text", "start_ms", "end_ms")
-    met = related(real, windows.select("asset", "window", "start_ms", "end_ms"), "asset", "simultaneous", bucket_ms=bucket_ms)
+    met = related(real, windows.select("asset", "window", "start_ms", "end_ms"), "asset", "simultaneous")
     begin = F.greatest(F.col("left_start_ms") - F.col("right_start_ms"), F.lit(0))
     return met.select("window", "ordinal", begin.alias("start_ms"), (F.least("left_end_ms", "right_end_ms") - F.col("right_start_ms")).alias("end_ms"), "text")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from cinequarry.functions.intervals import related
 PHRASE_GAP_MS = 1500
 
 
-def matching_assets(windows: DataFrame, predicates: list[tuple[str, str, str, int]], conditions: list[str], *, bucket_ms: int) -> DataFrame:
+def matching_assets(windows: DataFrame, predicates: list[tuple[str, str, str, int]], conditions: list[str]) -> DataFrame:
     """Assets with windows (asset, condition, start_ms, end_ms) for every condition and a pair for every predicate.
 
     A predicate is (left condition, relation, right condition, largest gap).
@@ -20,7 +21,7 @@ def matching_assets(windows: DataFrame, predicates: list[tuple[str, str, str, in
     have = windows.where(F.col("condition").isin(*conditions)).groupBy("asset").agg(F.count_distinct("condition").alias("n")).where(F.col("n") == len(set(conditions))).select("asset")
     for left, relation, right, gap in predicates:
         own = lambda c: windows.where(F.col("condition") == c).select("asset", "start_ms", "end_ms")
-        pairs = related(own(left), own(right), "asset", relation, max_gap_ms=gap, bucket_ms=bucket_ms)
+        pairs = related(own(left), own(right), "asset", relation, max_gap_ms=gap)
         have = have.join(pairs.select("asset").distinct(), "asset", "left_semi")
     return have
 
@@ -143,24 +144,72 @@ def sound_events(cells: DataFrame, keys: list[str], *, cell_ms: int = 100, on: f
     return merged.where(F.col("end_ms") - F.col("start_ms") >= least_ms).drop("__event")
 
 
+def _same_text(text: str) -> Column:
+    return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+
+
+def _greedy(rows: list[dict], lists: list[str], widen: bool) -> list[dict]:
+    """Each row in order goes to the first kept one that it overlaps by half of the shorter, or is kept."""
+    kept: list[dict] = []
+    open_: list[dict] = []  # kept ones that a later row can still overlap
+    for r in rows:
+        open_ = [k for k in open_ if k["end_ms"] > r["start_ms"]]
+        length = r["end_ms"] - r["start_ms"]
+        for k in open_:
+            shared = min(k["end_ms"], r["end_ms"]) - max(k["start_ms"], r["start_ms"])
+            shorter = min(k["end_ms"] - k["start_ms"], length)
+            if shared > 0 and shorter > 0 and 2 * shared >= shorter:
+                if widen and length > k["end_ms"] - k["start_ms"]:
+                    k["start_ms"], k["end_ms"] = r["start_ms"], r["end_ms"]
+                for c in lists:
+                    k[c] = list(dict.fromkeys([*(k[c] or ()), *(v for v in r[c] or () if v)]))
+                if "confidence" in k:
+                    k["confidence"] = max((c for c in (k["confidence"], r["confidence"]) if c is not None), default=None)
+                break
+        else:
+            kept.append(r)
+            open_.append(r)
+    return kept
+
+
+def _merge_repeats(rows: DataFrame, widen: bool) -> DataFrame:
+    """Rows (asset, start_ms, end_ms, text, ...) of which overlapping ones of one text are one.
+
+    What a row joins depends on the order of those before it, but only within
+    a run of overlapping spans of one text: runs are cut by time first, single
+    rows pass by, and each run is walked in a task, ties by all other columns.
+    """
+    columns, lists = rows.columns, [c for c, t in rows.dtypes if t == "array<string>"]
+    in_time = Window.partitionBy("asset", "__key").orderBy("start_ms", "end_ms")
+    reach = F.max("end_ms").over(in_time.rowsBetween(Window.unboundedPreceding, -1))
+    cut = rows.withColumn("__key", _same_text("text")).withColumn("__new", F.when(F.col("start_ms") < reach, 0).otherwise(1))
+    cut = cut.withColumn("__run", F.sum("__new").over(in_time.rowsBetween(Window.unboundedPreceding, 0)))
+    counted = cut.withColumn("__n", F.count("*").over(Window.partitionBy("asset", "__key", "__run")))
+    schema = rows.schema
+
+    def walk(keys: tuple, table: pa.Table) -> pa.Table:
+        own = table.select(columns)
+        ordered = sorted(own.to_pylist(), key=lambda r: (r["start_ms"], r["end_ms"], r["text"] or "", str([r[c] for c in sorted(r)])))
+        return pa.Table.from_pylist(_greedy(ordered, lists, widen), schema=own.schema)
+
+    runs = counted.where("__n > 1").groupBy("asset", "__key", "__run").applyInArrow(walk, schema)
+    return counted.where("__n = 1").select(*columns).unionByName(runs)
+
+
 def merge_window_shots(shots: DataFrame) -> DataFrame:
-    """asset, start_ms, end_ms, text, tags, confidence of shots from overlapping windows (same columns).
+    """Shots (asset, start_ms, end_ms, text[, confidence, lists of strings]) of overlapping windows, the same one once.
 
-    Shots of one text merge when they overlap by half of the shorter one: the
-    span widens, tags unite and the higher confidence stays. Repeats of a text
-    are chained by time, so the merge is a running maximum, not a group loop.
+    In order of time, a shot joins the first kept one of its text that it
+    overlaps by half of the shorter of both: the wider span stays, lists
+    (tags, objects, actions, mood) are united in order of first mention and
+    the higher confidence counts; the text is the first one's.
     """
-    key = F.lower(F.trim(F.regexp_replace("text", r"\s+", " ")))
-    order = Window.partitionBy("asset", "__key").orderBy("start_ms", "end_ms")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    rows = shots.withColumn("__key", key)
-    reach = F.max(F.struct("end_ms", "start_ms")).over(before)
-    shared = F.least(reach["end_ms"], F.col("end_ms")) - F.col("start_ms")
-    shorter = F.least(reach["end_ms"] - reach["start_ms"], F.col("end_ms") - F.col("start_ms"))
-    rows = rows.withColumn("__new", F.when(2 * shared >= shorter, 0).otherwise(1))
-    rows = rows.withColumn("__part", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = rows.groupBy("asset", "__key", "__part").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.min_by("text", F.struct("start_ms", "end_ms")).alias("text"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("tags"), F.max("confidence").alias("confidence"))
-    return merged.select("asset", "start_ms", "end_ms", "text", "tags", "confidence")
+    return _merge_repeats(shots, widen=True)
+
+
+def merge_window_scenes(scenes: DataFrame) -> DataFrame:
+    """Scenes as merge_window_shots() merges shots, but with the first one's span."""
+    return _merge_repeats(scenes, widen=False)
 
 
 def assemble(tracks: Mapping[str, DataFrame], coverage: DataFrame, start_ms: int, end_ms: int) -> DataFrame:
@@ -189,16 +238,24 @@ def merge_window_analyses(windows: DataFrame, lists: list[str]) -> DataFrame:
     """asset, summary, confidence, people and the given lists of windows' analyses (asset, window, same columns) as one.
 
     Lists are united in order of first mention, the summary is the first that
-    isn't empty, confidence the mean of those given, people the most seen.
+    isn't empty, confidence the mean of those over 0 (0 if none is), people
+    the most seen.
     """
     joined = lambda c: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("window", F.coalesce(F.col(c), F.array().cast("array<string>")).alias("v")))), lambda x: x["v"])))
     summary = F.min_by(F.when(F.trim("summary") != "", F.col("summary")), F.when(F.trim("summary") != "", F.col("window")))
-    return windows.groupBy("asset").agg(summary.alias("summary"), F.avg("confidence").alias("confidence"), F.max("people").alias("people"), *[joined(c).alias(c) for c in lists])
+    return windows.groupBy("asset").agg(summary.alias("summary"), F.coalesce(F.avg(F.when(F.col("confidence") > 0, F.col("confidence"))), F.lit(0.0)).alias("confidence"), F.max("people").alias("people"), *[joined(c).alias(c) for c in lists])
 
 
-def transcript_pool(limit: int) -> int:
-    """Rows that a recall pool of transcripts holds on one machine; the channel here checks all that it finds."""
-    return max(1000, min(50 * limit, 10_000))
+def merge_named(windows: DataFrame, column: str) -> DataFrame:
+    """asset, place, name, count, confidence of the things that windows (asset, window, column: name, count, confidence) name.
+
+    One a normalised name: the first mention's spelling, the largest count and
+    confidence; in order of first mention.
+    """
+    things = windows.select("asset", "window", F.posexplode(column).alias("at", "x")).select("asset", "window", "at", "x.*").where(F.trim("name") != "")
+    first = F.struct("window", "at")
+    merged = things.withColumn("__key", _same_text("name")).groupBy("asset", "__key").agg(F.min(first).alias("first"), F.min_by("name", first).alias("name"), F.max("count").alias("count"), F.max("confidence").alias("confidence"))
+    return merged.select("asset", F.row_number().over(Window.partitionBy("asset").orderBy("first")).cast("long").alias("place"), "name", "count", "confidence")
 
 
 def read_pyramid(level: DataFrame, width_ms: int, start_ms: int, end_ms: int, most: int = 0) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cinequarry.functions import intervals, text, timecode, vectors
-from cinequarry.functions.vocabulary import compile_queries, named
+from cinequarry.functions.vocabulary import compile_queries, named, speech_phrase
 from cinequarry.operators import fusion, lexical, library, quality, selection, timeline
 from cinequarry.operators.evidence import evidence, gate, observations
 from cinequarry.operators.graph import connected_components
@@ -64,7 +64,7 @@ def test_relations(spark, relation):
     rows = [(k, i, s, s + r.choice([0, 5, 40, 300])) for i in range(60) for k in (0, 1) for s in [r.randrange(1000)]]
     left = spark.createDataFrame(rows, "k long, a long, start_ms long, end_ms long")
     right = left.withColumnRenamed("a", "b")
-    got = sorted((x["k"], x["a"], x["b"]) for x in intervals.related(left, right, "k", relation, max_gap_ms=25, bucket_ms=50).collect())
+    got = sorted((x["k"], x["a"], x["b"]) for x in intervals.related(left, right, "k", relation, max_gap_ms=25).collect())
     rule = {
         "simultaneous": lambda ls, le, rs, re: ls < re and le > rs,
         "before": lambda ls, le, rs, re: le <= rs and rs - le <= 25,
@@ -76,6 +76,34 @@ def test_relations(spark, relation):
     assert got == sorted((k, a, b) for k, a, ls, le in rows for k2, b, rs, re in rows if k == k2 and rule(ls, le, rs, re))
 
 
+@pytest.mark.parametrize("relation", intervals.RELATIONS)
+def test_relations_of_mixed_lengths(spark, relation):
+    """From a millisecond to a day, before and after zero; the relation said once, or by each row."""
+    r = random.Random(9)
+    rows = [("k", i, s, s + r.choice([0, 1, 2, 3, 1000, 3_600_000, 86_400_000, r.randrange(1, 10**7)])) for i in range(120) for s in [r.randrange(-(10**7), 10**8)]]
+    rows += [("k", 200 + i, s, e) for i, (_, _, s, e) in enumerate(rows[:30])] + [("k", 300 + i, e, e + 7) for i, (_, _, s, e) in enumerate(rows[:30])]
+    left = spark.createDataFrame(rows, "k string, a long, start_ms long, end_ms long")
+    right = left.withColumnRenamed("a", "b")
+    want = sorted((a, b) for _, a, ls, le in rows for _, b, rs, re in rows if {
+        "simultaneous": ls < re and le > rs, "before": le <= rs <= le + 5000, "after": re <= ls <= re + 5000, "during": rs <= ls and le <= re, "starts_within": rs <= ls < re, "ends_within": rs < le <= re,
+    }[relation])
+    assert sorted((x["a"], x["b"]) for x in intervals.related(left, right, "k", relation, max_gap_ms=5000).collect()) == want
+    said = left.withColumns({"relation": F.lit(relation), "max_gap_ms": F.lit(5000)})
+    met = intervals.related(said, right, ["k"])
+    assert sorted((x["a"], x["b"]) for x in met.collect()) == want
+    with pytest.raises(Exception, match="unknown relation"):
+        intervals.related(said.withColumn("relation", F.lit("near")), right, "k").collect()
+
+
+def test_long_intervals_are_written_a_few_times(spark):
+    hours = spark.createDataFrame([("k", 0, 36_000_000)], "k string, start_ms long, end_ms long").withColumn("a", F.lit(1))
+    short = spark.createDataFrame([("k", s, s + 10) for s in range(0, 36_000_000, 3_600_000)], "k string, start_ms long, end_ms long").withColumn("b", F.col("start_ms"))
+    assert intervals.related(hours, short, "k", "simultaneous").count() == 10
+    level = intervals._level(F.col("start_ms"), F.col("end_ms"))
+    written = intervals._binned(hours, F.col("start_ms"), F.col("end_ms"), F.array(level), "__a")
+    assert written.count() <= 2  # in bins of its own length; a fixed width of 10 s would take 3,600
+
+
 def test_islands_and_timecode(spark):
     rows = spark.createDataFrame([("a", 0, 10), ("a", 10, 20), ("a", 5, 8), ("a", 21, 30)], "k string, start_ms long, end_ms long")
     assert sorted(map(tuple, intervals.islands(rows, ["k"]).collect())) == [("a", 0, 20, 3), ("a", 21, 30, 1)]
@@ -97,6 +125,39 @@ def test_compiler(spark):
     assert intents == {1: "fact", 2: "semantic", 3: "speech", 4: "fact", 5: "fact", 6: "creative", 7: "auto", 8: "similar", 9: "speech"}
 
 
+def test_evidence_in_other_scripts_and_denied_words(spark):
+    schema = "id long, description string, objects array<string>, actions array<string>, tags array<string>, mood array<string>"
+    rows = [(1, "一只老虎", ["老虎"], [], [], []), (2, "no tiger here", [], [], [], []), (3, "a tiger, no zebra", ["大老虎们"], [], [], []), (4, "没有人的海边", [], [], [], []), (5, "人在海边", [], [], [], []), (6, None, None, [None, "Tiger cub"], [], []), (7, "tigers", [], [], [], [])]
+    shots = spark.createDataFrame(rows, schema)
+    queries = spark.createDataFrame([(1, "老虎"), (2, "tiger"), (3, "没有人的海边"), (4, "zebra")], "query_id long, text string")
+    _, needs = compile_queries(queries)
+    candidates = queries.select("query_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(7).cast("long"))).alias("id"), F.lit(1.0).alias("score"))
+    observed = observations(shots)
+    proof = evidence(candidates, needs, observed)
+    states = {(r["query_id"], r["id"], r["value"]): r["state"] for r in proof.collect()}
+    assert [states[1, i, "老虎"] for i in range(1, 8)] == ["confirmed", "unknown", "confirmed", "unknown", "unknown", "unknown", "unknown"]
+    assert [states[2, i, "tiger"] for i in range(1, 8)] == ["unknown", "contradicted", "possible", "unknown", "unknown", "confirmed", "unknown"]
+    assert states[3, 4, "person"] == "unknown" and states[3, 5, "person"] == "possible" and states[4, 3, "zebra"] == "contradicted"
+    passed = {(r["query_id"], r["id"]) for r in gate(candidates, proof).collect()}
+    assert {i for q, i in passed if q == 1} == {1, 3} and {i for q, i in passed if q == 2} == {3, 6} and (3, 4) in passed and (3, 5) not in passed
+
+
+def test_speech_phrases(spark):
+    texts = ["他说“”明天见", "他说 明天见", "“a b” 说 c", "say 'x' \"y\"", "plain", "说"]
+    got = [r["p"] for r in spark.createDataFrame(list(enumerate(texts)), "i long, text string").orderBy("i").select(speech_phrase(F.col("text")).alias("p")).collect()]
+    assert got == [None, "明天见", "a b", "y", None, None]
+
+
+def test_ids_of_any_type(spark):
+    rows = spark.createDataFrame([("q", "a", "x", "", 0, 0.9), ("q", "b", "y", "", 9000, 0.8), ("q", "c", "z", "s", 0, 0.7), ("q", "d", "w", "s", 0, 0.6)], "query_id string, id string, asset string, session string, start_ms long, score double")
+    got = [(r["id"], round(r["score"], 6)) for r in selection.diversify(rows, 4).orderBy("place").collect()]
+    assert got[:3] == [("a", 0.9), ("b", 0.8), ("c", 0.7)] and got[3][0] == "d" and got[3][1] < 0.6  # an empty session is none
+    vecs = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 1.0]), ("c", [0.0, 1.0])], "id string, vector array<double>")
+    for sent in (1 << 20, 0):
+        assert [(r["id"], r["rank"]) for r in vectors.nearest(vecs, vecs.where("id = 'a'"), k=2, sent_bytes=sent).collect()] == [("b", 1)]
+    assert [tuple(r) for r in vectors.similar_pairs(vecs, 0.7).orderBy("a", "b").collect()] == [("a", "b"), ("b", "c")]
+
+
 def test_named_and_evidence(spark):
     schema = "id long, description string, objects array<string>, actions array<string>, tags array<string>, mood array<string>"
     shots = spark.createDataFrame([(1, "an empty beach with no people", ["beach"], [], [], []), (2, "people walk", ["Person"], ["walking"], [], []), (3, "a pedestrian far off", [], [], [], []), (4, "rain", [], [], [], [])], schema)
@@ -189,6 +250,16 @@ def test_timeline(spark):
     frames = lambda a, b, mode="boundary_aware": one(spark, timeline.plan_frames(F.col("a"), F.col("b"), mode), a=a, b=b)
     assert frames(0, 1001) == [200, 701] and frames(100, 10_100) == [1100, 3600, 6600, 9100] and frames(5, 5) == [] and frames(0, 1) == [0, 1]
     assert frames(0, 40_000) == [2000, 8000, 16_000, 24_000, 32_000, 38_000] and frames(0, 4000, "uniform") == [500, 1500, 2500, 3500]
+    rows = [(1, 0, 100, "one text", ["b", "", "a"], 0.5), (1, 50, 150, "One  text ", ["a", "c"], 0.9), (1, 100, 200, "one text", ["d"], 0.1), (1, 40, 190, "other", [], 0.1), (2, 0, 10, "one text", [], 0.1), (2, 0, 30, "one text", ["z"], None), (2, 29, 50, "one text", ["y"], 0.2)]
+    found = sorted(tuple(r) for r in timeline.merge_window_shots(spark.createDataFrame(rows, "asset long, start_ms long, end_ms long, text string, tags array<string>, confidence double")).collect())
+    # The third shot of asset 1 touches the kept span [0, 100) and doesn't overlap it; asset 2 keeps the wider span.
+    assert found == [(1, 0, 100, "one text", ["b", "", "a", "c"], 0.9), (1, 40, 190, "other", [], 0.1), (1, 100, 200, "one text", ["d"], 0.1), (2, 0, 30, "one text", ["z"], 0.1), (2, 29, 50, "one text", ["y"], 0.2)]
+    scenes = timeline.merge_window_scenes(spark.createDataFrame([("a", 0, 10, "t", ["x"]), ("a", 2, 30, "t", ["y"])], "asset string, start_ms long, end_ms long, text string, tags array<string>"))
+    assert [tuple(r) for r in scenes.collect()] == [("a", 0, 10, "t", ["x", "y"])]
+    analyses = spark.createDataFrame([(1, 1, "", 0.0, 2, ["a"]), (1, 2, "s", 0.8, 1, ["b", "a"]), (2, 1, None, 0.0, 0, [])], "asset long, window long, summary string, confidence double, people long, tags array<string>")
+    assert {r["asset"]: (r["summary"], r["confidence"], r["people"], r["tags"]) for r in timeline.merge_window_analyses(analyses, ["tags"]).collect()} == {1: ("s", 0.8, 2, ["a", "b"]), 2: (None, 0.0, 0, [])}
+    things = spark.createDataFrame([(1, 2, [("dog", 1, 0.9)]), (1, 1, [("Cat", 1, 0.5), (" ", 9, 0.9), ("Dog  ", 3, 0.2)])], "asset long, window long, things array<struct<name:string,count:int,confidence:double>>")
+    assert sorted(tuple(r)[1:] for r in timeline.merge_named(things, "things").collect()) == [(1, "Cat", 1, 0.5), (2, "Dog  ", 3, 0.9)]
     shots = spark.createDataFrame([(1, 0, 100, "A  cat", ["x"], 0.5), (1, 60, 200, "a cat", ["y"], 0.9), (1, 500, 600, "a cat", [], 0.1)], "asset long, start_ms long, end_ms long, text string, tags array<string>, confidence double")
     assert sorted(tuple(r) for r in timeline.merge_window_shots(shots).collect()) == [(1, 0, 100, "A  cat", ["x"], 0.5), (1, 60, 200, "a cat", ["y"], 0.9), (1, 500, 600, "a cat", [], 0.1)]
     with pytest.raises(ValueError):

@@ -153,18 +153,19 @@ def test_hashed_similarity(spark, sf):
 
 
 def test_tag_review(spark):
-    proposals = spark.createDataFrame([(1, "pending", "urban_night", ["city_night", "ring"]), (2, "pending", "sea", []), (3, "applied", "old", ["older"]), (4, "pending", "ring", ["rings"])], "proposal long, state string, name string, aliases array<string>")
-    decisions = spark.createDataFrame([(1, True), (2, False), (3, True), (4, True)], "proposal long, approved boolean")
-    catalog = spark.createDataFrame([(7, "ring")], "tag_id long, name string")
-    aliases = spark.createDataFrame([(7, "band")], "tag_id long, alias string")
-    links = spark.createDataFrame([(1, "city_night", None), (2, "band", None), (3, "sea", None), (4, "rings", 99)], "asset long, raw string, tag_id long")
+    proposals = spark.createDataFrame([(1, "pending", "urban_night", ["City Night", "ring", ""], None), (2, "pending", "sea", [], None), (3, "approved", "old", ["older"], None), (4, "pending", "ring", ["rings"], None), (5, "pending", "loop", ["rings", "hoop"], 7)], "proposal long, state string, name string, aliases array<string>, tag_id long")
+    decisions = spark.createDataFrame([(1, True), (2, False), (3, False), (4, True), (5, True)], "proposal long, approved boolean")
+    catalog = spark.createDataFrame([(7, "ring"), (8, "belt")], "tag_id long, name string")
+    aliases = spark.createDataFrame([(8, "rings"), (8, "band"), (7, "ring")], "tag_id long, alias string")
+    links = spark.createDataFrame([(1, "city_night", None), (2, "band", 8), (3, "sea", None), (4, "Rings", 99), (5, "ring", 7), (6, "hoop", 8)], "asset long, raw string, tag_id long")
     states, tags, names, linked = browse.review_tags(proposals, decisions, catalog, aliases, links)
-    assert {r["proposal"]: r["state"] for r in states.collect()} == {1: "applied", 2: "rejected", 3: "applied", 4: "applied"}
+    assert {r["proposal"]: r["state"] for r in states.collect()} == {1: "approved", 2: "rejected", 3: "approved", 4: "approved", 5: "approved"}
     ids = {r["name"]: r["tag_id"] for r in tags.collect()}
-    assert set(ids) == {"ring", "urban_night"} and ids["ring"] == 7
-    # ring is a canonical name, so it becomes no alias of another tag.
-    assert {(r["tag_id"], r["alias"]) for r in names.collect()} == {(7, "band"), (7, "rings"), (ids["urban_night"], "city_night")}
-    assert {r["asset"]: r["tag_id"] for r in linked.collect()} == {1: ids["urban_night"], 2: 7, 3: None, 4: 99}
+    assert set(ids) == {"ring", "belt", "urban_night"} and ids["ring"] == 7
+    night = ids["urban_night"]
+    # Aliases move to the approved tag, its name is one of them, and of two claims the later proposal's holds.
+    assert {(r["alias"], r["tag_id"]) for r in names.collect()} == {("band", 8), ("city_night", night), ("urban_night", night), ("ring", 7), ("rings", 7), ("loop", 7), ("hoop", 7)}
+    assert {r["asset"]: r["tag_id"] for r in linked.collect()} == {1: night, 2: 8, 3: None, 4: 7, 5: 7, 6: 7}
 
 
 def test_places_and_spans(spark):

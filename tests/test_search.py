@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from cinequarry.operators import modalities, search, speech
+from cinequarry.operators import modalities, search, speech, temporal
 
 SHOT = "id long, asset long, session long, ordinal long, start_ms long, end_ms long, description string, tags array<string>, objects array<string>, actions array<string>, mood array<string>"
 
@@ -73,6 +73,120 @@ def test_temporal_queries(spark, library):
     assert [tuple(r) for r in search.related_pairs(hits, library.shots, asked).collect()] == [(0, 1, 2)]
 
 
+CONDITION = "query_id long, condition string, modality string, text string, space string, vector array<double>"
+PREDICATE = "query_id long, predicate string, left string, relation string, right string, max_gap_ms long"
+
+
+@pytest.fixture(scope="module")
+def timed(spark, library):
+    """The library with sounds, frames and speakers on its recordings."""
+    from dataclasses import replace
+
+    heads = spark.createDataFrame([(a, m, 1) for a in range(1, 7) for m in temporal.CHANNELS], "asset long, modality string, generation long")
+    events = [(1, 1, 1, "/m/06mb1", 0, 1000, 0.9, "confirmed"), (2, 1, 1, "/m/03kmc9", 1500, 2000, 0.8, "confirmed"), (3, 2, 1, "/m/03kmc9", 0, 400, 0.9, "possible"), (4, 2, 1, "/m/06mb1", 900, 1400, 0.5, "confirmed"), (5, 3, 1, "/m/06mb1", 0, 300, 0.5, "possible"), (6, 3, 2, "/m/03kmc9", 400, 500, 0.9, "confirmed"), (7, 6, 1, "/m/06mb1", 0, 300, 0.5, "possible"), (8, 6, 1, "/m/03kmc9", 8000, 8500, 0.5, "possible")]
+    frames = [(11, 1, 1, "s", 500, 600, [1.0, 0.0]), (12, 2, 1, "s", 950, 1000, [0.9, 0.1]), (13, 3, 1, "s", 0, 100, [0.0, 1.0]), (14, 4, 1, "other", 0, 100, [1.0, 0.0])]
+    turns = [(21, 6, 1, "anna", 100, 250), (22, 1, 1, "anna", 0, 100), (23, 6, 1, "ben", 0, 9000)]
+    own = temporal.Recordings(
+        heads,
+        {"visual": spark.createDataFrame(frames, "record long, asset long, generation long, space string, start_ms long, end_ms long, vector array<double>")},
+        spark.createDataFrame(events, "record long, asset long, generation long, label string, start_ms long, end_ms long, raw_score double, status string"),
+        spark.createDataFrame(turns, "record long, asset long, generation long, speaker string, start_ms long, end_ms long"),
+    )
+    text = spark.createDataFrame([(1, [1.0, 0.0]), (5, [0.8, 0.6]), (6, [0.7, 0.7]), (9, [0.0, 1.0]), (3, [1.0])], "id long, vector array<double>")
+    return replace(library, recordings=own, text_vectors=text)
+
+
+def asked(spark, conditions, predicates=(), speakers=()):
+    rows = [(q, c, m, t, "s" if m == "visual" else None, [1.0, 0.0] if m == "visual" else None) for q, c, m, t in conditions]
+    return temporal.Requests(conditions=spark.createDataFrame(rows, CONDITION), predicates=spark.createDataFrame(list(predicates), PREDICATE) if predicates else None, speakers=spark.createDataFrame(list(speakers), "query_id long, asset long, generation long, speaker string") if speakers else None)
+
+
+def test_conditions_and_predicates_of_many_queries(spark, timed):
+    rain, siren = (lambda q, c="a": (q, c, "sound_event", "rain")), (lambda q, c="b": (q, c, "sound_event", "a police siren"))
+    requests = asked(
+        spark,
+        [rain(1), siren(1), rain(2), siren(2), rain(3), siren(3), rain(4), (4, "v", "visual", "x"), (5, "s", "speaker", "x"), rain(5), rain(6), siren(6), rain(7)],
+        [(1, "p", "a", "before", "b", 5000), (2, "p", "a", "after", "b", 5000), (3, "p", "a", "simultaneous", "b", 0), (4, "p", "v", "during", "a", 0), (5, "p", "s", "during", "a", 0), (6, "p", "a", "before", "b", 5000), (6, "q", "b", "before", "a", 5000)],
+        [(5, 6, 1, "anna")],
+    )
+    spans = timed.shots.select(F.col("id").alias("shot"), "asset", "start_ms", "end_ms")
+    assets, matches, held = temporal.evaluate(requests, timed.recordings, spans)
+    got: dict[int, set] = {}
+    for r in assets.collect():
+        got.setdefault(r["query_id"], set()).add(r["asset"])
+    # In 6 the siren is over five seconds behind; in 3 the siren is of an old generation; 6 asks for both orders; 7 has no predicate.
+    assert got == {1: {1}, 2: {2}, 4: {1, 2}, 5: {6}, 7: {1, 2, 3, 6}}
+    shown = {(r["query_id"], r["asset"], r["left_record"], r["right_record"]): ([tuple(s) for s in r["supports"]], r["evidence"]) for r in held.collect()}
+    assert shown[1, 1, 1, 2] == ([(0, 1000), (1500, 2000)], "confirmed") and shown[2, 2, 4, 3] == ([(900, 1400), (0, 400)], "possible") and shown[4, 1, 11, 1] == ([(500, 600)], "possible")
+    assert {(r["query_id"], r["condition"], r["record"]) for r in matches.where("query_id IN (1, 5)").collect()} == {(1, "a", 1), (1, "b", 2), (5, "s", 21), (5, "a", 7)}
+    cut = temporal.evaluate(requests, timed.recordings, spans, limit=1)[1]
+    assert cut.where("query_id = 7").count() == 1 and cut.where("query_id = 1").count() == 2
+    only = temporal.evaluate(requests, timed.recordings, spans, allowed=spans.where("asset <> 1").select("shot", "asset"))[0]
+    assert {r["asset"] for r in only.where("query_id = 4").collect()} == {2}
+
+
+def test_search_with_requests(spark, timed):
+    queries = spark.createDataFrame([(0, "train"), (1, "people"), (2, "people")], "query_id long, text string")
+    requests = asked(spark, [(0, "a", "sound_event", "rain"), (0, "b", "sound_event", "siren"), (1, "a", "sound_event", "rain"), (1, "b", "sound_event", "siren")], [(0, "p", "a", "before", "b", 5000), (1, "p", "a", "after", "b", 5000)])
+    rows = search.search(queries, timed, requests=requests).collect()
+    assert {r["id"] for r in rows if r["query_id"] == 0} == {1} and {r["id"] for r in rows if r["query_id"] == 1} <= {3, 4}
+    assert {r["id"] for r in rows if r["query_id"] == 2} > {r["id"] for r in rows if r["query_id"] == 1}  # asks for nothing in time
+    # A shot that only a timed channel finds; the mode keeps the evidence gate out.
+    creative = spark.createDataFrame([(0, "zzz", "auto")], "query_id long, text string, mode string")
+    seen = temporal.Requests(modalities=spark.createDataFrame([(0, "visual", "zzz", "s", [1.0, 0.0])], "query_id long, modality string, text string, space string, vector array<double>"))
+    spoken = spark.createDataFrame([(0, "", "auto")], creative.schema)
+    assert {r["id"] for r in search.search(spoken, timed, requests=seen).collect()} == {1, 3}
+    with pytest.raises(ValueError, match="recordings"):
+        from dataclasses import replace
+
+        search.search(queries, replace(timed, recordings=None), requests=requests)
+
+
+def test_refused_requests(spark, timed):
+    fine = (0, "a", "sound_event", "rain")
+    for conditions, predicates in (
+        ([(0, "a", "smell", "x")], ()),
+        ([(0, "a", "speaker", "x")], ()),
+        ([fine, fine], ()),
+        ([fine, (0, " ", "sound_event", "x")], ()),
+        ([(0, str(i), "sound_event", "x") for i in range(9)], ()),
+        ([(0, "a", "sound_event", " ")], ()),
+        ([fine], [(0, "p", "a", "before", "a", 0)]),
+        ([fine], [(0, "p", "a", "near", "a", 1)]),
+        ([fine], [(0, "p", "a", "during", "z", 1)]),
+        ([fine], [(1, "p", "a", "during", "a", 1)]),
+    ):
+        with pytest.raises(ValueError):
+            temporal.check_requests(asked(spark, conditions, predicates))
+    rows = spark.createDataFrame([(0, "a", "visual", "x", None, [1.0])], CONDITION)
+    with pytest.raises(ValueError, match="vector"):
+        temporal.check_requests(temporal.Requests(conditions=rows))
+
+
+def test_likeness(spark, timed):
+    queries = spark.createDataFrame([(0, "umbrella", "similar"), (1, "umbrella", "similar"), (2, "umbrella", "semantic")], "query_id long, text string, mode string")
+    vectors = spark.createDataFrame([(0, [1.0, 0.0]), (2, [1.0, 0.0])], "query_id long, vector array<double>")
+    rows = search.search(queries, timed, vectors=vectors).orderBy("query_id", "place").collect()
+    assert [(r["id"], round(r["score"], 3)) for r in rows if r["query_id"] == 0] == [(1, 1.0), (5, 0.8), (6, 0.707)]  # by vectors of its width, all of them
+    assert {r["id"] for r in rows if r["query_id"] == 1} == {5, 6}  # no vector: by hashed features
+    assert 1 in {r["id"] for r in rows if r["query_id"] == 2}  # the embedding channel takes part, down to 0.8 of its best
+    assert {r["id"] for r in search.embedding_channel(vectors.where("query_id = 2"), timed.text_vectors, 10).collect()} == {1, 5}
+    for bad in ([], [0.0, 0.0], [float("nan"), 1.0], None):
+        with pytest.raises(ValueError, match="invalid query vector"):
+            search.check_vectors(spark.createDataFrame([(0, bad)], "query_id long, vector array<double>"))
+    near = search.similar_to(spark.createDataFrame([(1,)], "id long"), timed).collect()
+    assert {r["id"] for r in near} == {5, 6}
+    only = timed.shots.where("id IN (6, 9)").select("id")
+    assert [r["id"] for r in search.search(queries.where("query_id = 0"), timed, vectors=vectors, allowed=only).collect()] == [6]
+
+
+def test_filters_keep_the_whole_universe(spark, timed):
+    only = timed.shots.where("id IN (3, 8, 9)").select("id")
+    frame = spark.createDataFrame([(0, "zebra crossing", "semantic")], "query_id long, text string, mode string")
+    assert search.search(frame, timed).count() == 0
+    assert {r["id"] for r in search.search(frame, timed, allowed=only).collect()} == {3, 8, 9}
+
+
 def test_request_rules():
     condition = {"id": "a", "modality": "visual", "query": "x"}
     fine = {"modalities": ["visual"], "temporal": {"conditions": [condition, condition | {"id": "b"}], "predicates": [{"id": "p", "left": "a", "relation": "before", "right": "b", "max_gap_ms": 5}]}}
