@@ -63,13 +63,14 @@ def stale_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stale_embeddings(docs, stored, "doc_id", "m1").select("doc_id", "text_hash")
 
 
-@register(f"SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK.format('text')}) AS token FROM documents WHERE doc_id % 4 <> 3) GROUP BY ALL")
+@register(f"SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK.format('text')}) AS token FROM documents WHERE doc_id % 4 <> 3 OR doc_id % 3 <> 0) GROUP BY ALL")
 def index_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An index over three quarters of the documents, half of them with a wrong text at first, after these are refreshed."""
-    docs = table(spark, sf_dir, "documents").where("doc_id % 4 <> 3").select("doc_id", "text")
+    """An index of all documents, half of them with a wrong text and some too many at first, after these are refreshed and removed."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     fields = {"body": ascii_tokens("text")}
     first = lexical.write_index(docs.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.lit("wrong words")).otherwise(F.col("text"))), "doc_id", fields, scratch_path(spark))
-    fresh = lexical.refresh_index(first, docs.where("doc_id % 2 = 0"), fields, scratch_path(spark))
+    gone = docs.where("doc_id % 4 = 3 AND doc_id % 3 = 0").select("doc_id")
+    fresh = lexical.refresh_index(first, docs.where("doc_id % 2 = 0"), fields, removed=gone)
     return fresh.postings.select("doc_id", "token", "tf")
 
 

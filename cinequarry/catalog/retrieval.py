@@ -80,6 +80,16 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.top(scores.withColumn("score", F.round(lexical.unit_score(F.col("score")), 6)), "doc_id", 20)
 
 
+@register(f"""WITH {_bm25_sql([('text', 1.0)])}
+    SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, round(score / (score + 2.2), 6) AS score FROM lex WHERE query_id > 1)) WHERE rank <= 20""")
+def bm25_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a written index of which only the blocks are read that can hold one of the first."""
+    index = lexical.write_index(table(spark, sf_dir, "documents"), "doc_id", {"body": ascii_tokens("text")}, scratch_path(spark))
+    asked = _terms(spark).where("query_id > 1").withColumnRenamed("term", "token")
+    found, _ = lexical.top_index(index, asked, 60)  # more than are shown, as rounding makes ties
+    return lexical.top(found.drop("rank").withColumn("score", F.round(lexical.unit_score(F.col("score")), 6)), "doc_id", 20)
+
+
 @register(f"""WITH {_bm25_sql([(_TITLE, 2.5), (_BODY, 0.8)])} SELECT query_id, doc_id, round(score, 6) AS score FROM lex""")
 def bm25_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

@@ -1,44 +1,32 @@
 """Lexical index and ranking: postings with positions, phrases, field-weighted BM25.
 
-An index is two tables: postings (token, key, field, tf, positions), sorted by
-token so that a read of few tokens skips the rest, and lengths (key, length).
-It is built from the rows once; all queries of a table of queries read it
-together.
+An index (operators/segments.py) is built from the rows once and kept up in
+segments; all queries of a table of queries read it together.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinequarry.functions.text import CJK, chunks
+from cinequarry.operators.segments import Index, Reading, open_index, refresh_index, row_postings, saturation, top_terms, write_index
 from cinequarry.plans.broadcasts import checked
 from cinequarry.plans.scratch import settle
 
-K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+__all__ = ["Index", "Reading", "asset_fields", "bm25", "name_hints", "open_index", "phrases", "postings", "refresh_index", "search_index", "top", "top_index", "unit_score", "write_index"]
+
+LEAST_IDF = 1e-6
 HALF = 2.2  # score at which the normalised score is a half
 #: Distinct query terms up to which they are a list in the plan; beyond, tokens meet them in a join.
 LISTED_TERMS = 2_000
 
 
-@dataclass
-class Index:
-    postings: DataFrame  # token, key, field, tf, positions
-    lengths: DataFrame  # key, length
-    key: str
-
-
-def _listed(rows: DataFrame, key: str, fields: Mapping[str, Column]) -> DataFrame:
-    each = F.explode(F.array(*[F.struct(F.lit(name).alias("field"), tokens.alias("tokens")) for name, tokens in fields.items()]))
-    return rows.select(key, each.alias("f")).select(key, "f.field", F.posexplode("f.tokens").alias("position", "token"))
-
-
 def postings(rows: DataFrame, key: str, fields: Mapping[str, Column]) -> DataFrame:
-    """key, field, token, tf, positions: a row per token that a field holds."""
-    return _listed(rows, key, fields).groupBy(key, "field", "token").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
+    """key, field, token, tf, positions: a row per token that a field holds; keys are unique."""
+    return row_postings(rows, key, fields).select(key, "field", "token", "tf", "positions")
 
 
 #: Columns of an asset's index; its location is never filled.
@@ -51,30 +39,6 @@ def asset_fields(present: Mapping[str, Column]) -> dict[str, Column]:
     return {name: F.flatten(chunks(present[name])) if name in present and name != "location" else none for name in ASSET_FIELDS}
 
 
-def write_index(rows: DataFrame, key: str, fields: Mapping[str, Column], path: str) -> Index:
-    """Build the index of ``rows`` from canonical columns and replace what is at ``path``."""
-    postings(rows, key, fields).repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/postings")
-    sizes = sum((F.size(t) for t in fields.values()), F.lit(0))
-    rows.select(key, sizes.alias("length")).write.mode("overwrite").parquet(f"{path}/lengths")
-    return open_index(rows.sparkSession, path, key)
-
-
-def open_index(spark: SparkSession, path: str, key: str) -> Index:
-    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"), key)
-
-
-def refresh_index(index: Index, rows: DataFrame, fields: Mapping[str, Column], path: str) -> Index:
-    """The index at ``path`` after ``rows`` replaced those of their keys; other keys are read from ``index``."""
-    key = index.key
-    fresh = postings(rows, key, fields)
-    sizes = rows.select(key, sum((F.size(t) for t in fields.values()), F.lit(0)).alias("length"))
-    old = rows.select(key).distinct()
-    own = lambda d: d.join(old, key, "left_anti")
-    own(index.postings).unionByName(fresh).repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/postings")
-    own(index.lengths).unionByName(sizes).write.mode("overwrite").parquet(f"{path}/lengths")
-    return open_index(rows.sparkSession, path, key)
-
-
 def phrases(queries: DataFrame) -> DataFrame:
     """query_id, phrase, place, token of queries (query_id, text): each run of a text is a phrase.
 
@@ -97,7 +61,7 @@ def _idf(n: Column, df: Column) -> Column:
 
 
 def _part(idf: Column, f: Column, length: Column, mean: Column) -> Column:
-    return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * length / mean))
+    return idf * saturation(f, length, mean)
 
 
 def search_index(index: Index, asked: DataFrame, weights: Mapping[str, float] | None = None) -> DataFrame:
@@ -110,20 +74,25 @@ def search_index(index: Index, asked: DataFrame, weights: Mapping[str, float] |
     sizes = asked.groupBy("query_id", "phrase").agg(F.count("*").alias("tokens"))
     wanted = asked.join(sizes, ["query_id", "phrase"])
     found = index.postings.join(checked(wanted), "token")
-    single = found.where("tokens = 1").select("query_id", "phrase", key, "field", F.col("tf").alias("hits"))
-    starts = found.where("tokens > 1").select("query_id", "phrase", "tokens", key, "field", "place", F.explode("positions").alias("position"))
-    whole = starts.groupBy("query_id", "phrase", "tokens", key, "field", (F.col("position") - F.col("place")).alias("start")).agg(F.count("*").alias("n")).where("n = tokens")
-    several = whole.groupBy("query_id", "phrase", key, "field").agg(F.count("*").alias("hits"))
-    hits = settle(single.unionByName(several).groupBy("query_id", "phrase", key).agg(F.sum(_weight_of(weights) * F.col("hits")).alias("f")))
+    single = found.where("tokens = 1").select("query_id", "phrase", key, "field", F.col("tf").alias("hits"), "length")
+    starts = found.where("tokens > 1").select("query_id", "phrase", "tokens", key, "field", "length", "place", F.explode("positions").alias("position"))
+    whole = starts.groupBy("query_id", "phrase", "tokens", key, "field", "length", (F.col("position") - F.col("place")).alias("start")).agg(F.count("*").alias("n")).where("n = tokens")
+    several = whole.groupBy("query_id", "phrase", key, "field", "length").agg(F.count("*").alias("hits")).select("query_id", "phrase", key, "field", "hits", "length")
+    hits = settle(single.unionByName(several).groupBy("query_id", "phrase", key).agg(F.sum(_weight_of(weights) * F.col("hits")).alias("f"), F.max("length").alias("length")))
     df = hits.groupBy("query_id", "phrase").agg(F.count("*").alias("df"))
     needed = sizes.groupBy("query_id").agg(F.count("*").alias("needed"))
-    totals = index.lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
-    n, mean = F.lit(int(totals["n"])), F.lit(float(totals["mean"] or 0.0) or 1.0)
-    scored = hits.join(checked(df), ["query_id", "phrase"]).join(index.lengths, key)
+    n, mean = F.lit(index.n), F.lit(float(index.mean) or 1.0)
+    scored = hits.join(checked(df), ["query_id", "phrase"])
     parts = scored.groupBy("query_id", key).agg(F.sum(_part(_idf(n, F.col("df")), F.col("f"), F.col("length"), mean)).alias("score"), F.count("*").alias("matched"))
     return parts.join(checked(needed), "query_id").where("matched = needed").select("query_id", key, "score")
 
 
+def top_index(index: Index, asked: DataFrame, k: int, weights: Mapping[str, float] | None = None) -> tuple[DataFrame, Reading]:
+    """(query_id, key, score, rank of the k best rows that hold all tokens of a query (query_id, token); what was read): see top_terms()."""
+    found, reading = top_terms(index, asked, k, _part, _idf, lambda: _weight_of(weights))
+    return top(found, index.key, k), reading
+
+
 def bm25(rows: DataFrame, key: str, fields: Mapping[str, Column], terms: DataFrame, weights: Mapping[str, float] | None = None) -> DataFrame:
     """query_id, key, score of every row that holds all terms of a query (query_id, term), without an index.
 

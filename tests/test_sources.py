@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cinequarry.functions.text import ascii_tokens
-from cinequarry.operators import lexical, quality
+from cinequarry.operators import lexical, quality, segments
 from cinequarry.plans import scratch
 from cinequarry.sources import ingest
 
@@ -37,14 +39,72 @@ def test_index_refresh_and_phrases(spark, tmp_path):
     assert found(index, "red ring", "夜街", "雨街", "bell rain", "") == [(0, 1), (0, 2), (1, 3)]
     two = spark.createDataFrame([(0, 0, 0, "red"), (0, 0, 1, "ring")], "query_id long, phrase int, place int, token string")
     assert [r["id"] for r in lexical.search_index(index, two).collect()] == [1]
-    later = lexical.refresh_index(index, docs.where("id = 2").withColumn("t", F.lit("red ring")), fields, str(tmp_path / "two"))
+    later = lexical.refresh_index(index, docs.where("id = 2").withColumn("t", F.lit("red ring")), fields)
     assert sorted(r["id"] for r in lexical.search_index(later, two).collect()) == [1, 2]
-    assert lexical.open_index(spark, str(tmp_path / "two"), "id").lengths.count() == 3
+    assert lexical.open_index(spark, str(tmp_path / "one")).lengths.count() == 3
     flat = lexical.search_index(index, ask("red ring"), {"body": 1.0}).collect()
     assert {r["id"]: r["score"] for r in flat} == {r["id"]: r["score"] for r in lexical.search_index(index, ask("red ring")).collect()}
     assert not any(r["score"] for r in lexical.search_index(index, ask("red ring"), {"body": -3.0}).collect())
 
 
+def made_docs(spark, seed, ids):
+    r = random.Random(seed)
+    words = [f"w{int(r.paretovariate(0.7))}" for _ in range(4000)]
+    return spark.createDataFrame([(i, " ".join(r.choices(words, k=r.choice([0, 1, r.randrange(200)])))) for i in ids], "id long, t string").repartition(4)
+
+
+def test_segments(spark, tmp_path):
+    """Versions, tombstones and merging: every version answers as an index of its rows would."""
+    fields = {"body": ascii_tokens("t")}
+    base = made_docs(spark, 1, range(600))
+    index = lexical.write_index(base, "id", fields, str(tmp_path / "own"))
+    changed, gone = made_docs(spark, 2, [*range(100, 106), 600]), spark.createDataFrame([(7,), (8,), (99_999,)], "id long")
+    later = lexical.refresh_index(index, changed, fields, removed=gone)
+    assert [s.n for s in later.segments] == [600, 7] and later.version == index.version + 1
+    assert later.segments[1].rows < 0.03 * later.segments[0].rows and later.segments[0] == index.segments[0]  # what was there is not written again
+    now = base.join(changed, "id", "left_anti").join(gone, "id", "left_anti").unionByName(changed)
+    asked = spark.createDataFrame([(1, 0, 0, "w1"), (2, 0, 0, "w2"), (2, 1, 0, "w1"), (3, 0, 0, "w17"), (4, 0, 0, "nothing")], "query_id long, phrase int, place int, token string")
+    told = lambda i: {(r["query_id"], r["id"]): round(r["score"], 9) for r in lexical.search_index(i, asked).collect()}
+    fresh = lexical.write_index(now, "id", fields, str(tmp_path / "fresh"))
+    assert told(later) == told(fresh) and (later.n, later.length) == (fresh.n, fresh.length) == (599, fresh.length)
+    assert sorted(tuple(r) for r in later.lengths.collect()) == sorted(tuple(r) for r in fresh.lengths.collect())
+    merged = segments.compact(later)
+    assert len(merged.segments) == 1 and told(merged) == told(fresh) and (merged.n, merged.length) == (fresh.n, fresh.length)
+    # A reader of the first version still sees it; a writer who follows an old version is refused.
+    assert told(lexical.open_index(spark, index.path, index.version)) == told(index) != told(fresh)
+    with pytest.raises(RuntimeError, match="another writer"):
+        lexical.refresh_index(index, changed, fields)
+    segments.vacuum(merged)
+    assert told(lexical.open_index(spark, index.path)) == told(fresh)
+    with pytest.raises(FileNotFoundError):
+        lexical.open_index(spark, index.path, index.version)
+    again = merged
+    for i in range(3):  # large refreshes merge by themselves
+        again = lexical.refresh_index(again, made_docs(spark, 3 + i, range(400)), fields)
+    assert len(again.segments) <= 2 and again.n == 599 + 2
+    empty = lexical.write_index(base.limit(0), "id", fields, str(tmp_path / "empty"))
+    assert empty.n == 0 and told(empty) == {}
+
+
+def test_blocks_give_the_best_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(segments, "HEAVY", 20)
+    fields = {"body": ascii_tokens("t"), "title": F.slice(ascii_tokens("t"), 1, 3)}
+    base = made_docs(spark, 1, range(3000))
+    index = lexical.write_index(base, "id", fields, str(tmp_path / "one"))
+    changed = made_docs(spark, 5, range(40))
+    for own in (index, lexical.refresh_index(index, changed, fields, removed=spark.createDataFrame([(50,)], "id long"))):
+        asked = spark.createDataFrame([(1, "w1"), (2, "w1"), (2, "w2"), (3, "w3"), (3, "w5"), (4, "w40"), (5, "nothing"), (5, "w1")], "query_id long, token string")
+        phrased = asked.withColumns({"phrase": F.dense_rank().over(Window.partitionBy("query_id").orderBy("token")), "place": F.lit(0)})
+        for weights in (None, {"title": 2.5, "body": 0.8}):
+            every = lexical.top(lexical.search_index(own, phrased, weights), "id", 10)
+            best, reading = lexical.top_index(own, asked, 10, weights)
+            want = {(r["query_id"], r["rank"]): (r["id"], round(r["score"], 9)) for r in every.collect()}
+            assert {(r["query_id"], r["rank"]): (r["id"], round(r["score"], 9)) for r in best.collect()} == want
+            assert 0 < reading.read < reading.there
+    one, reading = lexical.top_index(index, asked.where("query_id = 1"), 10)
+    assert reading.read < 0.5 * reading.there
+
+
 def test_suite_evidence(spark):
     results = spark.createDataFrame([(1, 5, 1)], "query_id long, id long, rank long")
     judged = spark.createDataFrame([(1, 5, 2), (1, 6, 1), (2, 7, 0)], "query_id long, id long, grade long")
