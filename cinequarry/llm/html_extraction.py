@@ -10,7 +10,9 @@ reads alike on all pages is a template and is cut from each page.
 Entropy alone can't see that a menu with entries of its own on every page is a
 menu, and can't judge a host of few pages, so what an element says of itself
 (its tag, role, and class and id names that mean nothing but page furniture)
-takes its importance away first. Inside an article only elements with a class
+takes its importance away first. Names that also have another meaning, and
+names that mean nothing, are judged by the tree: by the share of links in the
+text, by paragraphs, by repeated entries, by what follows. Inside an article only elements with a class
 or id of their own are judged by entropy, so that copies of a page on one host
 don't lose their text.
 
@@ -39,8 +41,20 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track".split())
 APART_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar comment comments commentlist respond disqus "
-    "cookie cookies consent gdpr notice notices newsletter subscribe subscription signup share sharing social related recommended popup modal login search pagination pager toolbar copyright".split()
+    "cookie cookies consent gdpr notice notices newsletter subscribe subscription signup share sharing social related recommended popup modal login search pagination pager toolbar copyright "
+    "crumb crumbs adsbygoogle reply replies".split()
 )
+#: Of these, the ones that mean furniture whatever else a name says: google-ad does.
+SURE_WORDS = frozenset("ad ads advert adverts advertisement advertising adsbygoogle sponsored breadcrumb breadcrumbs crumbs navbar commentlist disqus replies".split())
+#: Of these, the ones that articles are about too; they go unless they hold paragraphs of an article.
+ALSO_WORDS = frozenset("social share sharing related recommended".split())
+#: Names of readers' comments, if a list or repeated entries that nothing follows have them.
+TALK_WORDS = frozenset("responses response discussion discussions reactions feedback thread threads conversation".split())
+_HIDDEN = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+#: Elements in which an inline element is part of a sentence.
+_SENTENCES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote figcaption pre caption".split())
+#: Links that a named block in an article has at least, and the share of its text in them, to be a menu.
+MENU_LINKS, MENU_SHARE = 3, 0.9
 #: Parts of a name that leave the meaning of the words above as it is.
 PLAIN_WORDS = frozenset(
     "area articles bar block body box buttons col column container content entry form global group holder icons inner item items left link links list main module news outer overlay page panel posts primary reader right row secondary section site slot stories sub thread top bottom unit user widget widgets wrap wrapper".split()
@@ -71,12 +85,23 @@ class Element:
     main: bool
     parent: Element | None
     blocks: list = field(default_factory=list)  # text runs and child elements, in page order
+    also: bool = False  # apart by a name that has another meaning too
+    talk: bool = False  # named like readers' comments
+    said: int = 0  # letters of its own text, and of those in links; links
+    linked: int = 0
+    links: int = 0
+
+
+def _parts(name: str) -> set[str]:
+    """The words of a class or id name, without numbers and single letters."""
+    return {p.lower() for p in _PART.findall(name) if len(p) > 1}
 
 
 def furniture(name: str) -> bool:
-    """Whether a class or id name says nothing but what is not main text: ad-slot does, share-price does not."""
-    parts = {p.lower() for p in _PART.findall(name)}
-    return bool(parts & APART_WORDS) and parts <= APART_WORDS | PLAIN_WORDS
+    """Whether a class or id name means what is not main text: ad-slot, google-ad and cookie-law-notice do, share-price does not."""
+    parts = _parts(name)
+    found = parts & APART_WORDS
+    return bool(found) and (parts <= APART_WORDS | PLAIN_WORDS or len(found) > 1 or bool(found & SURE_WORDS))
 
 
 def _attributes(source: str, at: int) -> tuple[list[tuple[str, str]], int]:
@@ -98,13 +123,21 @@ def parse(source: str) -> Element:
     root = Element("", "", False, False, None)
     top, at, text = root, 0, []
     opened: Counter = Counter()
+    in_link, of_link = False, []  # whether each piece of the open text is in a link
+
+    def say(piece: str) -> None:
+        text.append(piece)
+        of_link.append(in_link)
 
     def flush() -> None:
         if text:
             run = " ".join(html_lib.unescape("".join(text)).split())
             if run:
                 top.blocks.append(run)
+                top.said += len(run)
+                top.linked += min(len(run), sum(len(t.strip()) for t, link in zip(text, of_link, strict=True) if link))
             text.clear()
+            of_link.clear()
 
     def leave(to: Element) -> None:
         """Close elements up to, not including, ``to``."""
@@ -117,9 +150,9 @@ def parse(source: str) -> Element:
     while at < end:
         begin = source.find("<", at)
         if begin < 0:
-            text.append(source[at:])
+            say(source[at:])
             break
-        text.append(source[at:begin])
+        say(source[at:begin])
         at = begin + 1
         m = _NAME.match(source, at)
         if not m:
@@ -130,7 +163,7 @@ def parse(source: str) -> Element:
                 stop = source.find(">", at)
                 at = end if stop < 0 else stop + 1
             else:
-                text.append("<")
+                say("<")
             continue
         name = m[0].lower()
         attributes, at = _attributes(source, m.end())
@@ -138,6 +171,8 @@ def parse(source: str) -> Element:
             break
         if name[0] == "/":
             name = name[1:]
+            if name == "a":
+                in_link = False
             if opened[name] < 1:
                 if name in ("p", "br"):
                     flush()
@@ -152,16 +187,26 @@ def parse(source: str) -> Element:
             if name in ("br", "hr"):
                 flush()
             continue
-        label, apart = name, name in APART
+        label, apart, named, talk = name, name in APART, [], False
         for key, value in attributes:
             if key in ("class", "id"):
                 names = value.split()
                 label += ("." if key == "class" else "#") + (names[0].lower() if names else "")
-                apart |= name not in ("html", "body", "main") and any(map(furniture, names))
+                if name not in ("html", "body", "main"):
+                    named += filter(furniture, names)
+                    talk |= any(_parts(n) & TALK_WORDS and _parts(n) <= TALK_WORDS | APART_WORDS | PLAIN_WORDS for n in names)
             elif key == "role":
                 apart |= value.strip().lower() in APART_ROLES
             elif key in ("hidden", "aria-hidden"):
                 apart |= value.strip().lower() != "false"
+            elif key == "style":
+                apart |= _HIDDEN.search(value) is not None
+        also = bool(named) and not apart and all((_parts(n) & APART_WORDS) <= ALSO_WORDS for n in named)
+        if named and not (name in INLINE and any(opened[t] for t in _SENTENCES)):  # a word of a sentence isn't furniture
+            apart = True
+        if name == "a":
+            in_link = True
+            top.links += 1
         if name in INLINE and not apart and not opened[name]:  # within one that is set apart, they are told apart
             continue
         flush()
@@ -178,14 +223,46 @@ def parse(source: str) -> Element:
                 leave(top.parent)
         elif name in _ENDS_P and top.tag == "p":
             leave(top.parent)
-        child = Element(name, label, apart, name in ("article", "main"), top)
+        child = Element(name, label, apart, name in ("article", "main"), top, also=also, talk=talk)
         top.blocks.append(child)
         opened[name] += 1
         top = child
     flush()
+    _judge(root)
     return root
 
 
+def _judge(root: Element) -> None:
+    """Set apart, or bring back, what names alone can't tell: one pass down for order and articles, one up for sums."""
+    order: list[tuple[Element, bool, bool]] = []  # element, within an article, within what may be apart there
+    stack = [(root, False, False)]
+    while stack:
+        element, inside, doubted = stack.pop()
+        order.append((element, inside, doubted))
+        inside, doubted = inside or element.main, not element.main and (doubted or element.apart or element.talk)
+        stack += [(b, inside, doubted) for b in reversed(element.blocks) if not isinstance(b, str)]
+    said, linked, links, paragraphs = ({id(e): n for (e, *_), n in zip(order, own, strict=True)} for own in ([e.said for e, *_ in order], [e.linked for e, *_ in order], [e.links for e, *_ in order], [int(e.tag == "p" and e.said > e.linked) for e, *_ in order]))
+    for element, *_ in reversed(order[1:]):
+        for sums in (said, linked, links, paragraphs):
+            sums[id(element.parent)] += sums[id(element)]
+    followed = False  # whether text of the article stands behind
+    for element, inside, doubted in reversed(order):
+        key = id(element)
+        if inside and not element.main:
+            share = linked[key] / max(1, said[key])
+            if element.also:
+                element.apart = not (paragraphs[key] and share < 0.5)
+            elif element.talk and not element.apart:
+                entries = Counter(b.label for b in element.blocks if not isinstance(b, str) and b.tag in ("li", "div", "article", "section"))
+                element.apart = element.tag in ("ol", "ul") or (not followed and max(entries.values(), default=0) > 1)
+            elif element.label != element.tag and element.tag in ("div", "section", "ul", "ol", "table") and links[key] >= MENU_LINKS and share >= MENU_SHARE and not paragraphs[key]:
+                element.apart = True
+        elif element.main:
+            followed = False  # another article begins behind
+        if inside and not element.apart and not doubted and element.said:
+            followed = True
+
+
 def _below(path: str, label: str) -> str:
     """The path of a child; a long one is told by its hash, so that paths stay short at any depth."""
     own = f"{path}/{label}"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from cinequarry.llm.html_extraction import extract_main_text, main_text, nodes, parse
@@ -123,3 +125,47 @@ def test_importance_is_that_of_a_plain_count(spark):
     assert got.keys() == expected.keys()
     for path, values in expected.items():
         assert got[path] == pytest.approx(values, abs=1e-9), path
+
+
+@pytest.mark.parametrize(
+    ("piece", "kept"),
+    [
+        ('<div class="google-ad">Buy</div>', ""),
+        ('<div class="ad_300x250">Buy</div>', ""),
+        ('<div class="cookie-law-notice">We use</div>', ""),
+        ('<ol class="replies"><li>hi</li></ol>', ""),
+        ('<div class="responses"><div class="c">hi</div><div class="c">ho</div></div>', ""),
+        ('<section class="discussion"><div>a</div><div>b</div></section>', ""),
+        ('<div class="crumbs">a &gt; b</div>', ""),
+        ('<div style="color:red; Display : none">x</div>', ""),
+        ('<ul class="toc"><li><a>one</a></li><li><a>two</a></li><li><a>three</a></li></ul>', ""),
+        ('<div class="social"><a>fb</a> <a>tw</a></div>', ""),
+        ('<p>The <span class="notice">important</span> thing</p>', "The important thing"),
+        ('<div class="social"><p>Social policy is</p></div>', "Social policy is"),
+        ('<div class="share-price">up</div>', "up"),
+        ('<div class="discussion"><p>We discuss</p><p>more</p></div><p>end</p>', "We discuss more end"),
+        ('<div class="discussion"><section class="s"><p>a</p></section><section class="s"><p>b</p></section></div><p>end</p>', "a b end"),
+        ('<ul><li><a>one</a></li><li><a>two</a></li><li><a>three</a></li></ul>', "one two three"),
+        ('<p>Visit <a href="x">the site</a> now</p>', "Visit the site now"),
+    ],
+)
+def test_names_and_what_stands_below_them(piece, kept):
+    page = f"<body><article><p>Start.</p>{piece}</article></body>"
+    assert main_text(parse(page)) == f"Start. {kept}".strip()
+
+
+def test_a_small_site_in_plain_words(spark):
+    """Pages of two hosts built from known articles: the texts, and nothing else."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 6)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    rows, want = [], {}
+    for i in range(40):
+        blocks = [line(r.randint(3, 12)) for _ in range(r.randint(1, 6))]
+        around = [f'<div class="{c}">{line(4)}</div>' for c in r.sample(["ad-12", "dfp-ad-slot", "newsletter_box", "cookie-bar", "related-posts"], 2)]
+        body = around[0].join(f"<p>{b}</p>" for b in blocks)
+        html = f"<html><body><nav>{line(5)}</nav><header>{line(3)}</header><article>{body}{around[1]}<ol class='replies'><li>{line(3)}</li></ol></article><footer>{line(2)}</footer></body></html>"
+        rows.append((i, f"http://host{i % 2}.net/{i}", html))
+        want[i] = " ".join(blocks)
+    got = {x["page_id"]: x["text"] for x in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
