@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinequarry.functions.text import ascii_tokens
-from cinequarry.operators import fusion, lexical
+from cinequarry.operators import scans, fusion, lexical
 from cinequarry.operators.library import primary_session, scan_changes
 from cinequarry.operators.modalities import within
 from cinequarry.operators.timeline import assemble, merge_window_analyses, on_recording
-from cinequarry.plans.scratch import scratch_path
+from cinequarry.plans.scratch import scratch_path, settle
 from cinequarry.sources.ingest import asset_key, segments, stale_embeddings
 
 from .common import registry, table
@@ -54,6 +54,35 @@ def json_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments(lists, "conv_id", "js", turns.where("role = 'system'")).withColumn("ordinal", F.col("ordinal").cast("long"))
 
 
+_SCANS = """f AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 'b' ELSE 'a' END AS root FROM orders),
+    s AS (SELECT 1 AS v, root, 'p' || k AS path, '/' || root || '/p' || k AS absolute, 'f' || (k % 997) AS fp, 1 + k % 2 AS size, 1 AS m FROM f WHERE root = 'a' AND k % 5 <> 0
+          UNION ALL SELECT 2, root, CASE WHEN k % 11 = 0 THEN 'q' ELSE 'p' END || k, '/' || root || '/p' || k, CASE WHEN k % 17 = 0 THEN 'g' || k ELSE 'f' || (k % 997) END, 1 + k % 2, 1 + (k % 13 = 0)::INT FROM f WHERE root = 'a' AND k % 7 <> 0 OR root = 'b' AND k % 5 <> 1
+          UNION ALL SELECT 3, root, 'p' || k, CASE WHEN k % 19 = 0 THEN '/new/p' ELSE '/a/p' END || k, 'f' || (k % 997), 1 + k % 2, 1 FROM f WHERE root = 'a' AND k % 4 <> 1)"""
+
+
+@register(f"""WITH {_SCANS}, grid AS (SELECT DISTINCT s.root, path, x.v FROM s JOIN (VALUES (1, 'a'), (2, 'a'), (2, 'b'), (3, 'a')) x(v, root) ON x.root = s.root),
+    st AS (SELECT g.root, g.path, g.v, s.absolute IS NOT NULL AS present, last_value(s.absolute IGNORE NULLS) OVER w AS absolute, last_value(fp || ':' || size IGNORE NULLS) OVER w AS asset, last_value(m IGNORE NULLS) OVER w AS m FROM grid g LEFT JOIN s ON s.root = g.root AND s.path = g.path AND s.v = g.v WINDOW w AS (PARTITION BY g.root, g.path ORDER BY g.v)),
+    d AS (SELECT *, lag((present, absolute, asset, m)) OVER (PARTITION BY root, path ORDER BY v) AS before FROM st WHERE absolute IS NOT NULL)
+    SELECT root, path, absolute, asset, m::BIGINT AS modified_ns, present, v::BIGINT AS since, (lead(v) OVER (PARTITION BY root, path ORDER BY v))::BIGINT AS until FROM d WHERE before IS NULL OR before <> (present, absolute, asset, m)""")
+def scan_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders as files of two roots over three scans, of which the second alone sees both: every state of each location and when it held."""
+    k = F.col("o_orderkey")
+    files = table(spark, sf_dir, "orders").select(k, F.when(k % 3 == 0, "b").otherwise("a").alias("root"))
+    named = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    own, size = named("f", k % 997), (1 + k % 2).cast("long")
+    row = lambda rows, path, absolute, fingerprint, modified: rows.select("root", path.alias("path"), absolute.alias("absolute"), fingerprint.alias("fingerprint"), size.alias("size"), modified.cast("long").alias("modified_ns"))
+    plain = named("/", F.col("root"), "/p", k)
+    seen = [
+        row(files.where("root = 'a' AND o_orderkey % 5 <> 0"), named("p", k), plain, own, F.lit(1)),
+        row(files.where("root = 'a' AND o_orderkey % 7 <> 0 OR root = 'b' AND o_orderkey % 5 <> 1"), named(F.when(k % 11 == 0, "q").otherwise("p"), k), plain, F.when(k % 17 == 0, named("g", k)).otherwise(own), 1 + (k % 13 == 0).cast("int")),
+        row(files.where("root = 'a' AND o_orderkey % 4 <> 1"), named("p", k), named(F.when(k % 19 == 0, "/new/p").otherwise("/a/p"), k), own, F.lit(1)),
+    ]
+    state = scans.empty_state(spark)
+    for version, (scan, roots) in enumerate(zip(seen, ("a", "ab", "a"), strict=True), 1):
+        state = settle(scans.apply_scan(state, scan, spark.createDataFrame([(r,) for r in roots], "root string"), version)[0])
+    return state.drop("fingerprint", "size")
+
+
 @register("SELECT doc_id, substr(sha256(coalesce(text, '')), 1, 32) AS text_hash FROM documents WHERE NOT (doc_id % 3 = 0) OR doc_id % 6 = 0")
 def stale_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every third document's vector is stored, every sixth one's under another text."""

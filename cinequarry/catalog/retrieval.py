@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinequarry.functions.text import ascii_tokens, concepts, tag_key, with_features
+from cinequarry.functions.pruning import pruned_nearest
 from cinequarry.functions.vectors import nearest
 from cinequarry.functions.vocabulary import VOCABULARY, compile_queries, named
 from cinequarry.operators import fusion, lexical
@@ -110,6 +111,12 @@ def embedding_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(*_vectors(spark, sf_dir), k=20)
 
 
+@register(f"WITH {_VEC} SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM cos WHERE score > 0) WHERE rank <= 20")
+def embedding_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, without comparing a query with the blocks that can't hold one of its neighbours."""
+    return pruned_nearest(*_vectors(spark, sf_dir), k=20)[0]
+
+
 @register(f"WITH {_VEC}, top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, max(score) OVER (PARTITION BY query_id) AS best FROM cos WHERE score > 0) SELECT query_id, id, score FROM top WHERE rank <= 50 AND score >= 0.8 * best")
 def embedding_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = nearest(*_vectors(spark, sf_dir), k=50)

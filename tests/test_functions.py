@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cinequarry.functions import intervals, text, timecode, vectors
+from cinequarry.functions.pruning import pruned_nearest
 from cinequarry.functions.vocabulary import compile_queries, named, speech_phrase
 from cinequarry.operators import fusion, lexical, library, quality, selection, timeline
 from cinequarry.operators.evidence import evidence, gate, observations
@@ -58,6 +59,24 @@ def test_nearest_is_exact(spark, sent):
             assert got[q, k] == (i, pytest.approx(-s, abs=2e-6))
 
 
+def test_pruned_neighbours(spark):
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(12, 16))
+    points = centres[r.integers(0, 12, 900)] + r.normal(scale=0.15, size=(900, 16))
+    points[100:400] = points[100]  # a third are copies
+    rows = [(i, [float(x) for x in p]) for i, p in enumerate(points)] + [(1000, [0.0] * 16), (1001, None), (1002, [1.0] * 3), (1003, [])]
+    vecs = spark.createDataFrame(rows, "id long, vector array<double>").repartition(4)
+    asked = vecs.where("id % 37 = 0 OR id > 999").where("vector IS NULL OR size(vector) IN (0, 16)")
+    for options in ({}, {"exclude_self": False}, {"rows": 50, "pivots": 5, "rings": 3}):
+        found, compared = pruned_nearest(vecs, asked, k=7, **options)
+        want = vectors.nearest(vecs, asked, k=7, exclude_self=options.get("exclude_self", True))
+        assert sorted(tuple(x) for x in found.collect()) == sorted(tuple(x) for x in want.collect())
+        assert 0 < compared.compared < (0.5 if not options else 1.0) * compared.there
+    assert pruned_nearest(vecs.limit(0), asked, k=3)[0].count() == 0 == pruned_nearest(vecs, asked.limit(0), k=3)[0].count()
+    with pytest.raises(ValueError, match="widths"):
+        pruned_nearest(vecs, vecs, k=3)
+
+
 @pytest.mark.parametrize("relation", intervals.RELATIONS)
 def test_relations(spark, relation):
     r = random.Random(4)
