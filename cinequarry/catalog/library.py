@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cinequarry.functions.text import ascii_tokens, clean_list, closed_value, shortened
+from cinequarry.operators import reports
 from cinequarry.operators.library import facets, first_of, mark_missing, merge_fields, rare, status, tag_clusters, upsert, zero_filled
 
 from .common import registry, table
@@ -98,16 +99,14 @@ def aligned_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("SELECT user_id, max((event_type = 'click')::INT) = 1 AS has_click, max((event_type = 'purchase')::INT) = 1 AS has_purchase, max((event_type = 'view')::INT) = 1 AS has_view FROM events GROUP BY user_id")
 def artifact_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(*[F.bool_or(F.col("event_type") == t).alias(f"has_{t}") for t in ("click", "purchase", "view")])
+    return reports.artifact_presence(table(spark, sf_dir, "events"), "user_id", "event_type", ("click", "purchase", "view"))
 
 
 @register("SELECT c_custkey, c_name, n_name, r_name, o.o_orderkey AS last_order, coalesce(t.n, 0) AS orders, round(coalesce(t.total, 0), 2) AS total FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey LEFT JOIN (SELECT * FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1) o ON o.o_custkey = c_custkey LEFT JOIN (SELECT o_custkey, count(*) AS n, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey) t ON t.o_custkey = c_custkey")
 def asset_card(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One scan and one shuffle of the orders give both the latest and the totals."""
-    orders = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("last_order"), _n("n"), F.sum("o_totalprice").alias("total"))
-    place = F.broadcast(table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"), "left"))
-    cards = table(spark, sf_dir, "customer").join(place, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left")
-    return cards.select("c_custkey", "c_name", "n_name", "r_name", "last_order", F.coalesce("n", F.lit(0)).alias("orders"), F.round(F.coalesce("total", F.lit(0.0)), 2).alias("total"))
+    places = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    cards = reports.asset_cards(table(spark, sf_dir, "customer"), "c_custkey", table(spark, sf_dir, "orders"), "o_custkey", latest=("o_orderkey", ("o_orderdate", "o_orderkey")), totals={"total": F.sum("o_totalprice")}, places=places, on=F.col("c_nationkey") == F.col("n_nationkey"))
+    return cards.select("c_custkey", "c_name", "n_name", "r_name", F.col("latest").alias("last_order"), F.col("items").alias("orders"), F.round("total", 2).alias("total"))
 
 
 @register("SELECT l_orderkey, l_linenumber, lag(l_partkey) OVER w AS previous, lead(l_partkey) OVER w AS next FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)")
@@ -146,16 +145,15 @@ def tag_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("SELECT tag, coalesce(assets, 0) AS assets, coalesce(aliases, 0) AS aliases FROM (SELECT DISTINCT p_type AS tag FROM part) LEFT JOIN (SELECT p_type AS tag, count(DISTINCT l_orderkey) AS assets FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY 1) USING (tag) LEFT JOIN (SELECT p_type AS tag, count(DISTINCT p_brand) AS aliases FROM part GROUP BY 1) USING (tag)")
 def tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each side is aggregated on its own, so aliases don't multiply assets."""
-    parts = table(spark, sf_dir, "part")
-    aliases = parts.groupBy(F.col("p_type").alias("tag")).agg(F.count_distinct("p_brand").alias("aliases"))
-    assets = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").join(parts.select("p_partkey", F.col("p_type").alias("tag")), F.col("l_partkey") == F.col("p_partkey")).groupBy("tag").agg(F.count_distinct("l_orderkey").alias("assets"))
-    return aliases.join(assets, "tag", "left").select("tag", F.coalesce("assets", F.lit(0)).alias("assets"), "aliases")
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("tag"), F.col("p_brand").alias("alias"))
+    links = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("asset"), "l_partkey").join(parts.select("p_partkey", "tag"), F.col("l_partkey") == F.col("p_partkey"))
+    return reports.canonical_tags(parts, links)
 
 
 @register("SELECT p_brand AS tag, count(*) AS n, count(DISTINCT p_size) AS sizes, array_to_string(list_sort(list_distinct(list(p_type))), ',') AS forms FROM part GROUP BY p_brand")
 def unresolved_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("tag")).agg(_n("n"), F.count_distinct("p_size").alias("sizes"), F.array_join(F.array_sort(F.collect_set("p_type")), ",").alias("forms"))
+    links = table(spark, sf_dir, "part").select(F.col("p_brand").alias("tag"), F.col("p_size").alias("asset"), F.col("p_type").alias("form"))
+    return reports.unresolved_tags(links).select("tag", "n", F.col("assets").alias("sizes"), F.array_join("forms", ",").alias("forms"))
 
 
 @register("WITH t AS (SELECT p_partkey AS id, unnest(list_distinct(string_split(lower(p_name || ' ' || p_type), ' '))) AS term FROM part), df AS (SELECT term, count(*) AS df FROM t GROUP BY term) SELECT id, round(1 - avg(df / (SELECT count(*) FROM part)), 6) AS score FROM t JOIN df USING (term) GROUP BY id")
@@ -166,24 +164,24 @@ def rarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, round(sum(o_totalprice), 2) AS cost FROM orders GROUP BY 1")
 def cost_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).agg(F.round(F.sum("o_totalprice"), 2).alias("cost"))
+    return reports.costs(table(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice").select("day", F.round("cost", 2).alias("cost"))
 
 
 @register("SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderpriority AS capability, round(sum(o_totalprice), 2) AS cost, count(*) AS n FROM orders GROUP BY 1, 2")
 def cost_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.col("o_orderpriority").alias("capability")).agg(F.round(F.sum("o_totalprice"), 2).alias("cost"), _n("n"))
+    ledger = table(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "capability")
+    return reports.costs(ledger, "o_orderdate", "o_totalprice", by=["capability"], month=True).withColumn("cost", F.round("cost", 2))
 
 
 @register("SELECT count(*) AS assets, count(DISTINCT source) AS sources, count(*) FILTER (WHERE length(text) = 0 OR text IS NULL) AS empty, sum(n_chars)::BIGINT AS chars FROM documents")
 def index_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return docs.agg(_n("assets"), F.count_distinct("source").alias("sources"), F.count_if(F.col("text").isNull() | (F.col("text") == "")).alias("empty"), F.sum("n_chars").alias("chars"))
+    return reports.index_health(table(spark, sf_dir, "documents"), "text", "source", "n_chars")
 
 
 @register("SELECT c_custkey, count(o_orderkey) AS shots, coalesce(round(sum(o_totalprice), 2), 0) AS span FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
 def collection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sums = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(_n("n"), F.sum("o_totalprice").alias("s"))
-    return table(spark, sf_dir, "customer").join(sums, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("shots"), F.coalesce(F.round("s", 2), F.lit(0.0)).alias("span"))
+    own = reports.collection_summary(table(spark, sf_dir, "customer"), "c_custkey", table(spark, sf_dir, "orders"), "o_custkey", F.col("o_totalprice"))
+    return own.withColumn("span", F.round("span", 2))
 
 
 @register("SELECT p_brand AS tag, n FROM (SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand) ORDER BY n DESC, p_brand LIMIT 20")
