@@ -182,7 +182,7 @@ def license_scan(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     refused.
 
     Null, empty and short texts hold nothing; very long ones are scanned whole. Repeated rows and ids give rows
-    each. An empty table gives no rows.
+    each. An empty table gives no rows; further columns are not read, whatever their names.
     """
     short = [s for texts in templates.values() for s in texts if len(words_of(s.encode())) < k]
     if short:

@@ -187,7 +187,12 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, *, text: str = "te
 
 
 def score(docs: DataFrame, lexicon: Lexicon, *, text: str = "text", column: str = "score") -> DataFrame:
-    """``docs`` with a score column (0 to 1) added or replaced; null and empty texts get the score of no match."""
+    """``docs`` with a score column (0 to 1) added or replaced.
+
+    Null and empty texts get the score of no match; very long ones are scored
+    whole. Repeated rows and null ids keep their rows, further columns stay as
+    they are, and an empty table gives no rows.
+    """
     source = docs.drop(column)
     names = source.columns
 
