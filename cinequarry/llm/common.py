@@ -8,6 +8,7 @@ word.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,6 +24,9 @@ from cinequarry.plans.scratch import settle
 #: Text bytes a task tokenises at once; bounds the Python objects of a batch.
 SLICE_BYTES = 4 << 20
 
+#: Bytes of an Arrow batch between Spark and a Python worker where small_batches() has set it; Spark's own limit is 64 MB.
+BATCH_BYTES = 8 << 20
+
 #: ASCII upper case folded, every other byte kept.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -64,6 +68,19 @@ def keep_rows(docs: DataFrame, marked: DataFrame, doc_id: str, code: Column) ->
     return left.drop("__id", "__code")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to the Python workers in smaller Arrow batches: tasks cut them into slices anyway.
+
+    A batch is held by the executor, which doubles a buffer until it fits, and
+    by the worker, for each core; the same rows pass. A smaller limit of the
+    session stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(\d+)\s*([bkmg]?)[a-z]*", spark.conf.get(name).strip().lower()).groups()
+    if int(number) << {"k": 10, "m": 20, "g": 30}.get(unit, 0) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

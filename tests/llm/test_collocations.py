@@ -76,3 +76,18 @@ def test_tiles(tile, dense):
     a[:3], b[:3] = (1 << 30), (1 << 29)
     keys, counts = count_tiles((a << 32) | b, tile, dense)
     assert dict(zip(keys.tolist(), counts.tolist(), strict=True)) == Counter(((a << 32) | b).tolist()) and len(set(keys.tolist())) == len(keys)
+
+
+def test_small_batches(spark):
+    from cinequarry.llm.common import BATCH_BYTES, small_batches
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for own, want in (("64m", BATCH_BYTES), ("1g", BATCH_BYTES), ("67108864b", BATCH_BYTES), ("100000", 100_000), ("1m", 1 << 20)):
+            spark.conf.set(name, own)
+            small_batches(spark)
+            now = spark.conf.get(name)
+            assert int("".join(c for c in now if c.isdigit())) << (20 if now.endswith("m") else 0) == want
+    finally:
+        spark.conf.set(name, before)
