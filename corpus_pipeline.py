@@ -1,15 +1,22 @@
 """The corpus pipeline: toxicity, exact dedup, near dedup, decontamination, packing.
 
 Every stage works on what its predecessor kept, written as Parquet and read
-again; all but the last return the columns of documents.
+again; all but the last return the columns of documents. Null ids and texts,
+empty, very long and repeated rows are those of the operators that the stages
+call; an empty table passes through all stages, and further columns stay as
+they are up to the last one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinequarry.llm import toxicity as toxic
+from cinequarry.llm.common import small_batches
 from cinequarry.llm.decontamination import decontaminate
 from cinequarry.llm.exact_dedup import drop_copies
 from cinequarry.llm.jaccard_join import keep_one
@@ -19,31 +26,49 @@ from cinequarry.plans.scratch import discard, settle, written
 
 #: Documents that score this or more are rejected.
 REJECTED = 0.7
+#: Words whose ids a packing task keeps: they stay with the workers, which serve the other stages too.
+CACHE_WORDS = 150_000
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _stage(run: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that leaves room for the others: executors serve all of them, one after the other."""
+
+    @wraps(run)
+    def with_small_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return run(spark, docs, sf_dir)
+
+    return with_small_batches
+
+
+@_stage
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     lexicon = learned_toxicity(docs, _table(spark, sf_dir, "labels"))
     return toxic.score(docs, lexicon, column="__toxicity").where(F.col("__toxicity") < REJECTED).drop("__toxicity")
 
 
+@_stage
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_copies(docs)
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_one(docs)
 
 
+@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate(docs, _table(spark, sf_dir, "benchmark"))
 
 
+@_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs, tokenizer_path())
+    return pack_documents(docs, tokenizer_path(), cache_words=CACHE_WORDS)
 
 
 STAGES = [
