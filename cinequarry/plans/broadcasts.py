@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 MOST_ROWS = 500_000
 
 
-def checked(df: DataFrame, rows: int = MOST_ROWS) -> DataFrame:
-    """``df`` (written, or cheap to count) marked for broadcast if it has so few rows; beyond, Spark shuffles."""
+def checked(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` (written, or cheap to count) marked for broadcast if it has so few rows (MOST_ROWS by default); beyond, Spark shuffles."""
+    rows = MOST_ROWS if rows is None else min(rows, MOST_ROWS)
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -187,6 +187,27 @@ def test_filters_keep_the_whole_universe(spark, timed):
     assert {r["id"] for r in search.search(frame, timed, allowed=only).collect()} == {3, 8, 9}
 
 
+def test_many_queries_are_shuffled(spark, library, monkeypatch):
+    """A table of queries beyond what may be broadcast gives what a small one does."""
+    from cinequarry.operators import lexical
+    from cinequarry.plans import broadcasts
+
+    texts = ["train", "beach without people", "umbrella", "“meet again”", "“你好”", "给我找 umbrella", "table"]
+    few = found(spark, library, texts)[0]
+    monkeypatch.setattr(broadcasts, "MOST_ROWS", 2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert found(spark, library, texts)[0] == few
+        plan = lexical.search_index(library.index, lexical.phrases(spark.createDataFrame([(i, "train") for i in range(5)], "query_id long, text string")))._jdf.queryExecution().toString()
+        assert "BroadcastHashJoin" not in plan and "BroadcastNestedLoopJoin" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.undo()
+    many = spark.range(100_000).selectExpr("id AS query_id", "CASE WHEN id % 1000 = 0 THEN 'train' ELSE concat('word', id) END AS text")
+    hits = lexical.search_index(library.index, lexical.phrases(many)).groupBy("id").count().collect()
+    assert [tuple(r) for r in hits] == [(1, 100)]
+
+
 def test_request_rules():
     condition = {"id": "a", "modality": "visual", "query": "x"}
     fine = {"modalities": ["visual"], "temporal": {"conditions": [condition, condition | {"id": "b"}], "predicates": [{"id": "p", "left": "a", "relation": "before", "right": "b", "max_gap_ms": 5}]}}
