@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinequarry.functions.vectors import _best, _head, _matrices
+from cinequarry.functions.vectors import _matrices, best_pairs
 from cinequarry.plans.broadcasts import checked
 from cinequarry.plans.scratch import settle
 
@@ -114,7 +114,7 @@ def pruned_nearest(corpus: DataFrame, queries: DataFrame, *, k: int, digits: int
     waves = settle(asked.mapInArrow(bounds, f"query_id {kinds[0]}, pivot int, ring int, bound double, early boolean"))
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return _head(_best(_matrices(a.rename(columns={"query_id": "id"})), _matrices(b), k, digits, exclude_self), k)
+        return best_pairs(a.rename(columns={"query_id": "id"}), b, k, digits, exclude_self)
 
     def scored(chosen: DataFrame) -> tuple[DataFrame, int]:
         pairs = settle(chosen.select("query_id", "pivot", "ring").join(checked(blocks.select("pivot", "ring", "block", "part", "n")), ["pivot", "ring"]))

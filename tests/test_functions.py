@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +61,37 @@ def test_nearest_is_exact(spark, sent):
             assert got[q, k] == (i, pytest.approx(-s, abs=2e-6))
 
 
+@pytest.mark.parametrize("sent", [0, 1 << 20])
+def test_nearest_of_copies(spark, sent):
+    r = np.random.default_rng(5)
+    data = r.normal(size=(700, 4))
+    data[50:650] = data[50]  # the k-th neighbour ties with hundreds, the least ids count
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "id long, vector array<double>").repartition(5)
+    found = vectors.nearest(rows, rows.where("id % 7 = 0"), k=5, sent_bytes=sent, block=30).collect()
+    unit = data / np.linalg.norm(data, axis=1)[:, None]
+    scores = np.round(unit @ unit.T, 6)
+    want = {(q, k): i for q in range(0, 700, 7) for k, (s, i) in enumerate(sorted((-s, i) for i, s in enumerate(scores[q].tolist()) if i != q and s > 0)[:5], 1)}
+    assert {(x["query_id"], x["rank"]): x["id"] for x in found} == want
+
+
+def test_best_pairs_need_little_memory():
+    r = np.random.default_rng(6)
+    data = r.normal(size=(12_000, 8))
+    data[::2] = data[0]
+    frame = pd.DataFrame({"id": np.arange(len(data)), "vector": list(data)})
+    tracemalloc.start()
+    found = vectors.best_pairs(frame.iloc[:3000], frame, 20, 6, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 60_000 and peak < 60 << 20  # all scores at once are 288 MB
+
+
+def test_ranks_in_ranges(spark):
+    rows = spark.range(3000).select((F.col("id") % 2).alias("query_id"), "id", F.lit("lexical").alias("signal"), F.when(F.col("id") < 2500, 0.5).otherwise(F.col("id") / 3000).alias("score"))
+    got = sorted(tuple(r) for r in fusion.fuse(rows, "auto", None).collect())
+    assert len(got) == 3000 and got == sorted(tuple(r) for r in fusion.rrf(rows).collect())
+
+
 def test_pruned_neighbours(spark):
     r = np.random.default_rng(3)
     centres = r.normal(size=(12, 16))
