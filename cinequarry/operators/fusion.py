@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cinequarry.plans.scratch import settle
+
 RANK_SHIFT = 60
 
 # Channels and their weights by intent; a channel that is not listed doesn't run.
@@ -32,6 +34,17 @@ def _ranked(channels: DataFrame) -> DataFrame:
     return channels.withColumn("rank", F.row_number().over(order))
 
 
+def _ranked_apart(channels: DataFrame) -> DataFrame:
+    """_ranked() of any number of rows: sorted in ranges, so that no query's channel is one task's, each row counted from its range's first."""
+    order = [F.desc("score"), F.asc("id")]
+    ranges = settle(channels.repartitionByRange("query_id", "signal", *order).withColumn("__part", F.spark_partition_id()))
+    parts = ranges.groupBy("query_id", "signal", "__part").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("query_id", "signal").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select("query_id", "signal", "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    within = F.row_number().over(Window.partitionBy("query_id", "signal", "__part").orderBy(*order))
+    return ranges.withColumn("rank", within).join(F.broadcast(starts), ["query_id", "signal", "__part"]).withColumn("rank", F.col("__start") + F.col("rank")).drop("__part", "__start")
+
+
 def _weight(weights: Mapping[str, float]) -> Column:
     pairs = [x for name, w in sorted(weights.items()) for x in (F.lit(name), F.lit(float(w)))]
     return F.coalesce(F.create_map(*pairs)[F.col("signal")], F.lit(0.0)) if pairs else F.lit(0.0)
@@ -48,15 +61,15 @@ def weighted_blend(channels: DataFrame, weights: Mapping[str, float]) -> DataFra
     return _total(channels.withColumn("part", _weight(weights) * F.col("score"))).where("score > 0")
 
 
-def rrf(channels: DataFrame, shift: int = RANK_SHIFT) -> DataFrame:
-    """query_id, id, score: sums of 1 / (shift + rank), ranks from 1 with ties by id."""
-    return _total(_ranked(channels).withColumn("part", 1 / (F.lit(shift) + F.col("rank"))))
+def rrf(channels: DataFrame, shift: int = RANK_SHIFT, apart: bool = False) -> DataFrame:
+    """query_id, id, score: sums of 1 / (shift + rank), ranks from 1 with ties by id; ``apart`` for channels of very many rows."""
+    return _total((_ranked_apart if apart else _ranked)(channels).withColumn("part", 1 / (F.lit(shift) + F.col("rank"))))
 
 
-def weighted_rrf(channels: DataFrame, weights: Mapping[str, float], shift: int = RANK_SHIFT) -> DataFrame:
+def weighted_rrf(channels: DataFrame, weights: Mapping[str, float], shift: int = RANK_SHIFT, apart: bool = False) -> DataFrame:
     """rrf() with a weight a channel; channels without a positive one are left out."""
     used = channels.where(_weight(weights) > 0)
-    return _total(_ranked(used).withColumn("part", _weight(weights) / (F.lit(shift) + F.col("rank"))))
+    return _total((_ranked_apart if apart else _ranked)(used).withColumn("part", _weight(weights) / (F.lit(shift) + F.col("rank"))))
 
 
 def legacy_rrf(channels: DataFrame, shift: int = RANK_SHIFT) -> DataFrame:
@@ -72,4 +85,5 @@ def fuse(channels: DataFrame, intent: str, size: int | None = 200) -> DataFrame:
     weights = PROFILES[intent]
     used = channels.where(F.col("signal").isin(*weights))
     used = used if size is None else pool(used, size)
-    return rrf(used) if intent in ("auto", "fact") else weighted_rrf(used, weights)
+    apart = size is None
+    return rrf(used, apart=apart) if intent in ("auto", "fact") else weighted_rrf(used, weights, apart=apart)
