@@ -12,11 +12,11 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinequarry.functions.intervals import RELATIONS, related, support_by
-from cinequarry.functions.vectors import cosine
+from cinequarry.functions.vectors import dot, norm
 from cinequarry.operators.modalities import active, distinct_matches, evidence_class, place_on_shots, sound_labels, within
 from cinequarry.plans.broadcasts import checked
 from cinequarry.plans.scratch import settle
@@ -112,16 +112,18 @@ def windows_of(asked: DataFrame, recordings: Recordings, shots: DataFrame, speak
         nonlocal out
         rows = _with_status(found).withColumn("modality", F.lit(modality))
         if "shot" not in rows.columns:
-            rows = place_on_shots(rows, shots)
+            rows = place_on_shots(settle(rows), shots)  # written, as it is read three times
         rows = rows.where("shot IS NOT NULL").select(*keys, "modality", *WINDOW)
         out = rows if out is None else out.unionByName(rows)
 
     for modality in ("visual", "audio"):
         if modality in recordings.vectors:
             rows = within(active(recordings.vectors[modality], recordings.heads, modality), allowed)
-            own = asked.where(F.col("modality") == modality).select(*keys, "space", F.col("vector").alias("__q"))
-            met = rows.join(checked(own, 20_000), "space").withColumn("score", F.round(cosine("__q", "vector"), 6))
-            add(met.where("score > 0").drop("vector", "__q", "space"), modality)
+            own = asked.where(F.col("modality") == modality).select(*keys, "space", F.col("vector").alias("__q"), norm(F.col("vector")).alias("__a"))
+            lengths = F.col("__a") * F.col("__b")  # each vector's once, not once a pair
+            met = rows.withColumn("__b", norm(F.col("vector"))).join(checked(own, 20_000), "space").where((F.size("__q") == F.size("vector")) & (lengths > 0))
+            found = met.withColumn("score", F.round(dot(F.col("__q"), F.col("vector")) / lengths, 6)).where("score > 0")
+            add(found.drop("vector", "__q", "space", "__a", "__b"), modality)
     if recordings.events is not None:
         rows = within(active(recordings.events, recordings.heads, "sound_event"), allowed)
         named = sound_labels(spark, asked.where("modality = 'sound_event'").select(F.struct(*keys).alias("query_id"), "text")).select("query_id.*", "label")
@@ -144,13 +146,14 @@ def supports(windows: DataFrame, predicates: DataFrame) -> DataFrame:
     """
     one = windows.select("query_id", "condition", "asset", "record", "start_ms", "end_ms", "status").distinct()  # on several shots, but one observation
     asked = checked(predicates.select("query_id", "predicate", "left", "relation", "right", F.coalesce("max_gap_ms", F.lit(0)).cast("long").alias("max_gap_ms")))
-    keys = ["query_id", "predicate", "asset"]
-    left = one.join(asked, (one["query_id"] == asked["query_id"]) & (one["condition"] == asked["left"])).select(one["query_id"], "predicate", "asset", "relation", "max_gap_ms", F.col("record").alias("left_record"), F.col("status").alias("left_status"), "start_ms", "end_ms")
-    right = one.join(asked, (one["query_id"] == asked["query_id"]) & (one["condition"] == asked["right"])).select(one["query_id"], "predicate", "asset", F.col("record").alias("right_record"), F.col("status").alias("right_status"), "start_ms", "end_ms")
+    keys = ["query_id", "condition", "asset"]  # the right side's: its windows serve all predicates that mean them
+    left = one.join(asked, (one["query_id"] == asked["query_id"]) & (one["condition"] == asked["left"])).select(one["query_id"], "predicate", F.col("right").alias("condition"), "asset", "relation", "max_gap_ms", F.col("record").alias("left_record"), F.col("status").alias("left_status"), "start_ms", "end_ms")
+    meant = asked.select("query_id", F.col("right").alias("condition")).distinct()
+    right = one.join(meant, ["query_id", "condition"], "left_semi").select(*keys, F.col("record").alias("right_record"), F.col("status").alias("right_status"), "start_ms", "end_ms")
     met = related(left, right, keys)
     l, r = (F.col("left_start_ms"), F.col("left_end_ms")), (F.col("right_start_ms"), F.col("right_end_ms"))
     sure = lambda c: (F.lit(True), F.col(c))
-    return met.select(*keys, "relation", "left_record", "right_record", support_by(F.col("relation"), l, r).alias("supports"), evidence_class(sure("left_status"), sure("right_status")).alias("evidence"))
+    return met.select("query_id", "predicate", "asset", "relation", "left_record", "right_record", support_by(F.col("relation"), l, r).alias("supports"), evidence_class(sure("left_status"), sure("right_status")).alias("evidence"))
 
 
 def answering(windows: DataFrame, conditions: DataFrame, held: DataFrame | None, predicates: DataFrame | None) -> DataFrame:
@@ -172,23 +175,48 @@ def evaluate(requests: Requests, recordings: Recordings, shots: DataFrame, *, al
     condition, asset and interval; ``limit`` keeps so many a condition, in
     order of shot, time and record. Only recordings with all conditions are
     tested for predicates.
+
+    What many queries ask, a condition or a predicate between two, is answered
+    once; only results are written out a query.
     """
     requests = Requests(**{k: None if v is None else settle(v) for k, v in vars(requests).items()})  # small tables that are read many times
     check_requests(requests)
-    conditions = requests.conditions
-    windows = settle(windows_of(conditions, recordings, shots, requests.speakers, allowed, keys=("query_id", "condition")))
-    have = settle(answering(windows, conditions, None, None))
-    likely = windows.join(have, ["query_id", "asset"], "left_semi")
-    held = None if requests.predicates is None else settle(supports(likely, requests.predicates))
-    assets = have if held is None else settle(answering(likely, conditions, held, requests.predicates))
-    matches = windows.join(assets, ["query_id", "asset"], "left_semi")
-    if limit is not None:
-        order = Window.partitionBy("query_id", "condition").orderBy("shot", "start_ms", "end_ms", "record")
-        matches = matches.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= limit).drop("__n")
-    shown = None if held is None else held.join(assets, ["query_id", "asset"], "left_semi")
+    conditions = settle(requests.conditions.withColumn("__c", _meaning("modality", "text", "space", "vector", F.when(F.col("modality") == "speaker", F.col("query_id")).alias("own"))))
+    named = conditions.select("query_id", "condition", "__c")
+    asked = conditions.withColumn("query_id", F.when(F.col("modality") == "speaker", F.col("query_id"))).dropDuplicates(["__c"])
+    windows = settle(windows_of(asked, recordings, shots, requests.speakers, allowed, keys=("query_id", "__c")).drop("query_id"))
+    seen = settle(windows.select("__c", "asset").distinct()).join(checked(named), "__c")
+    have = settle(answering(seen, conditions, None, None))
+    assets, shown = have, None
+    if requests.predicates is not None:
+        side = lambda name: named.select("query_id", F.col("condition").alias(name), F.col("__c").alias(f"__{name}"))
+        gap = F.coalesce("max_gap_ms", F.lit(0)).cast("long").alias("gap")
+        predicates = settle(requests.predicates.join(side("left"), ["query_id", "left"]).join(side("right"), ["query_id", "right"]).withColumn("__p", _meaning("__left", "relation", "__right", gap)))
+        each = predicates.select(F.lit(0).alias("query_id"), F.col("__p").alias("predicate"), F.col("__left").alias("left"), "relation", F.col("__right").alias("right"), "max_gap_ms").dropDuplicates(["predicate"])
+        likely = windows.join(have.select("asset").distinct(), "asset", "left_semi").withColumnRenamed("__c", "condition").withColumn("query_id", F.lit(0))
+        pairs = settle(supports(likely, each).drop("query_id").withColumnRenamed("predicate", "__p"))
+        ids = predicates.select("query_id", "predicate", "__p")
+        held = settle(pairs.select("__p", "asset").distinct()).join(checked(ids), "__p")
+        assets = settle(answering(seen, conditions, held, requests.predicates))
+        shown = pairs.join(checked(ids), "__p").join(assets, ["query_id", "asset"], "left_semi").select("query_id", "predicate", "asset", "relation", "left_record", "right_record", "supports", "evidence")
+    if limit is None:
+        return assets, _expanded(distinct_matches(windows.withColumnRenamed("__c", "condition")).withColumnRenamed("condition", "__c"), named, assets), shown
+    matches = _expanded(windows, named, assets)
+    order = Window.partitionBy("query_id", "condition").orderBy("shot", "start_ms", "end_ms", "record")
+    matches = matches.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= limit).drop("__n")
     return assets, distinct_matches(matches), shown
 
 
+def _meaning(*parts: Column | str) -> Column:
+    """The same for all rows that ask the same."""
+    return F.sha2(F.to_json(F.struct(*parts)), 256)
+
+
+def _expanded(windows: DataFrame, named: DataFrame, assets: DataFrame) -> DataFrame:
+    """Windows (__c, ...) of each query's conditions in the recordings that answer it."""
+    return windows.join(checked(named), "__c").join(assets, ["query_id", "asset"], "left_semi").select("query_id", "condition", "modality", *WINDOW)
+
+
 def channel_rows(requests: Requests, recordings: Recordings, shots: DataFrame, size: int, *, allowed: DataFrame | None = None) -> DataFrame:
     """query_id, id, signal, score: the best ``size`` shots of every timed channel that a query retrieves by."""
     windows = windows_of(requests.modalities, recordings, shots, requests.speakers, allowed)

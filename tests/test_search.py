@@ -125,6 +125,19 @@ def test_conditions_and_predicates_of_many_queries(spark, timed):
     assert {r["asset"] for r in only.where("query_id = 4").collect()} == {2}
 
 
+def test_what_many_queries_ask_is_answered_once(spark, timed, monkeypatch):
+    many = range(1, 41)
+    requests = asked(spark, [(q, c, "sound_event", t) for q in many for c, t in (("a", "rain"), ("b", "a police siren"))], [(q, "p", "a", "before", "b", 5000) for q in many])
+    sizes = []
+    windows_of, supports = temporal.windows_of, temporal.supports
+    monkeypatch.setattr(temporal, "windows_of", lambda rows, *args, **more: sizes.append(rows.count()) or windows_of(rows, *args, **more))
+    monkeypatch.setattr(temporal, "supports", lambda windows, rows: sizes.append(rows.count()) or supports(windows, rows))
+    assets, matches, held = temporal.evaluate(requests, timed.recordings, timed.shots.select(F.col("id").alias("shot"), "asset", "start_ms", "end_ms"))
+    assert sizes == [2, 1]  # two conditions and a predicate, not eighty and forty
+    assert {(r["query_id"], r["asset"]) for r in assets.collect()} == {(q, 1) for q in many}
+    assert held.count() == 40 and matches.count() == 80
+
+
 def test_search_with_requests(spark, timed):
     queries = spark.createDataFrame([(0, "train"), (1, "people"), (2, "people")], "query_id long, text string")
     requests = asked(spark, [(0, "a", "sound_event", "rain"), (0, "b", "sound_event", "siren"), (1, "a", "sound_event", "rain"), (1, "b", "sound_event", "siren")], [(0, "p", "a", "before", "b", 5000), (1, "p", "a", "after", "b", 5000)])
