@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinequarry.functions.vocabulary import described, mentioned
-from cinequarry.plans.broadcasts import checked
+from cinequarry.plans.broadcasts import checked, shuffled
 
 STRUCTURED = ("objects", "actions", "tags", "mood")
 
@@ -58,7 +58,7 @@ def evidence(candidates: DataFrame, needs: DataFrame, observed: DataFrame, spoke
         F.bool_or((F.col("source") == "description") & F.col("denied")).alias("denied"),
         F.collect_set("source").alias("fields"),
     )
-    found = pairs.join(seen, ["id", "value"], "left")
+    found = pairs.join(shuffled(seen), ["id", "value"], "left")
     if spoken is not None:
         found = found.join(spoken.select("id", "value", F.lit(True).alias("said")).distinct(), ["id", "value"], "left")
     else:

@@ -19,7 +19,7 @@ from cinequarry.operators.fusion import FIELD_WEIGHTS, PROFILES, RANK_SHIFT
 from cinequarry.operators.fusion import pool as fusion_pool
 from cinequarry.operators.selection import DIVERSITY, WINDOW, check_page, diversify, neighbours, pool_size
 from cinequarry.operators.speech import transcript_channel, words_on_shots
-from cinequarry.plans.broadcasts import checked
+from cinequarry.plans.broadcasts import checked, shuffled
 from cinequarry.plans.scratch import scratch_path, settle
 
 FIELDS = ("description", "tags", "objects", "actions", "mood")
@@ -148,7 +148,7 @@ def semantic_channel(queries: DataFrame, library: Library) -> DataFrame:
     asked = settle(with_features(queries.select("query_id", concepts("text").alias("terms")), "terms"))
     own = library.features.select("id", F.explode("terms").alias("term"))
     pairs = own.join(checked(asked.select("query_id", F.explode("terms").alias("term"))), "term").select("query_id", "id").distinct()
-    scored = pairs.join(checked(asked.select("query_id", F.col("vector").alias("q")), 20_000), "query_id").join(library.features.select("id", "vector"), "id")
+    scored = pairs.join(checked(asked.select("query_id", F.col("vector").alias("q")), 20_000), "query_id").join(shuffled(library.features.select("id", "vector")), "id")
     return scored.select("query_id", "id", F.round(cosine("q", "vector"), 9).alias("score")).where("score > 0")
 
 
@@ -201,7 +201,7 @@ def metadata_channel(queries: DataFrame, library: Library) -> DataFrame:
     runs = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(rf"([a-z0-9_]+|[{CJK}]+)"), 1)
     terms = queries.select("query_id", F.explode(F.array_distinct(runs)).alias("term"))
     hinted = lexical.name_hints(library.paths, "asset", "path", terms)
-    return library.shots.select("id", "asset").join(hinted, "asset").select("query_id", "id", "score")
+    return shuffled(library.shots.select("id", "asset")).join(hinted, "asset").select("query_id", "id", "score")
 
 
 def _weights(spark, extra: Mapping[str, float]) -> DataFrame:
@@ -289,7 +289,7 @@ def search(
     said = transcript_channel(spoken.withColumnRenamed("value", "phrase"), library.placed).join(spoken, "query_id").select("id", "value") if spoken.limit(1).count() else None
     proof = evidence(facts.select("query_id", "id"), needs, library.observed, said)
     passed = gate(facts, proof).unionByName(fused.where("intent <> 'fact'"))
-    pool = passed.join(library.shots.select("id", "asset", "session", "start_ms"), "id")
+    pool = passed.join(shuffled(library.shots.select("id", "asset", "session", "start_ms")), "id")
     chosen = None
     for name, diversity in (("creative", DIVERSITY["creative"]), ("", 0.2)):
         own = diversify(pool.where(F.col("intent") == name if name else F.col("intent") != "creative"), target, diversity)
@@ -303,7 +303,7 @@ def search(
     page = chosen.where((F.col("place") > offset) & (F.col("place") <= offset + limit)).join(many, "query_id").join(plans.select("query_id", "intent"), "query_id")
     if library.rerank is not None:
         page = library.rerank(page)
-    context = neighbours(library.shots, "id", "asset", "ordinal")
+    context = shuffled(neighbours(library.shots, "id", "asset", "ordinal"))
     return page.join(context, "id").select("query_id", "place", "id", "score", "intent", "previous", "next", (F.col("n") > offset + limit).alias("has_more"))
 
 

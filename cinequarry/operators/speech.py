@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cinequarry.functions.intervals import related
 from cinequarry.functions.text import CJK
 from cinequarry.operators.timeline import PHRASE_GAP_MS, transcript_score
-from cinequarry.plans.broadcasts import checked
+from cinequarry.plans.broadcasts import checked, shuffled
 
 _RUNS = rf"([{CJK}]+|[\p{{L}}\p{{Nd}}_&&[^{CJK}]]+)"
 
@@ -79,7 +79,7 @@ def follows(parts: Sequence[str], spans: Sequence[tuple[str, int, int]], gap_ms:
 def words_on_shots(words: DataFrame, shots: DataFrame) -> DataFrame:
     """shot, asset and the words (asset, ordinal, start_ms, end_ms, text, confidence) that overlap each shot."""
     own = shots.select("asset", F.col("id").alias("shot"), "start_ms", "end_ms")
-    met = related(words, own, "asset", "simultaneous")
+    met = related(words, shuffled(own), "asset", "simultaneous")
     return met.withColumnsRenamed({"left_start_ms": "start_ms", "left_end_ms": "end_ms"}).drop("right_start_ms", "right_end_ms")
 
 
@@ -105,14 +105,14 @@ def transcript_channel(queries: DataFrame, placed: DataFrame, gap_ms: int = PHRA
     columns = ("query_id", "parts", "part", "shot", "confidence")
     hits = plain.select(*columns).unionByName(wide.select(*columns))
     likely = hits.groupBy("query_id", "parts", "shot").agg(F.count_distinct("part").alias("n"), transcript_score(F.col("confidence")).alias("said")).where("n = size(array_distinct(parts))")
-    shots = likely.select("shot").distinct()
+    shots = shuffled(likely.select("shot").distinct())
     lists = placed.join(shots, "shot", "left_semi").groupBy("shot").agg(F.array_sort(F.collect_list(F.struct("ordinal", "start_ms", "end_ms", F.lower("text").alias("text")))).alias("spans"))  # as long as a shot
 
     @F.pandas_udf("boolean")
     def exact(own: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([follows(list(p), [(s["text"], s["start_ms"], s["end_ms"]) for s in rows], gap_ms) for p, rows in zip(own, spans, strict=True)])
 
-    spoken = likely.join(lists, "shot").where(exact("parts", "spans"))
+    spoken = likely.join(shuffled(lists), "shot").where(exact("parts", "spans"))
     return spoken.select("query_id", F.col("shot").alias("id"), F.when(F.size("parts") == 1, F.col("said")).otherwise(F.lit(1.0)).alias("score"))
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cinequarry.operators import modalities, search, speech, temporal
+from cinequarry.plans.broadcasts import checked
 
 SHOT = "id long, asset long, session long, ordinal long, start_ms long, end_ms long, description string, tags array<string>, objects array<string>, actions array<string>, mood array<string>"
 
@@ -268,3 +269,13 @@ def test_sound_words_and_consent(spark):
     assert got == {1: {"/m/0912c9", "/m/06mb1"}, 3: {"/m/0ngt1", "/m/0bt9lr"}}
     with pytest.raises(PermissionError):
         modalities.speaker_matches(queries, False, profile=1)
+
+
+def test_large_sides_are_never_broadcast(spark, library):
+    """Files of rows that compress well are small, their rows in the driver aren't."""
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    queries = spark.createDataFrame([(1, "red car")], "query_id long, text string")
+    assert "SortMergeJoin" in plan(search.semantic_channel(queries, library))
+    many = spark.range(20)
+    assert "BroadcastExchange" in plan(spark.range(100).join(checked(many, 20), "id"))
+    assert "BroadcastExchange" not in plan(spark.range(100).join(checked(many, 19), "id"))
