@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from cinequarry.functions.text import tag_key
 from cinequarry.operators.library import first_of
+from cinequarry.plans.scratch import shares
+
+#: Shots of a partition that compares stored with new spans.
+SPANS = 200_000
 
 
 def duration_between(duration: Column, least: int | None = None, most: int | None = None) -> Column:
@@ -193,8 +197,13 @@ def tagged_assets(candidates: DataFrame, links: DataFrame, catalog: DataFrame, a
     literal = links.join(candidates, links["raw"] == candidates["tag"]).select("query_id", "asset")
     named = catalog.join(candidates, catalog["name"] == candidates["tag"]).select("query_id", "tag_id")
     known = aliases.join(candidates, aliases["alias"] == candidates["tag"]).select("query_id", "tag_id")
-    by_id = links.join(named.unionByName(known).distinct(), "tag_id").select("query_id", "asset")
-    return literal.unionByName(by_id).distinct()
+    listed = named.unionByName(known).distinct()
+    by_id = links.join(listed, "tag_id").select("query_id", "asset")
+    # How many rows there are before copies go follows from counts by tag; a partition gets a bounded number of them.
+    per = lambda d, c: d.groupBy(F.col(c).alias("t")).agg(F.count("*").alias(f"n_{c}"))
+    met = [per(links, x).join(per(asked, y).withColumnRenamed(f"n_{y}", "m"), "t").agg(F.sum(F.col(f"n_{x}") * F.col("m"))).first()[0] for x, asked, y in (("raw", candidates, "tag"), ("tag_id", listed, "tag_id"))]
+    parts = shares(links.sparkSession, sum(int(n or 0) for n in met))
+    return literal.unionByName(by_id).repartition(parts, "query_id", "asset").distinct()
 
 
 def asset_search(tagged: DataFrame, lexical: DataFrame, limit: int, allowed: DataFrame | None = None) -> DataFrame:
