@@ -11,14 +11,16 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinequarry.plans.broadcasts import checked
-from cinequarry.plans.scratch import settle
+from cinequarry.plans.broadcasts import checked, shuffled
+from cinequarry.plans.scratch import settle, shares
 from cinequarry.plans.versions import commit, read, versions
 
 STATE = "root string, path string, absolute string, asset string, fingerprint string, size long, modified_ns long, present boolean, since long, until long"
+#: Locations of a partition.
+SHARE = 200_000
 _FACTS = ("absolute", "asset", "fingerprint", "size", "modified_ns", "present")
 
 
@@ -50,18 +52,24 @@ def apply_scan(state: DataFrame, scan: DataFrame, roots: DataFrame, version: int
     """
     roots = checked(settle(roots.select("root").distinct()))
     old = settle(current(state))
-    seen = settle(scan.join(roots, "root", "left_semi").dropDuplicates(["root", "path"]).withColumn("asset", asset_of(F.col("fingerprint"), F.col("size"))))
+    found = settle(scan.join(roots, "root", "left_semi"))
+    parts = shares(state.sparkSession, old.count() + found.count(), SHARE)
+    by_place = lambda d: d.repartition(parts, "root", "path")
+    seen = settle(by_place(found).dropDuplicates(["root", "path"]).withColumn("asset", asset_of(F.col("fingerprint"), F.col("size"))))
     before = old.join(roots, "root", "left_semi").select("root", "path", *[F.col(c).alias(f"__{c}") for c in _FACTS], F.lit(True).alias("__was"))
-    rows = seen.select("root", "path", *[c for c in _FACTS if c != "present"], F.lit(True).alias("__seen")).join(before, ["root", "path"], "full_outer")
+    rows = by_place(seen.select("root", "path", *[c for c in _FACTS if c != "present"], F.lit(True).alias("__seen"))).join(shuffled(by_place(before)), ["root", "path"], "full_outer")
 
     # What was known of each scanned asset, in this root or anywhere, and whether an earlier row of this scan has it too.
-    known = old.groupBy("asset").agg(F.lit(True).alias("__known"), F.bool_or("present").alias("__live"))
-    here = old.where("present").select("asset", "root").distinct().withColumn("__live_here", F.lit(True))
-    left = settle(seen.select("root", "path", "asset").join(old.where("present").select("root", "path", "asset"), ["root", "path", "asset"], "left_semi").unionByName(old.where("present").join(roots, "root", "left_anti").select("root", "path", "asset"))).select("asset").distinct().withColumn("__left", F.lit(True))
-    rows = rows.join(known, "asset", "left").join(here, ["asset", "root"], "left").join(left, "asset", "left")
-    again = F.when(F.col("__seen"), F.row_number().over(Window.partitionBy("root", "asset", "__seen").orderBy("path")) > 1)
-    first_of_asset = F.when(F.col("__seen"), F.row_number().over(Window.partitionBy("asset", "__seen").orderBy("root", "path")) == 1)
-    rows = rows.withColumns({"__again": again, "__first": first_of_asset})
+    # Locations that the scan lacks need none of this: with their empty asset they would all meet in one task.
+    known = old.groupBy("asset").agg(F.lit(True).alias("__known"), F.bool_or("present").alias("__live"), F.collect_set(F.when(F.col("present"), F.col("root"))).alias("__roots"))
+    left = settle(seen.select("root", "path", "asset").join(shuffled(old.where("present").select("root", "path", "asset")), ["root", "path", "asset"], "left_semi").unionByName(old.where("present").join(roots, "root", "left_anti").select("root", "path", "asset"))).select("asset").distinct().withColumn("__left", F.lit(True))
+    path = F.struct("path")
+    firsts = seen.groupBy("asset", "root").agg(F.min(path).alias("first")).groupBy("asset").agg(F.min(F.struct("root", "first")).alias("__place"), F.map_from_entries(F.collect_list(F.struct("root", "first"))).alias("__paths"))
+    of_asset = firsts.join(known, "asset", "left").join(left, "asset", "left")
+    met = settle(rows)
+    held = met.where("__seen").repartition(parts, "asset").join(shuffled(of_asset.repartition(parts, "asset")), "asset", "left")
+    held = held.withColumns({"__live_here": F.array_contains("__roots", F.col("root")), "__again": path > F.col("__paths")[F.col("root")], "__first": F.struct(F.col("root"), path.alias("first")) == F.col("__place")}).drop("__roots", "__paths", "__place")
+    rows = held.unionByName(met.where("__seen IS NULL"), allowMissingColumns=True)
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
     change = (
         F.when(~flag("__seen") & flag("__present"), "missing")
@@ -85,7 +93,7 @@ def apply_scan(state: DataFrame, scan: DataFrame, roots: DataFrame, version: int
     moved = judged.where("change <> 'unchanged'")
     opened = moved.select("root", "path", *[v.alias(c) for c, v in now.items()], F.lit(version).cast("long").alias("since"), F.lit(None).cast("long").alias("until"))
     ended = moved.where("__was").select("root", "path", F.lit(True).alias("__ended"))
-    closed = state.join(ended, ["root", "path"], "left").withColumn("until", F.when(flag("__ended") & F.col("until").isNull(), F.lit(version).cast("long")).otherwise(F.col("until")))
+    closed = by_place(state).join(shuffled(by_place(ended)), ["root", "path"], "left").withColumn("until", F.when(flag("__ended") & F.col("until").isNull(), F.lit(version).cast("long")).otherwise(F.col("until")))
     after = closed.drop("__ended").unionByName(opened)
     changes = judged.select("root", "path", F.coalesce(F.when(flag("__seen"), F.col("asset")), F.col("__asset")).alias("asset"), "change", "affected")
     return after, changes
