@@ -350,14 +350,22 @@ def replace_shots(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     shots of one span in ``fresh`` are an error. reset says whether the asset's
     spans changed at all, so that what was derived from them must go.
     """
-    twice = fresh.groupBy("asset", "start_ms", "end_ms").agg(F.count("*").alias("n"), F.min("new_id").alias("new_id"))
-    checked = twice.withColumn("new_id", F.when(F.col("n") > 1, F.raise_error(F.lit("two shots of one span")).cast(dict(fresh.dtypes)["new_id"])).otherwise(F.col("new_id"))).drop("n")
-    old = stored.join(fresh.select("asset").distinct(), "asset", "left_semi").groupBy("asset", "start_ms", "end_ms").agg(F.min("id").alias("old_id"))
-    both = checked.join(old, ["asset", "start_ms", "end_ms"], "full_outer")
+    kinds = dict(fresh.dtypes)
+    none = lambda kind: F.lit(None).cast(kind)
+    span = ["asset", "start_ms", "end_ms"]
+    old = stored.select(*span, F.col("id").alias("old_id"), none(kinds["new_id"]).alias("new_id"), F.lit(0).alias("fresh"))
+    new = fresh.select(*span, none(dict(stored.dtypes)["id"]).alias("old_id"), "new_id", F.lit(1).alias("fresh"))
+    # Both sides meet in one shuffle by asset, in partitions of bounded size; a span without a start or an end equals no other.
+    both = old.unionByName(new).where("asset IS NOT NULL").repartition(shares(stored.sparkSession, stored.count(), SPANS), "asset")
+    apart = F.when(F.col("start_ms").isNull() | F.col("end_ms").isNull(), F.col("fresh")).otherwise(F.lit(-1))
+    spans = both.groupBy(*span, apart.alias("apart")).agg(F.min("old_id").alias("old_id"), F.min("new_id").alias("new_id"), F.sum("fresh").alias("n"))
+    own = Window.partitionBy("asset")
+    spans = spans.withColumn("found", F.max("n").over(own)).where("found > 0")
+    new_id = F.when(F.col("n") > 1, F.raise_error(F.lit("two shots of one span")).cast(kinds["new_id"])).otherwise(F.col("new_id"))
+    spans = spans.withColumn("new_id", new_id)
     change = F.when(F.col("old_id").isNull(), "created").when(F.col("new_id").isNull(), "removed").otherwise("kept")
-    rows = both.select("asset", F.coalesce("old_id", "new_id").alias("id"), "start_ms", "end_ms", change.alias("change"))
-    reset = rows.groupBy("asset").agg(F.bool_or(F.col("change") != "kept").alias("reset"))
-    return rows.join(reset, "asset")
+    rows = spans.select("asset", F.coalesce("old_id", "new_id").alias("id"), "start_ms", "end_ms", change.alias("change"))
+    return rows.withColumn("reset", F.bool_or(F.col("change") != "kept").over(own))
 
 
 def library_summary(assets: DataFrame, tags: DataFrame, most: int = 20) -> DataFrame:
