@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinequarry.functions.intervals import iou, related
+from cinequarry.plans.scratch import settle, shares
+
+#: Pairs of a task that matches them, and turns of one that sweeps recordings.
+MATCHED, SWEPT = 200_000, 20_000
 
 
 def ranking(results: DataFrame, grades: DataFrame, k: int = 10) -> DataFrame:
@@ -141,23 +148,32 @@ def match_events(predicted: DataFrame, truth: DataFrame, keys: list[str], least:
     tag = lambda d, name: d.select(F.concat_ws("\x1f", *[F.col(k).cast("string") for k in keys]).alias("__key"), F.struct(*keys).alias(f"__{name}"), F.col("id").alias(name), "start_ms", "end_ms")
     met = related(tag(predicted, "prediction"), tag(truth, "truth"), "__key", "simultaneous")
     p, t = (F.col("left_start_ms"), F.col("left_end_ms")), (F.col("right_start_ms"), F.col("right_end_ms"))
-    pairs = met.withColumn("iou", iou(p, t)).where(F.col("iou") >= least).withColumns({"start_ms": F.least(p[0], t[0]), "end_ms": F.greatest(p[1], t[1])})
+    pairs = settle(met.withColumn("iou", iou(p, t)).where(F.col("iou") >= least).withColumns({"start_ms": F.least(p[0], t[0]), "end_ms": F.greatest(p[1], t[1])}))
     order = Window.partitionBy("__key").orderBy("start_ms", "end_ms")
     reach = F.max("end_ms").over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = pairs.withColumn("__new", F.when(F.col("start_ms") < reach, 0).otherwise(1)).withColumn("__run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     types = {f.name: f.dataType.simpleString() for f in pairs.schema}
     columns = ["__prediction", "prediction", "truth", "iou"]
 
-    def match(frame: pd.DataFrame) -> pd.DataFrame:
-        used, rows = set(), []
-        for _, own in frame.sort_values(["left_start_ms", "left_end_ms", "prediction"]).groupby(["left_start_ms", "left_end_ms", "prediction"], sort=True):
-            free = own[~own["truth"].isin(used)].sort_values(["iou", "right_start_ms", "truth"], ascending=[False, True, True])
-            if len(free):
-                used.add(free["truth"].iloc[0])
-                rows.append(free.index[0])
-        return frame.loc[rows, columns]
-
-    found = runs.groupBy("__key", "__run").applyInPandas(match, f"__prediction {types['__prediction']}, prediction {types['prediction']}, truth {types['truth']}, iou double")
+    def match(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run = last = None
+        used, done = set(), False
+        for batch in batches:  # in order of runs, then of predictions, the best truth first
+            kept = []
+            for i, (key, number, start, end, prediction, truth) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("__key", "__run", "left_start_ms", "left_end_ms", "prediction", "truth")), strict=True)):
+                if run != (key, number):
+                    run, last, used = (key, number), None, set()
+                if last != (start, end, prediction):
+                    last, done = (start, end, prediction), False
+                if not done and truth not in used:
+                    used.add(truth)
+                    done = True
+                    kept.append(i)
+            yield batch.select(columns).take(pa.array(kept, pa.int64()))
+
+    parts = shares(pairs.sparkSession, pairs.count(), MATCHED)
+    ordered = runs.repartition(parts, "__key", "__run").sortWithinPartitions("__key", "__run", "left_start_ms", "left_end_ms", "prediction", F.desc("iou"), "right_start_ms", "truth")
+    found = ordered.mapInArrow(match, f"__prediction {types['__prediction']}, prediction {types['prediction']}, truth {types['truth']}, iou double")
     return found.select("__prediction.*", "prediction", "truth", "iou")
 
 
@@ -295,4 +311,6 @@ def diarization_error(reference: DataFrame, hypothesis: DataFrame, durations: Da
         return pd.DataFrame({"asset": [frame["asset"].iloc[0]], "der_with_overlap": [rates[0]], "der_without_overlap": [rates[1]], "speaker_count_error": [present[1] - present[0]]})
 
     kind = dict(turns.dtypes)["asset"]
-    return turns.where("frames > 0").groupBy("asset").applyInPandas(sweep, f"asset {kind}, der_with_overlap double, der_without_overlap double, speaker_count_error long")
+    # A recording is a few short rows but some milliseconds' work: partitions go by their number, not by their bytes.
+    turns = turns.where("frames > 0").repartition(shares(turns.sparkSession, reference.count(), SWEPT), "asset")
+    return turns.groupBy("asset").applyInPandas(sweep, f"asset {kind}, der_with_overlap double, der_without_overlap double, speaker_count_error long")

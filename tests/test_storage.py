@@ -8,7 +8,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cinequarry.operators import scans
+from cinequarry.operators import browse, quality, scans
+from cinequarry.plans import scratch
 from cinequarry.sources import edl, media
 from cinequarry.streaming import jobs
 
@@ -146,3 +147,36 @@ def test_lease_rules():
     assert run((0, 0, "lease", 100), (1, 150, "done", None)) == [(0, "leased", 0), (100, "expired", 1)]  # done came too late
     assert run((0, 0, "lease", 100), (1, 200, "lease", 300)) == [(0, "leased", 0), (100, "expired", 1), (200, "leased", 1), (300, "expired", 2), (300, "terminal", 2)]
     assert run((0, 0, "defer", 100), now=99) == [(0, "deferred", 0)] and run((0, 0, "defer", 100))[1] == (100, "ready", 0)
+
+
+def test_partitions_grow_with_the_rows(spark, monkeypatch):
+    """However many rows there are, a task has a bounded number of them."""
+    for module, name in ((scratch, "SHARE_ROWS"), (scans, "SHARE"), (browse, "SPANS"), (quality, "MATCHED"), (quality, "SWEPT")):
+        monkeypatch.setattr(module, name, 10, raising=False)
+    tags = spark.createDataFrame([(q, "ring") for q in range(4)], "query_id long, tag string")
+    links = spark.createDataFrame([(a, "ring", 1) for a in range(50)], "asset long, raw string, tag_id int")
+    none = spark.createDataFrame([], "tag_id int, name string, alias string")
+    tagged = browse.tagged_assets(tags, links, none, none)
+    assert tagged.count() == 200 and tagged.rdd.getNumPartitions() == 20
+
+    spans = spark.createDataFrame([(a, a + s, s, s + 5) for a in range(30) for s in (0, 10)] + [(0, 99, None, 5)], "asset long, id long, start_ms long, end_ms long")
+    fresh = spark.createDataFrame([(a, 0, 5 + a % 2, -1) for a in range(20)] + [(0, None, 5, -2)], "asset long, start_ms long, end_ms long, new_id long")
+    replaced = browse.replace_shots(spans, fresh)
+    assert replaced.rdd.getNumPartitions() == 7
+    count = {r["change"]: r["count"] for r in replaced.groupBy("change").count().collect()}
+    assert count == {"kept": 10, "created": 11, "removed": 31}  # a span without a start equals no other
+
+    scan = spark.createDataFrame([("r", f"p{i}", f"/p{i}", f"f{i % 5}", 1, 1) for i in range(60)], "root string, path string, absolute string, fingerprint string, size long, modified_ns long")
+    roots = spark.createDataFrame([("r",)], "root string")
+    state, changes = scans.apply_scan(scans.empty_state(spark), scan, roots, 1)
+    assert {r["change"]: r["count"] for r in changes.groupBy("change").count().collect()} == {"created": 5, "added": 55}
+    after, changes = scans.apply_scan(scratch.settle(state), scan.where("fingerprint = 'f0'"), roots, 2)
+    assert {r["change"]: r["count"] for r in changes.groupBy("change").count().collect()} == {"unchanged": 12, "missing": 48}
+    assert after.where("until IS NULL AND NOT present").count() == 48 and after.rdd.getNumPartitions() >= 7
+
+    events = spark.createDataFrame([(u, i, 10 * i, 10 * i + 8) for u in range(4) for i in range(20)], "user long, id long, start_ms long, end_ms long")
+    matches = quality.match_events(events, events, ["user"])
+    assert matches.where("prediction = truth").count() == 80 == matches.count() and matches.rdd.getNumPartitions() == 8
+    turns = spark.createDataFrame([(a, str(i % 2), 1000 * i, 1000 * i + 900) for a in range(15) for i in range(4)], "asset long, speaker string, start_ms long, end_ms long")
+    rates = quality.diarization_error(turns, turns, spark.createDataFrame([(a, 4000) for a in range(15)], "asset long, duration_ms long"))
+    assert rates.where("der_with_overlap = 0").count() == 15 and rates.rdd.getNumPartitions() == 6
