@@ -10,8 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinequarry.functions.matcher import Offsets, denial_spans, families, is_wide, matcher, terms, wide_grams, words
+from cinequarry.functions.text import pieces
 from cinequarry.plans.scratch import settle
 
+#: Texts that become Python objects at once.
+READ_ROWS = 256
+
 # Kind, concept and the words that name it.
 VOCABULARY = {
     "object": {
@@ -123,7 +127,7 @@ def _passed(texts: DataFrame, key: str, columns: str, rows_of: Callable[[str], I
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [{"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}[c.split()[1]] for c in columns.split(", ")]
-        for batch in batches:
+        for batch in pieces(batches, READ_ROWS):
             owner, rows = [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 own = list(rows_of(text))

@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinequarry.functions.vocabulary import described, mentioned
+from cinequarry.functions.text import pieces
+from cinequarry.functions.vocabulary import READ_ROWS, described, mentioned
 from cinequarry.plans.broadcasts import checked, shuffled
 
 STRUCTURED = ("objects", "actions", "tags", "mood")
@@ -28,7 +29,7 @@ def observations(shots: DataFrame, key: str = "id") -> DataFrame:
     schema = f"`{key}` {shots.schema[key].dataType.simpleString()}, source string, value string, denied boolean"
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, READ_ROWS):
             owner, rows = [], []
             for i, (description, *listed) in enumerate(zip(*(batch.column(c).to_pylist() for c in fields[1:]), strict=True)):
                 own = described(description or "")
