@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cinequarry.functions.text import ascii_tokens
+from cinequarry.functions.text import ascii_tokens, pieces
 from cinequarry.operators import lexical, quality, segments
 from cinequarry.plans import scratch
 from cinequarry.sources import ingest
@@ -133,3 +134,20 @@ def test_bm25_without_an_index_is_that_of_one(spark):
     index = lexical.write_index(docs, "id", {"t": ascii_tokens("t")}, scratch.scratch_path(spark))
     asked = terms.select("query_id", F.xxhash64("term").alias("phrase"), F.lit(0).alias("place"), F.col("term").alias("token"))
     assert plain == {(r["query_id"], r["id"]): round(r["score"], 9) for r in lexical.search_index(index, asked).collect()} and plain
+
+
+def test_postings_are_made_in_slices():
+    lists = pa.array([["a"] * n for n in (3, 0, 5, 1, 1, 9, 2)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), lists, lists], names=["id", "x", "y"])
+    parts = list(segments.slices(batch, ["x", "y"], 10))
+    assert [p.column("id").to_pylist() for p in parts] == [[0, 1], [2], [3, 4], [5], [6]]
+    assert [p.num_rows for p in pieces([batch, batch], 3)] == [3, 3, 1, 3, 3, 1]
+
+
+def test_partitions_of_an_index_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "SHARE_ROWS", 100)
+    index = lexical.write_index(made_docs(spark, 1, range(300)), "id", {"body": ascii_tokens("t")}, str(tmp_path / "one"))
+    sizes = [r["count"] for r in index.table("postings").groupBy(F.spark_partition_id().alias("p"), F.input_file_name()).count().collect()]
+    assert sum(sizes) > 1000 and max(sizes) < 400
+    phrase = spark.createDataFrame([(1, 0, 0, "w1")], "query_id long, phrase int, place int, token string")
+    assert {r["id"] for r in lexical.search_index(index, phrase).collect()} == {r["id"] for r in index.postings.where("token = 'w1'").collect()}
