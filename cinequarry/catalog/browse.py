@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from cinequarry.functions.text import ascii_tokens
 from cinequarry.operators import browse, lexical
+from cinequarry.plans.broadcasts import shuffled
+from cinequarry.plans.scratch import shares
 
 from .common import registry, table
 
@@ -230,7 +232,9 @@ def shot_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
     stored = lines.select(F.col("l_orderkey").alias("asset"), (F.col("l_partkey") + 1_000_000 * begin).alias("id"), begin.alias("start_ms"), end.alias("end_ms"))
     longer = end + F.when(F.col("l_returnflag") == "R", 1).otherwise(0)
-    fresh = lines.join(done, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").groupBy(F.col("l_orderkey").alias("asset"), begin.alias("start_ms")).agg(F.max(longer).alias("end_ms")).withColumn("new_id", -F.col("start_ms"))
+    parts = shares(spark, lines.count())
+    own = lines.select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag").repartition(parts, "l_orderkey")
+    fresh = own.join(shuffled(done.select("o_orderkey").repartition(parts, "o_orderkey")), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").groupBy(F.col("l_orderkey").alias("asset"), begin.alias("start_ms")).agg(F.max(longer).alias("end_ms")).withColumn("new_id", -F.col("start_ms"))
     return browse.replace_shots(stored, fresh).select("asset", "id", "start_ms", "end_ms", "change")
 
 

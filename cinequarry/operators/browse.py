@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cinequarry.functions.text import tag_key
 from cinequarry.operators.library import first_of
+from cinequarry.plans.broadcasts import checked, shuffled
 from cinequarry.plans.scratch import shares
 
 #: Shots of a partition that compares stored with new spans.
@@ -194,10 +195,11 @@ def tagged_assets(candidates: DataFrame, links: DataFrame, catalog: DataFrame, a
 
     links (asset, raw, tag_id), catalog (tag_id, name), aliases (tag_id, alias), names normalised.
     """
+    candidates, links = checked(candidates), shuffled(links)
     literal = links.join(candidates, links["raw"] == candidates["tag"]).select("query_id", "asset")
     named = catalog.join(candidates, catalog["name"] == candidates["tag"]).select("query_id", "tag_id")
     known = aliases.join(candidates, aliases["alias"] == candidates["tag"]).select("query_id", "tag_id")
-    listed = named.unionByName(known).distinct()
+    listed = checked(named.unionByName(known).distinct())
     by_id = links.join(listed, "tag_id").select("query_id", "asset")
     # How many rows there are before copies go follows from counts by tag; a partition gets a bounded number of them.
     per = lambda d, c: d.groupBy(F.col(c).alias("t")).agg(F.count("*").alias(f"n_{c}"))
