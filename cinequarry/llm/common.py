@@ -8,8 +8,10 @@ word.
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Iterable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -95,6 +97,13 @@ def as_long(column: str | Column) -> Column:
     return (F.col(column) if isinstance(column, str) else column).cast(LongType())
 
 
+def trim() -> None:
+    """Give freed memory back to the system: a worker lives on and serves other stages."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError, TypeError):  # glibc alone has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that ``column`` holds at most ``limit`` bytes in each (one row at least)."""
     for batch in batches:
@@ -108,6 +117,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    trim()
 
 
 def raw_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:

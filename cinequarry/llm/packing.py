@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_long, settle, slices, words_of
+from .common import SLICE_BYTES, as_long, settle, slices, trim, words_of
 
 CAPACITY = 4096
 #: Pieces a partition packs at once.
@@ -34,6 +34,8 @@ PIECES = 4096
 ROUNDS, MOST_PIECES = 5, 1 << 20
 #: Distinct words whose ids a task keeps.
 CACHE_WORDS = 1_000_000
+#: Text bytes that a task encodes at once where its worker serves other stages too.
+PASSING_BYTES = 1 << 20
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECE_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
@@ -103,12 +105,12 @@ def _word_ids(path: str, most: int) -> WordIds:
     return WordIds(path, most)
 
 
-def pieces_of(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY, end_id: int = 1, text: str = "text", doc_id: str = "doc_id", cache_words: int = CACHE_WORDS) -> DataFrame:
+def pieces_of(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY, end_id: int = 1, text: str = "text", doc_id: str = "doc_id", cache_words: int = CACHE_WORDS, lasting: bool = True) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: only documents over ``capacity`` are cut."""
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _word_ids(tokenizer_path, cache_words)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE_BYTES if lasting else PASSING_BYTES):
             ids, counts = known.ids(batch.column("text"), end_id)
             pieces = -(-counts // capacity)
             owner = np.repeat(np.arange(len(counts)), pieces)
@@ -120,6 +122,11 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY,
             crc = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(at.tolist(), length.tolist(), strict=True)]
             cols = [batch.column("doc_id").take(pa.array(owner)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, schema=_PIECE_ARROW)
+        if not lasting:
+            del known
+            _word_ids.cache_clear()
+            _tokenizer.cache_clear()
+            trim()
 
     return docs.select(as_long(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(cut, _PIECE)
 
@@ -234,7 +241,7 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, pieces_each: int = PIEC
     return out.drop("released")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY, text: str = "text", doc_id: str = "doc_id", cache_words: int = CACHE_WORDS) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY, text: str = "text", doc_id: str = "doc_id", cache_words: int = CACHE_WORDS, lasting: bool = True) -> DataFrame:
     """Best-fit packing of whole documents: a row per piece, see pieces_of() and pack().
 
     Null and empty texts give a piece of one token, the end id. Very long
@@ -242,6 +249,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPA
     they are, and so do ids beside a null. An empty table gives no rows;
     further columns of ``docs`` are not read, whatever their names. A task
     keeps the ids of ``cache_words`` words, some 150 bytes each; fewer cost
-    time, not results.
+    time, not results. So does forgetting them at a task's end (``lasting``
+    False), which leaves a worker's memory to other stages.
     """
-    return pack(pieces_of(docs, tokenizer_path, capacity=capacity, text=text, doc_id=doc_id, cache_words=cache_words), capacity=capacity)
+    return pack(pieces_of(docs, tokenizer_path, capacity=capacity, text=text, doc_id=doc_id, cache_words=cache_words, lasting=lasting), capacity=capacity)

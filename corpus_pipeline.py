@@ -26,7 +26,7 @@ from cinequarry.plans.scratch import discard, settle, written
 
 #: Documents that score this or more are rejected.
 REJECTED = 0.7
-#: Words whose ids a packing task keeps: they stay with the workers, which serve the other stages too.
+#: Words whose ids a packing task keeps; it forgets them, and the tokenizer, as its worker serves the other stages too.
 CACHE_WORDS = 150_000
 
 
@@ -68,7 +68,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs, tokenizer_path(), cache_words=CACHE_WORDS)
+    return pack_documents(docs, tokenizer_path(), cache_words=CACHE_WORDS, lasting=False)
 
 
 STAGES = [

@@ -432,3 +432,16 @@ def test_packing_keeps_ids_beside_a_null(spark):
     rows = pack_documents(spark.createDataFrame([(i, "one two", "x") for i in ids], "doc_id long, text string, length string"), tokenizer_path()).collect()
     assert Counter(r["doc_id"] for r in rows) == Counter(ids)
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path()).count() == 0
+
+
+def test_packing_forgets_where_workers_serve_other_stages(spark):
+    """Neither the tokenizer nor the ids of words stay behind a task, and the pieces are the same."""
+    from cinequarry.llm import packing
+
+    class Docs:
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, cut, schema: cut  # noqa: E731, N815
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2], pa.int64()), "text": ["some words of a text", "x " * 6000]})
+    got = [[x.to_pylist() for x in packing.pieces_of(Docs(), tokenizer_path(), lasting=lasting)([batch])] for lasting in (True, False)]
+    assert got[0] == got[1] and packing._tokenizer.cache_info().currsize == packing._word_ids.cache_info().currsize == 0
