@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinequarry.operators.graph import connected_components
+from cinequarry.plans.scratch import discard, written
 
 from .common import as_long, gram_hashes, keep_rows, mix, partitions, run_starts, settle, shingle_sets, slices, small, split_sets, text_code, word_hashes, words_of
 
@@ -45,6 +46,8 @@ BLOCK_ROWS, BLOCK_SHINGLES = 256, 200_000
 #: Documents whose shingles are counted together to find frequent ones, the
 #: share of them that makes a shingle frequent, and the most that are kept.
 COUNTED, FREQUENT, FREQUENT_MOST = 4096, 0.002, 500_000
+#: Text bytes whose shingles a task makes at once, shingles it counts at once, and rows of columns it holds at once.
+TEXT_BYTES, COUNTED_SHINGLES, HELD_ROWS = 1 << 20, 1 << 21, 100_000
 
 
 def _signed(values: np.ndarray) -> np.ndarray:
@@ -83,17 +86,20 @@ def frequent_shingles(source: DataFrame, k: int) -> np.ndarray:
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        size = 0
 
         def flush() -> pa.RecordBatch:
             values, n = np.unique(np.concatenate(held), return_counts=True)
             many = n >= max(8, FREQUENT * len(held))
             return pa.RecordBatch.from_pydict({"gram": pa.array(_signed(values[many]), pa.int64()), "n": pa.array(n[many], pa.int64())})
 
-        for batch in slices(batches):
-            held += shingle_sets(batch.column("text"), k)
-            if len(held) >= COUNTED:
+        for batch in slices(batches, limit=TEXT_BYTES):
+            own = shingle_sets(batch.column("text"), k)
+            held += own
+            size += sum(map(len, own))
+            if len(held) >= COUNTED or size >= COUNTED_SHINGLES:
                 yield flush()
-                held = []
+                held, size = [], 0
         if held:
             yield flush()
 
@@ -119,7 +125,7 @@ def _rows(source: DataFrame, frequent: np.ndarray, k: int, percent: int, seed: i
         return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=TEXT_BYTES):
             sets = shingle_sets(batch.column("text"), k)
             nodes, proofs, heads, lates, seen = [], [], [], [], set()
             flat = np.concatenate(sets)
@@ -192,7 +198,7 @@ def _columns(rows: DataFrame, bearers: DataFrame) -> DataFrame:
             if whole:
                 take(g[:whole], n[:whole])
             rest_g, rest_n = g[whole:], n[whole:]
-            if weight >= 500_000:
+            if weight >= HELD_ROWS:
                 yield flush()
                 weight = 0
         if len(rest_g):
@@ -222,14 +228,17 @@ def _texts(source: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose exact overlap reaches the threshold."""
-    ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    texts = texts.join(small(ids), "node", "left_semi")
-    left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+    """Those of the pairs (a, b; written) whose exact overlap reaches the threshold.
+
+    Texts meet bounded pairs where they are; only a pair's b, and each a once, go to the a's.
+    """
+    firsts = settle(pairs.select(F.col("a").alias("node")).distinct())
+    left = texts.join(small(firsts), "node", "left_semi").select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    both = right.join(small(pairs), "b").join(left, "a").select("a", "b", "text_a", "text_b")
 
     def overlap(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(slices(batches, "text_a"), "text_b"):
+        for batch in slices(slices(batches, "text_a", TEXT_BYTES), "text_b", TEXT_BYTES):
             a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
             firsts = run_starts(a)  # rows of one a follow each other: its text counts once
             sets = exact_sets(pa.concat_arrays([batch.column("text_a").take(pa.array(firsts)), batch.column("text_b")]), k)
@@ -362,7 +371,7 @@ def _crowded_pairs(marked: DataFrame, left_out: DataFrame, texts: DataFrame, k:
     dealt = classed.join(parts, ["home", "band"]).withColumn("block", F.xxhash64("home", "band", F.pmod(F.xxhash64("node"), F.col("parts"))))
 
     def shingled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=TEXT_BYTES):
             grams = [s.tobytes() for s in shingle_sets(batch.column("text"), k)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "label", "block")), pa.array(grams, pa.binary())], names=["node", "label", "block", "grams"])
 
@@ -413,16 +422,21 @@ def _crowded_pairs(marked: DataFrame, left_out: DataFrame, texts: DataFrame, k:
 
 def _components(docs: DataFrame, text: str, doc_id: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, code, node, n), (node, least doc_id and code of its component)."""
+    spark = docs.sparkSession
     source = docs.select(as_long(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("code", text_code())
     frequent = frequent_shingles(source, k)
     for seed in numbers():
         rows = settle(_rows(source, frequent, k, percent, seed))
+        whole = written(spark)[-1]
         first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "code")))
         sets = rows.where("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), first.alias("least"), F.min(F.struct("doc_id", "code")).alias("row"), F.min(F.when(F.col("head").isNotNull(), F.struct("doc_id", "code"))).alias("bearer"), F.min("proof").alias("lo"), F.max("proof").alias("hi"))
         sets = settle(sets)
         if not sets.where("lo <> hi").limit(1).count():
-            break  # else two sets share a node: name them anew
+            break
+        discard(spark, [whole])  # two sets share a node: name them anew
     columns = settle(_columns(rows, sets.select("node", "bearer.doc_id", "bearer.code")))
+    rows = settle(rows.select("doc_id", "code", "node", "n"))
+    discard(spark, [whole])  # heads are as large as the texts
     nodes = settle(sets.join(columns.select("node").distinct(), "node", "left_semi").select("node", "n", "row.doc_id", "row.code"))
     known = source.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
     texts = _texts(known, nodes.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63)))))
@@ -444,7 +458,7 @@ def _components(docs: DataFrame, text: str, doc_id: str, k: int, percent: int) -
         labels = _joined(labels, links)
     groups = sets.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "least", "row")
     smallest = groups.groupBy("label").agg(F.min("least").alias("least"), F.min("row").alias("row"))
-    return rows.drop("head", "late", "proof"), groups.select("node", "label").join(smallest, "label").select("node", F.coalesce("least", "row").alias("least"))
+    return rows, groups.select("node", "label").join(smallest, "label").select("node", F.coalesce("least", "row").alias("least"))
 
 
 def jaccard_groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", k: int = 5, percent: int = 75) -> DataFrame:

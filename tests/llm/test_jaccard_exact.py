@@ -7,6 +7,7 @@ import pyarrow as pa
 
 from cinequarry.llm import common, jaccard_join
 from cinequarry.llm.jaccard_join import exact_sets, jaccard_groups, keep_one
+from cinequarry.plans.scratch import written
 
 
 def test_words_of_equal_checksum_do_not_link(spark):
@@ -40,3 +41,30 @@ def test_keep_one_of_odd_rows(spark):
     rows = [(None, long), (None, long + " more"), (5, "some other text here"), (5, "some other text here"), (5, long), (7, "alone in the world of texts"), (7, None), (7, None), (None, "no id at all but text")]
     kept = keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(((r["doc_id"] or 0), r["text"] or "") for r in kept) == sorted([(5, long), (5, "some other text here"), (7, "alone in the world of texts"), (7, ""), (0, "no id at all but text")])
+
+
+def test_bounded_pairs_meet_texts_where_they_are(spark):
+    """Texts go to the pairs' first rows alone: a join that shuffles, not two."""
+    words = [f"w{i}" for i in range(40)]
+    frame = spark.createDataFrame([(i, " ".join([*words[: 39 - i], f"edit{i}"])) for i in range(6)], "node long, text string")
+    pairs = [(0, b) for b in range(1, 6)] + [(1, 2), (4, 5)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        links = jaccard_join._linked(common.settle(spark.createDataFrame(pairs, "a long, b long")), common.settle(frame), 5, 90)
+        plan = links._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 1 and plan.count("hashpartitioning") == 2
+        sets = {r["node"]: set(zip(*(r["text"].split()[i:] for i in range(5)), strict=False)) for r in frame.collect()}
+        want = {(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])}
+        assert {(r["a"], r["b"]) for r in links.collect()} == want and 0 < len(want) < len(pairs)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_heads_do_not_stay(spark):
+    """The table of heads, as large as the texts, is deleted once the columns are made."""
+    text = " ".join(f"w{i}" for i in range(40))
+    before = set(written(spark))
+    groups = jaccard_groups(spark.createDataFrame([(1, text), (2, text + " more"), (3, "alone")], "doc_id long, text string"))
+    assert not any("head" in spark.read.parquet(p).columns for p in set(written(spark)) - before)
+    assert {r["doc_id"]: r["component_id"] for r in groups.collect()} == {1: 1, 2: 1, 3: 3}
