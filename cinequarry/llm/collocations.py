@@ -35,6 +35,8 @@ from .common import LOWER, partitions, raw_texts, run_starts, slices, small
 TILE, DENSE, BUFFER = 1024, 1 << 17, 1 << 23
 #: Frequent pairs whose numbers (16 bytes each) may go to the tasks; beyond, each chunk's pairs meet them in a shuffle.
 BROADCAST_PAIRS = 2_000_000
+#: Frequent words that may go to the tasks, likewise.
+BROADCAST_WORDS = 500_000
 #: Parts of a language that are ranked apart before the whole.
 PARTS = 64
 #: Where a piece ends, and what a text becomes before it is split at blanks: a full stop is no part of any word.
@@ -201,8 +203,31 @@ def _renumbered(corpus: DataFrame, ranked: DataFrame, most: int) -> DataFrame:
     return settle(corpus.select("chunk", "numbers").join(named, "chunk").mapInArrow(met, schema))
 
 
-def _numbered_words(chunks: DataFrame, words: DataFrame) -> DataFrame:
-    """The corpus in numbers of its frequent words: each chunk's own words meet the vocabulary."""
+def _numbered_words(chunks: DataFrame, words: DataFrame, most: int) -> DataFrame:
+    """The corpus in numbers of its frequent words: each chunk's own words meet the vocabulary, in a shuffle if it has more than ``most`` words."""
+    if words.count() <= most:
+        found = words.select("lang", "word", "id").toArrow().combine_chunks()
+        langs = found.column("lang").to_numpy()
+        vocabulary = {}
+        for name in set(langs.tolist()):
+            at = np.flatnonzero(langs == name)
+            own = found.take(pa.array(at))
+            vocabulary[name] = own.column("word").combine_chunks(), np.append(own.column("id").to_numpy(), -1).astype(np.int32)
+        table = chunks.sparkSession.sparkContext.broadcast(vocabulary)
+
+        def looked_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = table.value
+            for batch in batches:
+                for i, (chunk, name, raw) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("chunk", "lang", "codes")), strict=True)):
+                    if name in known:
+                        frequent, ids = known[name]
+                        own = batch.column("words").slice(i, 1).flatten()
+                        at = pc.fill_null(pc.index_in(own, value_set=frequent.cast(own.type)), -1).to_numpy()
+                        names = np.append(ids[at], np.int32(-1))  # -1 is the last place, a gap
+                        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([_gapped(names[np.frombuffer(raw, "<i4")])])], names=["chunk", "numbers"])
+
+        return settle(chunks.select("chunk", "lang", "codes", "words").mapInArrow(looked_up, "chunk long, numbers binary"))
+
     own = chunks.select("chunk", "lang", F.posexplode("words").alias("place", "word")).join(words.select("lang", "word", "id"), ["lang", "word"])
     named = own.groupBy("chunk").agg(F.collect_list(F.struct("place", "id")).alias("pairs"))
 
@@ -228,7 +253,7 @@ def frequent_phrases(docs: DataFrame, *, text: str = "text", lang: str = "lang",
     words = _ranked(counts.where(F.col("f") >= least), "lang", "word")
     level = words.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f")
     levels = [level.withColumn("size", F.lit(1))]
-    corpus = _numbered_words(chunks, words)
+    corpus = _numbered_words(chunks, words, min(most, BROADCAST_WORDS))
     for size in range(2, longest + 1):
         own = written(spark)[-1]  # of the corpus in these numbers
         ranked = _ranked(settle(_counted(corpus, least, buffer)), "key")

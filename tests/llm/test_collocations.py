@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from cinequarry.llm import collocations as own
 from cinequarry.llm.collocations import collocations, count_tiles
 
 SCHEMA = "doc_id long, text string, lang string, phrase string, rank string, n string"
@@ -91,3 +92,16 @@ def test_small_batches(spark):
             assert int("".join(c for c in now if c.isdigit())) << (20 if now.endswith("m") else 0) == want
     finally:
         spark.conf.set(name, before)
+
+
+def test_a_small_vocabulary_joins_no_words(spark, rows, monkeypatch):
+    """Up to a bound of frequent words no row is made for a chunk's word; both ways number the same corpus."""
+    table = spark.createDataFrame([(t, g) for t, g in rows], "text string, lang string").repartition(3)
+    chunks = own.settle(own._chunks(table, "text", "lang"))
+    counts = chunks.selectExpr("lang", "explode(arrays_zip(words, counts)) w").groupBy("lang", "w.words").agg({"w.counts": "sum"}).toDF("lang", "word", "f")
+    words = own.settle(own._ranked(counts.where("f >= 4"), "lang", "word"))
+    numbered = lambda most: {r["chunk"]: bytes(r["numbers"]) for r in own._numbered_words(chunks, words, most).collect()}
+    want = numbered(0)
+    monkeypatch.setattr(type(chunks), "join", lambda *a, **k: pytest.fail("joined"))
+    got = numbered(10**6)
+    assert len(want) > 3 and {k: got[k] for k in want} == want and all(set(np.frombuffer(got[k], "<i4").tolist()) == {-1} for k in got.keys() - want.keys())
