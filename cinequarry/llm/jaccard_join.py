@@ -5,8 +5,9 @@ same set are one row); its columns, shingle hashes, are the blocks that Spark
 deals out. Size-derived bounds keep the product sparse: with shingles in one
 order for all, two sets at the threshold must share one among the first
 n - ceil(t n) + 1 of each, and at least ``slack`` more where heads are longer
-by that many. So only heads enter the product, shingles known to be frequent
-last, and a set may leave out as many crowded columns as it has slack.
+by that many; more still if their sizes are alike, as tails hold only so many
+of those they must share. So only heads enter the product, shingles known to be
+frequent last, and a set may leave out as many crowded columns as it has slack.
 
 A column doesn't emit its pairs. Each column links its rows to one of them
 (a star); pairs that pass the bounds on size and on shared columns get their
@@ -48,6 +49,8 @@ BLOCK_ROWS, BLOCK_SHINGLES = 256, 200_000
 COUNTED, FREQUENT, FREQUENT_MOST = 4096, 0.002, 500_000
 #: Text bytes whose shingles a task makes at once, shingles it counts at once, and rows of columns it holds at once.
 TEXT_BYTES, COUNTED_SHINGLES, HELD_ROWS = 1 << 20, 1 << 21, 100_000
+#: Pairs of rows that a task makes at once (one row's at least).
+HELD_PAIRS = 1 << 19
 
 
 def _signed(values: np.ndarray) -> np.ndarray:
@@ -211,7 +214,7 @@ def _columns(rows: DataFrame, bearers: DataFrame) -> DataFrame:
     borne = rows.where("head IS NOT NULL").join(small(one), own, "left_semi")
     heads = borne.select("node", "late", F.posexplode("head").alias("pos", "gram"))
     dealt = heads.where("pos < late").select("gram", "node").repartition(partitions(rows.sparkSession), "gram").sortWithinPartitions("gram", "node")
-    rare = dealt.mapInArrow(gather, "list long, centre long, node long, many long").groupBy("list", "centre", "node").agg(F.sum("many").alias("many"))
+    rare = dealt.mapInArrow(gather, "list long, centre long, node long, many long").repartition(partitions(rows.sparkSession), "list").groupBy("list", "centre", "node").agg(F.sum("many").alias("many"))
     common = heads.where("pos >= late").select(F.col("gram").alias("list"), "node").distinct()
     # A row for each frequent shingle, at most FREQUENT_MOST.
     centres = common.groupBy("list").agg(F.min("node").alias("centre"), F.count("*").alias("rows")).where("rows > 1").select("list", "centre")
@@ -265,30 +268,46 @@ def _near(percent: int) -> Column:
     return F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
 
 
-def _enough(shared: str, percent: int, share: float = 1.0) -> Column:
-    """Whether two rows' shared columns reach a share of the fewest at the threshold, and their sizes are near."""
-    return _near(percent) & (F.col(shared) > share * F.least(_slack("n_a", percent), _slack("n_b", percent)))
+def _tail(n: str, percent: int) -> Column:
+    """Shingles of a set of that size that are not in its head."""
+    return F.ceil(F.col(n) * percent / 100) - 1 - _slack(n, percent)
 
 
-def _likely(shared: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that share half as many columns as two rows at the threshold do; any other is left over."""
-    one, other = sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b"))
-    return shared.groupBy("a", "b").agg(F.sum("many").alias("shared")).join(one, "a").join(other, "b").where(_enough("shared", percent, 0.5)).select("a", "b")
+def _enough(shared: str, percent: int) -> Column:
+    """Whether two sets can link that share so many shingles of their heads, and their sizes are near.
+
+    Of the shingles that two sets share, those missing from either head are
+    all in the tail of the one whose head ends first.
+    """
+    most = F.col(shared) + F.greatest(_tail("n_a", percent), _tail("n_b", percent))
+    return _near(percent) & (most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
+
+
+def _likely(percent: int) -> Column:
+    """Whether two rows share half as many columns as their slack, and their sizes are near; any other pair is left over."""
+    return _near(percent) & (F.col("shared") > 0.5 * F.least(_slack("n_a", percent), _slack("n_b", percent)))
 
 
 def _stars(columns: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of a column's first row and another that a star should try."""
-    return _likely(columns.where("centre <> node").select(F.col("centre").alias("a"), F.col("node").alias("b"), "many"), sizes, percent)
+    shared = columns.where("centre <> node").groupBy(F.col("centre").alias("a"), F.col("node").alias("b")).agg(F.sum("many").alias("shared"))
+    one, other = (sizes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
+    return shared.join(one, "a").join(other, "b").where(_likely(percent)).select("a", "b")
+
 
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows (list, node, many, n) with the label of their component."""
+    return rows.select("list", "node", "many", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
-def _labelled(columns: DataFrame, labels: DataFrame) -> DataFrame:
-    """(list, node, many, label) of the columns in which several components meet."""
-    rows = columns.select("list", "node", "many").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+def _open(columns: DataFrame, sizes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(list, node, many, n, label) of the columns in which several components meet."""
+    rows = _labelled(columns.join(sizes, "node"), labels)
     mixed = rows.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("list")
     return rows.join(mixed, "list")
 
 
-def _bridges(open_rows: DataFrame, sizes: DataFrame, tried: DataFrame, percent: int, number: int) -> DataFrame:
+def _bridges(open_rows: DataFrame, tried: DataFrame, percent: int, number: int) -> DataFrame:
     """Untried pairs (a, b) of a delegate of a component and a row of another one.
 
     Every component has a few delegates, others each round. In each column
@@ -297,13 +316,15 @@ def _bridges(open_rows: DataFrame, sizes: DataFrame, tried: DataFrame, percent:
     """
     picks = [F.min_by("node", F.xxhash64("node", F.lit(number), F.lit(i))) for i in range(DELEGATES)]
     members = open_rows.select("node", "label").distinct()
-    chosen = members.groupBy("label").agg(F.count("*").alias("members"), F.array_distinct(F.array(*picks)).alias("picked")).where("members > 1").select("label", "members", F.explode("picked").alias("node"))
-    present = open_rows.join(chosen, ["node", "label"]).select("list", "label", "members", F.col("node").alias("centre"))
+    chosen = settle(members.groupBy("label").agg(F.count("*").alias("members"), F.array_distinct(F.array(*picks)).alias("picked")).where("members > 1").select("label", "members", F.explode("picked").alias("node")))
+    present = open_rows.join(small(chosen), ["node", "label"]).select("list", "label", "members", F.col("node").alias("centre"), F.col("n").alias("size"))
     top = present.groupBy("list").agg(F.max(F.struct("members", "label")).alias("top")).select("list", F.col("top.label").alias("label"))
-    centres = present.join(top, ["list", "label"]).select("list", F.col("label").alias("own"), "centre")
+    centres = present.join(top, ["list", "label"]).select("list", F.col("label").alias("own"), "centre", "size")
     met = open_rows.join(centres, "list").where("label <> own")
-    shared = met.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b"), "many")
-    return _likely(shared, sizes, percent).join(tried, ["a", "b"], "left_anti")
+    turned = F.col("centre") < F.col("node")
+    sides = met.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b"), F.when(turned, F.col("size")).otherwise(F.col("n")).alias("n_a"), F.when(turned, F.col("n")).otherwise(F.col("size")).alias("n_b"), "many")
+    likely = sides.groupBy("a", "b", "n_a", "n_b").agg(F.sum("many").alias("shared")).where(_likely(percent)).select("a", "b")
+    return likely.join(small(tried), ["a", "b"], "left_anti")
 
 
 def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -318,24 +339,70 @@ def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return settle(known.join(moved, "label", "left").select("node", F.coalesce("now", "label").alias("label")))
 
 
-def _marked(open_rows: DataFrame, sizes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(list, many, node, label, n, crowded), and how many crowded columns a row is in.
+def _marked(open_rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(list, many, node, label, n, crowded, wide), and how many crowded columns a row is in.
 
-    A column is crowded by its pairs of rows of different components.
+    A column is crowded by its pairs of rows of different components, and wide
+    by its rows; one that a single component fills is done.
     """
     each = open_rows.groupBy("list", "label").agg(F.count("*").cast("double").alias("c"))
-    crowded = each.groupBy("list").agg(F.sum("c").alias("rows"), F.sum(F.col("c") * F.col("c")).alias("same")).where((F.col("rows") * F.col("rows") - F.col("same")) / 2 > CROWDED * F.col("rows")).select("list", F.lit(True).alias("crowded"))
-    marked = settle(open_rows.join(sizes, "node").join(crowded, "list", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False))))
+    sums = each.groupBy("list").agg(F.sum("c").alias("rows"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count("*").alias("labels"))
+    kinds = sums.select("list", ((F.col("rows") * F.col("rows") - F.col("same")) / 2 > CROWDED * F.col("rows")).alias("crowded"), (F.col("rows") > HELD_ROWS).alias("wide"), (F.col("labels") < 2).alias("done")).where("crowded OR wide OR done")
+    no = F.lit(False)
+    marked = open_rows.join(kinds, "list", "left").where(~F.coalesce("done", no)).withColumns({c: F.coalesce(c, no) for c in ("crowded", "wide")}).drop("done")
+    marked = settle(marked)
     left_out = marked.where("crowded").groupBy("node", "n").agg(F.sum("many").alias("left_out")).withColumn("over", F.col("left_out") > _slack("n", percent))
     return marked, settle(left_out)
 
 
-def _left_over(marked: DataFrame, left_out: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
-    """Untried pairs (a, b) of different components that share columns enough that aren't crowded.
+def _met(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, n_a, n_b, many) of rows of a column, of different components and near sizes; no column is wide.
 
-    Components of a column meet first and their rows then, so pairs within one are never made.
+    A task has whole columns one after another; rows of a component follow
+    each other, so pairs within one are never made.
+    """
+    kinds = [(c, pa.int64()) for c in ("a", "b", "n_a", "n_b", "many")]
+    names = ["list", "label", "node", "n", "many"]
+
+    def pair(lists: np.ndarray, labels: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, many: np.ndarray) -> Iterator[pa.RecordBatch]:
+        new = lists[1:] != lists[:-1]
+        firsts, groups = np.append(run_starts(lists), len(lists)), np.append(np.flatnonzero(np.concatenate(([True], new | (labels[1:] != labels[:-1])))), len(lists))
+        at = np.arange(len(lists))
+        start, end = groups[np.searchsorted(groups, at, side="right")], firsts[np.searchsorted(firsts, at, side="right")]
+        counts = end - start  # rows of its column that are of later components
+        sums = np.cumsum(counts)
+        i = 0
+        while i < len(at):
+            j = max(i + 1, int(np.searchsorted(sums, (sums[i - 1] if i else 0) + HELD_PAIRS, side="right")))
+            own = counts[i:j]
+            x = np.repeat(at[i:j], own)
+            y = np.arange(len(x)) - np.repeat(np.cumsum(own) - own, own) + np.repeat(start[i:j], own)
+            near = np.minimum(sizes[x], sizes[y]) * 100 >= np.maximum(sizes[x], sizes[y]) * percent
+            x, y = x[near], y[near]
+            x, y = np.where(nodes[x] < nodes[y], x, y), np.where(nodes[x] < nodes[y], y, x)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (nodes[x], nodes[y], sizes[x], sizes[y], many[x])], schema=pa.schema(kinds))
+            i = j
+
+    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = [np.empty(0, np.int64)] * len(names)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = [np.concatenate((r, batch.column(c).to_numpy(zero_copy_only=False))) for r, c in zip(rest, names, strict=True)]
+            whole = int(np.searchsorted(held[0], held[0][-1]))
+            yield from pair(*(h[:whole] for h in held))
+            rest = [h[whole:] for h in held]
+        yield from pair(*rest)
+
+    dealt = members.select(*names).repartition(partitions(members.sparkSession), "list").sortWithinPartitions("list", "label")
+    return dealt.mapInArrow(meet, ", ".join(f"{c} long" for c, _ in kinds))
+
+
+def _met_wide(members: DataFrame, percent: int) -> DataFrame:
+    """_met() of columns of any number of rows, as joins that Spark can split.
+
+    Components of a column meet first and their rows then.
     """
-    members = marked.where("NOT crowded")
     groups = members.groupBy("list", "label").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     one, other = (groups.select("list", F.col("label").alias(f"label_{c}"), F.col("lo").alias(f"lo_{c}"), F.col("hi").alias(f"hi_{c}")) for c in "ab")
     fits = (F.col("hi_a") * 100 >= F.col("lo_b") * percent) & (F.col("hi_b") * 100 >= F.col("lo_a") * percent)
@@ -343,13 +410,21 @@ def _left_over(marked: DataFrame, left_out: DataFrame, tried: DataFrame, percent
     left, right = (members.select("list", "many", F.col("label").alias(f"label_{c}"), F.col("node").alias(f"node_{c}"), F.col("n").alias(f"n_{c}")) for c in "ab")
     pairs = meet.join(left, ["list", "label_a"]).join(right.drop("many"), ["list", "label_b"]).where(_near(percent))
     turned = F.col("node_a") < F.col("node_b")
-    flat = pairs.select(*[F.when(turned, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")).alias(x) for c, x in (("node", "a"), ("n", "n_a"))], *[F.when(turned, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")).alias(x) for c, x in (("node", "b"), ("n", "n_b"))], "many")
+    return pairs.select(*[F.when(turned, F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}")).alias(to) for c, to_ in (("node", ""), ("n", "n_")) for x, y, to in (("a", "b", f"{to_}a"), ("b", "a", f"{to_}b"))], "many")
+
+
+def _left_over(marked: DataFrame, left_out: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
+    """Untried pairs (a, b) of different components that share columns enough that aren't crowded."""
+    members = marked.where("NOT crowded")
+    flat, wide = _met(members.where("NOT wide"), percent), members.where("wide")
+    if wide.limit(1).count():
+        flat = flat.unionByName(_met_wide(wide, percent))
     counted = flat.groupBy("a", "b", "n_a", "n_b").agg(F.sum("many").alias("shared"))
     # The fewest columns that two rows at the threshold share, less those that both left out.
     for c in "ab":
-        counted = counted.join(left_out.select(F.col("node").alias(c), F.col("left_out").alias(f"out_{c}")), c, "left")
+        counted = counted.join(small(left_out.select(F.col("node").alias(c), F.col("left_out").alias(f"out_{c}"))), c, "left")
     both_out = F.least(F.coalesce("out_a", F.lit(0)), F.coalesce("out_b", F.lit(0)))
-    return counted.withColumn("most", F.col("shared") + both_out).where(_enough("most", percent)).select("a", "b").join(tried, ["a", "b"], "left_anti")
+    return counted.withColumn("most", F.col("shared") + both_out).where(_enough("most", percent)).select("a", "b").join(small(tried), ["a", "b"], "left_anti")
 
 
 def _crowded_pairs(marked: DataFrame, left_out: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -443,17 +518,17 @@ def _components(docs: DataFrame, text: str, doc_id: str, k: int, percent: int) -
     sizes = nodes.select("node", "n")
     stars = settle(_stars(columns, sizes, percent))
     labels = _joined(None, settle(_linked(stars, texts, k, percent)))
-    open_rows, tried = settle(_labelled(columns, labels)), stars
+    open_rows, tried = settle(_open(columns, sizes, labels)), stars
     for number in range(ROUNDS):
-        pairs = settle(_bridges(open_rows, sizes, tried, percent, number))
+        pairs = settle(_bridges(open_rows, tried, percent, number))
         links = settle(_linked(pairs, texts, k, percent))
         if not links.limit(1).count():
             break
         labels, tried = _joined(labels, links), tried.unionByName(pairs)
-        open_rows = settle(_labelled(open_rows.drop("label"), labels))
-    marked, left_out = _marked(open_rows, sizes, percent)
-    left_over = _left_over(marked, left_out, tried, percent)
-    links = settle(_linked(settle(left_over.unionByName(_crowded_pairs(marked, left_out, texts, k, percent))), texts, k, percent))
+        open_rows = settle(_labelled(open_rows, labels))
+    marked, left_out = _marked(open_rows, percent)
+    left_over = settle(_left_over(marked, left_out, tried, percent).unionByName(_crowded_pairs(marked, left_out, texts, k, percent)))
+    links = settle(_linked(left_over, texts, k, percent))
     if links.limit(1).count():
         labels = _joined(labels, links)
     groups = sets.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "least", "row")
