@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinequarry.operators.graph import connected_components
-from cinequarry.plans.scratch import discard, written
+from cinequarry.plans.scratch import discard, release, written
 
 from .common import as_long, gram_hashes, keep_rows, mix, partitions, run_starts, settle, shingle_sets, slices, small, split_sets, text_code, word_hashes, words_of
 
@@ -512,6 +512,7 @@ def _components(docs: DataFrame, text: str, doc_id: str, k: int, percent: int) -
     columns = settle(_columns(rows, sets.select("node", "bearer.doc_id", "bearer.code")))
     rows = settle(rows.select("doc_id", "code", "node", "n"))
     discard(spark, [whole])  # heads are as large as the texts
+    release(spark)  # and so is what they were shuffled in
     nodes = settle(sets.join(columns.select("node").distinct(), "node", "left_semi").select("node", "n", "row.doc_id", "row.code"))
     known = source.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
     texts = _texts(known, nodes.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63)))))
@@ -519,6 +520,7 @@ def _components(docs: DataFrame, text: str, doc_id: str, k: int, percent: int) -
     stars = settle(_stars(columns, sizes, percent))
     labels = _joined(None, settle(_linked(stars, texts, k, percent)))
     open_rows, tried = settle(_open(columns, sizes, labels)), stars
+    release(spark)
     for number in range(ROUNDS):
         pairs = settle(_bridges(open_rows, tried, percent, number))
         links = settle(_linked(pairs, texts, k, percent))
@@ -526,8 +528,10 @@ def _components(docs: DataFrame, text: str, doc_id: str, k: int, percent: int) -
             break
         labels, tried = _joined(labels, links), tried.unionByName(pairs)
         open_rows = settle(_labelled(open_rows, labels))
+        release(spark)
     marked, left_out = _marked(open_rows, percent)
     left_over = settle(_left_over(marked, left_out, tried, percent).unionByName(_crowded_pairs(marked, left_out, texts, k, percent)))
+    release(spark)
     links = settle(_linked(left_over, texts, k, percent))
     if links.limit(1).count():
         labels = _joined(labels, links)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import time
 from itertools import combinations
 
 import numpy as np
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cinequarry.llm import common, jaccard_join
 from cinequarry.llm.jaccard_join import exact_sets, jaccard_groups, keep_one
-from cinequarry.plans.scratch import written
+from cinequarry.plans.scratch import release, written
 
 
 def test_words_of_equal_checksum_do_not_link(spark):
@@ -136,3 +138,18 @@ def test_rows_in_columns_carry_their_size(spark):
         assert got and (0, 1) not in got and all(a < b and a % 3 != b % 3 for a, b in got)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_released_shuffles_leave_the_disk(spark):
+    """What a written DataFrame was shuffled in goes when the driver is told to drop it."""
+    folder = spark._jsc.sc().env().blockManager().diskBlockManager()
+    held = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+\.data", folder.getAllFiles().mkString(" ")))
+    before = held()
+    common.settle(spark.range(100_000).repartition(7, "id"))
+    made = held() - before
+    for _ in range(20):
+        release(spark)
+        if not made & held():
+            break
+        time.sleep(0.2)
+    assert made and not made & held()
