@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinequarry.operators.modalities import active, best_windows, build_matches, distinct_matches, evidence_class, evidence_sources, has_head, merge_coverage, place_on_shots, sound_channel, speaker_channel, speaker_matches, universe, vector_channel
-from cinequarry.operators.temporal import Recordings, Requests, evaluate
+from cinequarry.operators.temporal import Evaluation, Recordings, Requests
 
 from .common import registry, table
 
@@ -171,9 +171,8 @@ _REQUESTS = f"""{_RECORDS.replace('event_type AS label', _CASE + ' AS label')},
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> tuple[Requests, Recordings, DataFrame]:
-    rows = table(spark, sf_dir, "events")
-    kind = F.coalesce(F.create_map(*[F.lit(x) for pair in _CLASSES.items() for x in pair])[F.col("event_type")], F.lit("/m/04rlf"))
-    events = _records(spark, sf_dir).drop("label").join(rows.select(F.col("event_id").alias("record"), kind.alias("label")), "record").withColumn("status", F.when(F.col("record") % 2 == 0, "confirmed").otherwise("possible"))
+    kind = F.coalesce(F.create_map(*[F.lit(x) for pair in _CLASSES.items() for x in pair])[F.col("label")], F.lit("/m/04rlf"))
+    events = _records(spark, sf_dir).withColumn("label", kind).withColumn("status", F.when(F.col("record") % 2 == 0, "confirmed").otherwise("possible"))
     vectors = table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL")
     frame = F.lit(_FRAMES) + (F.col("vec_id") * 7919 % 700) * 3_600_000
     frames = vectors.select((F.col("vec_id") + 100_000_000).alias("record"), (F.col("vec_id") % 50 + 1).alias("asset"), F.lit(1).cast("long").alias("generation"), F.lit("s").alias("space"), frame.alias("start_ms"), (frame + 600_000).alias("end_ms"), F.col("embedding").alias("vector"))
@@ -193,19 +192,19 @@ def _requests(spark: SparkSession, sf_dir: str) -> tuple[Requests, Recordings, D
 @register(f"WITH {_REQUESTS} SELECT query_id, asset FROM ans")
 def request_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users in whose events every condition and predicate of a supplier's request holds."""
-    return evaluate(*_requests(spark, sf_dir))[0].select("query_id", "asset")
+    return Evaluation(*_requests(spark, sf_dir)).assets().select("query_id", "asset")
 
 
 @register(f"""WITH {_REQUESTS}, m AS (SELECT w.* FROM win w JOIN ans USING (query_id, asset))
     SELECT query_id, condition, asset, start_ms, end_ms, record, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, condition, asset, start_ms, end_ms ORDER BY score DESC, record) AS r FROM m) WHERE r = 1""")
 def request_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a request's answer shows: its windows, one a condition and interval."""
-    return evaluate(*_requests(spark, sf_dir))[1].select("query_id", "condition", "asset", "start_ms", "end_ms", "record", "score")
+    return Evaluation(*_requests(spark, sf_dir)).matches().select("query_id", "condition", "asset", "start_ms", "end_ms", "record", "score")
 
 
 @register(f"WITH {_REQUESTS} SELECT s.* FROM sup s JOIN ans USING (query_id, asset)")
 def request_supports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair that shows a predicate of a request, the intervals that show it, and how sure it is."""
-    held = evaluate(*_requests(spark, sf_dir))[2]
+    held = Evaluation(*_requests(spark, sf_dir)).supports()
     told = F.array_join(F.transform("supports", lambda s: F.concat_ws("-", s.start_ms.cast("string"), s.end_ms.cast("string"))), ",")
     return held.withColumn("supports", told)

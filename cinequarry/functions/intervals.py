@@ -53,6 +53,11 @@ def support(relation: str, left: tuple[Column, Column], right: tuple[Column, Col
     return F.array(pair(F.greatest(left[0], right[0]), F.least(left[1], right[1])))
 
 
+def _sides() -> tuple[tuple[Column, Column], tuple[Column, Column]]:
+    """Bounds of both sides of a pair as related() names them."""
+    return (F.col("left_start_ms"), F.col("left_end_ms")), (F.col("right_start_ms"), F.col("right_end_ms"))
+
+
 def _level(start: Column, end: Column) -> Column:
     """The power of two that an interval's length reaches: bins of that size hold it in two at most."""
     length = F.greatest(end - start, F.lit(1))
@@ -85,16 +90,27 @@ def related(left: DataFrame, right: DataFrame, key: str | list[str], relation: s
     interval of any length is written a logarithmic number of times, and a
     pair is made in the first bin that both touch.
     """
-    keys = [key] if isinstance(key, str) else list(key)
-    a = left.withColumnsRenamed({"start_ms": "left_start_ms", "end_ms": "left_end_ms"})
-    b = right.withColumnsRenamed({"start_ms": "right_start_ms", "end_ms": "right_end_ms"})
-    l, r = (F.col("left_start_ms"), F.col("left_end_ms")), (F.col("right_start_ms"), F.col("right_end_ms"))
     if relation is None:
         pad = F.when(F.col("relation").isin("before", "after"), F.col("max_gap_ms")).otherwise(0)
-        test = holds_by(F.col("relation"), l, r, F.col("max_gap_ms"))
+        test = holds_by(F.col("relation"), *_sides(), F.col("max_gap_ms"))
     else:
         pad = F.lit(max_gap_ms if relation in ("before", "after") else 0)
-        test = holds(relation, l, r, max_gap_ms)
+        test = holds(relation, *_sides(), max_gap_ms)
+    return _meeting(left, right, key, pad, test)
+
+
+def near(left: DataFrame, right: DataFrame, key: str | list[str]) -> DataFrame:
+    """Pairs of rows of one key with at most the left side's pad_ms between their intervals, touching and overlapping ones included; else as related()."""
+    (ls, le), (rs, re) = _sides()
+    return _meeting(left, right, key, F.col("pad_ms"), (ls - F.col("pad_ms") <= F.greatest(rs, re)) & (rs <= F.greatest(ls, le) + F.col("pad_ms")))
+
+
+def _meeting(left: DataFrame, right: DataFrame, key: str | list[str], pad: Column, test: Column) -> DataFrame:
+    """Pairs of rows of one key that pass the test, which only holds within ``pad`` of each other."""
+    keys = [key] if isinstance(key, str) else list(key)
+    a = left.withColumnsRenamed({"start_ms": "left_start_ms", "end_ms": "left_end_ms"})
+    b = right.withColumnsRenamed({"start_ms": "right_start_ms", "end_ms": "right_end_ms"})
+    l, r = _sides()
     a = a.withColumns({"__from": l[0] - pad, "__to": F.greatest(*l) + pad}).withColumn("__own", _level(F.col("__from"), F.col("__to")))
     b = b.withColumn("__other", _level(*r))
     there = {side: sorted(x[0] for x in frame.select(c).distinct().where(F.col(c).isNotNull()).collect()) for side, frame, c in (("a", a, "__own"), ("b", b, "__other"))}

@@ -316,7 +316,7 @@ def _recordings(library: Library) -> temporal.Recordings:
 def _answering(fused: DataFrame, requests: temporal.Requests, library: Library, spans: DataFrame, allowed: DataFrame | None) -> DataFrame:
     """Without the shots of recordings that don't answer their query's conditions; queries without conditions keep all."""
     shots = None if allowed is None else spans.select("shot", "asset").join(allowed.select(F.col("id").alias("shot")), "shot", "left_semi")
-    assets, _, _ = temporal.evaluate(requests, _recordings(library), spans, allowed=shots)
+    assets = temporal.Evaluation(requests, _recordings(library), spans, allowed=shots).assets()
     bound = requests.conditions.select("query_id").distinct()
     free = fused.join(bound, "query_id", "left_anti")
     tested = fused.join(bound, "query_id", "left_semi").join(library.shots.select("id", "asset"), "id").join(assets, ["query_id", "asset"], "left_semi")

@@ -139,6 +139,22 @@ def test_what_many_queries_ask_is_answered_once(spark, timed, monkeypatch):
     assert held.count() == 40 and matches.count() == 80
 
 
+def test_likeness_comes_last(spark, timed, monkeypatch):
+    """Cosines are asked for where all else holds alone, and one that rounds to 0 is positive still."""
+    rain, siren, look = ("a", "sound_event", "rain", None, None), ("b", "sound_event", "siren", None, None), lambda q: ("v", "visual", "x", "s", [1e-7, float(q)])
+    conditions = [(q, *c) for q in range(1, 9) for c in (rain, look(q))] + [(q, *c) for q in range(9, 31) for c in (rain, siren, look(q))]
+    predicates = [(q, "p", "v", "during", "a", 0) for q in range(1, 31)] + [(q, "q", "b", "during", "a", 0) for q in range(9, 31)]
+    asked_for = []
+    own = temporal.Evaluation._likenesses
+    monkeypatch.setattr(temporal.Evaluation, "_likenesses", lambda self, wanted, frames: asked_for.append(wanted.count()) or own(self, wanted, frames))
+    requests = temporal.Requests(conditions=spark.createDataFrame(conditions, CONDITION), predicates=spark.createDataFrame(predicates, PREDICATE))
+    found = temporal.Evaluation(requests, timed.recordings, timed.shots.select(F.col("id").alias("shot"), "asset", "start_ms", "end_ms"))
+    assert {(r["query_id"], r["asset"]) for r in found.assets().collect()} == {(q, a) for q in range(1, 9) for a in (1, 2, 3)}
+    assert asked_for == [8 * 3]  # no siren is heard in rain, so none of the other 22 pictures is compared
+    assert {(r["record"], r["score"]) for r in found.matches().where("query_id = 1 AND condition = 'v'").collect()} == {(11, 0.0), (12, 0.110432), (13, 1.0)}
+    assert found.supports().count() == 8 * 3
+
+
 def test_search_with_requests(spark, timed):
     queries = spark.createDataFrame([(0, "train"), (1, "people"), (2, "people")], "query_id long, text string")
     requests = asked(spark, [(0, "a", "sound_event", "rain"), (0, "b", "sound_event", "siren"), (1, "a", "sound_event", "rain"), (1, "b", "sound_event", "siren")], [(0, "p", "a", "before", "b", 5000), (1, "p", "a", "after", "b", 5000)])
