@@ -426,3 +426,37 @@ def test_streams(spark, tmp_path):
     events = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:29:00"), (1, "2024-01-01 02:00:00")], "k long, ts string").withColumn("ts", F.to_timestamp("ts"))
     assert sorted(r["n"] for r in refresh.stream_sessions(events, "k", "ts").collect()) == [1, 2]
     assert refresh.stream_rollup(events, "k", "ts").count() == 2
+
+
+def test_hashes_of_many_terms():
+    import pyarrow as pa
+
+    from cinequarry.functions.text import LONG_TERM, fnv1a, fnv1a_each
+
+    words = ["a", "", "雨夜", "x" * LONG_TERM, "y" * (LONG_TERM + 1), "z" * 500, "ñandú"] * 3
+    for own in (pa.array(words), pa.array(words).slice(3, 9), pa.array(words, pa.large_string()), pa.array([], pa.string()), pa.array([""])):
+        assert fnv1a_each(own).tolist() == [fnv1a(w.encode()) for w in own.to_pylist()]
+
+
+def test_single_precision_rules_out_no_neighbour():
+    """Copies, ties and near ties: the k best are those of all exact scores, although few are computed."""
+    from cinequarry.functions.vectors import _Heads
+
+    rng = np.random.default_rng(5)
+    for width, k in ((64, 10), (3, 4), (700, 2)):
+        rows = rng.integers(-3, 4, size=(3000, width)).astype(float)
+        rows[:, 0] = 5
+        rows[1000:1400] = rows[:400] + (1e-7 if width == 64 else 0) * rng.normal(size=(400, width))
+        rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+        ids = rng.permutation(len(rows))
+        heads = _Heads([(width, ids[:50], rows[:50])], k, 6, True)
+        computed = []
+        exact = heads._near
+        heads._near = lambda *args, exact=exact, computed=computed: computed.append(exact(*args)) or computed[-1]
+        for lo in range(0, len(rows), 500):
+            heads.meet([(width, ids[lo : lo + 500], rows[lo : lo + 500])])
+        scores = np.round(rows[:50] @ rows.T, 6)
+        for q in range(50):
+            best = sorted((-s, i) for s, i in zip(scores[q], ids, strict=True) if s > 0 and i != ids[q])[:k]
+            assert [(-s, i) for s, i in zip(heads.scores[0][q], heads.ids[0][q], strict=True) if s > 0] == best
+        assert any(x is not None for x in computed)
