@@ -155,6 +155,19 @@ def test_likeness_comes_last(spark, timed, monkeypatch):
     assert found.supports().count() == 8 * 3
 
 
+def test_matches_are_written_out_last(spark, timed, monkeypatch):
+    """Forty queries that ask the same share their two windows up to the last step; other names make another request."""
+    many = range(1, 42)
+    name = lambda q, c: c if q <= 40 else f"{c}{c}"
+    requests = asked(spark, [(q, name(q, c), "sound_event", t) for q in many for c, t in (("a", "rain"), ("b", "a police siren"))], [(q, "p", name(q, "a"), "before", name(q, "b"), 5000) for q in many])
+    shared = []
+    own = temporal.Evaluation._spread
+    monkeypatch.setattr(temporal.Evaluation, "_spread", lambda self, rows, total: shared.append(rows.count()) or own(self, rows, total))
+    matches = temporal.Evaluation(requests, timed.recordings, timed.shots.select(F.col("id").alias("shot"), "asset", "start_ms", "end_ms")).matches()
+    assert shared == [4]  # of two requests
+    assert {(r["query_id"], r["condition"], r["record"]) for r in matches.collect()} == {(q, name(q, c), n) for q in many for c, n in (("a", 1), ("b", 2))}
+
+
 def test_search_with_requests(spark, timed):
     queries = spark.createDataFrame([(0, "train"), (1, "people"), (2, "people")], "query_id long, text string")
     requests = asked(spark, [(0, "a", "sound_event", "rain"), (0, "b", "sound_event", "siren"), (1, "a", "sound_event", "rain"), (1, "b", "sound_event", "siren")], [(0, "p", "a", "before", "b", 5000), (1, "p", "a", "after", "b", 5000)])
