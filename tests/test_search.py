@@ -168,6 +168,21 @@ def test_matches_are_written_out_last(spark, timed, monkeypatch):
     assert {(r["query_id"], r["condition"], r["record"]) for r in matches.collect()} == {(q, name(q, c), n) for q in many for c, n in (("a", 1), ("b", 2))}
 
 
+def test_conditions_meet_once_for_many_predicates(spark, timed, monkeypatch):
+    """Eight predicates between two conditions, with gaps of three sizes, meet their windows three times."""
+    gaps = {"before": [1100, 1200, 1300, 2047, 400], "after": [1500], "during": [0], "simultaneous": [0]}
+    rules = [(r, g) for r, own in gaps.items() for g in own]
+    requests = asked(spark, [(q, c, "sound_event", t) for q in range(len(rules)) for c, t in (("a", "rain"), ("b", "a police siren"))], [(q, "p", "a", r, "b", g) for q, (r, g) in enumerate(rules)])
+    met = []
+    near = temporal.near
+    monkeypatch.setattr(temporal, "near", lambda left, right, keys: met.append(left.groupBy("left_record").count().agg(F.max("count")).first()[0]) or near(left, right, keys))
+    held = temporal.Evaluation(requests, timed.recordings, timed.shots.select(F.col("id").alias("shot"), "asset", "start_ms", "end_ms")).supports()
+    assert met == [3]  # gaps of 0, of 256 to 511 and of 1024 to 2047 ms
+    rain, siren = {1: (1, 0, 1000), 2: (4, 900, 1400)}, {1: (2, 1500, 2000), 2: (3, 0, 400)}
+    want = {(q, a) for q, (r, g) in enumerate(rules) for a in (1, 2) if (r == "before" and 0 <= siren[a][1] - rain[a][2] <= g) or (r == "after" and 0 <= rain[a][1] - siren[a][2] <= g)}
+    assert {(r["query_id"], r["asset"]) for r in held.collect()} == want and len(want) == 5
+
+
 def test_search_with_requests(spark, timed):
     queries = spark.createDataFrame([(0, "train"), (1, "people"), (2, "people")], "query_id long, text string")
     requests = asked(spark, [(0, "a", "sound_event", "rain"), (0, "b", "sound_event", "siren"), (1, "a", "sound_event", "rain"), (1, "b", "sound_event", "siren")], [(0, "p", "a", "before", "b", 5000), (1, "p", "a", "after", "b", 5000)])
